@@ -55,12 +55,13 @@ def decode(ids: np.ndarray, rank_file: str, pattern: str) -> bytes:
     return encoding(rank_file, pattern).decode_bytes(ids.tolist())
 
 
-def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row per row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, unless with_ids is off, ids (array<int>) and decoded (binary).
+def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row: doc_id, n_tokens, ids_sha256, decoded_sha256, unless with_ids is off ids (array<int>) and decoded (binary), and the columns in keep as strings.
 
     Whole texts in any number of pieces; null texts have no ids; null and repeated ids pass through; an empty table gives no
     rows; other columns are ignored. A narrow plan: no shuffle, one Arrow batch in memory.
     """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids + list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -69,14 +70,13 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
                 ids = [encode(t, rank_file, pattern) for t in part.column(1).to_pylist()]
                 back = [decode(x, rank_file, pattern) for x in ids]
                 cols = [part.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     cols += [pa.array([x.view("<i4") for x in ids], pa.list_(pa.int32())), pa.array(back, pa.binary())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                yield pa.RecordBatch.from_arrays(cols + [part.column(2 + i) for i in range(len(keep))], names)
 
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    kinds = ["bigint", "bigint", "string", "string"] + ["array<int>", "binary"] * with_ids + ["string"] * len(keep)
+    rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), *(F.col(f"`{c}`").cast("string") for c in keep))
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def vocabulary() -> tuple[str, str]:
