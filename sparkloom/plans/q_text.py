@@ -1,0 +1,181 @@
+"""Text views, security scans and sources over documents, pages and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import security, views
+from ..sources import formats
+from ..sources.tables import table
+from .registry import query
+
+
+@query("SELECT doc_id, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("SELECT shape, count(*) AS n FROM (SELECT regexp_replace(line, '[0-9]+', '<n>', 'g') AS shape FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM conversations) WHERE trim(line) <> '') GROUP BY shape ORDER BY n DESC, shape LIMIT 12")
+def log_shapes(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.explode(tx.lines(F.col("text"))).alias("line")).where("trim(line) <> ''")
+    shape = F.regexp_replace("line", "[0-9]+", "<n>")
+    return rows.groupBy(shape.alias("shape")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "shape").limit(12)
+
+
+@query("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN regexp_matches(line, '(?i)\\b(error|failed|failure|panic|assertion|traceback|exception|fatal|denied|timeout|critical|segfault)\\b') THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
+def line_modes(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.lines(F.col("text"))).alias("line"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("line").rlike(tx.ERROR_LINE)).alias("errors"))
+
+
+@query("SELECT doc_id, string_split(text, chr(10))[1] AS head, CAST(len(string_split(text, chr(10))) AS INT) AS n FROM documents")
+def line_range(spark, sf_dir):
+    own = tx.lines(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.element_at(own, 1).alias("head"), F.size(own).alias("n"))
+
+
+@query()
+def byte_range(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.hex(F.substring(F.col("text").cast("binary"), 1, 16)).alias("bytes"))
+
+
+@query("SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10))) AS lines_md5 FROM documents WHERE len(string_split(text, chr(10))) = len(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')))) AND NOT contains(text, chr(13))")
+def distinct_lines(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    own = tx.lines(F.col("text"))
+    plain = d.where((F.size(own) == F.size(F.array_distinct(F.transform(own, F.trim)))) & ~F.contains("text", F.lit("\r")))
+    return plain.select("doc_id", F.md5(F.array_join(tx.distinct_lines(F.col("text")), "\n")).alias("lines_md5"))
+
+
+@query()
+def sentence_dedup(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n"))
+
+
+@query("SELECT p_partkey, round(-list_sum(list_transform(list_distinct(c), lambda x: len(list_filter(c, lambda y: y = x)) / len(c) * log2(len(list_filter(c, lambda y: y = x)) / len(c)))), 6) AS bits FROM (SELECT p_partkey, string_split(p_type, '') AS c FROM part)")
+def shannon_entropy(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(tx.shannon_entropy(F.col("p_type")), 6).alias("bits"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN len(list_intersect(regexp_extract_all(lower(text), '[a-z]+'), ['over', 'time', 'trend'])) > 0 THEN 'trend' WHEN len(list_intersect(regexp_extract_all(lower(text), '[a-z]+'), ['how', 'many', 'count'])) > 0 THEN 'count' ELSE 'other' END AS intent FROM conversations")
+def query_intent(spark, sf_dir):
+    own = tx.tokens(F.col("text"), "word", 1)
+    hit = lambda *w: F.arrays_overlap(own, F.array(*map(F.lit, w)))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(hit("over", "time", "trend"), "trend").when(hit("how", "many", "count"), "count").otherwise("other").alias("intent"))
+
+
+@query()
+def query_intent_all(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.intent(F.col("text")).alias("intent"))
+
+
+@query()
+def segments(spark, sf_dir):
+    return views.segments(table(spark, sf_dir, "documents"), "doc_id", "text", 2048).select("doc_id", "segment", "start_byte", "end_byte", "kind", "salience", "critical", "content_hash")
+
+
+@query("SELECT doc_id, true AS contiguous, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents WHERE strlen(text) > 0")
+def artifact_verify(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    s = views.segments(d, "doc_id", "text", 2048)
+    return views.verify_segments(s, "doc_id")
+
+
+@query("SELECT conv_id, count(*) AS leaves FROM conversations GROUP BY conv_id")
+def merkle_leaves(spark, sf_dir):
+    out = views.merkle_roots(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("h")), "conv_id", "turn", "h")
+    return out.select("conv_id", "leaves")
+
+
+_NODE = "sha256(unhex({0}) || unhex({1}))"
+_LEAF = [f"sha256(t[{i}])" for i in (1, 2, 3)]
+
+
+@query(f"""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN len(t) = 2 THEN {_NODE.format(*_LEAF[:2])} ELSE {_NODE.format(_NODE.format(*_LEAF[:2]), _NODE.format(_LEAF[2], _LEAF[2]))} END AS root FROM c WHERE len(t) IN (2, 3)""")
+def merkle_roots(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("h"))
+    return views.merkle_roots(c, "conv_id", "turn", "h").where("leaves in (2, 3)").select("conv_id", "root")
+
+
+@query()
+def family_detect(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", views.family(F.col("text")).alias("family"))
+    return d.groupBy("family").agg(F.count("*").alias("n"))
+
+
+@query()
+def facets(spark, sf_dir):
+    return views.facets(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_path(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("SELECT event_id, md5('object:k') AS structure FROM events WHERE props LIKE '{\"k\"%'")
+def structure_view(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where(F.col("props").startswith('{"k"'))
+    return e.select("event_id", F.md5(F.concat(F.lit("object:"), F.array_join(F.json_object_keys("props"), ","))).alias("structure"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INT) AS paragraphs, CAST(len(regexp_extract_all(html, '<a[ >]')) AS INT) AS links FROM pages")
+def markup_tags(spark, sf_dir):
+    n = lambda t: F.size(F.regexp_extract_all("html", F.lit(f"<{t}[ >]"), F.lit(0)))
+    return table(spark, sf_dir, "pages").select("page_id", n("p").alias("paragraphs"), n("a").alias("links"))
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag")
+def markup_counts(spark, sf_dir):
+    return formats.tag_counts(table(spark, sf_dir, "pages"), "html")
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, CAST(len(regexp_extract_all(url, '/')) AS INT) AS slashes FROM pages")
+def address_parts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.size(F.regexp_extract_all("url", F.lit("/"), F.lit(0))).alias("slashes"))
+
+
+# security
+@query("SELECT doc_id, regexp_matches(text, '\\b(?:AKIA|ASIA)[A-Z0-9]{16}\\b') AS access_key, regexp_matches(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b') AS address FROM documents")
+def secret_flags(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("text").rlike(security.SECRETS["aws-access-key"]).alias("access_key"), F.col("text").rlike(security.EMAIL).alias("address"))
+
+
+@query()
+def redaction(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(security.redacted(F.col("text")), 256).alias("redacted_sha256"), F.size(security.secret_types(F.col("text"))).alias("kinds"))
+
+
+@query("SELECT conv_id, turn, regexp_matches(text, '(?is)(ignore\\s+(?:all\\s+)?(?:previous|prior)\\s+instructions|system\\s+message\\s*:)') AS risk FROM conversations")
+def injection_detect(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", (F.size(security.injection_reasons(F.col("text"))) > 0).alias("risk"))
+
+
+@query()
+def card_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(security.cards(F.col("text"))).alias("n_cards"))
+
+
+@query()
+def high_entropy(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(security.high_entropy_tokens(F.col("text"))).alias("n"))
+
+
+@query()
+def encoded_payloads(spark, sf_dir):
+    return security.scan_encoded(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id, translate(lower(lang), 'e', 'a') AS folded FROM documents")
+def folded_letters(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.translate(tx.skeleton(F.lower("lang")), "e", "a").alias("folded"))
+
+
+@query("SELECT lang, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS prefix_hash FROM documents GROUP BY lang")
+def prompt_prefix(spark, sf_dir):
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"), F.sha2(ids, 256).alias("prefix_hash"))
