@@ -1,8 +1,9 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark; repeats merge into removal intervals.
 
 Only windows that can repeat are shuffled. Each window names its least hash of MARK words as its mark; equal windows have equal
-marks, so that a window whose mark occurs once in the corpus occurs once. The first shuffle counts marks (about one in eight
-words), the second brings documents with repeated marks together with them, the third counts those windows.
+marks, so that a window whose mark occurs once in the corpus occurs once. The first shuffle counts marks (about one in seven
+words), the second brings documents with repeated marks together with them, the third counts those windows, the fourth brings
+the late ones back. Hashes and places travel as compressed columns, a row for each bucket of a sorted buffer.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ from pyspark.sql import functions as F
 from .common import id_back, id_key, materialize, table
 
 #: Words in a window; words in a mark.
-WINDOW, MARK = 20, 6
+WINDOW, MARK = 20, 8
 #: Rows that are combined before they are shuffled.
-BUFFER = 1 << 20
+BUFFER = 1 << 19
+#: Code points of all texts for each bucket of marks (about 1.3 million), and for each of windows (2.2 million if all are candidates).
+CHARS, WINDOW_CHARS = 48_000_000, 12_000_000
 #: Odd bases of the polynomial hashes modulo 2^64, over words' 64-bit hashes under different seeds.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+SENT = "bucket int, known boolean, cells binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -79,90 +83,167 @@ def _tag(data: bytes) -> int:
     return xxhash.xxh32_intdigest(data) & 0x7FFFFFFF
 
 
-def _combined(rows: Iterator[tuple[np.ndarray, ...]], names: list[str], keys: int) -> Iterator[pa.RecordBatch]:
-    """Gathers rows (key columns, id, place) into buffers and sorts them. Of equal keys only the first goes on by its key; the others
-    are known to repeat: they get a key that spreads them and known = 1. So a key sends one row a buffer at most."""
+def _squeeze(cols: list[np.ndarray]) -> bytes:
+    """Columns of int64 as compressed planes of bytes; the first one, which is sorted, as differences."""
+    n = len(cols[0])
+    first = np.diff(cols[0], prepend=np.int64(0))
+    planes = b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(n, 8).T).tobytes() for c in [first, *cols[1:]])
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def _loosen(data: bytes, width: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, 8, -1)
+    cols = [np.ascontiguousarray(p.T).view("<i8")[:, 0] for p in planes]
+    return [np.cumsum(cols[0]), *cols[1:]]
+
+
+def _slices(bucket: np.ndarray, cols: list[np.ndarray], known: bool) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of their buckets, as one row a bucket."""
+    if len(bucket):
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        cells = [_squeeze([c[a:b] for c in cols]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([known] * len(cells)), pa.array(cells, pa.binary())], ["bucket", "known", "cells"])
+
+
+def _by_key(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (((key.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _by_document(key: np.ndarray, tag: np.ndarray, start: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    bucket = _by_key(_mix((key ^ tag << 20).view(np.uint64) + np.uint64(1)).view(np.int64), buckets)
+    order = np.lexsort([start, tag, key, bucket])
+    yield from _slices(bucket[order], [key[order], tag[order], start[order]], True)
+
+
+def _combined(rows: Iterator[tuple[np.ndarray, ...]], keys: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Gathers rows (key columns, id, tag, start) into buffers and sorts them. Of equal keys only the first goes on by its key, marked if
+    the buffer has others; those are known to repeat and go on by their document. So a key sends one row a buffer at most."""
     held, n = [], 0
 
-    def out() -> pa.RecordBatch:
+    def out() -> Iterator[pa.RecordBatch]:
         cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-        order = np.lexsort(cols[::-1])
+        held.clear()
+        order = np.lexsort([cols[i] for i in (keys + 1, keys + 2, keys, *range(keys - 1, -1, -1))])
         cols = [c[order] for c in cols]
         same = np.ones(len(order), bool)
-        same[:1] = False
+        same[0] = False
         for c in cols[:keys]:
             same[1:] &= c[1:] == c[:-1]
-        first = np.flatnonzero(~same)
-        leader = first[np.cumsum(~same) - 1]
+        leader = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         # An equal text under the same id is no earlier place.
-        later = same & ~((cols[keys] == cols[keys][leader]) & (cols[keys + 1] >> 32 == cols[keys + 1][leader] >> 32))
-        leads = np.zeros(len(order), np.int8)
-        leads[leader[same]] = 1  # others of this buffer equal it
-        known = np.where(later, 2, leads).astype(np.int8)
-        part = np.where(later, cols[keys] * 31 + cols[keys + 1], cols[0])
-        return pa.RecordBatch.from_arrays([pa.array(part), *map(pa.array, cols), pa.array(known)], ["part", *names, "known"])
+        later = same & ((cols[keys] != cols[keys][leader]) | (cols[keys + 2] != cols[keys + 2][leader]))
+        more = np.zeros(len(order), np.int64)
+        more[leader[later]] = 1
+        lead = np.flatnonzero(~later)
+        signed = np.argsort(bucket := _by_key(cols[0][lead], buckets), kind="stable")
+        yield from _slices(bucket[signed], [c[lead][signed] for c in (*cols, more)], False)
+        yield from _by_document(*(c[later] for c in cols[keys:]), buckets)
 
     for row in rows:
         if len(row[0]):
             held.append(row)
             n += len(row[0])
         if n >= BUFFER:
-            yield out()
-            held, n = [], 0
+            yield from out()
+            n = 0
+    if held:
+        yield from out()
+
+
+def _each_bucket(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Of rows (bucket, cells) in the order of their buckets: the columns of one bucket at a time."""
+    at, held = None, []
+    for b in batches:
+        for bucket, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if bucket != at and held:
+                yield at, [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            at = bucket
+            held.append(_loosen(cells, width))
     if held:
-        yield out()
+        yield at, [np.concatenate(c) for c in zip(*held, strict=True)]
+
 
+def _passing(batches: Iterator[pa.RecordBatch], counted: Callable) -> Iterator[pa.RecordBatch]:
+    """What is known goes through; the rest, in the order of its buckets, is counted."""
+    passed: list[pa.RecordBatch] = []
 
-def _mark_rows(window: int) -> Callable:
+    def rest() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known = b.column(1).to_numpy(zero_copy_only=False)
+            if known.any():
+                passed.append(b.filter(b.column(1)))
+            if not known.all():
+                yield b.filter(pa.array(~known)).select(["bucket", "cells"])
+
+    for out in counted(rest()):
+        yield out
+        while passed:
+            yield passed.pop()
+    yield from passed
+
+
+def _repeated(keys: int, late: bool, buckets: int) -> Callable:
+    """Counts the keys of a bucket. Passes on the places of all that repeat, or of those that an equal key comes before."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cols in _each_bucket(batches, keys + 4):
+            order = np.lexsort([cols[i] for i in (keys + 1, keys + 2, keys, *range(keys - 1, -1, -1))])
+            cols = [c[order] for c in cols]
+            same = np.ones(len(order), bool)
+            same[0] = False
+            for c in cols[:keys]:
+                same[1:] &= c[1:] == c[:-1]
+            if late:
+                leader = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+                keep = same & ((cols[keys] != cols[keys][leader]) | (cols[keys + 2] != cols[keys + 2][leader]))
+            else:
+                keep = same | np.r_[same[1:], False] | (cols[-1] > 0)
+            yield from _by_document(*(c[keep] for c in cols[keys : keys + 3]), buckets)
+
+    return lambda batches: _passing(batches, counted)
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of a bucket, with its places as differences."""
+    for _, cols in _each_bucket(batches, 3):
+        order = np.lexsort([cols[2], cols[1], cols[0]])
+        key, tag, start = (c[order] for c in cols)
+        new = np.r_[True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])]
+        cuts = [*np.flatnonzero(new).tolist(), len(key)]
+        first = np.array(cuts[:-1])
+        for at in range(0, len(first), 4096):
+            ends = cuts[at : at + 4097]
+            cells = [_squeeze([np.unique(start[a:b])]) for a, b in zip(ends, ends[1:], strict=False)]
+            rows = first[at : at + len(cells)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(tag[rows]), pa.array(cells, pa.binary())], ["id", "tag", "places"])
+
+
+def _shuffled(rows: DataFrame, keys: int, late: bool, buckets: int) -> DataFrame:
+    """Rows of SENT to (id, tag, places): the places of what repeats or comes late, by document."""
+    by_key = rows.repartition("bucket").sortWithinPartitions("known", "bucket")
+    found = by_key.mapInArrow(_repeated(keys, late, buckets), SENT).select("bucket", "cells")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_places, "id bigint, tag bigint, places binary")
+
+
+def _mark_rows(window: int, tagged: bool, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
                 for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     words = words_of(text)
-                    if len(words) < window:
-                        continue
-                    h, place = marks(_hashed(words, 0), window)
-                    at = np.unique(place)
-                    yield h[at].view(np.int64), np.full(len(at), key, np.int64), at << 32 | _tag(text.encode("utf-8", "surrogatepass"))
+                    if len(words) >= window:
+                        h, place = marks(_hashed(words, 0), window)
+                        at = np.unique(place)
+                        tag = _tag(text.encode("utf-8", "surrogatepass")) if tagged else 0
+                        yield h[at].view(np.int64), np.full(len(at), key, np.int64), np.full(len(at), tag, np.int64), at
 
-        yield from _combined(rows(), ["h", "id", "place"], 1)
+        yield from _combined(rows(), 1, buckets)
 
     return run
 
 
-def _repeated_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of h: those whose neighbour has the same h, or that are known to repeat. Holds a batch and a row."""
-    held = [np.empty(0, np.int64)] * 4
-
-    def out(cols, keep):
-        return pa.RecordBatch.from_arrays([pa.array(cols[1][keep]), pa.array(cols[2][keep])], ["id", "place"])
-
-    for b in batches:
-        cols = [np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, x in enumerate(held)]
-        if not len(cols[0]):
-            continue
-        same = cols[0][1:] == cols[0][:-1]
-        keep = (cols[3] > 0) | np.r_[False, same] | np.r_[same, False]
-        yield out(cols, np.flatnonzero(keep[:-1]))
-        held = [c[-1:].copy() for c in cols]
-        held[3] = np.array([int(keep[-1])])  # the next batch shows its right neighbour only
-    yield out(held, held[3] > 0)
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the shuffle, with their tags."""
-    squeeze = zstandard.ZstdCompressor(level=1)
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).slice(at, 256).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array([_tag(t) for t in texts], pa.int64()), pa.array([squeeze.compress(t) for t in texts], pa.binary())], ["id", "tag", "packed"])
-
-
-def _unpack(packed: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(packed).split()
-
-
-def _window_rows(window: int) -> Callable:
+def _window_rows(window: int, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
@@ -170,59 +251,74 @@ def _window_rows(window: int) -> Callable:
                     words = _unpack(packed)
                     values = _hashed(words, 0)
                     _, place = marks(values, window)
-                    at = np.flatnonzero(np.isin(place, np.array(places, np.int64)))
+                    at = np.flatnonzero(np.isin(place, _loosen(places, 1)[0]))
                     one = rolling(values, window, BASES[0])[at].view(np.int64)
-                    two = rolling(_hashed(words, 1), window, BASES[1])[at].view(np.int64)
-                    yield one, two, np.full(len(at), key, np.int64), at << 32 | tag
+                    two = (rolling(_hashed(words, 1), window, BASES[1])[at] >> np.uint64(32)).view(np.int64)
+                    yield one, two, np.full(len(at), key, np.int64), np.full(len(at), tag, np.int64), at
 
-        yield from _combined(rows(), ["one", "two", "id", "place"], 2)
+        yield from _combined(rows(), 2, buckets)
 
     return run
 
 
-def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of (one, two, id, place): those that an equal window comes before, by id or start."""
-    last, first = None, None
-    for b in batches:
-        one, two, key, place, known = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        if not len(one):
-            continue
-        start = place >> 32
-        leads = known < 2
-        idx = np.flatnonzero(leads)
-        late = ~leads
-        if len(idx):
-            a, c, d, s = one[idx], two[idx], key[idx], start[idx]
-            same = np.r_[last == (a[0], c[0]), (a[1:] == a[:-1]) & (c[1:] == c[:-1])]
-            begin = np.maximum.accumulate(np.where(~same, np.arange(len(idx)), -1))
-            fd = np.where(begin >= 0, d[begin], first[0] if first else 0)
-            fs = np.where(begin >= 0, s[begin], first[1] if first else 0)
-            late[idx] = (fd != d) | (fs != s)
-            last, first = (a[-1], c[-1]), (fd[-1], fs[-1])
-        yield b.filter(pa.array(late)).select(["id", "place"])
+def _pack(tagged: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts compressed for the shuffle, with their tags."""
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).slice(at, 256).to_pylist()]
+                tags = [_tag(t) if tagged else 0 for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(tags, pa.int64()), pa.array([squeeze.compress(t) for t in texts], pa.binary())], ["id", "tag", "packed"])
+
+    return run
+
+
+def _unpack(packed: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(packed).split()
+
+
+def _result(words: list[bytes], spans: list[tuple[int, int]], with_text: bool) -> tuple:
+    kept, at = [], 0
+    for x, y in spans:
+        kept += words[at:x]
+        at = y
+    kept += words[at:]
+    text = b" ".join(kept)
+    row = (len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), [v for span in spans for v in span])
+    return (*row, text.decode("utf-8", "replace")) if with_text else row
+
+
+def _fields(with_text: bool) -> str:
+    return "n_words bigint, n_removed bigint, kept_sha256 string, removed array<bigint>" + ", kept_text string" * with_text
 
 
 def _kept(window: int, with_text: bool) -> Callable:
-    """The result of each document: removal intervals are the unions of its late windows."""
+    """(id, packed, places) to the result: removal intervals are the unions of the late windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()][: 4 + with_text]
+        names = ["id", "n_words", "n_removed", "kept_sha256", "removed", "kept_text"][: 5 + with_text]
+        for b in batches:
+            out = [_result(_unpack(packed), intervals(_loosen(places, 1)[0] if places else np.empty(0, np.int64), window), with_text) for packed, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            cols = list(zip(*out, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
+
+    return run
+
+
+def _settle(with_text: bool) -> Callable:
+    """(id, tag, packed, places): what has no repeated mark gets its result at once and sheds its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()][: 4 + with_text]
+        names = ["id", "tag", "packed", "places", "n_words", "n_removed", "kept_sha256", "removed", "kept_text"][: 8 + with_text]
         for b in batches:
-            out = []
-            for packed, starts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = _unpack(packed)
-                spans = intervals(np.array(sorted(starts or []), np.int64), window)
-                kept, at = [], 0
-                for x, y in spans:
-                    kept += words[at:x]
-                    at = y
-                kept += words[at:]
-                text = b" ".join(kept)
-                row = (len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), [v for span in spans for v in span])
-                out.append((*row, text.decode("utf-8", "replace")) if with_text else row)
-            types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()][: 4 + with_text]
+            packed, places = b.column(2).to_pylist(), b.column(3).to_pylist()
+            out = [_result(_unpack(x), [], with_text) if y is None else (None,) * len(types) for x, y in zip(packed, places, strict=True)]
             cols = list(zip(*out, strict=True)) or [()] * len(types)
-            names = ["id", "n_words", "n_removed", "kept_sha256", "removed", "kept_text"]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names[: 5 + with_text])
+            text = pa.array([x if y is not None else None for x, y in zip(packed, places, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), text, b.column(3), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
     return run
 
@@ -242,25 +338,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window of `window` consecutive words covers it whose words also start earlier: in a smaller id, or earlier
     in the document. Windows are judged on the input. Null texts have no words, texts shorter than the window keep all;
     null ids are the smallest. Rows that repeat an id are told apart by their texts; equal ones are the same place, not an earlier
-    one. An empty table gives no rows; other columns are ignored. Windows are compared by 128 bits of hash.
+    one. An empty table gives no rows; other columns are ignored. Windows are compared by 96 bits of hash.
     """
     texts = docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.mapInArrow(_mark_rows(window), "part bigint, h bigint, id bigint, place bigint, known tinyint")
-    rows = rows.repartition("part").sortWithinPartitions("h").select("h", "id", "place", "known")
-    found = rows.mapInArrow(_repeated_marks, "id bigint, place bigint")
-    found = found.groupBy("id", (F.col("place").bitwiseAND(F.lit(0x7FFFFFFF))).alias("tag")).agg(F.collect_set(F.shiftright("place", 32)).alias("places"))
-
-    packed = texts.mapInArrow(_pack, "id bigint, tag bigint, packed binary")
-    joined = materialize(packed.join(found, ["id", "tag"], "left"), "marked-texts")
+    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets, parts = (max(least, -(-int(chars) // each)) for each in (CHARS, WINDOW_CHARS))
+    tagged = bool(texts.groupBy("id").count().where("count > 1").take(1))
+    found = _shuffled(texts.mapInArrow(_mark_rows(window, tagged, buckets), SENT), 1, False, buckets)
+
+    packed = texts.mapInArrow(_pack(tagged), "id bigint, tag bigint, packed binary")
+    fields = _fields(with_text)
+    joined = packed.join(found, ["id", "tag"], "left").mapInArrow(_settle(with_text), f"id bigint, tag bigint, packed binary, places binary, {fields}")
+    joined = materialize(joined, "marked-texts")
     some = joined.where("places is not null").select("id", "tag", "packed", "places")
-    rows = some.mapInArrow(_window_rows(window), "part bigint, one bigint, two bigint, id bigint, place bigint, known tinyint")
-    rows = rows.repartition("part").sortWithinPartitions("one", "two", "id", "place").select("one", "two", "id", "place", "known")
-    late = rows.mapInArrow(_later_windows, "id bigint, place bigint")
-    late = late.groupBy("id", (F.col("place").bitwiseAND(F.lit(0x7FFFFFFF))).alias("tag")).agg(F.collect_set(F.shiftright("place", 32)).alias("starts"))
-    out = "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, removed array<bigint>" + ", kept_text string" * with_text
-    again = some.select("id", "tag", "packed").join(late, ["id", "tag"], "left").select("id", "packed", "starts")
-    rest = joined.where("places is null").select("id", "packed", F.lit(None).cast("array<bigint>").alias("starts"))
-    return again.unionByName(rest).mapInArrow(_kept(window, with_text), out)
+    late = _shuffled(some.mapInArrow(_window_rows(window, parts), SENT), 2, True, parts)
+    again = some.select("id", "tag", "packed").join(late, ["id", "tag"], "left").select("id", "packed", "places")
+    done = joined.where("places is null").drop("tag", "packed", "places")
+    return again.mapInArrow(_kept(window, with_text), f"id bigint, {fields}").unionByName(done)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
