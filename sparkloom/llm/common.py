@@ -45,6 +45,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own(df: DataFrame) -> list:
+    """All columns of df by name, whatever signs are in it."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def id_key(id_col: str):
     """A bigint key that is never null."""
     return F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))

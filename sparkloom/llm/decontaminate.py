@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import without
 from .common import id_back, id_key, materialize, table
 
 #: Words in a shingle, and the containment from which on an item counts as found.
@@ -152,7 +153,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """The rows of docs, all columns, that contain no item. Rows that share an id with one that does go too; null ids count as one id."""
     found = find_contaminated(docs, items, id_col, text_col, **names)
     gone = materialize(found.select(F.col("id").alias("_sl_gone")).distinct(), "contaminated")
-    return docs.join(gone, id_key(id_col) == F.col("_sl_gone"), "left_anti")
+    return without(docs, id_key(id_col), gone, "_sl_gone")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

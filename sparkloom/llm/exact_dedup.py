@@ -5,52 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-
-#: Bits in a block of the filter, as many as bitmap_construct_agg() keeps in its 4 KiB.
-BLOCK = 32768
-#: Filter bits for each document, and the most blocks that are broadcast (32 MiB).
-BITS_EACH, MAX_BLOCKS = 16, 8192
-
+from . import bloom
+from .common import materialize, own, table
 
 def _sha(text_col: str) -> Column:
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
 
 
-def _slots(sha: str, blocks: int) -> list[Column]:
-    """The block of a text, and its two bit positions there."""
-    h = F.xxhash64(F.col(sha))
-    return [F.pmod(h, F.lit(blocks)), F.pmod(F.shiftrightunsigned(h, 17), F.lit(BLOCK)), F.pmod(F.xxhash64(F.col(sha), F.lit(1)), F.lit(BLOCK))]
-
-
-def repeat_filter(shas: DataFrame, sha: str = "text_sha256") -> tuple[DataFrame, int]:
-    """First pass: a blocked Bloom filter of the slots that two or more rows hit, one row a block.
-
-    A text that occurs twice hits both its slots twice, so that it always passes the filter. What is shuffled are
-    counts of slots, combined on the map side, never rows. The filter has at most MAX_BLOCKS blocks of 4 KiB, whatever the
-    input, which bounds the broadcast; beyond that load only more texts pass, and none is lost.
-    """
-    blocks = max(1, min(MAX_BLOCKS, -(-shas.count() * BITS_EACH // BLOCK)))
-    block, one, two = _slots(sha, blocks)
-    hits = shas.select(block.alias("block"), F.explode(F.array_distinct(F.array(one, two))).alias("slot"))
-    hits = hits.groupBy("block", "slot").count().where("count >= 2")
-    return hits.groupBy("block").agg(F.bitmap_construct_agg(F.col("slot")).alias("bits")), blocks
-
-
-def _bit(bits: Column, slot: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(slot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (slot % 8).cast("int")) == 1
-
-
-def possibly_repeated(df: DataFrame, filt: DataFrame, blocks: int, sha: str, flag: str) -> DataFrame:
-    """Second pass: df with a boolean column flag that is false only where the text surely occurs once."""
-    block, one, two = _slots(sha, blocks)
-    probe = filt.select(F.col("block").alias("_sl_block"), F.col("bits").alias("_sl_bits"))
-    hit = _bit(F.col("_sl_bits"), one) & _bit(F.col("_sl_bits"), two)
-    out = df.join(F.broadcast(probe), block == F.col("_sl_block"), "left")
-    return out.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_sl_block", "_sl_bits")
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -59,12 +20,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     digests = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_sl_row"), _sha(text_col).alias("text_sha256"))
     digests = materialize(digests, "digests")
-    filt, blocks = repeat_filter(digests)
-    flagged = possibly_repeated(digests, filt, blocks, "text_sha256", "_sl_maybe")
-    maybe = flagged.where("_sl_maybe")
+    n = digests.count()
+    blocks = bloom.blocks_for(n)
+    flagged = bloom.probe(digests, bloom.repeated(digests, "text_sha256", blocks), blocks, "text_sha256", "_sl_maybe")
+    maybe = materialize(flagged.where("_sl_maybe").drop("_sl_maybe"), "possibly-repeated")
     groups = maybe.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "_sl_row")).alias("best"), F.count("*").alias("group_size"))
+    groups = materialize(groups, "groups")
     out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    shared = maybe.join(groups, "text_sha256").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("_sl_row") == F.col("best._sl_row")).alias("kept"), "text_sha256")
+    told = lambda df: df.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("_sl_row") == F.col("best._sl_row")).alias("kept"), "text_sha256")
+    shared = told(maybe.join(groups, "text_sha256"))
     single = flagged.where("not _sl_maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return shared.select(*out).unionByName(single.select(*out))
 
@@ -76,13 +40,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     not shuffled; the others combine on the map side, so that a text with any number of copies sends one row a task.
     """
     keyed = docs.withColumn("_sl_sha", _sha(text_col))
-    filt, blocks = repeat_filter(materialize(keyed.select(F.col("_sl_sha").alias("text_sha256")), "digests"))
-    filt = materialize(filt, "filter")
-    flagged = possibly_repeated(keyed, filt, blocks, "_sl_sha", "_sl_maybe")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    shas = materialize(keyed.select("_sl_sha"), "digests")
+    blocks = bloom.blocks_for(shas.count())
+    filt = materialize(bloom.repeated(shas, "_sl_sha", blocks), "filter")
+    flagged = bloom.probe(keyed, filt, blocks, "_sl_sha", "_sl_maybe")
+    row = F.struct(*own(docs))
     tie = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
     best = flagged.where("_sl_maybe").groupBy("_sl_sha").agg(F.max_by(row, F.struct(F.col(id_col), tie)).alias("_sl_row"))
-    return flagged.where("not _sl_maybe").select(*docs.columns).unionByName(best.select("_sl_row.*"))
+    return flagged.where("not _sl_maybe").select(*own(docs)).unionByName(best.select("_sl_row.*"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

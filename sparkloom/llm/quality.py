@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import NULL_ID, id_back, id_key, materialize, table
+from .common import id_back, id_key, materialize, own, table
 
 #: Most labelled rows that the document classifier is fitted on: those with the least hashes of their ids.
 LABELLED = 20_000
@@ -20,6 +21,8 @@ LABELLED = 20_000
 KEEP = 0.5
 #: Penalty of the logistic regression's squared weights, and its Newton steps.
 PENALTY, STEPS = 1.0, 25
+#: Most sites, of about a hundred bytes, that are broadcast.
+SITES = 500_000
 _SYMBOLS = b"#$%&*+/<=>@[\\]^_`{|}~!"
 _DIGITS = b"0123456789"
 _LINE = re.compile(r"[^\n]+")
@@ -49,6 +52,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rows, pa.list_(pa.float64()))], ["id", "host", "path", "x"])
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _features_of(texts: pa.Array) -> pa.Array:
+    return pa.array([features(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+
+
 class Logistic:
     """Logistic regression on standardised features by Newton's method."""
 
@@ -92,7 +100,54 @@ def _strength(mean: Column, prior: Column, n: Column) -> Column:
     return F.least(F.greatest(F.coalesce(F.avg(prior * (1 - prior)) / F.greatest(spread, F.lit(1e-6)) - 1, F.lit(1.0)), F.lit(1.0)), F.lit(1e4))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED) -> DataFrame:
+class Sites:
+    """What the corpus says about hosts and paths: the fitted model, the global mean, prior strengths and a table of sums by site."""
+
+    def __init__(self, model: Logistic, scored: DataFrame):
+        """scored: host, path and p, the document classifier's probability, of every row, written already."""
+        self.model = model
+        paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
+        hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
+        mean = hosts.agg(F.sum("host_s") / F.sum("host_n")).first()[0]
+        self.mean = min(max(0.5 if mean is None else float(mean), 1e-4), 1 - 1e-4)
+        g = F.lit(self.mean)
+        self.k1 = float(hosts.agg(_strength(F.col("host_s") / F.col("host_n"), g, F.col("host_n"))).first()[0])
+        both = paths.join(hosts, "host").withColumn("mu", (F.col("host_s") + self.k1 * g) / (F.col("host_n") + self.k1))
+        self.table = materialize(both.select(F.col("host").alias("_sl_h"), F.col("path").alias("_sl_q"), "n", "s", "host_n", "host_s", "mu"), "sites")
+        self.k2 = float(self.table.agg(_strength(F.col("s") / F.col("n"), F.col("mu"), F.col("n"))).first()[0])
+        self.small = self.table.count() <= SITES
+
+    def judged(self, df: DataFrame, host: Column, path: Column, z: Column) -> DataFrame:
+        """df with _sl_p_doc, _sl_p_host, _sl_p_path and _sl_posterior. Sites are broadcast while there are at most SITES of them; beyond, the planner
+        joins them by host and path, and adaptive execution splits hot ones."""
+        sums = {c: F.col(f"_sl_{c}") for c in ("n", "s", "host_n", "host_s", "z", "p_doc", "p_host", "p_path")}
+        sites = self.table.select("_sl_h", "_sl_q", *[F.col(c).alias(f"_sl_{c}") for c in ("n", "s", "host_n", "host_s")])
+        rows = df.withColumn("_sl_z", z).withColumn("_sl_host", host).withColumn("_sl_path", path)
+        out = rows.join(F.broadcast(sites) if self.small else sites, (F.col("_sl_host") == F.col("_sl_h")) & (F.col("_sl_path") == F.col("_sl_q")))
+        bound = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
+        out = out.withColumn("_sl_p_doc", 1 / (1 + F.exp(-sums["z"])))
+        out = out.withColumn("_sl_p_host", bound((sums["host_s"] - sums["p_doc"] + self.k1 * self.mean) / (sums["host_n"] - 1 + self.k1)))
+        out = out.withColumn("_sl_p_path", bound((sums["s"] - sums["p_doc"] + self.k2 * sums["p_host"]) / (sums["n"] - 1 + self.k2)))
+        return out.withColumn("_sl_posterior", 1 / (1 + F.exp(-(sums["z"] + _odds(sums["p_path"]) - _odds(F.lit(self.mean))))))
+
+
+def _site(column: Column) -> Column:
+    return F.coalesce(column.cast("string"), F.lit(""))
+
+
+def study(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED) -> tuple[Sites, DataFrame]:
+    """The sites of a corpus, and (id, host, path, x) of every row."""
+    rows = docs.select(id_key(id_col).alias("id"), _site(host).alias("host"), _site(path).alias("path"), F.col(text_col).cast("string").alias("text"))
+    found = materialize(rows.mapInArrow(_features, "id bigint, host string, path string, x array<double>"), "features")
+    marked = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
+    sample = found.join(marked, "id").select("x", "y", F.xxhash64("id").alias("order"), "id").orderBy("order", "id", "y", F.xxhash64("x")).limit(labelled).toPandas()
+    x = np.array(sample["x"].tolist(), float).reshape(len(sample), len(FEATURES))
+    model = Logistic(x, (sample["y"].to_numpy(float) > 0).astype(float))
+    scored = found.select("host", "path", (1 / (1 + F.exp(-model.column("x")))).alias("p"))
+    return Sites(model, materialize(scored, "scores")), found
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, host: Column, path: Column, **names) -> DataFrame:
     """Per row: id (key), p_doc, p_host, p_path, posterior and kept.
 
     p_doc is the document classifier's probability, fitted on at most `labelled` labelled rows (join on id). Hosts, and paths
@@ -102,42 +157,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column, path: Colum
     without usable labels p_doc is the rate of the labels, smoothed. Labels that repeat an id count each; rows
     that repeat an id are scored each. Empty tables give no rows; other columns are ignored.
     """
-    rows = docs.select(id_key(id_col).alias("id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(rows.mapInArrow(_features, "id bigint, host string, path string, x array<double>"), "features")
-    marked = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
-    sample = found.join(marked, "id").select("x", "y", F.xxhash64("id").alias("order"), "id").orderBy("order", "id", "y", F.xxhash64("x")).limit(labelled).toPandas()
-    x = np.array(sample["x"].tolist(), float).reshape(len(sample), len(FEATURES))
-    model = Logistic(x, (sample["y"].to_numpy(float) > 0).astype(float))
-    return site_posteriors(found.select("id", "host", "path", model.column("x").alias("z")))
-
-
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """id, host, path and z, the document classifier's log-odds, to posteriors. See quality_scores()."""
-    scored = materialize(scored.withColumn("p", 1 / (1 + F.exp(-F.col("z")))), "scores")
-    paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-    total = hosts.agg(F.coalesce(F.sum("host_s") / F.sum("host_n"), F.lit(0.5)).alias("g")).select(F.least(F.greatest("g", F.lit(1e-4)), F.lit(1 - 1e-4))).first()[0]
-    g = F.lit(float(total))
-    k1 = float(hosts.agg(_strength(F.col("host_s") / F.col("host_n"), g, F.col("host_n"))).first()[0])
-    hosts = hosts.withColumn("mu", (F.col("host_s") + k1 * g) / (F.col("host_n") + k1))
-    both = materialize(paths.join(hosts, "host"), "sites")
-    k2 = float(both.agg(_strength(F.col("s") / F.col("n"), F.col("mu"), F.col("n"))).first()[0])
-    # Sites are joined by host and path; adaptive execution broadcasts them while they are small and splits hot ones.
-    sites = both.select(F.col("host").alias("h"), F.col("path").alias("q"), "n", "s", "host_n", "host_s")
-    out = scored.join(sites, (F.col("host") == F.col("h")) & (F.col("path") == F.col("q")))
-    p_host = (F.col("host_s") - F.col("p") + k1 * g) / (F.col("host_n") - 1 + k1)
-    p_path = (F.col("s") - F.col("p") + k2 * F.col("p_host")) / (F.col("n") - 1 + k2)
-    bound = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
-    out = out.withColumn("p_host", bound(p_host)).withColumn("p_path", bound(p_path))
-    out = out.withColumn("posterior", 1 / (1 + F.exp(-(F.col("z") + _odds(F.col("p_path")) - _odds(g)))))
-    return out.select("id", F.col("p").alias("p_doc"), "p_host", "p_path", "posterior", (F.col("posterior") >= KEEP).alias("kept"))
-
-
-def quality_filter(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", **names) -> DataFrame:
-    """The rows of docs, all columns, that the classifier keeps. Rows that share an id (null: one id) go if all of them are rejected."""
-    scores = materialize(quality_scores(docs, labels, host, path, id_col, **names).select("id", "kept"), "quality")
-    gone = scores.groupBy("id").agg(F.max("kept").alias("any")).where("not any").select(F.col("id").alias("_sl_gone"))
-    return docs.join(gone, id_key(id_col) == F.col("_sl_gone"), "left_anti")
+    sites, found = study(docs, labels, host, path, **names)
+    out = sites.judged(found, F.col("host"), F.col("path"), sites.model.column("x"))
+    return out.select("id", *[F.col(f"_sl_{c}").alias(c) for c in ("p_doc", "p_host", "p_path", "posterior")], (F.col("_sl_posterior") >= KEEP).alias("kept"))
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text_col: str = "text", **names) -> DataFrame:
+    """The rows of docs, all columns, that the classifier keeps; each row on its own, ids may repeat or be null.
+
+    Two narrow passes over the texts: the first for the corpus' sites, the second decides, with features computed anew, so that no text is
+    shuffled.
+    """
+    sites, _ = study(docs, labels, host, path, text_col=text_col, **names)
+    found = docs.withColumn("_sl_x", _features_of(F.col(text_col).cast("string")))
+    out = sites.judged(found, _site(host), _site(path), sites.model.column("_sl_x"))
+    return out.where(F.col("_sl_posterior") >= KEEP).select(*own(docs))
 
 
 def site_columns() -> tuple[Column, Column]:
@@ -149,6 +183,3 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), *site_columns())
     digits = [F.round(c, 6).alias(c) for c in ("p_doc", "p_host", "p_path", "posterior")]
     return scores.select(id_back("id").alias("doc_id"), *digits, "kept")
-
-
-__all__ = ["FEATURES", "NULL_ID", "Logistic", "features", "op7_quality", "quality_filter", "quality_scores", "site_columns", "site_posteriors"]

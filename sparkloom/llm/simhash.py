@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import without
 from .common import id_back, id_key, local_components, materialize, table
 from .components import connected_components
 
@@ -235,7 +236,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs, all columns, whose id is the smallest of its group of near copies."""
     groups = near_groups(docs, id_col, text_col)
     gone = materialize(groups.where("id != component").select(F.col("id").alias("_sl_gone")), "near-copies")
-    return docs.join(gone, id_key(id_col) == F.col("_sl_gone"), "left_anti")
+    return without(docs, id_key(id_col), gone, "_sl_gone")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
