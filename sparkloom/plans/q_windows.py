@@ -46,7 +46,8 @@ def position_recency(spark, sf_dir):
     return out.withColumn("position", F.round("position", 6))
 
 
-_BODY = F.concat_ws("|", F.col("turn").cast("string"), "role", "text")
+def _body():
+    return F.concat_ws("|", F.col("turn").cast("string"), "role", "text")
 
 
 @query("""WITH RECURSIVE c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
@@ -55,17 +56,17 @@ UNION ALL SELECT c.conv_id, c.turn, c.i, chain.event_hash, sha256(chain.event_ha
 SELECT conv_id, turn, previous_hash, event_hash FROM chain""")
 def hash_chain(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return windows.chained(c, ["conv_id"], ["turn"], _BODY).select("conv_id", "turn", "previous_hash", "event_hash")
+    return windows.chained(c, ["conv_id"], ["turn"], _body()).select("conv_id", "turn", "previous_hash", "event_hash")
 
 
 @query("SELECT conv_id, count(*) AS n_rows, max(turn) - min(turn) + 1 = count(*) AND conv_id % 5 <> 0 AS valid FROM conversations GROUP BY conv_id")
 def chain_verify(spark, sf_dir):
     """Chains, those of every fifth conversation tampered with at their first row."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    chained = windows.chained(c, ["conv_id"], ["turn"], _BODY)
+    chained = windows.chained(c, ["conv_id"], ["turn"], _body())
     least = chained.groupBy("conv_id").agg(F.min("turn").alias("t0"))
     bad = chained.join(least, "conv_id").withColumn("role", F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == F.col("t0")), "forged").otherwise(F.col("role")))
-    return windows.verify_chain(bad, ["conv_id"], "turn", _BODY).select("conv_id", "n_rows", "valid")
+    return windows.verify_chain(bad, ["conv_id"], "turn", _body()).select("conv_id", "n_rows", "valid")
 
 
 @query("SELECT conv_id, count(*) AS segments, true AS contiguous FROM conversations GROUP BY conv_id")
