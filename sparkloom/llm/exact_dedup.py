@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import bloom
 from .common import materialize, own, table
 
+#: A text is hot from this many copies on, or from this share of the rows where that is more: so there are at most 1 / HOT_SHARE hot texts.
+HOT, HOT_SHARE = 1000, 1e-5
+
+
 def _sha(text_col: str) -> Column:
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
 
@@ -28,7 +32,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = materialize(groups, "groups")
     out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     told = lambda df: df.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("_sl_row") == F.col("best._sl_row")).alias("kept"), "text_sha256")
-    shared = told(maybe.join(groups, "text_sha256"))
+    # Hot groups, which are few, meet their rows by broadcast; the rows of the others are shuffled, no key with more than a bounded share of them.
+    hot = groups.where(F.col("group_size") >= max(HOT, int(n * HOT_SHARE)))
+    few = told(maybe.join(F.broadcast(hot), "text_sha256"))
+    rest = maybe.join(F.broadcast(hot), "text_sha256", "left_anti")
+    shared = few.unionByName(told(rest.join(groups, "text_sha256")))
     single = flagged.where("not _sl_maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return shared.select(*out).unionByName(single.select(*out))
 
