@@ -24,6 +24,8 @@ THRESHOLD = 2
 SHINGLE, SEED = 3, 42
 #: Most home fingerprints of an anchor that one task holds; anchors with more are salted.
 MAX_HOMES = 20_000
+#: Fingerprints that one task copies to their anchors.
+SPREAD = 100_000
 #: Pairs compared at once, and links kept before they are merged into a forest.
 PAIRS, LINKS = 1 << 21, 1 << 20
 
@@ -208,7 +210,9 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """
     homes = distinct.mapInArrow(_homes, "key bigint").groupBy("key").count()
     hot = materialize(homes.where(F.col("count") > MAX_HOMES).select("key", F.ceil(F.col("count") / MAX_HOMES).cast("int").alias("salts")), "hot-anchors")
-    copies = distinct.mapInArrow(_copies, "key bigint, fp bigint, visit tinyint")
+    # Each row becomes about 61, so that tasks take a bounded number of them.
+    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // SPREAD))
+    copies = distinct.repartition(tasks).mapInArrow(_copies, "key bigint, fp bigint, visit tinyint")
     spread = copies.join(hot, "key", "left") if hot.take(1) else copies.withColumn("salts", F.lit(None).cast("int"))
     own = F.when(F.col("salts").isNull(), F.array(F.lit(0)))
     one = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
