@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +24,19 @@ from .common import id_back, id_key, materialize, scratch_path, table
 
 BLOCK, MAGIC, TRAILER = 1 << 16, b"SLBITS01", struct.Struct("<IIQQQ8s")
 #: Most pieces whose ids a worker remembers.
-MEMORY = 500_000
+MEMORY = 1_000_000
+#: Texts, and their code points at most, that are cut into words at once.
+BATCH, AT_ONCE = 4096, 1 << 24
 _PIECES: dict[str, dict[str, bytes]] = {}
 _TOKENIZERS: dict[str, object] = {}
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
+_OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+
+
+def _unsafe(text: str) -> bool:
+    """Whether a space isn't between two characters other than white space."""
+    return text[0] == " " or text[-1] == " " or "  " in text or any(c in text and (f" {c}" in text or f"{c} " in text) for c in _OTHER_SPACES)
+
+
 
 
 def bits_for(vocabulary: int) -> int:
@@ -121,30 +131,96 @@ def tokenizer(path: str):
 
         _TOKENIZERS[path] = Tokenizer.from_file(path)
         _TOKENIZERS[path].encode_special_tokens = True  # their strings in a text are ordinary text
+        model = _TOKENIZERS[path].model
+        getattr(model, "_resize_cache", lambda _: None)(0)  # words are remembered here
+        _TOKENIZERS[path].model = model
     return _TOKENIZERS[path]
 
 
-def token_bytes(text: str | None, path: str) -> bytes:
-    """The text's ids as little-endian uint32, by the tokenizers library.
+def _encode_words(words: list[str], path: str, each: int = 2000) -> dict[str, bytes]:
+    """The ids of " " + word for words without a space inside, many from one text: a token that begins with a space begins a word."""
+    texts = [" " + " ".join(words[i : i + each]) for i in range(0, len(words), each)]
+    ids = np.concatenate([np.array(e.ids, "<u4") for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)])
+    starts = (np.flatnonzero(_spaced(path)[ids]) * 4).tolist()
+    if len(starts) != len(words):
+        raise ValueError("words and tokens don't agree")
+    data = ids.tobytes()
+    return {w: data[i:j] for w, i, j in zip(words, starts, [*starts[1:], len(data)], strict=True)}
 
-    Byte-level pre-splitting never joins characters across a space between two that aren't white space, so each such piece is
-    encoded on its own and remembered.
-    """
-    text = text or ""
-    words = text.split(" ")
-    if all(w and not w[0].isspace() and not w[-1].isspace() for w in words):
-        pieces = [words[0], *[" " + w for w in words[1:]]]
-    else:
-        pieces = _SAFE.split(text) if text else []
+
+def _spaced(path: str) -> np.ndarray:
+    """Which ids begin with a space, in the byte-level alphabet."""
+    key = f"{path} spaced"
+    if key not in _TOKENIZERS:
+        vocab = tokenizer(path).get_vocab()
+        flags = np.zeros(max(vocab.values()) + 1, bool)
+        flags[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        _TOKENIZERS[key] = flags
+    return _TOKENIZERS[key]
+
+
+def _whole(texts: list[str], path: str) -> list[bytes]:
+    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+
+def _remembered(words: list[str], path: str) -> list[bytes]:
+    """The ids of " " + word of each of some different words."""
     known = _PIECES.setdefault(path, {})
-    try:
-        return b"".join([known[p] for p in pieces])
-    except KeyError:
-        if len(known) > MEMORY:
-            known.clear()
-        new = list({p for p in pieces if p not in known})
-        known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return b"".join([known[p] for p in pieces])
+    if len(known) > MEMORY:
+        known.clear()
+    parts = list(map(known.get, words))
+    missing, at = [], -1
+    for _ in range(parts.count(None)):
+        missing.append(at := parts.index(None, at + 1))
+    if missing:
+        new = {words[i] for i in missing}
+        # A stop or comma after a letter at a word's end is a match of its own.
+        ended = {w for w in new if w[-1] in ".," and w[-2:-1].isalpha()}
+        if plain := new - ended | {w[:-1] for w in ended}.difference(known):
+            known.update(_encode_words(list(plain), path))
+        if ended:
+            stop = dict(zip(".,", _whole([".", ","], path), strict=True))
+            known.update([(w, known[w[:-1]] + stop[w[-1]]) for w in ended])
+        for i in missing:
+            parts[i] = known[words[i]]
+    return parts
+
+
+def _regular(texts: list[str], path: str) -> list[bytes]:
+    """Texts in which each space is between two characters other than white space. Arrow cuts them into words and numbers the different
+    ones; only those meet Python, and the ids are gathered by their numbers."""
+    if sum(map(len, texts)) > AT_ONCE and len(texts) > 1:
+        half = len(texts) // 2
+        return _regular(texts[:half], path) + _regular(texts[half:], path)
+    if not texts:
+        return []
+    split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    offsets = split.offsets.to_numpy()
+    numbered = split.values.dictionary_encode()
+    at, words = numbered.indices.to_numpy().copy(), numbered.dictionary.to_pylist()
+    parts = _remembered(words, path) + _whole([words[i] for i in at[offsets[:-1]]], path)
+    at[offsets[:-1]] = len(words) + np.arange(len(texts), dtype=np.int32)  # what a text begins with has no space
+    size = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+    flat = np.frombuffer(b"".join(parts), "<u4")
+    n = size[at]
+    ends = np.cumsum(n, dtype=np.int32)
+    place = np.repeat((np.cumsum(size, dtype=np.int32) - size)[at] - ends + n, n)
+    place += np.arange(len(place), dtype=np.int32)
+    ids = flat[place]
+    cuts = [0, *ends[offsets[1:] - 1].tolist()]
+    return [ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
+    """Each text's ids as little-endian uint32, by the tokenizers library.
+
+    Byte-level pre-splitting never joins characters across a space between two that aren't white space, so what follows such a space is
+    encoded once and remembered: a word stands for the space and itself. Texts with other spaces are encoded as they are.
+    """
+    odd = [bool(t) and _unsafe(t) for t in texts]
+    regular = iter(_regular([t for t, o in zip(texts, odd, strict=True) if t and not o], path))
+    whole = iter(_whole([t for t, o in zip(texts, odd, strict=True) if o], path))
+    return [b"" if not t else next(whole) if o else next(regular) for t, o in zip(texts, odd, strict=True)]
 
 
 def open_folder(uri: str):
@@ -163,11 +239,13 @@ def _writer(folder: str, path: str, end_id: int, bits: int) -> Callable:
         name, own = f"{root}/part-{part:06d}.bits", f"{root}/_{part:06d}-{uuid.uuid4().hex}"
         end, writer, sink = np.array([end_id], "<u4").tobytes(), None, None
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for at in range(0, b.num_rows, BATCH):
                 if writer is None:
                     files.create_dir(root, recursive=True)
                     writer = ShardWriter(sink := files.open_output_stream(own), bits)
-                writer.add(key, np.frombuffer(token_bytes(text, path) + end, "<u4"))
+                keys, texts = (b.column(i).slice(at, BATCH).to_pylist() for i in (0, 1))
+                for key, ids in zip(keys, token_bytes(texts, path), strict=True):
+                    writer.add(key, np.frombuffer(ids + end, "<u4"))
         if writer is not None:
             writer.close()
             sink.close()
@@ -209,7 +287,8 @@ def read_packed(manifest: DataFrame, folder: str) -> DataFrame:
     """Per document, from the files: id, start, n_tokens, ids_crc32. The window runs over one row a shard."""
     before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     shards = materialize(manifest.select("shard", F.coalesce(before, F.lit(0)).alias("base")), "shards")
-    return shards.repartition("shard").mapInArrow(_reader(folder), "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # As many tasks as files, however small their list is.
+    return shards.repartition(max(1, shards.count())).mapInArrow(_reader(folder), "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op4_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
