@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,10 +29,10 @@ def symbol_seeds(spark, sf_dir):
     return found.agg(F.count("*").alias("n"), F.max("seed_score").alias("best"))
 
 
-@query("SELECT e.event_id, CASE WHEN n = 1 THEN path END AS target_path FROM (SELECT event_id, 'c' || CAST(user_id % 40 AS VARCHAR) AS target FROM events) e LEFT JOIN (SELECT 'c' || CAST(c_custkey % 60 AS VARCHAR) AS q, count(DISTINCT c_nationkey) AS n, CAST(min(c_nationkey) AS VARCHAR) AS path FROM customer WHERE c_custkey < 65 GROUP BY 1) s ON q = target")
+@query("SELECT e.event_id, CASE WHEN n = 1 THEN path END AS target_path FROM (SELECT event_id, 'c' || CAST(user_id AS VARCHAR) AS target FROM events) e LEFT JOIN (SELECT 'c' || CAST(c_custkey % 100 AS VARCHAR) AS q, count(DISTINCT c_nationkey) AS n, CAST(min(c_nationkey) AS VARCHAR) AS path FROM customer GROUP BY 1) s ON q = target")
 def edge_resolution(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("c"), F.col("user_id") % 40).alias("target"))
-    s = table(spark, sf_dir, "customer").where("c_custkey < 65").select(F.concat(F.lit("c"), F.col("c_custkey") % 60).alias("qualified_name"), F.col("c_nationkey").cast("string").alias("path"))
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("c"), "user_id").alias("target"))
+    s = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey") % 100).alias("qualified_name"), F.col("c_nationkey").cast("string").alias("path"))
     return symbols.resolve(e, s).select("event_id", "target_path")
 
 
@@ -74,12 +75,12 @@ def anti_patterns(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id AS seed, event_id AS event FROM events WHERE user_id < 5")
+@query("SELECT user_id AS seed, event_id AS event FROM events")
 def summary_expansion(spark, sf_dir):
     """A tree of summaries over users' events: root, one node a user, events below."""
-    e = table(spark, sf_dir, "events").where("user_id < 5")
-    parents = e.select(F.col("user_id").alias("summary"), (F.col("user_id") + 1000).alias("parent")).distinct()
-    sources = e.groupBy((F.col("user_id") + 1000).alias("summary")).agg(F.collect_list("event_id").alias("events"))
+    e = table(spark, sf_dir, "events")
+    parents = e.select(F.col("user_id").alias("summary"), (-1 - F.col("user_id")).alias("parent")).distinct()
+    sources = e.groupBy((-1 - F.col("user_id")).alias("summary")).agg(F.collect_list("event_id").alias("events"))
     return symbols.expand_summaries(parents, sources, e.select(F.col("user_id").alias("node")).distinct())
 
 
@@ -111,10 +112,9 @@ def command_views(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *sizes)
 
 
-@query("SELECT doc_id, file, count(*) AS n FROM (SELECT doc_id, CASE WHEN contains(l, ':') THEN split_part(l, ':', 1) ELSE l END AS file FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE n_chars < 2000) WHERE trim(l) <> '') GROUP BY ALL")
+@query("SELECT doc_id, file, count(*) AS n FROM (SELECT doc_id, CASE WHEN contains(l, ':') THEN split_part(l, ':', 1) ELSE l END AS file FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> '') GROUP BY ALL")
 def search_groups(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("n_chars < 2000")
-    return compact.search_groups(d, "doc_id", "text", groups=100_000).select("doc_id", "file", "n")
+    return compact.search_groups(table(spark, sf_dir, "documents"), "doc_id", "text", groups=1_000_000).select("doc_id", "file", "n")
 
 
 @query()
@@ -183,12 +183,12 @@ def garbage_collection(spark, sf_dir):
     return context.collectable(d, ["doc_id"], "n_chars", "doc_id", F.col("doc_id") % 3 == 0, 100_000)
 
 
-@query("SELECT conv_id, turn, false AS is_delta, sha256(text) AS body_sha256 FROM conversations WHERE turn = 0")
+@query()
 def context_deltas(spark, sf_dir):
-    """A first text has nothing to differ from."""
-    c = table(spark, sf_dir, "conversations").where("turn = 0").withColumn("before", F.lit(""))
-    out = context.deltas(c.select("conv_id", "before", "text"), "conv_id", "before", "text")
-    return out.select("conv_id", F.lit(0).cast("bigint").alias("turn"), "is_delta", F.sha2("body", 256).alias("body_sha256"))
+    """Each turn against the one before."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), before.alias("before"), "text")
+    return context.deltas(c, "id", "before", "text").select("id", "is_delta", F.sha2("body", 256).alias("body_sha256"))
 
 
 @query()
@@ -221,10 +221,9 @@ def language_detect(spark, sf_dir):
     return p.select("p_partkey", by.language(path, F.lit("")).alias("language"))
 
 
-@query("SELECT doc_id, lower(text) = text AS is_lower FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query()
 def normalised_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.col("lang") == "en").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return d.select("doc_id", (by.folded(F.col("text")) == F.col("text")).alias("is_lower"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(by.folded(F.col("text")), 256).alias("folded_sha256"))
 
 
 @query("SELECT doc_id, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) > 10000 OR (len(string_split(text, chr(10))) < 8 AND list_sum(list_transform(string_split(text, chr(10)), lambda x: length(x))) / len(string_split(text, chr(10))) > 1500) AS minified FROM documents")
@@ -259,13 +258,12 @@ def function_map(spark, sf_dir):
     return known.map(known.filter(e, "even", "event_id"), "twice", "event_id", "y")
 
 
-@query("SELECT doc_id, sha256(text) AS root FROM documents WHERE strlen(text) <= 64 AND length(text) > 0 AND NOT contains(text, chr(10))")
+@query("SELECT doc_id, sha256(text) AS root FROM documents WHERE length(text) > 0")
 def reversible_chunks(spark, sf_dir):
     """Segments by content, put together again."""
-    d = table(spark, sf_dir, "documents").where("octet_length(text) <= 64 and length(text) > 0 and instr(text, chr(10)) = 0")
-    s = views.segments(d, "doc_id", "text", 4096)
-    whole = s.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "body"))), lambda x: x["body"]), "").alias("t"))
-    return whole.select("doc_id", F.sha2("t", 256).alias("root"))
+    s = views.segments(table(spark, sf_dir, "documents"), "doc_id", "text", 4096).select("doc_id", "segment", F.hex("raw").alias("h"))
+    whole = s.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "h"))), lambda x: x["h"]), "").alias("t"))
+    return whole.select("doc_id", F.sha2(F.unhex("t"), 256).alias("root"))
 
 
 @query("SELECT n_nationkey, n_name FROM nation")

@@ -8,13 +8,13 @@ from ..operators import graph
 from ..sources.tables import table
 from .registry import query
 
-#: A directed graph of 100 nodes: a line item points from its part's residue to its supplier's.
-_EDGES = "SELECT DISTINCT l_partkey % 100 AS src, (l_suppkey * 7 + l_linenumber) % 100 AS dst FROM lineitem WHERE l_quantity >= 50 AND l_discount > 0.08"
+#: Parts (even nodes) and suppliers (odd ones): goods go from a supplier to a part, returned ones back.
+_EDGES = "SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 2 * l_partkey ELSE 2 * l_suppkey + 1 END AS src, CASE WHEN l_returnflag = 'R' THEN 2 * l_suppkey + 1 ELSE 2 * l_partkey END AS dst FROM lineitem"
 
 
 def _edges(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount > 0.08")
-    return li.select((F.col("l_partkey") % 100).alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 100).alias("dst")).distinct()
+    back, part, supplier = F.col("l_returnflag") == "R", 2 * F.col("l_partkey"), 2 * F.col("l_suppkey") + 1
+    return table(spark, sf_dir, "lineitem").select(F.when(back, part).otherwise(supplier).alias("src"), F.when(back, supplier).otherwise(part).alias("dst")).distinct()
 
 
 def _seed(spark, *nodes):
@@ -44,10 +44,10 @@ def reverse_impact(spark, sf_dir):
     return graph.reach(_edges(spark, sf_dir), _seed(spark, 3), 4, reverse=True)
 
 
-@query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT CAST(3 AS BIGINT) AS node, 0 AS depth UNION SELECT e.src, depth + 1 FROM r JOIN e ON e.dst = node WHERE depth < 4), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node) SELECT node % 10 AS path, min(depth) AS depth, count(*) AS symbols FROM m GROUP BY node % 10")
+@query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT CAST(3 AS BIGINT) AS node, 0 AS depth UNION SELECT e.src, depth + 1 FROM r JOIN e ON e.dst = node WHERE depth < 4), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node) SELECT node % 2 AS path, min(depth) AS depth, count(*) AS symbols FROM m GROUP BY node % 2")
 def blast_radius(spark, sf_dir):
     found = graph.reach(_edges(spark, sf_dir), _seed(spark, 3), 4, reverse=True)
-    return found.groupBy((F.col("node") % 10).alias("path")).agg(F.min("depth").alias("depth"), F.count("*").alias("symbols"))
+    return found.groupBy((F.col("node") % 2).alias("path")).agg(F.min("depth").alias("depth"), F.count("*").alias("symbols"))
 
 
 @query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT CAST(3 AS BIGINT) AS seed, CAST(3 AS BIGINT) AS node UNION SELECT 7, 7 UNION SELECT seed, e.dst FROM r JOIN e ON e.src = node) SELECT seed, node FROM r")
@@ -60,7 +60,7 @@ def two_cycles(spark, sf_dir):
     return graph.two_cycles(_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, e.dst FROM r JOIN e ON e.src = b) SELECT x.a AS node, least(x.a, min(y.b)) AS component FROM (SELECT a FROM r WHERE a = b) x JOIN r y ON y.a = x.a JOIN r z ON z.a = y.b AND z.b = x.a GROUP BY x.a")
+@query()
 def strong_components(spark, sf_dir):
     return graph.cycles(_edges(spark, sf_dir))
 
@@ -83,10 +83,12 @@ def personalized_pagerank(spark, sf_dir):
     return graph.personalized_pagerank(e, _seed(spark, 3, 7).withColumn("weight", F.lit(1.0)), rounds=16).withColumn("rank", F.round("rank", 6))
 
 
-@query(f"WITH e AS ({_EDGES}) SELECT p_partkey AS node FROM part WHERE p_partkey < 100 AND p_size > 5 AND p_partkey NOT IN (SELECT dst FROM e)")
+@query("SELECT 2 * p_partkey AS node FROM part WHERE p_size > 5 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
 def dead_code(spark, sf_dir):
-    nodes = table(spark, sf_dir, "part").where("p_partkey < 100").select(F.col("p_partkey").alias("node"), "p_size")
-    return graph.unreferenced(nodes, _edges(spark, sf_dir), "p_size <= 5").select("node")
+    """Parts that no large line points at."""
+    calls = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select((2 * F.col("l_partkey")).alias("dst"))
+    nodes = table(spark, sf_dir, "part").select((2 * F.col("p_partkey")).alias("node"), "p_size")
+    return graph.unreferenced(nodes, calls, "p_size <= 5").select("node")
 
 
 @query(f"WITH e AS ({_EDGES}) SELECT src AS node, dst AS neighbour FROM e WHERE src = 3 UNION SELECT dst, src FROM e WHERE dst = 3")
@@ -95,11 +97,11 @@ def neighbours(spark, sf_dir):
     return e.where("src = 3").select(F.col("src").alias("node"), F.col("dst").alias("neighbour")).union(e.where("dst = 3").select("dst", "src")).distinct()
 
 
-@query("WITH RECURSIVE l AS (SELECT event_id, event_id AS root, 0 AS hops FROM events WHERE event_id % 64 = 0 UNION ALL SELECT e.event_id, l.root, hops + 1 FROM l JOIN events e ON e.event_id = l.event_id + 1 AND e.event_id % 64 <> 0 AND hops < 5) SELECT root, count(*) AS n, max(hops) AS hops FROM l GROUP BY root")
+@query("WITH RECURSIVE l AS (SELECT event_id, event_id AS root, 0 AS hops FROM events WHERE event_id % 8 = 0 UNION ALL SELECT e.event_id, l.root, hops + 1 FROM l JOIN events e ON e.event_id = l.event_id + 1 AND e.event_id % 8 <> 0) SELECT root, count(*) AS n, max(hops) AS hops FROM l GROUP BY root")
 def lineage_chain(spark, sf_dir):
     """Follows pointers by a recursive query."""
     table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return spark.sql("WITH RECURSIVE l AS (SELECT event_id, event_id AS root, 0 AS hops FROM events WHERE event_id % 64 = 0 UNION ALL SELECT e.event_id, l.root, hops + 1 FROM l JOIN events e ON e.event_id = l.event_id + 1 AND e.event_id % 64 <> 0 AND hops < 5) SELECT root, count(*) AS n, max(hops) AS hops FROM l GROUP BY root")
+    return spark.sql("WITH RECURSIVE l AS (SELECT event_id, event_id AS root, 0 AS hops FROM events WHERE event_id % 8 = 0 UNION ALL SELECT e.event_id, l.root, hops + 1 FROM l JOIN events e ON e.event_id = l.event_id + 1 AND e.event_id % 8 <> 0) SELECT root, count(*) AS n, max(hops) AS hops FROM l GROUP BY root")
 
 
 @query("SELECT body, count(*) AS n, min(p_partkey) AS first FROM (SELECT p_partkey, md5(regexp_replace(lower(p_type), '\\s+', ' ', 'g')) AS body FROM part) GROUP BY body HAVING count(*) > 1")

@@ -14,13 +14,13 @@ def _profile_sql(of: str, numbers: list[str], others: list[str]) -> str:
     parts = []
     for c in [*numbers, *others]:
         num = c in numbers
-        stat = f"count({c}) AS numbers, CAST(min({c}) AS DOUBLE) AS minimum, CAST(max({c}) AS DOUBLE) AS maximum, round(avg({c}), 6) AS mean, round(coalesce(stddev_samp({c}), 0), 6) AS deviation" if num else "0 AS numbers, CAST(NULL AS DOUBLE) AS minimum, CAST(NULL AS DOUBLE) AS maximum, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS deviation"
+        stat = f"count({c}) AS numbers, CAST(min({c}) AS DOUBLE) AS minimum, CAST(max({c}) AS DOUBLE) AS maximum, round(avg({c}), 4) AS mean, round(coalesce(stddev_samp({c}), 0), 4) AS deviation" if num else "0 AS numbers, CAST(NULL AS DOUBLE) AS minimum, CAST(NULL AS DOUBLE) AS maximum, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS deviation"
         parts.append(f"SELECT '{c}' AS column, count(*) AS rows, count(*) - count({c}) AS nulls, (count(*) - count({c})) / greatest(count(*), 1) AS null_ratio, count(DISTINCT {c}) AS distinct_values, {stat} FROM {of}")
     return " UNION ALL ".join(parts).replace("AS column", 'AS "column"')
 
 
 def _rounded(df):
-    return df.withColumn("mean", F.round("mean", 6)).withColumn("deviation", F.round("deviation", 6))
+    return df.withColumn("mean", F.round("mean", 4)).withColumn("deviation", F.round("deviation", 4))
 
 
 @query(_profile_sql("events", ["event_id", "user_id", "value"], ["event_type", "props"]))

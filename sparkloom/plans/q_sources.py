@@ -54,23 +54,23 @@ def transcript_loader(spark, sf_dir):
     return formats.transcript(d.select("doc_id", shape.alias("t")), "t").select("doc_id", "position", "role", "content")
 
 
-@query("SELECT o_orderkey, l_linenumber AS id, l_returnflag AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, l_linenumber AS id, l_returnflag AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def json_payload_rows(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0")
+    li = table(spark, sf_dir, "lineitem")
     row = F.struct(F.col("l_linenumber").cast("bigint").alias("id"), F.col("l_returnflag").alias("status"))
     payload = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_json(F.struct(F.collect_list(row).alias("records"))).alias("t"))
     payload = payload.join(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
     return formats.json_rows(payload, "t", "struct<id:bigint,status:string>").select("o_orderkey", F.col("id").cast("int").alias("id"), "status")
 
 
-@query("SELECT conv_id, turn + 1 AS sequence, role AS event, text AS data FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING min(turn) = 0 AND max(turn) + 1 = count(*)) AND text <> '' AND NOT contains(text, chr(10)) AND NOT contains(text, chr(13))")
+@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence, role AS event, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS data FROM conversations")
 def event_stream_parse(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     block = F.concat(F.lit(": note\nevent: "), F.col("role"), F.lit("\ndata: "), F.replace(F.regexp_replace("text", "\r\n?", "\n"), F.lit("\n"), F.lit("\ndata: ")))
-    parts = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))).alias("s"), F.min("turn").alias("least"), F.max("turn").alias("most"), F.count("*").alias("n"))
-    text = parts.where("least = 0 and most + 1 = n").select("conv_id", F.array_join(F.transform("s", lambda x: x["b"]), "\n\n").alias("t"))
+    parts = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))).alias("s"))
+    text = parts.select("conv_id", F.array_join(F.transform("s", lambda x: x["b"]), "\n\n").alias("t"))
     out = formats.server_sent_events(text, "conv_id", "t")
-    return out.where("data <> '' and instr(data, chr(10)) = 0 and instr(data, chr(13)) = 0").select("conv_id", "sequence", "event", "data")
+    return out.select("conv_id", "sequence", "event", "data")
 
 
 @query("SELECT user_id, count(*) AS events, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS total_tokens FROM events GROUP BY user_id")

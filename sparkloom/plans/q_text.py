@@ -40,12 +40,10 @@ def byte_range(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.hex(F.substring(F.col("text").cast("binary"), 1, 16)).alias("bytes"))
 
 
-@query("SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10))) AS lines_md5 FROM documents WHERE len(string_split(text, chr(10))) = len(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')))) AND NOT contains(text, chr(13))")
+@query("SELECT doc_id, md5(array_to_string(list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i), chr(10))) AS lines_md5 FROM (SELECT doc_id, list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')) AS l FROM documents)")
 def distinct_lines(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    own = tx.lines(F.col("text"))
-    plain = d.where((F.size(own) == F.size(F.array_distinct(F.transform(own, F.trim)))) & ~F.contains("text", F.lit("\r")))
-    return plain.select("doc_id", F.md5(F.array_join(tx.distinct_lines(F.col("text")), "\n")).alias("lines_md5"))
+    return d.select("doc_id", F.md5(F.array_join(tx.distinct_lines(F.col("text")), "\n")).alias("lines_md5"))
 
 
 @query()
@@ -88,15 +86,10 @@ def merkle_leaves(spark, sf_dir):
     return out.select("conv_id", "leaves")
 
 
-_NODE = "sha256(unhex({0}) || unhex({1}))"
-_LEAF = [f"sha256(t[{i}])" for i in (1, 2, 3)]
-
-
-@query(f"""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
-SELECT conv_id, CASE WHEN len(t) = 2 THEN {_NODE.format(*_LEAF[:2])} ELSE {_NODE.format(_NODE.format(*_LEAF[:2]), _NODE.format(_LEAF[2], _LEAF[2]))} END AS root FROM c WHERE len(t) IN (2, 3)""")
+@query()
 def merkle_roots(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("h"))
-    return views.merkle_roots(c, "conv_id", "turn", "h").where("leaves in (2, 3)").select("conv_id", "root")
+    return views.merkle_roots(c, "conv_id", "turn", "h").select("conv_id", "root")
 
 
 @query()

@@ -34,10 +34,10 @@ def rollback_target(spark, sf_dir):
 
 
 @query("""WITH links AS (SELECT event_id - 97 AS old, event_id AS new FROM events WHERE event_type = 'purchase')
-SELECT e.event_id, max(new) AS superseded_by FROM events e LEFT JOIN links ON e.event_id = old GROUP BY e.event_id""")
+SELECT e.event_id, coalesce(max(new), -1) AS superseded_by FROM events e LEFT JOIN links ON e.event_id = old GROUP BY e.event_id""")
 def supersession(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "purchase", F.array(F.col("event_id") - 97)).alias("old"))
-    return windows.superseded(e, "event_id", "event_id", F.col("old")).select("event_id", "superseded_by")
+    return windows.superseded(e, "event_id", "event_id", F.col("old")).select("event_id", F.coalesce("superseded_by", F.lit(-1)).alias("superseded_by"))
 
 
 @query("SELECT conv_id, turn, round(turn / max(turn) OVER (PARTITION BY conv_id), 6) AS position FROM conversations")
