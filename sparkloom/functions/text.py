@@ -54,7 +54,8 @@ def session_normal(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct character 3-grams of the collapsed lower-case text; a shorter text is its own only one."""
-    grams = let(collapse(session_normal(text)), lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3))))
+    # Characters first: a substring by number walks a UTF-8 text from its start.
+    grams = let(F.split(collapse(session_normal(text)), ""), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 2, F.lit(1))), lambda i: F.array_join(F.slice(c, i, F.lit(3)), "")))
     return F.filter(F.array_distinct(grams), lambda g: g != "")
 
 
