@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..sources import formats
@@ -10,6 +13,12 @@ from ..streaming import tables as streams
 from .registry import query
 
 
+def _scratch(spark) -> str:
+    """A new folder below the one that the session names for checkpoints; a temporary one where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sparkloom-")
+    return f"{base.rstrip('/')}/sparkloom/files-{uuid.uuid4().hex}"
+
+
 @query("SELECT user_id, max(value) AS most, count(*) AS n FROM events GROUP BY user_id")
 def stream_max_usage(spark, sf_dir):
     s = streams.read_events(spark, f"{sf_dir}/events.parquet")
@@ -134,3 +143,74 @@ def churn_numstat(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     line = F.concat_ws("\t", F.col("l_quantity").cast("bigint").cast("string"), F.col("l_linenumber").cast("string"), F.concat(F.lit("f"), F.col("l_partkey") % 50))
     return formats.numstat(li.select(line.alias("line")), "line")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def jsonl_round_trip(spark, sf_dir):
+    path = _scratch(spark)
+    formats.export_jsonl(table(spark, sf_dir, "nation"), path)
+    return formats.jsonl(spark, path, "n_nationkey int, n_name string, n_regionkey int", "strict")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def delimited_round_trip(spark, sf_dir):
+    path = f"{_scratch(spark)}.tsv"
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").write.option("header", True).option("sep", "\t").csv(path)
+    return formats.delimited(spark, path, "s_suppkey bigint, s_name string, s_acctbal double")
+
+
+@query("SELECT r_regionkey, CASE WHEN r_regionkey = 2 THEN 'replaced' ELSE r_name END AS r_name FROM region")
+def partition_overwrite(spark, sf_dir):
+    path, r = _scratch(spark), table(spark, sf_dir, "region")
+    formats.replace_partitions(r, path, "r_regionkey")
+    formats.replace_partitions(r.where("r_regionkey = 2").withColumn("r_name", F.lit("replaced")), path, "r_regionkey")
+    return spark.read.schema("r_name string, r_regionkey int").parquet(path)
+
+
+@query("SELECT event_id, 'json' AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events UNION ALL SELECT event_id, 'text' AS kind, NULL AS k FROM events WHERE false")
+def json_payload(spark, sf_dir):
+    out = formats.payload(table(spark, sf_dir, "events"), "props")
+    return out.select("event_id", "kind", F.variant_get("value", "$.k", "bigint").alias("k"))
+
+
+@query("SELECT 'n' || CAST(n_nationkey AS VARCHAR) || '.py' AS path, 'S' || CAST(s_suppkey AS VARCHAR) AS symbol, CAST(s_suppkey + 1 AS INT) AS line, s_suppkey % 2 = 0 AS definition FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def scip_import(spark, sf_dir):
+    """Nations as documents, suppliers as symbols."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    seen = F.struct(F.array(F.col("s_suppkey").cast("int"), F.lit(0), F.lit(1)).alias("range"), F.concat(F.lit("S"), "s_suppkey").alias("symbol"), F.when(F.col("s_suppkey") % 2 == 0, 1).otherwise(8).alias("symbol_roles"))
+    docs = s.groupBy("n_nationkey").agg(F.collect_list(seen).alias("o")).select(F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("n"), "n_nationkey", F.lit(".py")).alias("relative_path"), F.col("o").alias("occurrences"))).alias("documents"))).alias("t"))
+    return formats.scip(docs, "t")[0]
+
+
+@query("SELECT 's' || CAST(s_suppkey AS VARCHAR) AS id, 'file:///n' || CAST(s_nationkey AS VARCHAR) AS uri, CAST(s_suppkey + 1 AS INT) AS start_line, s_name AS name FROM supplier")
+def lsif_import(spark, sf_dir):
+    """Nations as documents, suppliers as ranges with monikers."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    id_ = lambda p, c: F.concat(F.lit(p), c)
+    line = F.struct(F.col("s_suppkey").cast("int").alias("line"))
+    parts = [
+        n.select(id_("d", "n_nationkey").alias("id"), F.lit("vertex").alias("type"), F.lit("document").alias("label"), id_("file:///n", "n_nationkey").alias("uri")),
+        s.select(id_("s", "s_suppkey").alias("id"), F.lit("vertex").alias("type"), F.lit("range").alias("label"), line.alias("start"), line.alias("end")),
+        s.select(id_("m", "s_suppkey").alias("id"), F.lit("vertex").alias("type"), F.lit("moniker").alias("label"), F.col("s_name").alias("identifier")),
+        s.groupBy("s_nationkey").agg(F.collect_list(id_("s", "s_suppkey")).alias("inVs")).select(F.lit("edge").alias("type"), F.lit("contains").alias("label"), id_("d", "s_nationkey").alias("outV"), "inVs"),
+        s.select(F.lit("edge").alias("type"), F.lit("moniker").alias("label"), id_("s", "s_suppkey").alias("outV"), id_("m", "s_suppkey").alias("inV")),
+    ]
+    raw = spark.createDataFrame([], formats.LSIF)
+    for p in parts:
+        raw = raw.unionByName(p, allowMissingColumns=True)
+    return formats.lsif_graph(raw)[0].select("id", "uri", "start_line", "name")
+
+
+@query("SELECT p_brand AS path, 'class' AS kind, 'C' || CAST(p_partkey AS VARCHAR) AS name FROM part UNION ALL SELECT p_brand, 'function', 'f' || CAST(p_partkey AS VARCHAR) FROM part")
+def source_symbols(spark, sf_dir):
+    """Brands as files, parts as classes with a method."""
+    one = F.concat(F.lit("class C"), "p_partkey", F.lit(":\n    def f"), "p_partkey", F.lit("(self):\n        return 1\n"))
+    files = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("path")).agg(F.array_join(F.collect_list(one), "\n").alias("t"))
+    return formats.python_symbols(files, "path", "t").select("path", "kind", "name")
+
+
+@query("SELECT p_brand AS path, 'definition' AS kind, 'f' || CAST(p_partkey AS VARCHAR) AS name FROM part UNION ALL SELECT p_brand, 'import', 'm' || CAST(p_size AS VARCHAR) FROM part")
+def source_profiles(spark, sf_dir):
+    one = F.concat(F.lit("import x from 'm"), "p_size", F.lit("'\nexport function f"), "p_partkey", F.lit("() {}\n"))
+    files = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("path")).agg(F.array_join(F.collect_list(one), "\n").alias("t"))
+    return formats.profile_symbols(files, "path", "t", "javascript")

@@ -10,7 +10,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def json_rows(df: DataFrame, text: str, row_type: str) -> DataFrame:
@@ -80,9 +79,13 @@ LSIF = "id string, type string, label string, uri string, outV string, inV strin
 
 
 def lsif(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges of a JSON-lines code index, see lsif_graph()."""
+    return lsif_graph(spark.read.schema(LSIF).json(path))
+
+
+def lsif_graph(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, uri, start_line, end_line, name) and definition or reference edges (src, label, dst) of a JSON-lines code index: joins over
     vertices and edges, no driver loop."""
-    raw = spark.read.schema(LSIF).json(path)
     vertex, edge = raw.where("type = 'vertex'"), raw.where("type = 'edge'")
     docs = vertex.where("label = 'document'").select(F.col("id").alias("doc"), "uri")
     ranges = vertex.where("label = 'range'").select("id", (F.col("start.line") + 1).alias("start_line"), (F.col("end.line") + 1).alias("end_line"))
@@ -198,6 +201,18 @@ def content_addressed(df: DataFrame, body: str) -> DataFrame:
     return own.groupBy("digest").agg(F.first("body").alias("body"), F.max(F.octet_length("body")).alias("size"), F.count("*").alias("refs"))
 
 
+def replace_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Writes df so that only the partitions it has rows of are replaced, each as a whole."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def payload(df: DataFrame, text: str) -> DataFrame:
+    """kind of each payload, json or text, and its JSON as a variant where it is any."""
+    value = F.try_parse_json(F.col(text))
+    structured = F.ltrim(text).rlike(r"^[\[{]")
+    return df.withColumn("kind", F.when(structured & value.isNotNull(), "json").otherwise("text")).withColumn("value", F.when(structured, value))
+
+
 def export_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -267,6 +282,3 @@ def wire_decode(encoded: dict) -> object:
     if hashlib.sha256(json.dumps(body, separators=(",", ":"), ensure_ascii=False, sort_keys=True).encode()).hexdigest() != encoded["sha256"]:
         raise ValueError("the decoded value differs from the encoded one")
     return body
-
-
-ROWS = T.StructType([T.StructField("id", T.LongType()), T.StructField("status", T.StringType())])
