@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -13,9 +12,6 @@ from pyspark.sql import functions as F
 #: Stands for a null id inside the operators; null ids sort before all others.
 NULL_ID = -(2**63)
 
-#: ASCII white space: what separates words in the word contracts.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
-#: What the method adds: strings that may be keys, words that make their surroundings sensitive, and the distance in code points to look for them.
+#: What the method adds: strings of letters and digits that may be keys, words that make their surroundings sensitive, and the distance in code points to look for them.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"(?:secret|passw|pwd|token|api[_-]?key|apikey|credential|private|bearer|authoriz|access|auth|signature|akia)", re.ASCII | re.IGNORECASE)
 NEAR = 48
@@ -32,25 +31,17 @@ NOVELTY = 0.7
 LEVEL, SIZE = 9, 2048
 #: Common identifiers and words that prime the compressor, so that camel-case and snake-case names aren't novel.
 IDENTIFIERS = """
-abstract access account action address alert allow amount application argument array assert async attribute authorization
-backup balance base begin boolean bottom branch break buffer builder button bytes cache callback cancel category channel character
-check child class client close cluster collection color column command comment commit common compare component condition config
-configuration connection constant constructor container content context continue control convert count create current customer
-data database date debug default delete description destination detail dictionary directory disable display document domain double
-element email enable encode end engine entity entry enum environment error event exception execute exit expect export expression
-extends factory false field file filter final find float folder format found from function generate get global group handler hash
-header height hidden host html http https identifier image implements import index info information initialize inner input insert
-instance integer interface internal invalid item iterator join json key label language last layout left length level library line list
-listener load local location lock log long lookup main manager map match maximum member memory menu message method minimum mode
-model module name namespace native network new next node none notification null number object offset open operation option order
-output override package page parameter parent parse password path pattern payload permission phone pointer policy position prefix
-previous print private process product profile project property protected provider public query queue random range read record
-reference register remove render repository request required reset resource response result return right root route row rule save
-schema scope score script search secret section select sequence server service session set setting shared show size sort source
-start state static status stop storage store stream string struct style submit success suffix switch system table target task
-template test text thread throw time timeout timestamp title token top total transaction transform true type undefined union unique
-unit update upload url user username utility valid validate value variable vector version view virtual visible void while width
-window with word worker wrapper write xml year
+access account action address amount application argument array authorization backup balance base buffer builder bytes cache callback channel character check
+child class client cluster code collection column command comment commit common component condition config connection container content context count create
+current customer data database date debug default delete description detail directory disable document domain element email enable encode engine entity
+entry error event exception expression factory field file filter format function group handler hash header height host http identifier
+image index information input instance interface item json key label language layout length level library line list listener load location
+manager map match memory message method mode model module name network node notification number object offset operation option order output
+package page parameter parent parse password path pattern payload permission policy position prefix process product profile project property provider
+public query range read record reference register remove request resource response result root route rule schema scope score search secret
+section select server service session set setting size source start state status storage stream string style system table target task
+template test text thread time timeout token total type unit update url user username validate value variable version view width
+worker write
 """.split()
 
 
@@ -95,7 +86,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
             at += 1
         if at == len(marks):
             break
-        if marks[at][0] > e + NEAR or not any(c.isdigit() for c in m[0]):
+        if marks[at][0] > e + NEAR or not any(map(str.isdigit, m[0])) or not any(map(str.isalpha, m[0])):
             continue
         while i < len(taken) and taken[i][1] <= s:
             i += 1
