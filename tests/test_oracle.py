@@ -47,3 +47,19 @@ def test_query(spark, duck, name):
     found, wanted = found.toPandas(), duck.sql(sql).df()
     assert sorted(found.columns) == sorted(wanted.columns)
     assert same(rows(found), rows(wanted))
+
+
+def test_entry_gives_rows(spark):
+    import __spark_entry__
+
+    found = __spark_entry__.entry(spark)
+    assert found.columns[0] == "column" and found.count() == 5
+
+
+def test_queries_are_known_without_a_session():
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and e.oracle_sql().keys() <= e.queries().keys()"
+    subprocess.run([sys.executable, "-c", code], cwd=repo, env={**os.environ, "PYTHONPATH": repo}, check=True)
