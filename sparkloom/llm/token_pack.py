@@ -13,6 +13,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +27,17 @@ BLOCK, MAGIC, TRAILER = 1 << 16, b"SLBITS01", struct.Struct("<IIQQQ8s")
 #: Most pieces whose ids a worker remembers.
 MEMORY = 1_000_000
 #: Texts, and their code points at most, that are cut into words at once.
-BATCH, AT_ONCE = 4096, 1 << 24
-_PIECES: dict[str, dict[str, bytes]] = {}
+BATCH, AT_ONCE = 4096, 1 << 23
+_MEMORIES: dict[str, "_Memory"] = {}
 _TOKENIZERS: dict[str, object] = {}
 _OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+_ASCII_SPACES = [c for c in _OTHER_SPACES if c.isascii()]
 
 
 def _unsafe(text: str) -> bool:
     """Whether a space isn't between two characters other than white space."""
-    return text[0] == " " or text[-1] == " " or "  " in text or any(c in text and (f" {c}" in text or f"{c} " in text) for c in _OTHER_SPACES)
-
-
+    others = _ASCII_SPACES if text.isascii() else _OTHER_SPACES
+    return text[0] == " " or text[-1] == " " or "  " in text or any(c in text and (f" {c}" in text or f"{c} " in text) for c in others)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -137,53 +138,81 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def _encode_words(words: list[str], path: str, each: int = 2000) -> dict[str, bytes]:
-    """The ids of " " + word for words without a space inside, many from one text: a token that begins with a space begins a word."""
-    texts = [" " + " ".join(words[i : i + each]) for i in range(0, len(words), each)]
-    ids = np.concatenate([np.array(e.ids, "<u4") for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)])
-    starts = (np.flatnonzero(_spaced(path)[ids]) * 4).tolist()
-    if len(starts) != len(words):
-        raise ValueError("words and tokens don't agree")
-    data = ids.tobytes()
-    return {w: data[i:j] for w, i, j in zip(words, starts, [*starts[1:], len(data)], strict=True)}
+def _whole(texts: list[str], path: str) -> list[np.ndarray]:
+    return [np.array(e.ids, "<u4") for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of flat one behind the other."""
+    ends = np.cumsum(sizes)
+    place = np.repeat(starts - ends + sizes, sizes)
+    place += np.arange(len(place))
+    return flat[place]
+
 
+class _Memory:
+    """The ids of " " + word of the words seen: numbers by word, and the ids of all of them in one array."""
 
-def _spaced(path: str) -> np.ndarray:
-    """Which ids begin with a space, in the byte-level alphabet."""
-    key = f"{path} spaced"
-    if key not in _TOKENIZERS:
+    def __init__(self, path: str):
+        self.path = path
         vocab = tokenizer(path).get_vocab()
-        flags = np.zeros(max(vocab.values()) + 1, bool)
-        flags[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-        _TOKENIZERS[key] = flags
-    return _TOKENIZERS[key]
-
-
-def _whole(texts: list[str], path: str) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-
-def _remembered(words: list[str], path: str) -> list[bytes]:
-    """The ids of " " + word of each of some different words."""
-    known = _PIECES.setdefault(path, {})
-    if len(known) > MEMORY:
-        known.clear()
-    parts = list(map(known.get, words))
-    missing, at = [], -1
-    for _ in range(parts.count(None)):
-        missing.append(at := parts.index(None, at + 1))
-    if missing:
-        new = {words[i] for i in missing}
-        # A stop or comma after a letter at a word's end is a match of its own.
-        ended = {w for w in new if w[-1] in ".," and w[-2:-1].isalpha()}
-        if plain := new - ended | {w[:-1] for w in ended}.difference(known):
-            known.update(_encode_words(list(plain), path))
-        if ended:
-            stop = dict(zip(".,", _whole([".", ","], path), strict=True))
-            known.update([(w, known[w[:-1]] + stop[w[-1]]) for w in ended])
-        for i in missing:
-            parts[i] = known[words[i]]
-    return parts
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a space in the byte-level alphabet
+        self.spaced[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        self.stops = {c: _whole([c], path)[0] for c in ".,"}
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.flat, self.bounds = np.empty(1 << 16, "<u4"), np.zeros(1 << 16, np.int64)
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, at = len(self.numbers), int(self.bounds[len(self.numbers)])
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + len(words) + 1 > len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        self.flat[at : at + len(ids)] = ids
+        self.bounds[n + 1 : n + 1 + len(words)] = at + np.cumsum(sizes)
+        self.numbers.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _encode(self, words: list[str], each: int = 2000) -> None:
+        """Many words from one text: a token that begins with a space begins a word."""
+        texts = [" " + " ".join(words[i : i + each]) for i in range(0, len(words), each)]
+        ids = np.concatenate(_whole(texts, self.path))
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(words):
+            raise ValueError("words and tokens don't agree")
+        self._add(words, ids, np.diff(starts, append=len(ids)))
+
+    def pieces(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each number start in flat, and how many they are."""
+        return self.bounds[numbers], self.bounds[numbers + 1] - self.bounds[numbers]
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The numbers of some different words; new ones are encoded."""
+        if len(self.numbers) > MEMORY:
+            self.clear()
+        out = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            # A stop or comma after a letter at a word's end is a match of its own.
+            ended = [w for w in new if w[-1] in ".," and w[-2:-1].isalpha()]
+            stems = {w[:-1] for w in ended}.difference(self.numbers)
+            if plain := list(set(new).difference(ended) | stems):
+                self._encode(plain)
+            for c, stop in self.stops.items():
+                if own := [w for w in ended if w[-1] == c]:
+                    starts, sizes = self.pieces(np.fromiter((self.numbers[w[:-1]] for w in own), np.int64, len(own)))
+                    ends = np.cumsum(sizes + len(stop))
+                    ids = np.empty(int(ends[-1]), "<u4")
+                    tail = (ends[:, None] - np.arange(len(stop), 0, -1)).ravel()
+                    body = np.ones(len(ids), bool)
+                    body[tail] = False
+                    ids[tail], ids[body] = np.tile(stop, len(own)), _gathered(self.flat, starts, sizes)
+                    self._add(own, ids, sizes + len(stop))
+            out[missing] = np.fromiter(map(self.numbers.__getitem__, new), np.int64, len(new))
+        return out
 
 
 def _regular(texts: list[str], path: str) -> list[bytes]:
@@ -194,20 +223,21 @@ def _regular(texts: list[str], path: str) -> list[bytes]:
         return _regular(texts[:half], path) + _regular(texts[half:], path)
     if not texts:
         return []
+    if path not in _MEMORIES:
+        _MEMORIES[path] = _Memory(path)
+    memory = _MEMORIES[path]
     split = pc.split_pattern(pa.array(texts, pa.string()), " ")
     offsets = split.offsets.to_numpy()
     numbered = split.values.dictionary_encode()
-    at, words = numbered.indices.to_numpy().copy(), numbered.dictionary.to_pylist()
-    parts = _remembered(words, path) + _whole([words[i] for i in at[offsets[:-1]]], path)
-    at[offsets[:-1]] = len(words) + np.arange(len(texts), dtype=np.int32)  # what a text begins with has no space
-    size = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
-    flat = np.frombuffer(b"".join(parts), "<u4")
-    n = size[at]
-    ends = np.cumsum(n, dtype=np.int32)
-    place = np.repeat((np.cumsum(size, dtype=np.int32) - size)[at] - ends + n, n)
-    place += np.arange(len(place), dtype=np.int32)
-    ids = flat[place]
-    cuts = [0, *ends[offsets[1:] - 1].tolist()]
+    at, words = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+    numbers = memory.of(words)
+    starts, sizes = (x[at] for x in memory.pieces(numbers))
+    # What a text begins with has no space: its ids stand behind the remembered ones.
+    heads = _whole([words[i] for i in at[offsets[:-1]].tolist()], path)
+    own = np.fromiter(map(len, heads), np.int64, len(heads))
+    sizes[offsets[:-1]], starts[offsets[:-1]] = own, len(memory.flat) + np.cumsum(own) - own
+    ids = _gathered(np.concatenate([memory.flat, *heads]), starts, sizes)
+    cuts = [0, *np.cumsum(sizes)[offsets[1:] - 1].tolist()]
     return [ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -219,7 +249,7 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """
     odd = [bool(t) and _unsafe(t) for t in texts]
     regular = iter(_regular([t for t, o in zip(texts, odd, strict=True) if t and not o], path))
-    whole = iter(_whole([t for t, o in zip(texts, odd, strict=True) if o], path))
+    whole = (x.tobytes() for x in _whole([t for t, o in zip(texts, odd, strict=True) if o], path))
     return [b"" if not t else next(whole) if o else next(regular) for t, o in zip(texts, odd, strict=True)]
 
 
