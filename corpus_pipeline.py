@@ -10,7 +10,7 @@ from sparkloom.llm.common import materialize, table
 from sparkloom.llm.decontaminate import decontaminate
 from sparkloom.llm.exact_dedup import exact_dedup
 from sparkloom.llm.quality import quality_filter
-from sparkloom.llm.simhash import near_dedup
+from sparkloom.llm.simhash import near_dedup_rows
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest id stays."""
-    return near_dedup(docs)
+    """Of each group of near copies the row of the smallest id stays."""
+    return near_dedup_rows(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bloom import without
 from .common import id_back, id_key, materialize, table
 
 #: Words in a shingle, and the containment from which on an item counts as found.
@@ -149,11 +148,24 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     return empty if out is None else out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """The rows of docs, all columns, that contain no item. Rows that share an id with one that does go too; null ids count as one id."""
-    found = find_contaminated(docs, items, id_col, text_col, **names)
-    gone = materialize(found.select(F.col("id").alias("_sl_gone")).distinct(), "contaminated")
-    return without(docs, id_key(id_col), gone, "_sl_gone")
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that contain no item; each row on its own, ids may repeat or be null.
+
+    Each block of items is a narrow pass that filters the rows; between two blocks what stayed is written, so that a worker holds one index.
+    """
+    out, at = docs, docs.columns.index(text_col)
+    for i, block in enumerate(_blocks(items.select(F.col(item_col).cast("bigint"), F.col(item_text_col).cast("string")), ITEMS)):
+        if i:
+            out = materialize(out, "clean-rows")
+        sent = docs.sparkSession.sparkContext.broadcast(Index(block, threshold))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = sent.value
+            for b in batches:
+                yield b.filter(pa.array([not index.search(text) for text in b.column(at).cast(pa.large_string()).to_pylist()], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

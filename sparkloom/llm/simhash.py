@@ -112,9 +112,10 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of an id, a text and other columns, which go along."""
     for b in batches:
         fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["id", "fp", *b.schema.names[2:]])
 
 
 def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +237,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return fps.join(joined.join(roots, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
+def near_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, one of each group of near copies: that of the smallest id (null ids are the smallest, ties go by the text's hash).
+
+    Each row is decided on its own, by a key that is written with it: ids may repeat or be null.
+    """
+    rows = materialize(docs.withColumn("_sl_row", F.monotonically_increasing_id()), "near-rows")
+    text = F.col(text_col).cast("string")
+    fps = rows.select(id_key(id_col).alias("id"), text, F.xxhash64(text).alias("tie"), "_sl_row").mapInArrow(_fingerprints, "id bigint, fp bigint, tie bigint, _sl_row bigint")
+    fps = materialize(fps, "fingerprints")
+    least = materialize(fps.groupBy("fp").agg(F.min(F.struct("id", "tie", "_sl_row")).alias("first")), "distinct-fingerprints")
+    linked = connected_components(fingerprint_links(least.select("fp")))
+    joined = least.join(linked, least.fp == linked.node, "left").select("first", F.coalesce("component", "fp").alias("root"))
+    stay = joined.groupBy("root").agg(F.min("first").alias("first")).select("first._sl_row")
+    gone = materialize(fps.select("_sl_row").join(stay, "_sl_row", "left_anti").withColumnRenamed("_sl_row", "_sl_gone"), "near-copies")
+    return without(rows, F.col("_sl_row"), gone, "_sl_gone").drop("_sl_row")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose id is the smallest of its group of near copies."""
     groups = near_groups(docs, id_col, text_col)

@@ -298,3 +298,25 @@ def test_near_dedup_keeps_the_smallest_id(spark):
     got = sh.near_dedup(df)
     assert got.columns == df.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(r[0]) for r, i in zip(rows, ids, strict=True) if i not in gone)
+
+
+def test_rows_with_shared_or_null_ids_are_decided_each_on_its_own(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(99)) for _ in range(40))
+    item, copied = text(), text()
+    clean = [(None, text()), (None, text()), (7, text()), (7, text())]
+    dirty = [(None, f"{text()} {item}"), (7, f"{text()} {item} {text()}")]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = dc.decontaminate(frame(spark, clean + dirty), items)
+    assert sorted(r.text for r in kept.collect()) == sorted(t for _, t in clean) and kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    copies = [(None, copied), (None, copied + " "), (7, copied), (9, copied)]
+    near = sh.near_dedup_rows(frame(spark, clean + copies).repartition(3))
+    assert sorted((str(r.doc_id), r.text.strip()) for r in near.collect()) == sorted((str(i), t) for i, t in [*clean, (None, copied)])
+
+
+def test_blocks_of_items_filter_one_after_another(spark, monkeypatch):
+    monkeypatch.setattr(dc, "ITEMS", 1)
+    items = spark.createDataFrame([(1, "a b c d e f"), (2, "u v w x y z")], "item_id long, text string")
+    rows = [(None, "a b c d e f g"), (None, "t u v w x y z"), (None, "plain"), (None, None)]
+    assert sorted(str(r.text) for r in dc.decontaminate(frame(spark, rows), items).collect()) == ["None", "plain"]
+    assert dc.decontaminate(frame(spark, rows), items.limit(0)).count() == 4
