@@ -35,6 +35,8 @@ ENTROPY_BITS, ENTROPY_CHARS = 4.2, 10
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_-])")
 HEX = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{32,}(?![0-9a-fA-F])")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}){8,}")
+#: Code points of payloads that one batch holds, unless one has more.
+PAYLOADS = 1 << 20
 
 
 def valid_card(text: Column) -> Column:
@@ -86,21 +88,22 @@ def high_entropy_tokens(text: Column) -> Column:
     return F.filter(found, lambda t: (F.size(F.array_distinct(F.split(t, ""))) >= ENTROPY_CHARS) & (tx.shannon_entropy(t) >= ENTROPY_BITS))
 
 
-def decoded_payloads(text: str, most: int = 16, longest: int = 1 << 16) -> list[str]:
-    """What base64, hexadecimal and percent escapes in a text say, printable ones only."""
+def payloads(text: str) -> Iterator[str]:
+    """What base64, hexadecimal and percent escapes in a text say: every match, whole, one at a time; those that aren't UTF-8 are left out."""
     import base64
     from urllib.parse import unquote_to_bytes
 
-    out: list[bytes] = []
     for pattern, decode in ((BASE64, lambda x: base64.urlsafe_b64decode(x.replace("+", "-").replace("/", "_").rstrip("=") + "=" * (-len(x.rstrip("=")) % 4))), (HEX, lambda x: bytes.fromhex(x[: len(x) // 2 * 2])), (PERCENT, unquote_to_bytes)):
         for m in pattern.finditer(text):
-            if len(out) >= most:
-                break
             try:
-                out.append(decode(m[0][:longest]))
-            except ValueError:
+                yield decode(m[0]).decode("utf-8")
+            except ValueError:  # also what isn't UTF-8
                 continue
-    return [s for b in out if (s := b.decode("utf-8", "replace")).isprintable() and "�" not in s]
+
+
+def decoded_payloads(text: str) -> list[str]:
+    """All payloads of a text."""
+    return list(payloads(text))
 
 
 def decompressed(data: bytes, longest: int = 1 << 20) -> bytes:
@@ -114,11 +117,18 @@ def decompressed(data: bytes, longest: int = 1 << 20) -> bytes:
 
 
 def scan_encoded(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, payload): decoded payloads of a text, a row each, for a second scan. Arrow batches; nothing is shuffled."""
+    """(key, payload): decoded payloads of a text, a row each, for a second scan. Arrow batches of PAYLOADS code points or one payload; nothing is shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, p) for k, t in zip(b[key], b[text], strict=True) for p in decoded_payloads(t or "")]
+            rows, held = [], 0
+            for k, t in zip(b[key], b[text], strict=True):
+                for p in payloads(t or ""):
+                    if rows and held + len(p) > PAYLOADS:
+                        yield pd.DataFrame(rows, columns=[key, "payload"])
+                        rows, held = [], 0
+                    rows.append((k, p))
+                    held += len(p)
             yield pd.DataFrame(rows, columns=[key, "payload"])
 
     return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, payload string")

@@ -124,6 +124,16 @@ def test_redaction(spark):
     assert security.decompressed(gzip.compress(b"abc")) == b"abc" and security.decompressed(b"abc") == b""
 
 
+def test_every_payload_is_decoded_whole(spark):
+    import base64
+
+    said = [f"payload number {i:03d} of many\n\tsecond line {i}" for i in range(150)] + ["long " * 240_000 + "end", "a \ufffd that was there already"]
+    tokens = [base64.urlsafe_b64encode(x.encode()).decode().rstrip("=") for x in said]
+    more = ["hexadecimal\nlast line".encode().hex(), "%70%65%72%63%65%6e%74%0a%31", "f" * 40]
+    df = spark.createDataFrame([(1, " ".join(tokens + more)), (2, None)], "k long, t string")
+    assert sorted(r.payload for r in security.scan_encoded(df, "k", "t").collect()) == sorted([*said, "hexadecimal\nlast line", "percent\n1"])
+
+
 def test_segments_are_contiguous(spark):
     text = "ok\n" * 50 + "fatal error here\n" + "z" * 500 + "\nend"
     df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "k long, t string")
