@@ -118,7 +118,7 @@ def rollout_evaluation(spark, sf_dir):
 
 @query()
 def bootstrap_interval(spark, sf_dir):
-    return ex.bootstrap_median(table(spark, sf_dir, "events"), ["event_type"], "value", rounds=200)
+    return ex.bootstrap_median(table(spark, sf_dir, "events"), ["event_type"], "value", rounds=10_000)
 
 
 @query("SELECT s_suppkey, round(60 * least(1, s_acctbal / 10000) - 2 * (s_nationkey % 5) + least(20, 20 * (s_suppkey % 3)) + CASE WHEN s_nationkey % 2 = 0 THEN 15 ELSE 0 END, 6) AS route_score FROM supplier WHERE s_acctbal > 0 ORDER BY route_score DESC, s_suppkey LIMIT 6")

@@ -191,3 +191,22 @@ def test_files_and_tables(spark, tmp_path):
 def test_drift_needs_rows(spark):
     df = spark.createDataFrame([("a", i, float(i >= 10)) for i in range(20)] + [("b", 1, 5.0)], "k string, i int, v double")
     assert {r.k: r.drift for r in experiments.drift(df, ["k"], ["i"], "v").collect()} == {"a": 1.0, "b": 0.0}
+
+
+def test_bootstrap_keeps_all_values(spark):
+    import random
+    import statistics
+
+    rows = [("a", float(i % 6000)) for i in range(24_000)] + [("b", 1.0), ("c", 1.0), ("c", 2.0), ("c", None)]
+    got = {r.k: r for r in experiments.bootstrap_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert {k: (r.n, r["median"]) for k, r in got.items()} == {"a": (24_000, 2999.5), "b": (1, 1.0), "c": (2, 1.5)}
+    assert got["b"].low == got["b"].high == 1.0 and (got["c"].low, got["c"].high) == (1.0, 2.0)
+    spread = 1.96 * 6000 / (2 * 24_000**0.5)
+    assert got["a"].low == pytest.approx(2999.5 - spread, abs=8) and got["a"].high == pytest.approx(2999.5 + spread, abs=8)
+    # The drawn ranks are distributed as resampling value by value has them.
+    rng = random.Random(2)
+    for n in (1, 2, 5, 8):
+        low, high = experiments.median_ranks(n, 20_000, 1)
+        drawn = [statistics.median(rng.choices(range(n), k=n)) for _ in range(20_000)]
+        for x in range(2 * n):
+            assert float(((low + high) / 2 <= x / 2).mean()) == pytest.approx(sum(d <= x / 2 for d in drawn) / 20_000, abs=0.02)
