@@ -90,17 +90,18 @@ def two_cycles(edges: DataFrame) -> DataFrame:
     return e.join(back, ["src", "dst"], "left_semi").where("src < dst")
 
 
-def cycles(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components of more than one node or with a self loop; component is the smallest node.
 
     Nodes without edges in or out are trimmed; then the smallest label that reaches a node forward, and backward within the nodes of that label, names a component;
-    those found are taken out. The set is unique, whatever the order of work.
+    those found are taken out, until no edge is left: a round finds at least the component of the least node. Edges are turned round after each
+    round, so that components that hide behind others one way show the other way. The set is unique, whatever the order of work.
     """
     e = _cut(edges.select("src", "dst").distinct())
     loops = e.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     e, done = e.where("src <> dst"), None
-    for _ in range(rounds):
-        for _ in range(rounds):  # trim
+    while True:
+        while True:  # trim
             left = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
             left = _cut(left)
             stop = left.count() == e.count()
@@ -115,7 +116,7 @@ def cycles(edges: DataFrame, rounds: int = 100) -> DataFrame:
         back = _spread(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), color.withColumn("label", F.when(F.col("label") == F.col("node"), F.col("node"))))
         found = _cut(back.where("label is not null").select("node", F.col("label").alias("component")))
         done = found if done is None else done.unionByName(found)
-        e = _cut(e.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        e = _cut(e.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     if done is not None:
         sizes = done.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
         loops = loops.join(done.join(sizes, "component", "left_semi").select("node"), "node", "left_anti").unionByName(done.join(sizes, "component", "left_semi").select("node", "component"))

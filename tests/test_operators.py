@@ -94,6 +94,14 @@ def test_strong_components(spark):
     assert {(r.node, r.component) for r in graph.cycles(e).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)}
 
 
+def test_components_that_hide_behind_others_are_found(spark):
+    """Each two-node cycle points at all later ones, so that one a round shows from the first side; the hundred and first too."""
+    n = 104
+    e = [x for i in range(n) for x in ((2 * i, 2 * i + 1), (2 * i + 1, 2 * i))] + [(2 * i, 2 * j) for i in range(n) for j in range(i + 1, n)]
+    found = graph.cycles(spark.createDataFrame(e, "src long, dst long")).collect()
+    assert sorted((r.node, r.component) for r in found) == [(i, i - i % 2) for i in range(2 * n)]
+
+
 def test_reach_and_closure(spark):
     e = spark.createDataFrame(EDGES, "src long, dst long")
     seed = spark.createDataFrame([(2,)], "node long")
