@@ -134,17 +134,20 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
-    """All pairs (seed, node) along the edges, the seed itself included. Seeds are few; rounds end when nothing is new."""
-    step = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+def closure(edges: DataFrame, seeds: DataFrame, every: int = 8) -> DataFrame:
+    """All pairs (seed, node) along the edges, the seed itself included, however deep. Seeds are few; rounds end when nothing is new.
+
+    What was seen is written as one every few rounds, so that plans stay small.
+    """
+    step = _cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
     seen = _cut(seeds.select(F.col("node").alias("seed"), "node").distinct())
-    frontier = seen
-    for _ in range(most):
+    frontier, i = seen, 0
+    while frontier.take(1):
         new = frontier.join(step, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct()
         frontier = _cut(new.join(seen, ["seed", "node"], "left_anti"))
-        if not frontier.take(1):
-            break
-        seen = seen.unionByName(frontier)
+        seen, i = seen.unionByName(frontier), i + 1
+        if i % every == 0:
+            seen = _cut(seen)
     return seen
 
 

@@ -109,6 +109,13 @@ def test_reach_and_closure(spark):
     assert {r.node for r in graph.closure(e, seed).collect()} == {1, 2, 3, 4, 5}
 
 
+def test_closure_has_no_depth(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(70, 3)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,), (60,)], "node long")
+    want = [(0, i) for i in range(71)] + [(60, i) for i in range(3, 71)]
+    assert sorted((r.seed, r.node) for r in graph.closure(e, seeds).collect()) == want
+
+
 def test_pagerank_sums_to_one(spark):
     e = spark.createDataFrame(EDGES, "src long, dst long")
     assert graph.pagerank(e, 8).agg(F.sum("rank")).first()[0] == pytest.approx(1.0)
