@@ -80,7 +80,7 @@ def pagerank(spark, sf_dir):
 @query()
 def personalized_pagerank(spark, sf_dir):
     e = _edges(spark, sf_dir).withColumn("weight", F.lit(1.0))
-    return graph.personalized_pagerank(e, _seed(spark, 3, 7).withColumn("weight", F.lit(1.0)), rounds=16).withColumn("rank", F.round("rank", 6))
+    return graph.personalized_pagerank(e, _seed(spark, 3, 7).withColumn("weight", F.lit(1.0))).withColumn("rank", F.round("rank", 6))
 
 
 @query("SELECT 2 * p_partkey AS node FROM part WHERE p_size > 5 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")

@@ -121,6 +121,24 @@ def test_pagerank_sums_to_one(spark):
     assert graph.pagerank(e, 8).agg(F.sum("rank")).first()[0] == pytest.approx(1.0)
 
 
+def test_registered_personalized_pagerank_takes_32_rounds(spark, tmp_path):
+    from sparkloom.plans import q_graph
+
+    lines = [(p, s, f) for p in range(1, 9) for s in range(1, 5) for f in "RN" if f == "N" or (p + s) % 3 < 2]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    edges = {(2 * p, 2 * s + 1) if f == "R" else (2 * s + 1, 2 * p) for p, s, f in lines}
+    out = {a: sum(x == a for x, _ in edges) for a, _ in edges}
+    rank = {3: 0.5, 7: 0.5}
+    for _ in range(32):
+        new = {3: 0.075, 7: 0.075}
+        for a, b in edges:
+            if a in rank:
+                new[b] = new.get(b, 0.0) + 0.85 * rank[a] / out[a]
+        rank = new
+    got = {r.node: r["rank"] for r in q_graph.personalized_pagerank(spark, str(tmp_path)).collect()}
+    assert got.keys() == rank.keys() and all(got[n] == pytest.approx(r, abs=1.1e-6) for n, r in rank.items())
+
+
 def test_long_chain_is_found_whole(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
     seed = spark.createDataFrame([(12,)], "node long")
