@@ -30,6 +30,7 @@ MEMORY = 1_000_000
 BATCH, AT_ONCE = 4096, 1 << 23
 _MEMORIES: dict[str, "_Memory"] = {}
 _TOKENIZERS: dict[str, object] = {}
+_ADDED: dict[str, list[str]] = {}
 _OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _ASCII_SPACES = [c for c in _OTHER_SPACES if c.isascii()]
 
@@ -131,13 +132,19 @@ def tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _TOKENIZERS[path] = Tokenizer.from_file(path)
-        _TOKENIZERS[path].encode_special_tokens = True  # their strings in a text are ordinary text
         model = _TOKENIZERS[path].model
         getattr(model, "_resize_cache", lambda _: None)(0)  # words are remembered here
         _TOKENIZERS[path].model = model
     return _TOKENIZERS[path]
 
 
+def _added(path: str) -> list[str]:
+    """The strings that the library takes for added tokens wherever they are in a text."""
+    if path not in _ADDED:
+        _ADDED[path] = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
+    return _ADDED[path]
+
+
 def _whole(texts: list[str], path: str) -> list[np.ndarray]:
     return [np.array(e.ids, "<u4") for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
@@ -245,9 +252,10 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """Each text's ids as little-endian uint32, by the tokenizers library.
 
     Byte-level pre-splitting never joins characters across a space between two that aren't white space, so what follows such a space is
-    encoded once and remembered: a word stands for the space and itself. Texts with other spaces are encoded as they are.
+    encoded once and remembered: a word stands for the space and itself. Texts with other spaces or an added token's string are encoded as they are.
     """
-    odd = [bool(t) and _unsafe(t) for t in texts]
+    added = _added(path)
+    odd = [bool(t) and (_unsafe(t) or any(a in t for a in added)) for t in texts]
     regular = iter(_regular([t for t, o in zip(texts, odd, strict=True) if t and not o], path))
     whole = (x.tobytes() for x in _whole([t for t, o in zip(texts, odd, strict=True) if o], path))
     return [b"" if not t else next(whole) if o else next(regular) for t, o in zip(texts, odd, strict=True)]

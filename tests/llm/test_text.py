@@ -102,6 +102,15 @@ def test_remembered_words_encode_as_the_whole(texts):
     assert tp.token_bytes(texts, JSON) == want
 
 
+def test_strings_of_added_tokens_are_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b c", "<|endoftext|>", "a < |endoftext|> b"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tp.token_bytes(texts, JSON)] == want and want[0] == [64, 220, 50256, 275]
+
+
 def test_packed_documents(spark, tmp_path):
     rows = [(i * 7 % 31, t) for i, t in enumerate(TEXTS * 3)] + [(None, None), (-5, "first")]
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, start int, shard int").repartition(3)
