@@ -50,6 +50,19 @@ def test_each_match_is_encoded_separately():
         assert bpe.decode(bpe.encode(text, RANKS, PATTERN), RANKS, PATTERN) == text.encode()
 
 
+@pytest.mark.parametrize("run", ["\n" * 1_000_000, " " * 400_000, "\n \t" * 200_000])
+@pytest.mark.parametrize("ends", [("", ""), ("a b", "c d"), ("x", " y"), ("1 ", "\x1c!")])
+def test_long_runs_of_white_space(run, ends):
+    """Three ways that agree on short runs: the library, and the pattern's matches merged one by one; the library itself fails on the longest."""
+    regex = pytest.importorskip("regex")
+    enc, text = bpe.encoding(RANKS, PATTERN), f"{ends[0]}{run}{ends[1]}"
+    want = [i for m in regex.findall(PATTERN, text) for i in enc._encode_single_piece(m.encode())]
+    assert bpe.encode(text, RANKS, PATTERN).tolist() == want
+    short = f"{ends[0]}{run[: bpe.RUN + 6]}{ends[1]}"
+    assert bpe.encode(short, RANKS, PATTERN).tolist() == enc.encode_ordinary(short)
+    assert bpe.decode(bpe.encode(text, RANKS, PATTERN), RANKS, PATTERN) == text.encode()
+
+
 def test_encode_documents(spark):
     rows = [(i, t, "x", "src") for i, t in enumerate(TEXTS)] + [(None, None, None, None), (1, "a", "y", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, decoded string")
@@ -62,6 +75,10 @@ def test_encode_documents(spark):
         assert (r.n_tokens, r.ids_sha256, list(r.ids)) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), ids.tolist())
         assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.encode_documents(df.limit(0), RANKS, PATTERN).count() == 0
+    narrow = bpe.encode_documents(df, RANKS, PATTERN, with_bytes=False)
+    assert narrow.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and narrow.count() == len(rows)
+    blank = spark.createDataFrame([(1, "\n" * 1_000_000)], "doc_id long, text string")
+    assert bpe.encode_documents(blank, RANKS, PATTERN, with_ids=False).first().decoded_sha256 == hashlib.sha256(b"\n" * 1_000_000).hexdigest()
 
 
 @given(st.integers(1, 32), st.lists(st.integers(0, 2**32 - 1), max_size=50))
