@@ -24,11 +24,11 @@ SENSITIVE = re.compile(r"(?:secret|passw|pwd|token|api[_-]?key|apikey|credential
 NEAR = 48
 #: Code points of surroundings that the compressor sees before a candidate.
 CONTEXT = 512
-#: Marginal compressed bytes for each byte of a candidate from which on it is reported. Measured in short contexts, random base64 takes 0.9
-#: or more, random letters and random digits alone 0.8 or more, random hexadecimal digits 0.9 on average, and identifiers of words that the dictionary knows 0.5 to 0.67.
-NOVELTY = 0.7
-#: The compressor's level, for texts of about this many bytes.
-LEVEL, SIZE = 9, 2048
+#: Marginal compressed bytes for each byte of a candidate from which on it is reported. Random strings of 16 and more letters, digits or both take 0.9
+#: to 1 in contexts of any length; identifiers that a dictionary knows 0.5 to 0.75.
+NOVELTY = 0.85
+#: The compressor's level, for texts of about this many bytes; bytes of a candidate in a block, and bytes of a block's header.
+LEVEL, SIZE, PIECE, HEADER = 9, 2048, 48, 3
 #: Common identifiers and words that prime the compressor, so that camel-case and snake-case names aren't novel.
 IDENTIFIERS = """
 access account action address amount application argument array authorization backup balance base buffer builder bytes cache callback channel character check
@@ -45,25 +45,55 @@ worker write
 """.split()
 
 
-def dictionary() -> zstandard.ZstdCompressionDict:
-    """A raw-content dictionary of identifiers in lower, upper, capital and joined forms."""
+#: Modules of the standard library whose public names, and those of their classes, are identifiers of real code.
+MODULES = "argparse base64 builtins collections configparser csv datetime functools hashlib http.client io itertools json logging os pathlib random re shutil socket sqlite3 ssl string subprocess tempfile threading time typing urllib.parse urllib.request uuid xml.etree.ElementTree zipfile".split()
+
+
+def code_identifiers() -> list[str]:
+    """Keywords, and the names that MODULES and their classes export, once each, in sorted order."""
+    import keyword
+    from importlib import import_module
+
+    names = set(keyword.kwlist)
+    for module in map(import_module, MODULES):
+        for name in dir(module):
+            names.add(name)
+            if isinstance(member := getattr(module, name, None), type):
+                names.update(dir(member))
+    return sorted(n for n in names if len(n) > 3 and not n.startswith("_"))
+
+
+def dictionaries(more: tuple[str, ...] = ()) -> list[zstandard.ZstdCompressionDict]:
+    """Raw-content dictionaries: common words in lower, upper, capital and joined forms; identifiers of the standard library; those of one's own code."""
     forms = [*IDENTIFIERS, *map(str.upper, IDENTIFIERS), *map(str.capitalize, IDENTIFIERS)]
     joined = ["_".join(IDENTIFIERS[i : i + 3]) for i in range(0, len(IDENTIFIERS), 3)]
     camel = ["".join(map(str.capitalize, IDENTIFIERS[i : i + 3])) for i in range(0, len(IDENTIFIERS), 3)]
-    return zstandard.ZstdCompressionDict(" ".join([*forms, *joined, *camel]).encode(), zstandard.DICT_TYPE_RAWCONTENT)
+    return [zstandard.ZstdCompressionDict(" ".join(names).encode(), zstandard.DICT_TYPE_RAWCONTENT) for names in ([*forms, *joined, *camel], code_identifiers(), more) if names]
 
 
 class Novelty:
-    """Marginal compressed bytes of a string after its surroundings, under the identifier dictionary."""
+    """Marginal compressed bytes of a string after its surroundings, for each of its bytes, under the dictionary that knows it best."""
 
-    def __init__(self):
-        known = dictionary()
-        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=SIZE, dict_size=len(known.as_bytes()), write_content_size=0, write_checksum=0, write_dict_id=0)
-        self.press = zstandard.ZstdCompressor(dict_data=known, compression_params=params)
+    def __init__(self, more: tuple[str, ...] = ()):
+        self.press = []
+        for known in dictionaries(more):
+            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=SIZE, dict_size=len(known.as_bytes()), write_content_size=0, write_checksum=0, write_dict_id=0)
+            self.press.append(zstandard.ZstdCompressor(dict_data=known, compression_params=params))
 
     def __call__(self, context: str, candidate: str) -> float:
         before, own = context.encode("utf-8", "surrogatepass"), candidate.encode("utf-8", "surrogatepass")
-        return max(0, len(self.press.compress(before + own)) - len(self.press.compress(before))) / len(own)
+        return min(sum(self._marginal(p, before, own)) for p in self.press) / len(own)
+
+    @staticmethod
+    def _marginal(press: zstandard.ZstdCompressor, before: bytes, own: bytes) -> Iterator[int]:
+        """Sizes of the blocks that the candidate adds behind its surroundings. Blocks are so short that their literals stay plain: only
+        what the surroundings and the dictionary have said already makes them smaller, whatever letters they consist of."""
+        stream = press.compressobj()
+        stream.compress(before)
+        stream.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)
+        for at in range(0, len(own), PIECE):
+            block = stream.compress(own[at : at + PIECE]) + stream.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)
+            yield len(block) - HEADER
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -90,7 +120,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
             continue
         while i < len(taken) and taken[i][1] <= s:
             i += 1
-        if any(a < e and s < b for a, b in taken[i : i + 64]):
+        if i < len(taken) and taken[i][0] < e:  # the first span that ends behind the start decides, as the others start later
             continue
         context = text[max(0, s - CONTEXT) : s] + text[e : e + CONTEXT]
         if novelty(context, m[0]) >= NOVELTY:
@@ -98,16 +128,16 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
     return out
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identifiers: tuple[str, ...] = ()) -> DataFrame:
     """One row per row: id key, found: array of (kind, start, end, value), by start and then kind; ends are exclusive, in code points.
 
-    Whole texts; null texts are empty; null and repeated ids pass through; an empty table gives no rows; other columns are
-    ignored. A narrow plan without a shuffle.
+    `identifiers` of one's own code join the dictionary. Whole texts; null texts are empty; null and repeated ids pass through; an empty table gives no
+    rows; other columns are ignored. A narrow plan without a shuffle.
     """
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(identifiers)
         rank = {k: i for i, k in enumerate((*BASE, "novel"))}
         for b in batches:
             out = []
@@ -122,11 +152,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id bigint, found array<struct<kind: string, start: bigint, end: bigint, value: string>>")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs' ids and texts with every found span replaced by the mark (overlapping spans as one)."""
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", identifiers: tuple[str, ...] = ()) -> DataFrame:
+    """docs' id keys and texts with every found span replaced by the mark (overlapping spans as one).
+
+    Null texts stay null and empty ones empty; null and repeated ids pass through; an empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(identifiers)
         for b in batches:
             out = []
             for text in b.column(1).to_pylist():
