@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +16,15 @@ from pyspark.sql import functions as F
 from .common import id_back, id_key, table
 
 MARKUP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z]|/)")
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-#: Code points that a tag with quoted values is sought in, beyond which it ends at the next sign; and open elements, beyond which others become siblings.
-LONGEST, DEEPEST = 8192, 512
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: An attribute: quotes matter behind its sign of equality alone, and hold any text, of any length. Matched once, without going back.
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+"""
+TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)>")
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.IGNORECASE)
+#: The most columns or rows that a cell spans, as in the standard.
+COLUMNS, ROWS = 1000, 65534
 
 #: Elements without content; whose content is raw text; that show nothing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,25 +50,29 @@ IMPLIED = {
     "body": (frozenset({"head"}), frozenset()),
 }
 SCOPE = frozenset("table td th caption button html template object".split())
+#: End tags that close across tables and cells.
+OUTER = frozenset("table tr tbody thead tfoot td th body html".split())
 HEAD = frozenset("base link meta title style script noscript template head".split())
 BREAK = object()
 BULLET, CELL = "- ", "  "
 
 
 class Node:
-    __slots__ = ("tag", "unseen", "start", "children")
+    """An element: unseen with all that is in it; visible (None: as its parent); number of a list or item; span of a cell in columns and rows."""
 
-    def __init__(self, tag: str, unseen: bool = False, start: int = 1):
-        self.tag, self.unseen, self.start, self.children = tag, unseen, start, []
+    __slots__ = ("tag", "unseen", "visible", "number", "span", "children")
+
+    def __init__(self, tag: str, unseen: bool = False, visible: bool | None = None, number: int | None = None, span: tuple[int, int] = (1, 1)):
+        self.tag, self.unseen, self.visible, self.number, self.span, self.children = tag, unseen, visible, number, span, []
 
 
 class Block:
-    """Lines that stand apart from what is around them, by a blank line if spaced."""
+    """Lines that stand apart from what is around them, by a blank line if spaced. Of a row: its cells, of an item: "item" and its number, of a cell: its span."""
 
-    __slots__ = ("lines", "spaced", "cells")
+    __slots__ = ("lines", "spaced", "cells", "number", "span")
 
-    def __init__(self, lines: list[str], spaced: bool, cells: list | None = None):
-        self.lines, self.spaced, self.cells = lines, spaced, cells
+    def __init__(self, lines: list[str], spaced: bool, cells: list | str | None = None, number: int | None = None, span: tuple[int, int] = (1, 1)):
+        self.lines, self.spaced, self.cells, self.number, self.span = lines, spaced, cells, number, span
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -75,23 +83,45 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+def _whole(attrs: dict[str, str], name: str, least: int, most: int) -> int | None:
+    """A whole number in an attribute, within bounds; None without one."""
+    value = attrs.get(name, "").strip()
+    return min(max(int(value), least), most) if re.fullmatch(r"-?\d{1,9}", value) else None
+
+
+def _node(tag: str, attrs: dict[str, str]) -> Node:
+    if not attrs:
+        return Node(tag, tag in UNSEEN or tag == "dialog")
+    style = attrs.get("style", "")
+    unseen = tag in UNSEEN or "hidden" in attrs or bool(NO_DISPLAY.search(style)) or tag == "input" and attrs.get("type", "").lower() == "hidden" or tag == "dialog" and "open" not in attrs
+    said = VISIBILITY.findall(style)
+    number = _whole(attrs, "start", -(10**9), 10**9) if tag == "ol" else _whole(attrs, "value", -(10**9), 10**9) if tag == "li" else None
+    span = (_whole(attrs, "colspan", 1, COLUMNS) or 1, _whole(attrs, "rowspan", 0, ROWS)) if tag in ("td", "th") else (1, 1)
+    return Node(tag, unseen, said[-1].lower() == "visible" if said else None, number, (span[0], 1 if span[1] is None else span[1] or ROWS))
+
+
 def build(html: str) -> Node:
     """The tree: implied ends of p, li, dt, dd, options and table parts, an implied end of head, void and raw-text elements; end tags
-    without an open element are ignored, elements open at the end are closed."""
+    without an open element are ignored, elements open at the end are closed. Tags of any length, elements of any depth: where a tag's elements lie in the
+    stack is kept by tag, so that none is searched for."""
     root = Node("#root")
     stack, at, n = [root], 0, len(html)
     lower = None
-    open_ = {"#root": 1}
+    places: dict[str, list[int]] = {}
+
+    def last(tag: str) -> int:
+        """The depth of the innermost open element of a tag, 0 where there is none."""
+        own = places.get(tag)
+        return own[-1] if own else 0
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
-            open_[stack.pop().tag] -= 1
+            places[stack.pop().tag].pop()
 
     def push(node: Node) -> None:
-        pop_to(DEEPEST)
+        places.setdefault(node.tag, []).append(len(stack))
         stack[-1].children.append(node)
         stack.append(node)
-        open_[node.tag] = open_.get(node.tag, 0) + 1
 
     while at < n:
         m = MARKUP.search(html, at)
@@ -111,49 +141,34 @@ def build(html: str) -> Node:
             end = html.find(">", at)
             at = end + 1 if end >= 0 else n
             continue
-        m = TAG.match(html, at, at + LONGEST) or LOOSE.match(html, at)
+        m = TAG.match(html, at)
         if not m:
             break  # a tag that the text ends in shows nothing
         at = m.end()
         tag = m[2].lower()
         if m[1]:
-            if tag in ("p", "br") and not open_.get(tag):
+            depth = last(tag)
+            if tag in ("p", "br") and not depth:
                 stack[-1].children.append(Node(tag))
-            elif open_.get(tag):
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag == tag:
-                        pop_to(depth)
-                        break
-                    if stack[depth].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                        break
+            elif depth and (tag in OUTER or depth > max(map(last, ("table", "td", "th")))):
+                pop_to(depth)
             continue
         if tag == "image":
             tag = "img"
         if stack[-1].tag == "head" and tag not in HEAD:
             pop_to(len(stack) - 1)
-        if tag in P_ENDS and open_.get("p"):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    pop_to(depth)
-                    break
-                if stack[depth].tag in SCOPE:
-                    break
+        if tag in P_ENDS and last("p") > max(map(last, SCOPE)):
+            pop_to(last("p"))
         if rule := IMPLIED.get(tag):
             ends, stop = rule
-            cut = 0
-            if any(open_.get(x) for x in ends):
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag in ends:
-                        cut = depth
-                    elif stack[depth].tag in stop or stack[depth].tag == "table":
-                        break
-                if cut:
-                    pop_to(cut)
-        attrs = _attributes(m[3]) if m[3] and not m[3].isspace() and m[3] != "/" else {}
-        unseen = tag in UNSEEN or "hidden" in attrs or bool(HIDDEN_STYLE.search(attrs.get("style", ""))) or tag == "input" and attrs.get("type", "").lower() == "hidden" or tag == "dialog" and "open" not in attrs
+            floor = max(map(last, (*stop, "table")))
+            # The outermost of the elements to end that lie inside the innermost one that stops the search.
+            inside = [own[bisect_right(own, floor)] for x in ends if (own := places.get(x)) and own[-1] > floor]
+            if inside:
+                pop_to(min(inside))
+        node = _node(tag, _attributes(m[3]) if m[3] and not m[3].isspace() and m[3] != "/" else {})
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             push(Node("tr"))
-        node = Node(tag, unseen, int(attrs["start"]) if tag == "ol" and re.fullmatch(r"-?\d{1,9}", attrs.get("start", "")) else 1)
         if tag in VOID:
             stack[-1].children.append(node)
         elif tag in RAW:
@@ -219,21 +234,58 @@ def _stack(blocks: list[Block]) -> list[str]:
     return lines
 
 
+def _grid(rows: list[list[tuple[list[str], tuple[int, int]]]]) -> list[list[tuple[int, list[str], int]]]:
+    """Rows of cells (lines, span) as rows of (column, lines, columns): cells that span rows keep their columns in those below, without text."""
+    out, busy = [], {}  # busy: column to the rows that a cell above still covers
+    for row in rows:
+        line, at, below = [], 0, {}
+        for lines, (columns, height) in row:
+            while busy.get(at, 0):
+                at += 1
+            line.append((at, lines, columns))
+            if height > 1:
+                below.update(dict.fromkeys(range(at, at + columns), height - 1))
+            at += columns
+        busy = {c: left - 1 for c, left in busy.items() if left > 1} | below
+        out.append(line)
+    return out
+
+
 def _table(items: list) -> list[str]:
-    """Rows of cells, each column as wide as its widest line."""
+    """Rows of cells, each column as wide as its widest line. What a cell of several columns needs beyond them goes to its last one."""
     out: list[str] = []
-    rows: list[list[list[str]]] = []
+    rows: list[list[tuple[list[str], tuple[int, int]]]] = []
 
     def end():
-        widths = [0] * max([0, *map(len, rows)])
-        for row in rows:
-            for i, cell in enumerate(row):
-                widths[i] = max([widths[i], *map(width, cell)])
-        for row in rows:
-            for k in range(max(map(len, row))):
-                parts = [cell[k] if k < len(cell) else "" for cell in row]
-                if line := CELL.join(x + " " * (w - width(x)) for x, w in zip(parts, widths, strict=False)).rstrip():
-                    out.append(line)
+        grid = _grid(rows)
+        widths: dict[int, int] = {}
+        for line in grid:
+            for at, cell, columns in line:
+                if columns == 1:
+                    widths[at] = max([widths.get(at, 0), *map(width, cell)])
+        # A column that only wide cells lie in takes no room of its own.
+        room = lambda at, columns: sum(widths[c] for c in range(at, at + columns) if c in widths) + len(CELL) * (sum(c in widths for c in range(at, at + columns)) - 1)
+        for line in grid:
+            for at, cell, columns in line:
+                if columns > 1:
+                    need = max(map(width, cell), default=0)
+                    used = [c for c in range(at, at + columns) if c in widths]
+                    if not used:
+                        widths[at] = need
+                    elif need > room(at, columns):
+                        widths[used[-1]] += need - room(at, columns)
+        order = sorted(widths)
+        left = dict(zip(order, accumulate([0, *(widths[c] + len(CELL) for c in order)]), strict=False))
+        for line in grid:
+            for k in range(max((len(cell) for _, cell, _ in line), default=0)):
+                text, used = "", 0
+                for at, cell, columns in line:
+                    if k < len(cell) and cell[k]:
+                        start = left[next(c for c in range(at, at + columns) if c in left)]
+                        text += " " * (start - used) + cell[k]
+                        used = start + width(cell[k])
+                if text := text.rstrip():
+                    out.append(text)
         rows.clear()
 
     for b in _flow(items):
@@ -252,6 +304,7 @@ def _list(items: list, ordered: bool, number: int) -> list[str]:
     for b in _flow(items):
         mark = ""
         if b.cells == "item":
+            number = number if b.number is None else b.number
             mark = f"{number}. " if ordered else BULLET
             number += 1
         out += [(" " * len(mark) if i else mark) + x for i, x in enumerate(b.lines)]
@@ -268,19 +321,19 @@ def _close(node: Node, items: list) -> list:
     if tag not in BLOCK:
         return items
     if tag == "tr":
-        cells = [b.lines for b in _flow(items)]
-        return [Block([CELL.join(map(" ".join, cells))], False, cells)] if cells else []
+        cells = [(b.lines, b.span) for b in _flow(items)]
+        return [Block([CELL.join(" ".join(x) for x, _ in cells)], False, cells)] if cells else []
     if tag in ("thead", "tbody", "tfoot"):
         return items
     if tag == "table":
         return [Block(_table(items), True)]
     if tag in ("ul", "ol", "menu"):
-        return [Block(_list(items, tag == "ol", node.start), True)]
+        return [Block(_list(items, tag == "ol", 1 if node.number is None else node.number), True)]
     blocks = _flow(items, tag in ("pre", "xmp"))
     if tag in ("td", "th"):
-        return [Block(_stack(blocks), False)]
+        return [Block(_stack(blocks), False, None, None, node.span)]
     if tag == "li":
-        return [Block([x for b in blocks for x in b.lines], False, "item")]
+        return [Block([x for b in blocks for x in b.lines], False, "item", node.number)]
     if tag == "dd":
         return [Block(["  " + x if x else x for x in _stack(blocks)], False)]
     if tag == "blockquote":
@@ -291,23 +344,27 @@ def _close(node: Node, items: list) -> list:
 
 
 def render(root: Node) -> str:
-    """Children before parents, without recursion: any depth of nesting is fine."""
+    """Children before parents, without recursion: any depth of nesting is fine. Text shows where the innermost element that says so is visible."""
     done: list[list] = [[]]
-    work: list = [(root, False)]
+    work: list = [(root, False, True)]
     while work:
-        node, closing = work.pop()
+        node, closing, visible = work.pop()
         if isinstance(node, str):
-            done[-1].append(node)
+            if visible:
+                done[-1].append(node)
         elif closing:
             made = _close(node, done.pop())
+            if node.tag == "hr" and not visible:
+                made = []
             if done[-1]:
                 done[-1] += made
             else:
                 done[-1] = made
         elif not node.unseen:
+            visible = visible if node.visible is None else node.visible
             done.append([])
-            work.append((node, True))
-            work += [(child, False) for child in reversed(node.children)]
+            work.append((node, True, visible))
+            work += [(child, False, visible) for child in reversed(node.children)]
     return "\n".join(_stack(_flow(done[0])))
 
 
@@ -318,9 +375,10 @@ def extract_text(html: str | None) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Per row: id (key) and text, all that a reader sees, laid out in lines.
 
-    Unseen are head, scripts, styles, templates, embedded media, comments, and elements with a hidden attribute or a style of display: none or
-    visibility: hidden. Paragraphs, headings, lists and tables stand between blank lines, items have bullets or numbers and indents,
-    cells are padded to their columns, pre keeps its spaces. Null and empty pages give empty texts; null and repeated ids pass;
+    Unseen are head, scripts, styles, templates, embedded media, comments, elements with a hidden attribute or a style of display: none, and the
+    text of those whose visibility is hidden, but for elements in them that are visible again. Tags and nesting may be of any length and depth; a tag that
+    never ends shows nothing, a quote that is never closed is part of a name. Paragraphs, headings, lists and tables stand between blank lines, items have bullets or numbers and indents,
+    cells are padded to their columns, also where some span several columns or rows, pre keeps its spaces. Null and empty pages give empty texts; null and repeated ids pass;
     an empty table gives no rows; other columns are ignored. A narrow plan without a shuffle.
     """
 

@@ -250,6 +250,18 @@ CASES = [
     ("</p>a</div></b>", "a"),
     ("<b>one <i>two</b> three</i>", "one two three"),
     ("<select><option>a<option>b</select>", "a\nb"),
+    ("<table><tr><th colspan=2>name<th>age<tr><td>ann<td>lee<td>7</table>", "name      age\nann  lee  7"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c</table>", "a  b\n   c"),
+    ("<table><tr><td>a<td>b<tr><td colspan=2>a long title</table>", "a  b\na long title"),
+    ("<table><tr><td colspan=999999999>wide<tr><td>x<td>y</table>", "wide\nx  y"),
+    ("<ol><li>a<li value=7>b<li>c<li value=x>d</ol>", "1. a\n7. b\n8. c\n9. d"),
+    ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes<b>too</b></p>no<hr></div>", "yestoo"),
+    ("<div style='display:none'>no<p style='visibility:visible'>no</p></div>x", "x"),
+    ("<p class=it's>a<p title=x'y>b", "a\n\nb"),
+    ("<a href='x>y", "y"),
+    ("<p>a<a href='x>y</a><p>b", "ay\n\nb"),
+    ("<p>a<a href='x", "a"),
     ("", ""),
     (None, ""),
 ]
@@ -291,6 +303,14 @@ def test_visible_words_stay():
         assert [w for w in ht.extract_text("".join(parts)).replace("- ", " ").split() if w.startswith("w")] == reader.words
 
 
+def test_tags_and_depth_without_bounds():
+    assert ht.extract_text(f"a<p title='{'x > y ' * 20_000}'>b") == "a\n\nb"
+    assert ht.extract_text("<i>" * 5000 + "<div hidden>secret<p>more</p></div>" + "</i>" * 5000 + "shown") == "shown"
+    assert ht.extract_text("<p><button>" + "<div>" * 50_000 + "x") == "x"
+    assert ht.extract_text("<table>" * 3000 + "<tr><td>x") == "x"
+    assert ht.extract_text("<a b='" * 50_000 + "x") == ""
+
+
 def test_deep_and_long_pages():
     assert ht.extract_text("<div>" * 100_000 + "x") == "x"
     assert ht.extract_text("<ul><li>" * 2000 + "x").endswith("x")
