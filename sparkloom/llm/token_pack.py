@@ -8,6 +8,7 @@ A shard file, all integers little-endian:
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -26,11 +27,12 @@ from .common import id_back, id_key, materialize, scratch_path, table
 BLOCK, MAGIC, TRAILER = 1 << 16, b"SLBITS01", struct.Struct("<IIQQQ8s")
 #: Most pieces whose ids a worker remembers.
 MEMORY = 1_000_000
-#: Texts, and their code points at most, that are cut into words at once.
-BATCH, AT_ONCE = 4096, 1 << 23
+#: Texts, and their code points at most (but for one text), that are cut into words at once.
+BATCH, AT_ONCE = 4096, 1 << 22
 _MEMORIES: dict[str, "_Memory"] = {}
 _TOKENIZERS: dict[str, object] = {}
 _ADDED: dict[str, list[str]] = {}
+_BY_SPACES: dict[str, bool] = {}
 _OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _ASCII_SPACES = [c for c in _OTHER_SPACES if c.isascii()]
 
@@ -41,8 +43,9 @@ def _unsafe(text: str) -> bool:
     return text[0] == " " or text[-1] == " " or "  " in text or any(c in text and (f" {c}" in text or f"{c} " in text) for c in others)
 
 
-def bits_for(vocabulary: int) -> int:
-    return max(1, (vocabulary - 1).bit_length())
+def bits_for(largest: int) -> int:
+    """Bits that hold all ids up to the largest one: a vocabulary may have gaps, so that its size doesn't tell."""
+    return max(1, largest.bit_length())
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -145,6 +148,20 @@ def _added(path: str) -> list[str]:
     return _ADDED[path]
 
 
+def largest_id(path: str) -> int:
+    return max(tokenizer(path).get_vocab().values())
+
+
+def _splits_at_spaces(path: str) -> bool:
+    """Whether the file says what the memory of words relies on: byte-level pre-splitting by its usual pattern, without a normaliser, a prefix or drop-out."""
+    if path not in _BY_SPACES:
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        before, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+        _BY_SPACES[path] = said.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and model.get("type", "BPE") == "BPE" and not model.get("dropout")
+    return _BY_SPACES[path]
+
+
 def _whole(texts: list[str], path: str) -> list[np.ndarray]:
     return [np.array(e.ids, "<u4") for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
@@ -252,10 +269,11 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """Each text's ids as little-endian uint32, by the tokenizers library.
 
     Byte-level pre-splitting never joins characters across a space between two that aren't white space, so what follows such a space is
-    encoded once and remembered: a word stands for the space and itself. Texts with other spaces or an added token's string are encoded as they are.
+    encoded once and remembered: a word stands for the space and itself. Texts with other spaces or an added token's string are encoded as they are, and so
+    are all texts where the file names another way of splitting.
     """
-    added = _added(path)
-    odd = [bool(t) and (_unsafe(t) or any(a in t for a in added)) for t in texts]
+    added, whole = _added(path), not _splits_at_spaces(path)
+    odd = [bool(t) and (whole or _unsafe(t) or any(a in t for a in added)) for t in texts]
     regular = iter(_regular([t for t, o in zip(texts, odd, strict=True) if t and not o], path))
     whole = (x.tobytes() for x in _whole([t for t, o in zip(texts, odd, strict=True) if o], path))
     return [b"" if not t else next(whole) if o else next(regular) for t, o in zip(texts, odd, strict=True)]
@@ -268,22 +286,32 @@ def open_folder(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else re.sub(r"^file:/+", "file:///", uri) if uri.startswith("file:") else f"file://{uri}")
 
 
-def _writer(folder: str, path: str, end_id: int, bits: int) -> Callable:
+def _encoder(path: str, end_id: int, bits: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([end_id], "<u4").tobytes()
+        for b in batches:
+            for at in range(0, b.num_rows, BATCH):
+                part = b.slice(at, BATCH)
+                ids = [np.frombuffer(x + end, "<u4") for x in token_bytes(part.column(1).to_pylist(), path)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([pack(x, bits) for x in ids], pa.binary())], ["id", "n", "packed"])
+
+    return run
+
+
+def _writer(folder: str, bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         files, root = open_folder(folder)
         name, own = f"{root}/part-{part:06d}.bits", f"{root}/_{part:06d}-{uuid.uuid4().hex}"
-        end, writer, sink = np.array([end_id], "<u4").tobytes(), None, None
+        writer, sink = None, None
         for b in batches:
-            for at in range(0, b.num_rows, BATCH):
-                if writer is None:
-                    files.create_dir(root, recursive=True)
-                    writer = ShardWriter(sink := files.open_output_stream(own), bits)
-                keys, texts = (b.column(i).slice(at, BATCH).to_pylist() for i in (0, 1))
-                for key, ids in zip(keys, token_bytes(texts, path), strict=True):
-                    writer.add(key, np.frombuffer(ids + end, "<u4"))
+            if writer is None and b.num_rows:
+                files.create_dir(root, recursive=True)
+                writer = ShardWriter(sink := files.open_output_stream(own), bits)
+            for i in range(b.num_rows):
+                writer.add(b.column(0)[i].as_py(), unpack(b.column(2)[i].as_buffer(), b.column(1)[i].as_py(), bits))
         if writer is not None:
             writer.close()
             sink.close()
@@ -311,14 +339,17 @@ def _reader(folder: str) -> Callable:
 def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes all texts and writes them as shards in ascending id order; returns the manifest: shard, n_docs, n_ids.
 
-    One range shuffle of the raw rows, then each task streams its range into a file of its own. Files are written under
-    names of their own and moved, so that lost or repeated tasks leave whole files. Null texts are empty (the end id alone); null ids come first;
-    rows that repeat an id come in the order of their texts. An empty table writes nothing; other columns are ignored.
+    Texts are encoded where they are read; what is written and then range-shuffled are the packed ids, in the bits that the largest id takes. Each task
+    streams its range into a file of its own. Files are written under names of their own and moved, so that lost or repeated tasks leave whole files. Null texts
+    are empty (the end id alone); null ids come first; rows that repeat an id come in the order of their lengths and packed ids. An empty table writes nothing;
+    other columns are ignored.
     """
-    bits = bits_for(tokenizer(tokenizer_path).get_vocab_size())
+    bits = bits_for(max(largest_id(tokenizer_path), end_id))
     rows = docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    return materialize(rows.mapInArrow(_writer(folder, tokenizer_path, end_id, bits), "shard bigint, n_docs bigint, n_ids bigint"), "manifest")
+    # Written first: the shuffle samples its input, which would encode all texts twice.
+    encoded = materialize(rows.mapInArrow(_encoder(tokenizer_path, end_id, bits), "id bigint, n bigint, packed binary"), "encoded")
+    ordered = encoded.repartitionByRange("id").sortWithinPartitions("id", "n", "packed")
+    return materialize(ordered.mapInArrow(_writer(folder, bits), "shard bigint, n_docs bigint, n_ids bigint"), "manifest")
 
 
 def read_packed(manifest: DataFrame, folder: str) -> DataFrame:

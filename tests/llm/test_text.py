@@ -106,7 +106,7 @@ def test_shards_give_random_access(monkeypatch, bits):
     assert len(reader) == len(docs) and reader.ids.tolist() == [k for k, _ in docs]
     for i in order:
         assert reader.document(i).tolist() == docs[i][1].tolist()
-    assert tp.bits_for(2) == 1 and tp.bits_for(50257) == 16 and tp.bits_for(65537) == 17
+    assert tp.bits_for(0) == tp.bits_for(1) == 1 and tp.bits_for(50256) == tp.bits_for(65535) == 16 and tp.bits_for(65536) == 17
     with pytest.raises(ValueError):
         tp.ShardReader(io.BytesIO(b"\0" * 100))
 
@@ -143,6 +143,34 @@ def test_packed_documents(spark, tmp_path):
     assert tp.read_packed(tp.write_packed(df.limit(0), none, JSON), none).count() == 0
 
 
+def test_vocabularies_with_gaps_and_other_splitting(spark, tmp_path):
+    """An id far beyond the vocabulary's size keeps all its bits; a tokenizer that splits otherwise isn't taken apart at spaces."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(JSON, encoding="utf-8") as file:
+        said = json.load(file)
+    token = max(said["model"]["vocab"], key=said["model"]["vocab"].get)
+    tail = next(t for t in said["model"]["vocab"] if t == "e")
+    for t in (token, tail):
+        said["model"]["vocab"][t] = 70_000 + len(t)
+    gaps = str(tmp_path / "gaps.json")
+    with open(gaps, "w", encoding="utf-8") as file:
+        json.dump(said, file)
+    said["pre_tokenizer"] = {"type": "Whitespace"}
+    other = str(tmp_path / "other.json")
+    with open(other, "w", encoding="utf-8") as file:
+        json.dump(said, file)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["see e e", "an eel e", ""])], "doc_id long, text string")
+    for path, by_spaces in ((gaps, True), (other, False)):
+        assert tp._splits_at_spaces(path) == by_spaces and tp.bits_for(tp.largest_id(path)) == 17
+        folder, t = f"file://{tmp_path}/{by_spaces}", Tokenizer.from_file(path)
+        got = tp.read_packed(tp.write_packed(df, folder, path), folder).collect()
+        want = [np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for x in ("see e e", "an eel e", "")]
+        assert [(len(w), zlib.crc32(w.tobytes())) for w in want] == [(r.n_tokens, r.ids_crc32) for r in sorted(got, key=lambda r: r.id)]
+
+
 def brute_base(text):
     """Every start on its own, left to right."""
     out = []
