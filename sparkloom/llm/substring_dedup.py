@@ -1,9 +1,8 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark; repeats merge into removal intervals.
 
-Only windows that can repeat are shuffled. Each window names its least hash of MARK words as its mark; equal windows have equal
-marks, so that a window whose mark occurs once in the corpus occurs once. The first shuffle counts marks (about one in seven
-words), the second brings documents with repeated marks together with them, the third counts those windows, the fourth brings
-the late ones back. Hashes and places travel as compressed columns, a row for each bucket of a sorted buffer.
+One narrow pass hashes every window of every text. Hashes and places travel as arrays, a row for each part of the hash space and buffer, and are exploded
+behind the shuffle, where Spark sorts the windows of a part by hash and place and keeps those that an equal one comes before. Texts aren't shuffled, but for
+those with something to remove.
 """
 
 from __future__ import annotations
@@ -14,32 +13,42 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import id_back, id_key, materialize, table
 
-#: Words in a window; words in a mark.
-WINDOW, MARK = 20, 8
-#: Rows that are combined before they are shuffled.
-BUFFER = 1 << 19
-#: Code points of all texts for each bucket of marks (about 1.3 million), and for each of windows (2.2 million if all are candidates).
-CHARS, WINDOW_CHARS = 48_000_000, 12_000_000
-#: Odd bases of the polynomial hashes modulo 2^64, over words' 64-bit hashes under different seeds.
+#: Words in a window.
+WINDOW = 20
+#: Windows that are combined before they are shuffled, which bounds a worker's memory but for one text.
+BUFFER = 1 << 20
+#: Odd bases of the two polynomial hashes modulo 2^64, over the halves of words' 128-bit hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-SENT = "bucket int, known boolean, cells binary"
+#: Rows of a part: hash, id, tag (of the text, which tells apart rows that share an id) and start of each window; last is -1, or else these are
+#: runs of windows (start to last) that are known to come late.
+SENT = "part int, h array<bigint>, id array<bigint>, tag array<int>, start array<int>, last array<int>"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+class _Powers:
+    """Powers of an odd base modulo 2^64, from 0 on, as many as were asked for so far."""
+
+    def __init__(self, base: int):
+        self.base, self.known = base, np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> np.ndarray:
+        if n > len(self.known):
+            self.known = np.full(max(n, 2 * len(self.known)), self.base, np.uint64)
+            self.known[0] = 1
+            np.multiply.accumulate(self.known, out=self.known)
+        return self.known[:n]
+
+
+_POWERS: dict[int, tuple[_Powers, _Powers]] = {}
 
 
 def rolling(values: np.ndarray, size: int, base: int) -> np.ndarray:
@@ -47,9 +56,12 @@ def rolling(values: np.ndarray, size: int, base: int) -> np.ndarray:
     n = len(values) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    inverse = pow(base, -1, 1 << 64)
-    prefix = np.r_[np.uint64(0), np.cumsum(values * _powers(base, len(values)), dtype=np.uint64)]
-    return _mix((prefix[size:] - prefix[:n]) * _powers(inverse, n))
+    if base not in _POWERS:
+        _POWERS[base] = _Powers(base), _Powers(pow(base, -1, 1 << 64))
+    powers, inverse = _POWERS[base]
+    prefix = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values)), dtype=np.uint64, out=prefix[1:])
+    return _mix((prefix[size:] - prefix[:n]) * inverse(n))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -59,223 +71,87 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _hashed(words: list[bytes], seed: int) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w, seed) for w in words] if seed else list(map(digest, words)), np.uint64)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Two independent 64-bit hashes of each word, one a row."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2).T
 
 
-def marks(values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all marks, and for each window the place of its mark (the leftmost least one in it)."""
-    h = rolling(values, min(MARK, window), BASES[0])
-    span = window - min(MARK, window) + 1
-    n = len(values) - window + 1
-    if n <= 0:
-        return h, np.empty(0, np.int64)
-    place = np.empty(n, np.int64)
-    for at in range(0, n, 1 << 16):
-        part = h[at : at + min(1 << 16, n - at) + span - 1]
-        place[at : at + (1 << 16)] = np.lib.stride_tricks.sliding_window_view(part, span).argmin(1) + np.arange(at, min(n, at + (1 << 16)))
-    return h, place
-
-
-def _tag(data: bytes) -> int:
-    """Tells apart texts that repeat an id."""
-    return xxhash.xxh32_intdigest(data) & 0x7FFFFFFF
-
-
-def _squeeze(cols: list[np.ndarray]) -> bytes:
-    """Columns of int64 as compressed planes of bytes; the first one, which is sorted, as differences."""
-    n = len(cols[0])
-    first = np.diff(cols[0], prepend=np.int64(0))
-    planes = b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(n, 8).T).tobytes() for c in [first, *cols[1:]])
-    return zstandard.ZstdCompressor(level=1).compress(planes)
-
-
-def _loosen(data: bytes, width: int) -> list[np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, 8, -1)
-    cols = [np.ascontiguousarray(p.T).view("<i8")[:, 0] for p in planes]
-    return [np.cumsum(cols[0]), *cols[1:]]
-
-
-def _slices(bucket: np.ndarray, cols: list[np.ndarray], known: bool) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of their buckets, as one row a bucket."""
-    if len(bucket):
-        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-        cells = [_squeeze([c[a:b] for c in cols]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([known] * len(cells)), pa.array(cells, pa.binary())], ["bucket", "known", "cells"])
-
-
-def _by_key(key: np.ndarray, buckets: int) -> np.ndarray:
-    return (((key.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-
-
-def _by_document(key: np.ndarray, tag: np.ndarray, start: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    bucket = _by_key(_mix((key ^ tag << 20).view(np.uint64) + np.uint64(1)).view(np.int64), buckets)
-    order = np.lexsort([start, tag, key, bucket])
-    yield from _slices(bucket[order], [key[order], tag[order], start[order]], True)
-
-
-def _combined(rows: Iterator[tuple[np.ndarray, ...]], keys: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Gathers rows (key columns, id, tag, start) into buffers and sorts them. Of equal keys only the first goes on by its key, marked if
-    the buffer has others; those are known to repeat and go on by their document. So a key sends one row a buffer at most."""
-    held, n = [], 0
-
-    def out() -> Iterator[pa.RecordBatch]:
-        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-        held.clear()
-        order = np.lexsort([cols[i] for i in (keys + 1, keys + 2, keys, *range(keys - 1, -1, -1))])
-        cols = [c[order] for c in cols]
-        same = np.ones(len(order), bool)
-        same[0] = False
-        for c in cols[:keys]:
-            same[1:] &= c[1:] == c[:-1]
-        leader = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        # An equal text under the same id is no earlier place.
-        later = same & ((cols[keys] != cols[keys][leader]) | (cols[keys + 2] != cols[keys + 2][leader]))
-        more = np.zeros(len(order), np.int64)
-        more[leader[later]] = 1
-        lead = np.flatnonzero(~later)
-        signed = np.argsort(bucket := _by_key(cols[0][lead], buckets), kind="stable")
-        yield from _slices(bucket[signed], [c[lead][signed] for c in (*cols, more)], False)
-        yield from _by_document(*(c[later] for c in cols[keys:]), buckets)
-
-    for row in rows:
-        if len(row[0]):
-            held.append(row)
-            n += len(row[0])
-        if n >= BUFFER:
-            yield from out()
-            n = 0
-    if held:
-        yield from out()
-
-
-def _each_bucket(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Of rows (bucket, cells) in the order of their buckets: the columns of one bucket at a time."""
-    at, held = None, []
-    for b in batches:
-        for bucket, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if bucket != at and held:
-                yield at, [np.concatenate(c) for c in zip(*held, strict=True)]
-                held = []
-            at = bucket
-            held.append(_loosen(cells, width))
-    if held:
-        yield at, [np.concatenate(c) for c in zip(*held, strict=True)]
-
-
-def _passing(batches: Iterator[pa.RecordBatch], counted: Callable) -> Iterator[pa.RecordBatch]:
-    """What is known goes through; the rest, in the order of its buckets, is counted."""
-    passed: list[pa.RecordBatch] = []
-
-    def rest() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            known = b.column(1).to_numpy(zero_copy_only=False)
-            if known.any():
-                passed.append(b.filter(b.column(1)))
-            if not known.all():
-                yield b.filter(pa.array(~known)).select(["bucket", "cells"])
-
-    for out in counted(rest()):
-        yield out
-        while passed:
-            yield passed.pop()
-    yield from passed
-
-
-def _repeated(keys: int, late: bool, buckets: int) -> Callable:
-    """Counts the keys of a bucket. Passes on the places of all that repeat, or of those that an equal key comes before."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, cols in _each_bucket(batches, keys + 4):
-            order = np.lexsort([cols[i] for i in (keys + 1, keys + 2, keys, *range(keys - 1, -1, -1))])
-            cols = [c[order] for c in cols]
-            same = np.ones(len(order), bool)
-            same[0] = False
-            for c in cols[:keys]:
-                same[1:] &= c[1:] == c[:-1]
-            if late:
-                leader = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-                keep = same & ((cols[keys] != cols[keys][leader]) | (cols[keys + 2] != cols[keys + 2][leader]))
-            else:
-                keep = same | np.r_[same[1:], False] | (cols[-1] > 0)
-            yield from _by_document(*(c[keep] for c in cols[keys : keys + 3]), buckets)
-
-    return lambda batches: _passing(batches, counted)
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document of a bucket, with its places as differences."""
-    for _, cols in _each_bucket(batches, 3):
-        order = np.lexsort([cols[2], cols[1], cols[0]])
-        key, tag, start = (c[order] for c in cols)
-        new = np.r_[True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])]
-        cuts = [*np.flatnonzero(new).tolist(), len(key)]
-        first = np.array(cuts[:-1])
-        for at in range(0, len(first), 4096):
-            ends = cuts[at : at + 4097]
-            cells = [_squeeze([np.unique(start[a:b])]) for a, b in zip(ends, ends[1:], strict=False)]
-            rows = first[at : at + len(cells)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(tag[rows]), pa.array(cells, pa.binary())], ["id", "tag", "places"])
-
-
-def _shuffled(rows: DataFrame, keys: int, late: bool, buckets: int) -> DataFrame:
-    """Rows of SENT to (id, tag, places): the places of what repeats or comes late, by document."""
-    by_key = rows.repartition("bucket").sortWithinPartitions("known", "bucket")
-    found = by_key.mapInArrow(_repeated(keys, late, buckets), SENT).select("bucket", "cells")
-    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_places, "id bigint, tag bigint, places binary")
-
-
-def _mark_rows(window: int, tagged: bool, buckets: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for b in batches:
-                for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    words = words_of(text)
-                    if len(words) >= window:
-                        h, place = marks(_hashed(words, 0), window)
-                        at = np.unique(place)
-                        tag = _tag(text.encode("utf-8", "surrogatepass")) if tagged else 0
-                        yield h[at].view(np.int64), np.full(len(at), key, np.int64), np.full(len(at), tag, np.int64), at
-
-        yield from _combined(rows(), 1, buckets)
+def _lists(offsets: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(c)) for c in columns]
 
-    return run
 
+def _by_part(part: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows in the order that they came in, gathered by their parts."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), *_lists(cuts, *(c[order] for c in columns))], ["part", "h", "id", "tag", "start", "last"])
 
-def _window_rows(window: int, buckets: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for b in batches:
-                for key, tag, packed, places in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                    words = _unpack(packed)
-                    values = _hashed(words, 0)
-                    _, place = marks(values, window)
-                    at = np.flatnonzero(np.isin(place, _loosen(places, 1)[0]))
-                    one = rolling(values, window, BASES[0])[at].view(np.int64)
-                    two = (rolling(_hashed(words, 1), window, BASES[1])[at] >> np.uint64(32)).view(np.int64)
-                    yield one, two, np.full(len(at), key, np.int64), np.full(len(at), tag, np.int64), at
-
-        yield from _combined(rows(), 2, buckets)
 
-    return run
+def _part(spread: np.ndarray, parts: int) -> np.ndarray:
+    return ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _combined(held: list[tuple[np.ndarray, ...]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Windows (two hashes, id, tag, start) of a buffer. Of equal ones only the earliest goes by its hash, so that a window sends one row a buffer however
+    often it occurs; those behind it are known to come late and go as runs, spread by their documents."""
+    h, g, key, tag, start = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    shared = np.sort(order[np.r_[same, False] | np.r_[False, same]])  # the few that share a hash with another
+    sub = shared[np.lexsort([tag[shared], start[shared], key[shared], g[shared], h[shared]])]
+    again = np.zeros(len(sub), bool)
+    again[1:] = (h[sub][1:] == h[sub][:-1]) & (g[sub][1:] == g[sub][:-1])
+    leader = np.maximum.accumulate(np.where(again, 0, np.arange(len(sub))))
+    lead = sub[leader]
+    # An equal place, of a row that repeats an id, is not an earlier one; one that repeats the text too is the same row.
+    late = again & ((key[sub] != key[lead]) | (start[sub] != start[lead]))
+    twin = np.zeros(len(sub), bool)
+    twin[1:] = again[1:] & (key[sub][1:] == key[sub][:-1]) & (start[sub][1:] == start[sub][:-1]) & (tag[sub][1:] == tag[sub][:-1])
+    goes = np.ones(len(h), bool)
+    goes[sub[late | twin]] = False
+    yield _by_part(_part(g[goes], parts), h[goes].view(np.int64), key[goes], tag[goes], start[goes], np.full(int(goes.sum()), -1, np.int32))
+    known = sub[late & ~twin]
+    if len(known):
+        known = known[np.lexsort([start[known], tag[known], key[known]])]
+        k, t, s = key[known], tag[known], start[known]
+        new = np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (s[1:] > s[:-1] + 1)]
+        first, last = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(k)] - 1
+        spread = _mix(k[first].view(np.uint64) * np.uint64(BASES[0]) + (t[first].astype(np.uint64) << np.uint64(32) | s[first].astype(np.uint64)))
+        yield _by_part(_part(spread, parts), spread.view(np.int64), k[first], t[first], s[first], s[last])
+
 
+def _windows(window: int, parts: int) -> Callable:
+    """(id, tag, text) to rows of SENT."""
 
-def _pack(tagged: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts compressed for the shuffle, with their tags."""
-        squeeze = zstandard.ZstdCompressor(level=1)
+        held, n = [], 0
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).slice(at, 256).to_pylist()]
-                tags = [_tag(t) if tagged else 0 for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(tags, pa.int64()), pa.array([squeeze.compress(t) for t in texts], pa.binary())], ["id", "tag", "packed"])
+            for key, tag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                words = words_of(text)
+                if len(words) < window:
+                    continue
+                one, two = word_hashes(words)
+                h, size = rolling(one, window, BASES[0]), len(words) - window + 1
+                held.append((h, rolling(two, window, BASES[1]), np.full(size, key, np.int64), np.full(size, tag, np.int32), np.arange(size, dtype=np.int32)))
+                n += size
+                if n >= BUFFER:
+                    yield from _combined(held, parts)
+                    held, n = [], 0
+        if held:
+            yield from _combined(held, parts)
 
     return run
 
 
-def _unpack(packed: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(packed).split()
+def intervals(runs: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Maximal runs of words that runs of windows (start << 32 | last, in any order) cover; what touches is one interval."""
+    if not len(runs):
+        return []
+    runs = np.sort(runs)
+    start, last = runs >> 32, np.maximum.accumulate(runs & 0xFFFFFFFF)
+    cut = np.flatnonzero(start[1:] > last[:-1] + window)
+    return list(zip(start[np.r_[0, cut + 1]].tolist(), (last[np.r_[cut, len(runs) - 1]] + window).tolist(), strict=True))
 
 
 def _result(words: list[bytes], spans: list[tuple[int, int]], with_text: bool) -> tuple:
@@ -289,46 +165,35 @@ def _result(words: list[bytes], spans: list[tuple[int, int]], with_text: bool) -
     return (*row, text.decode("utf-8", "replace")) if with_text else row
 
 
-def _fields(with_text: bool) -> str:
-    return "n_words bigint, n_removed bigint, kept_sha256 string, removed array<bigint>" + ", kept_text string" * with_text
-
-
 def _kept(window: int, with_text: bool) -> Callable:
-    """(id, packed, places) to the result: removal intervals are the unions of the late windows."""
+    """(id, text, runs of late windows) to the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()][: 4 + with_text]
         names = ["id", "n_words", "n_removed", "kept_sha256", "removed", "kept_text"][: 5 + with_text]
         for b in batches:
-            out = [_result(_unpack(packed), intervals(_loosen(places, 1)[0] if places else np.empty(0, np.int64), window), with_text) for packed, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            cols = list(zip(*out, strict=True)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
-
-    return run
-
-
-def _settle(with_text: bool) -> Callable:
-    """(id, tag, packed, places): what has no repeated mark gets its result at once and sheds its text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()][: 4 + with_text]
-        names = ["id", "tag", "packed", "places", "n_words", "n_removed", "kept_sha256", "removed", "kept_text"][: 8 + with_text]
-        for b in batches:
-            packed, places = b.column(2).to_pylist(), b.column(3).to_pylist()
-            out = [_result(_unpack(x), [], with_text) if y is None else (None,) * len(types) for x, y in zip(packed, places, strict=True)]
-            cols = list(zip(*out, strict=True)) or [()] * len(types)
-            text = pa.array([x if y is not None else None for x, y in zip(packed, places, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), text, b.column(3), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                runs = part.column(2)
+                spans = [intervals(runs[i].values.to_numpy(), window) if runs[i].is_valid else [] for i in range(len(runs))]
+                out = [_result(words_of(text), x, with_text) for text, x in zip(part.column(1).to_pylist(), spans, strict=True)]
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
     return run
 
 
-def intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Maximal runs of words that windows at the sorted starts cover; windows that touch are one interval."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(starts[1:] > starts[:-1] + window)
-    return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + window).tolist(), strict=True))
+def late_windows(texts: DataFrame, window: int) -> DataFrame:
+    """(id, tag, runs) of texts (id, tag, text): the windows that an equal one comes before, by a smaller id or an earlier start, as start << 32 | last."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = texts.mapInArrow(_windows(window, parts), SENT)
+    # Parts are numbers of shuffle partitions, of about as many windows each; behind the shuffle one sort serves to find the first of equal windows.
+    each = sent.repartitionById(parts, F.col("part")).select("part", F.inline(F.arrays_zip("h", "id", "tag", "start", "last")))
+    by = Window.partitionBy("h", "part").orderBy("id", "start").rowsBetween(Window.unboundedPreceding, 0)
+    first = each.withColumn("first_id", F.first("id").over(by)).withColumn("first_start", F.first("start").over(by))
+    late = first.where("last >= 0 or id <> first_id or start <> first_start")
+    run = F.shiftleft(F.col("start").cast("bigint"), 32).bitwiseOR(F.greatest("start", "last").cast("bigint"))
+    return late.groupBy("id", "tag").agg(F.collect_list(run).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True) -> DataFrame:
@@ -338,24 +203,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window of `window` consecutive words covers it whose words also start earlier: in a smaller id, or earlier
     in the document. Windows are judged on the input. Null texts have no words, texts shorter than the window keep all;
     null ids are the smallest. Rows that repeat an id are told apart by their texts; equal ones are the same place, not an earlier
-    one. An empty table gives no rows; other columns are ignored. Windows are compared by 96 bits of hash.
+    one. An empty table gives no rows; other columns are ignored. Windows are told apart by a 64-bit hash and the part that an independent one
+    puts them in: 64 bits and as many as number the shuffle partitions.
     """
-    texts = docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets, parts = (max(least, -(-int(chars) // each)) for each in (CHARS, WINDOW_CHARS))
-    tagged = bool(texts.groupBy("id").count().where("count > 1").take(1))
-    found = _shuffled(texts.mapInArrow(_mark_rows(window, tagged, buckets), SENT), 1, False, buckets)
-
-    packed = texts.mapInArrow(_pack(tagged), "id bigint, tag bigint, packed binary")
-    fields = _fields(with_text)
-    joined = packed.join(found, ["id", "tag"], "left").mapInArrow(_settle(with_text), f"id bigint, tag bigint, packed binary, places binary, {fields}")
-    joined = materialize(joined, "marked-texts")
-    some = joined.where("places is not null").select("id", "tag", "packed", "places")
-    late = _shuffled(some.mapInArrow(_window_rows(window, parts), SENT), 2, True, parts)
-    again = some.select("id", "tag", "packed").join(late, ["id", "tag"], "left").select("id", "packed", "places")
-    done = joined.where("places is null").drop("tag", "packed", "places")
-    return again.mapInArrow(_kept(window, with_text), f"id bigint, {fields}").unionByName(done)
+    text = F.col(text_col).cast("string")
+    texts = docs.select(id_key(id_col).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tag"), text.alias("text"))
+    late = materialize(late_windows(texts, window), "late-windows")
+    key = F.xxhash64("id", "tag")
+    blocks = bloom.blocks_for(late.count())
+    filt = materialize(bloom.members(late.select(key.alias("key")), "key", blocks), "late-filter")
+    flagged = bloom.probe(texts.withColumn("_sl_key", key), filt, blocks, "_sl_key", "_sl_maybe")
+    some = flagged.where("_sl_maybe").join(late, ["id", "tag"], "left").select("id", "text", "runs")
+    rest = flagged.where("not _sl_maybe").select("id", "text", F.lit(None).cast("array<bigint>").alias("runs"))
+    fields = "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, removed array<bigint>" + ", kept_text string" * with_text
+    return some.unionByName(rest).mapInArrow(_kept(window, with_text), fields)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,8 +243,29 @@ def test_rolling_hashes_tell_windows_apart(values, size):
 
 
 def test_intervals_merge():
-    assert sd.intervals(np.array([0, 3, 4, 20]), 5) == [(0, 9), (20, 25)]
-    assert sd.intervals(np.array([0, 5]), 5) == [(0, 10)]
+    runs = lambda *pairs: np.array([a << 32 | b for a, b in pairs])
+    assert sd.intervals(runs((20, 20), (0, 0), (3, 3), (4, 4)), 5) == [(0, 9), (20, 25)]
+    assert sd.intervals(runs((0, 0), (5, 5)), 5) == [(0, 10)]
+    assert sd.intervals(runs((0, 9), (2, 3), (30, 31)), 5) == [(0, 14), (30, 36)]
+    assert sd.intervals(runs(), 5) == []
+
+
+@pytest.mark.parametrize("buffer", [1, 200, 1 << 20])
+def test_windows_of_rows_that_share_ids_and_hot_passages(spark, monkeypatch, buffer):
+    """A third of all rows are copies, one passage is in most rows, null ids repeat."""
+    monkeypatch.setattr(sd, "BUFFER", buffer)
+    rng = random.Random(9)
+    word = lambda: rng.choice("abcdefghij") * rng.randint(1, 3)
+    passage, copied = " ".join(word() for _ in range(12)), " ".join(word() for _ in range(40))
+    rows = [(rng.choice([None, i, 3]), copied if i % 3 == 0 else f"{' '.join(word() for _ in range(rng.randrange(30)))} {passage} {' '.join(word() for _ in range(rng.randrange(9)))}") for i in range(90)]
+    got = sd.remove_repeats(frame(spark, rows).repartition(5), window=6).collect()
+    assert sorted((r.id, r.n_words, r.n_removed, r.kept_text) for r in got) == brute_substrings(rows, 6)
+
+
+def test_windows_are_shuffled_once_and_texts_stay(spark):
+    df = frame(spark, texts(7, 50)).select(sd.id_key("doc_id").alias("id"), sd.F.lit(0).alias("tag"), "text")
+    plan = sd.late_windows(df, 20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange ") == 2 and plan.count("shufflepartitionidpassthrough") == 1
 
 
 def brute_contained(doc, item):
