@@ -15,8 +15,8 @@ from .common import id_back, id_key, materialize, table
 
 #: Words in a shingle, and the containment from which on an item counts as found.
 SHINGLE, THRESHOLD = 5, 0.8
-#: Items in a block of the stated query set; one block is sent to the executors at a time, so that what is broadcast is bounded.
-ITEMS = 20_000
+#: Items in a block of the stated query set; one block is on the driver and the executors at a time, so that what is broadcast is bounded.
+ITEMS = 50_000
 #: Letters and digits, as the pattern [\p{L}\p{N}]+ has them.
 TOKEN = re.compile(r"[^\W_]+")
 _BASE = 0x9E3779B97F4A7C15
@@ -50,46 +50,65 @@ def shingle_hashes(values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-class Index:
-    """MinHash sketches of items in partitions by size.
+class Part:
+    """The items of one size class, 2^(k-1) to 2^k - 1 distinct shingles, and what the class is searched with.
 
-    A partition holds the items of 2^(k-1) to 2^k - 1 distinct shingles (items of fewer words than a shingle: by their number of words) and keeps
-    for each its bottom hashes: floor((1 - threshold) s) + 1 of s. An item that a document contains at the threshold
-    misses at most floor((1 - threshold) s) shingles, hence at least one bottom hash is there, however long the document
-    is: the search finds every such item, and the sketch sizes grow with the partition, not with the documents.
+    An item's MinHash sketch is its `missing + need` least hashes, where missing is how many shingles it may lack at the threshold and need grows with
+    the class: an item that is contained has at least `need` hashes of its sketch in the document. A document's sketch for the class is all its hashes
+    up to the largest that any item's sketch has (`bound`): the least part of its hashes, however long it is.
     """
 
+    def __init__(self, size: int, k: int, items: list[tuple[int, np.ndarray]], threshold: float):
+        self.size, self.need = size, max(1, (1 << k - 1) // 8)
+        sketches, owners = [], []
+        self.wanted: dict[int, int] = {}
+        for at, hashes in items:
+            missing = int((1 - threshold) * len(hashes) + 1e-9)
+            length = min(len(hashes), missing + self.need)
+            sketches.append(hashes[:length])
+            owners.append(np.full(length, at))
+            self.wanted[at] = max(1, length - missing)
+        h, o = np.concatenate(sketches), np.concatenate(owners)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.owners, self.bound = h[order], o[order], h.max()
+
+    def candidates(self, own: np.ndarray) -> Iterator[int]:
+        """Items of which a document with these sorted distinct hashes has as many sketch hashes as a contained one must."""
+        sketch = own[: np.searchsorted(own, self.bound, "right")]
+        if len(sketch) < len(self.hashes):
+            lo, hi = np.searchsorted(self.hashes, sketch, "left"), np.searchsorted(self.hashes, sketch, "right")
+            hit = hi > lo
+            found = [self.owners[a:b] for a, b in zip(lo[hit].tolist(), hi[hit].tolist(), strict=True)]
+            owners = np.concatenate(found) if found else self.owners[:0]
+        else:
+            at = np.searchsorted(sketch, self.hashes)
+            owners = self.owners[sketch[np.minimum(at, len(sketch) - 1)] == self.hashes]
+        items, n = np.unique(owners, return_counts=True)
+        for item, shared in zip(items.tolist(), n.tolist(), strict=True):
+            if shared >= self.wanted[item]:
+                yield item
+
+
+class Index:
+    """MinHash sketches of items in parts by size (items of fewer words than a shingle: by their number of words). No contained item is missed."""
+
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
         self.threshold = threshold
         self.items = [(key, shingles(words), min(SHINGLE, len(words))) for key, text in items if (words := tokens(text))]
-        found: dict[int, tuple[list, list]] = {}
+        found: dict[tuple[int, int], list] = {}
         for at, (_, own, size) in enumerate(self.items):
-            hashes = np.sort(np.array([int(shingle_hashes(_word_hashes(x.split(" ")), size)[0]) for x in own], np.uint64))
-            missing = int((1 - threshold) * len(own) + 1e-9)
-            part = found.setdefault((size, len(own).bit_length()), ([], []))
-            part[0].append(hashes[: missing + 1])
-            part[1].append(np.full(min(len(hashes), missing + 1), at))
-        self.parts = []
-        for (size, _), (hashes, owners) in sorted(found.items()):
-            h, o = np.concatenate(hashes), np.concatenate(owners)
-            order = np.argsort(h, kind="stable")
-            self.parts.append((size, h[order], o[order]))
+            # Distinct shingles with one hash count once in the sketch, as they do in a document's.
+            hashes = np.unique(np.array([int(shingle_hashes(_word_hashes(x.split(" ")), size)[0]) for x in own], np.uint64))
+            found.setdefault((size, len(own).bit_length()), []).append((at, hashes))
+        self.parts = [Part(size, k, members, threshold) for (size, k), members in sorted(found.items())]
 
     def candidates(self, values: np.ndarray) -> set[int]:
-        out: set[int] = set()
         by_size: dict[int, np.ndarray] = {}
-        for size, hashes, owners in self.parts:
-            if size not in by_size:
-                by_size[size] = shingle_hashes(values, size)
-            h = by_size[size]
-            if len(hashes) < len(h):
-                at = np.searchsorted(hashes, h)
-                hit = np.unique(h[hashes[np.minimum(at, len(hashes) - 1)] == h])
-            else:
-                hit = np.unique(h)
-            lo, hi = np.searchsorted(hashes, hit, "left"), np.searchsorted(hashes, hit, "right")
-            for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                out.update(owners[a:b].tolist())
+        out: set[int] = set()
+        for part in self.parts:
+            if part.size not in by_size:
+                by_size[part.size] = np.unique(shingle_hashes(values, part.size))
+            out.update(part.candidates(by_size[part.size]))
         return out
 
     def search(self, text: str | None) -> list[tuple[int, int, int]]:
@@ -127,36 +146,44 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     held against the document's runs of as many words. Containment is the share of the item's shingles that the
     document has, anywhere in the whole text. Null and empty texts contain nothing and are contained nowhere; null ids pass; items
     that repeat an id count separately. Empty tables give no rows; other columns are ignored. The items are a stated query set:
-    each block of ITEMS is broadcast and held against all documents in a narrow pass without a shuffle.
+    each block of ITEMS is broadcast and held against all documents in a narrow pass without a shuffle. What a block finds is written before the next one
+    takes its place, so that no more than one is held.
     """
     rows = docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     queries = items.select(F.col(item_col).cast("bigint"), F.col(item_text_col).cast("string"))
-    out = None
+    schema = "id bigint, item_id bigint, n_shared bigint, n_item bigint"
+    out = sent = None
     for block in _blocks(queries, ITEMS):
+        if sent is not None:
+            out = materialize(out, "contaminated")
+            sent.destroy()
         sent = docs.sparkSession.sparkContext.broadcast(Index(block, threshold))
+        part = rows.mapInArrow(_finder(sent), schema)
+        out = part if out is None else out.unionByName(part)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            for b in batches:
-                found = [(key, *x) for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in index.search(text)]
-                cols = list(zip(*found, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "item_id", "n_shared", "n_item"])
 
-        part = rows.mapInArrow(run, "id bigint, item_id bigint, n_shared bigint, n_item bigint")
-        out = part if out is None else out.unionByName(part)
-    empty = docs.sparkSession.createDataFrame([], "id bigint, item_id bigint, n_shared bigint, n_item bigint")
-    return empty if out is None else out
+def _finder(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        for b in batches:
+            found = [(key, *x) for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in index.search(text)]
+            cols = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "item_id", "n_shared", "n_item"])
+
+    return run
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that contain no item; each row on its own, ids may repeat or be null.
 
-    Each block of items is a narrow pass that filters the rows; between two blocks what stayed is written, so that a worker holds one index.
+    Each block of items is a narrow pass that filters the rows; between two blocks what stayed is written, so that one index is held at a time.
     """
-    out, at = docs, docs.columns.index(text_col)
-    for i, block in enumerate(_blocks(items.select(F.col(item_col).cast("bigint"), F.col(item_text_col).cast("string")), ITEMS)):
-        if i:
+    out, at, sent = docs, docs.columns.index(text_col), None
+    for block in _blocks(items.select(F.col(item_col).cast("bigint"), F.col(item_text_col).cast("string")), ITEMS):
+        if sent is not None:
             out = materialize(out, "clean-rows")
+            sent.destroy()
         sent = docs.sparkSession.sparkContext.broadcast(Index(block, threshold))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
