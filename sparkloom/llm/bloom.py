@@ -9,8 +9,8 @@ from .common import materialize, own
 
 #: Bits in a block, as many as bitmap_construct_agg() keeps in its 4 KiB.
 BLOCK = 32768
-#: Filter bits for each key, and the most blocks of a filter, which bound what is broadcast to 32 MiB whatever the input.
-#: Beyond that load a filter only passes more rows to the exact step; it never loses one.
+#: Filter bits for each key, and the most blocks of a filter, which bound what is broadcast to 32 MiB whatever the input. More keys than such a
+#: filter is made for are worked through in slices, each with a filter of its own, so that none fills up.
 BITS_EACH, MAX_BLOCKS = 16, 8192
 
 
@@ -18,6 +18,10 @@ def blocks_for(keys: int) -> int:
     return max(1, min(MAX_BLOCKS, -(-keys * BITS_EACH // BLOCK)))
 
 
+def slices_for(keys: int) -> int:
+    return max(1, -(-keys * BITS_EACH // (BLOCK * MAX_BLOCKS)))
+
+
 def _slots(key: str, blocks: int) -> list[Column]:
     """The block of a key, and its two bit positions there."""
     h = F.xxhash64(F.col(key))
@@ -57,11 +61,27 @@ def probe(df: DataFrame, filt: DataFrame, blocks: int, key: str, flag: str) -> D
     return out.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_sl_block", "_sl_bits")
 
 
-def without(df: DataFrame, key: Column, gone: DataFrame, gone_key: str) -> DataFrame:
-    """The rows of df, all columns, whose key is not in gone (a small or large table that is written already): only rows that the filter
-    of the gone keys passes are anti-joined, all others go straight through."""
-    blocks = blocks_for(gone.count())
+def _without(df: DataFrame, key: str, gone: DataFrame, gone_key: str, n: int) -> DataFrame:
+    blocks = blocks_for(n)
     filt = materialize(members(gone, gone_key, blocks), "gone-filter")
-    flagged = probe(df.withColumn("_sl_key", key), filt, blocks, "_sl_key", "_sl_maybe")
-    maybe = flagged.where("_sl_maybe").join(gone.select(F.col(gone_key).alias("_sl_gone")), F.col("_sl_key") == F.col("_sl_gone"), "left_anti")
+    flagged = probe(df, filt, blocks, key, "_sl_maybe")
+    maybe = flagged.where("_sl_maybe").join(gone.select(F.col(gone_key).alias("_sl_gone")), F.col(key) == F.col("_sl_gone"), "left_anti")
     return flagged.where("not _sl_maybe").select(*own(df)).unionByName(maybe.select(*own(df)))
+
+
+def without(df: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFrame:
+    """The rows of df, all columns, whose key (a bigint column without nulls) is not in gone. Both are written already.
+
+    Only rows that the filter of the gone keys passes are anti-joined, all others go straight through. Where gone has more keys than a filter is made
+    for, ranges of keys are worked through with a filter each; df's row numbers ascend in its files, so that a range reads its own files alone.
+    """
+    n = gone.count()
+    slices = slices_for(n)
+    cuts = sorted({int(x) for x in gone.approxQuantile(gone_key, [i / slices for i in range(1, slices)], 0.2 / slices)}) if slices > 1 else []
+    out = None
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        inside = lambda c: (F.lit(True) if low is None else F.col(c) >= low) & (F.lit(True) if high is None else F.col(c) < high)  # noqa: B023, E731
+        own_gone = gone.where(inside(gone_key))
+        part = _without(df.where(inside(key)), key, own_gone, gone_key, n if not cuts else own_gone.count())
+        out = part if out is None else out.unionByName(part)
+    return out

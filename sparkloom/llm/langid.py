@@ -15,6 +15,8 @@ from .common import id_back, id_key, materialize, table
 #: Most labelled rows a language that the text model is fitted on (those with the least hashes of their ids), and the buckets
 #: of its byte trigrams.
 LABELLED, BUCKETS = 2_000, 1 << 16
+#: Most languages that a model is fitted for; each takes a row of counts on the driver.
+LANGUAGES = 1000
 #: Trigrams overlap and repeat, so that a text's log-likelihood counts as that of this share of them, and of this many at most.
 SHARE, MOST = 0.1, 40.0
 #: Prior observations of the language shares of suffixes, domains and hosts, and of declarations and suffixes by language.
@@ -75,11 +77,12 @@ class TextModel:
 
 
 def fit(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", labelled: int = LABELLED) -> TextModel:
-    """Fits on at most `labelled` rows of each language. Counts are made by the executors, a row of BUCKETS for each language and task."""
+    """Fits on at most `labelled` rows of each language. Counts are made by the executors, a row of BUCKETS for each language and task; more than LANGUAGES
+    labels are an error, as they aren't languages."""
     rows = samples.select(id_key(id_col).alias("id"), F.lower(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     # A threshold on the hash takes about `labelled` rows of each language without a sort of texts; the window takes the exact bound from those.
     sizes = rows.groupBy("lang").count().select(F.col("lang").alias("l"), F.least(F.lit(1.0), 2.0 * labelled / F.col("count") + 1e-4).alias("share"))
-    near = rows.join(F.broadcast(sizes), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= F.col("share") * (1 << 30))
+    near = rows.join(sizes, F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= F.col("share") * (1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     some = near.withColumn("n", rank).where(F.col("n") <= labelled).select("lang", "text")
 
@@ -94,6 +97,8 @@ def fit(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", id_c
     total: dict[str, np.ndarray] = {}
     for row in some.mapInArrow(run, "lang string, counts binary").toLocalIterator():
         total[row[0]] = total.get(row[0], 0) + np.frombuffer(row[1], "<i8")
+        if len(total) > LANGUAGES:
+            raise ValueError(f"more than {LANGUAGES} different labels")
     return TextModel(total)
 
 

@@ -11,9 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import id_back, id_key, materialize, own, table
+from .bloom import without
+from .common import id_back, id_key, materialize, numbered, table
 
 #: Most labelled rows that the document classifier is fitted on: those with the least hashes of their ids.
 LABELLED = 20_000
@@ -21,8 +21,6 @@ LABELLED = 20_000
 KEEP = 0.5
 #: Penalty of the logistic regression's squared weights, and its Newton steps.
 PENALTY, STEPS = 1.0, 25
-#: Most sites, of about a hundred bytes, that are broadcast.
-SITES = 500_000
 _SYMBOLS = b"#$%&*+/<=>@[\\]^_`{|}~!"
 _DIGITS = b"0123456789"
 _LINE = re.compile(r"[^\n]+")
@@ -48,13 +46,8 @@ def features(text: str | None) -> list[float]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [features(t) for t in b.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rows, pa.list_(pa.float64()))], ["id", "host", "path", "x"])
-
-
-@F.arrow_udf(T.ArrayType(T.DoubleType()))
-def _features_of(texts: pa.Array) -> pa.Array:
-    return pa.array([features(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+        rows = [features(t) for t in b.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(rows, pa.list_(pa.float64()))], ["row", "id", "host", "path", "x"])
 
 
 class Logistic:
@@ -115,15 +108,14 @@ class Sites:
         both = paths.join(hosts, "host").withColumn("mu", (F.col("host_s") + self.k1 * g) / (F.col("host_n") + self.k1))
         self.table = materialize(both.select(F.col("host").alias("_sl_h"), F.col("path").alias("_sl_q"), "n", "s", "host_n", "host_s", "mu"), "sites")
         self.k2 = float(self.table.agg(_strength(F.col("s") / F.col("n"), F.col("mu"), F.col("n"))).first()[0])
-        self.small = self.table.count() <= SITES
 
     def judged(self, df: DataFrame, host: Column, path: Column, z: Column) -> DataFrame:
-        """df with _sl_p_doc, _sl_p_host, _sl_p_path and _sl_posterior. Sites are broadcast while there are at most SITES of them; beyond, the planner
-        joins them by host and path, and adaptive execution splits hot ones."""
+        """df, narrow rows, with _sl_p_doc, _sl_p_host, _sl_p_path and _sl_posterior. The planner joins the sites by host and path: it broadcasts them if it
+        measures that they are small, and else adaptive execution splits hot ones, which have one row on the sites' side."""
         sums = {c: F.col(f"_sl_{c}") for c in ("n", "s", "host_n", "host_s", "z", "p_doc", "p_host", "p_path")}
         sites = self.table.select("_sl_h", "_sl_q", *[F.col(c).alias(f"_sl_{c}") for c in ("n", "s", "host_n", "host_s")])
         rows = df.withColumn("_sl_z", z).withColumn("_sl_host", host).withColumn("_sl_path", path)
-        out = rows.join(F.broadcast(sites) if self.small else sites, (F.col("_sl_host") == F.col("_sl_h")) & (F.col("_sl_path") == F.col("_sl_q")))
+        out = rows.join(sites, (F.col("_sl_host") == F.col("_sl_h")) & (F.col("_sl_path") == F.col("_sl_q")))
         bound = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
         out = out.withColumn("_sl_p_doc", 1 / (1 + F.exp(-sums["z"])))
         out = out.withColumn("_sl_p_host", bound((sums["host_s"] - sums["p_doc"] + self.k1 * self.mean) / (sums["host_n"] - 1 + self.k1)))
@@ -135,10 +127,10 @@ def _site(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
-def study(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED) -> tuple[Sites, DataFrame]:
-    """The sites of a corpus, and (id, host, path, x) of every row."""
-    rows = docs.select(id_key(id_col).alias("id"), _site(host).alias("host"), _site(path).alias("path"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(rows.mapInArrow(_features, "id bigint, host string, path string, x array<double>"), "features")
+def study(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED, row: Column | None = None) -> tuple[Sites, DataFrame]:
+    """The sites of a corpus, and (row, id, host, path, x) of every row."""
+    rows = docs.select((F.lit(None) if row is None else row).cast("bigint").alias("row"), id_key(id_col).alias("id"), _site(host).alias("host"), _site(path).alias("path"), F.col(text_col).cast("string").alias("text"))
+    found = materialize(rows.mapInArrow(_features, "row bigint, id bigint, host string, path string, x array<double>"), "features")
     marked = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
     marked = marked.withColumn("order", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
     # Labels beyond about twice the bound go before the join, by the order that the bound goes by: what tasks send stays bounded.
@@ -168,13 +160,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column, path: Colum
 def quality_filter(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text_col: str = "text", **names) -> DataFrame:
     """The rows of docs, all columns, that the classifier keeps; each row on its own, ids may repeat or be null.
 
-    Two narrow passes over the texts: the first for the corpus' sites, the second decides, with features computed anew, so that no text is
-    shuffled.
+    Rows are written once with a number; features, which are narrow, meet the sites and decide which numbers go. Of the texts only those that the filter of
+    these numbers passes can be shuffled, whatever the number of sites.
     """
-    sites, _ = study(docs, labels, host, path, text_col=text_col, **names)
-    found = docs.withColumn("_sl_x", _features_of(F.col(text_col).cast("string")))
-    out = sites.judged(found, _site(host), _site(path), sites.model.column("_sl_x"))
-    return out.where(F.col("_sl_posterior") >= KEEP).select(*own(docs))
+    rows = numbered(docs, "quality-rows")
+    sites, found = study(rows, labels, host, path, text_col=text_col, row=F.col("_sl_row"), **names)
+    out = sites.judged(found, F.col("host"), F.col("path"), sites.model.column("x"))
+    gone = materialize(out.where(~(F.col("_sl_posterior") >= KEEP)).select(F.col("row").alias("_sl_gone")), "rejected-rows")
+    return without(rows, "_sl_row", gone, "_sl_gone").drop("_sl_row")
 
 
 def site_columns() -> tuple[Column, Column]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import without
-from .common import id_back, id_key, local_components, materialize, table
+from .common import id_back, id_key, local_components, materialize, numbered, table
 from .components import connected_components
 
 #: The binary Golay code: length, generator polynomial (x^11+x^10+x^6+x^5+x^4+x^2+1), covering radius. It is perfect.
@@ -206,7 +206,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """(src, dst): links between different fingerprints (column fp, distinct) at most THRESHOLD bits apart, as forests of tasks that keep every connection.
 
-    Each fingerprint has one home anchor and about 61 copies of 17 bytes, whatever the number of documents. An anchor with more
+    Each fingerprint has one home anchor and about 61 copies of 17 bytes. There are 2^24 anchors, so that n fingerprints that are spread evenly make about
+    61 n^2 / 2^24 comparisons: copies grow in proportion to n, and beyond some 10^9 fingerprints comparisons outgrow them. An anchor with more
     than MAX_HOMES homes gets salts: its homes are dealt out among them and what visits goes to all, so that no task holds more.
     """
     homes = distinct.mapInArrow(_homes, "key bigint").groupBy("key").count()
@@ -242,7 +243,7 @@ def near_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Each row is decided on its own, by a key that is written with it: ids may repeat or be null.
     """
-    rows = materialize(docs.withColumn("_sl_row", F.monotonically_increasing_id()), "near-rows")
+    rows = numbered(docs, "near-rows")
     text = F.col(text_col).cast("string")
     fps = rows.select(id_key(id_col).alias("id"), text, F.xxhash64(text).alias("tie"), "_sl_row").mapInArrow(_fingerprints, "id bigint, fp bigint, tie bigint, _sl_row bigint")
     fps = materialize(fps, "fingerprints")
@@ -251,14 +252,15 @@ def near_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = least.join(linked, least.fp == linked.node, "left").select("first", F.coalesce("component", "fp").alias("root"))
     stay = joined.groupBy("root").agg(F.min("first").alias("first")).select("first._sl_row")
     gone = materialize(fps.select("_sl_row").join(stay, "_sl_row", "left_anti").withColumnRenamed("_sl_row", "_sl_gone"), "near-copies")
-    return without(rows, F.col("_sl_row"), gone, "_sl_gone").drop("_sl_row")
+    return without(rows, "_sl_row", gone, "_sl_gone").drop("_sl_row")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose id is the smallest of its group of near copies."""
     groups = near_groups(docs, id_col, text_col)
-    gone = materialize(groups.where("id != component").select(F.col("id").alias("_sl_gone")), "near-copies")
-    return without(docs, id_key(id_col), gone, "_sl_gone")
+    gone = materialize(groups.where("id != component").select(F.col("id").alias("_sl_gone")).distinct(), "near-copies")
+    keyed = materialize(docs.withColumn("_sl_key", id_key(id_col)), "near-keyed")
+    return without(keyed, "_sl_key", gone, "_sl_gone").drop("_sl_key")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,9 +48,10 @@ def brute_groups(rows):
     return {t: (max(v), len(v)) for t, v in best.items()}
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
-def test_exact_groups(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, slices", [(1000, 1), (2, 1), (1000, 4)])
+def test_exact_groups(spark, monkeypatch, hot, slices):
     monkeypatch.setattr(ed, "HOT", hot)
+    monkeypatch.setattr(bloom, "slices_for", lambda n: slices)
     rows = texts()
     want = brute_groups(rows)
     got = ed.exact_groups(frame(spark, rows)).collect()
@@ -64,7 +65,9 @@ def test_exact_groups(spark, monkeypatch, hot):
     assert sum(r.kept for r in got) == len(want)
 
 
-def test_exact_dedup_keeps_whole_rows(spark):
+@pytest.mark.parametrize("slices", [1, 3])
+def test_exact_dedup_keeps_whole_rows(spark, monkeypatch, slices):
+    monkeypatch.setattr(bloom, "slices_for", lambda n: slices)
     rows = texts()
     df = frame(spark, rows)
     got = ed.exact_dedup(df)
@@ -79,7 +82,7 @@ def test_exact_dedup_is_native(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 5000])
-def test_filters_lose_nothing(spark, n):
+def test_filters_lose_nothing(spark, monkeypatch, n):
     keys = spark.range(n).selectExpr("concat('k', id) as k")
     twice = keys.where("hash(k) % 3 = 0")
     blocks = bloom.blocks_for(n)
@@ -87,8 +90,13 @@ def test_filters_lose_nothing(spark, n):
     flagged = bloom.probe(both, bloom.repeated(both, "k", blocks), blocks, "k", "maybe")
     assert flagged.count() == both.count()
     assert flagged.join(twice, "k", "left_semi").where("not maybe").count() == 0
-    gone = twice.withColumnRenamed("k", "g")
-    assert sorted(r.k for r in bloom.without(keys, keys.k, gone, "g").collect()) == sorted(r.k for r in keys.subtract(twice).collect())
+    for most in (8192, 1):
+        monkeypatch.setattr(bloom, "MAX_BLOCKS", most)
+        monkeypatch.setattr(bloom, "BITS_EACH", 16 if most > 1 else 64)
+        ids = spark.range(n).selectExpr("id as k", "cast(id as string) as _sl_x")
+        gone = ids.where("hash(k) % 3 = 0").selectExpr("k as g")
+        assert bloom.slices_for(gone.count()) == (1 if most > 1 else max(1, -(-gone.count() * 64 // bloom.BLOCK)))
+        assert sorted(r.k for r in bloom.without(ids, "k", gone, "g").collect()) == sorted(r.k for r in ids.where("hash(k) % 3 <> 0").collect())
 
 
 def brute_fingerprint(text):
@@ -279,6 +287,31 @@ def brute_contained(doc, item):
     return (shared, len(of)) if shared >= 0.8 * len(of) - 1e-9 else None
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_no_contained_item_is_missed(threshold):
+    """Recall of the search is 1: items of each size class with as many changed shingles as the threshold allows, inside long documents; and
+    the sketches let few others through."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 3, 5, 6, 9, 12, 20, 40, 64, 65, 90, 150, 400] * 3)]
+    index = dc.Index(items, threshold)
+    assert len({(p.size, p.need) for p in index.parts}) > 5
+    found = tried = 0
+    for k, text in items:
+        words = text.split()
+        for _ in range(4):
+            own = list(words)
+            for _ in range(rng.randrange(1 + len(words) // 10)):
+                own[rng.randrange(len(own))] = word()
+            doc = " ".join([*(word() for _ in range(2000)), *own, *(word() for _ in range(2000))])
+            want = dc.shingles(words)
+            if len(want & dc.shingles(doc.split(), min(5, len(words)))) >= threshold * len(want) - 1e-9:
+                tried += 1
+                found += k in {x for x, _, _ in index.search(doc)}
+            assert len(index.candidates(dc._word_hashes(doc.split()))) <= 3
+    assert tried > 30 and found == tried
+
+
 def test_find_contaminated(spark, monkeypatch):
     monkeypatch.setattr(dc, "ITEMS", 4)
     rng = random.Random(5)
