@@ -35,8 +35,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What stayed, encoded: doc_id, lang and source go with the ids."""
-    encoded = encode_documents(docs, *vocabulary(), keep=("lang", "source"))
-    return encoded.drop("decoded")
+    return encode_documents(docs, *vocabulary(), keep=("lang", "source"), with_bytes=False)
 
 
 #: Name and function of each stage; a stage's result is written as Parquet and read again as the next one's docs.
