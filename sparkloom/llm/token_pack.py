@@ -28,7 +28,7 @@ BLOCK, MAGIC, TRAILER = 1 << 16, b"SLBITS01", struct.Struct("<IIQQQ8s")
 #: Most pieces whose ids a worker remembers.
 MEMORY = 1_000_000
 #: Texts, and their code points at most (but for one text), that are cut into words at once.
-BATCH, AT_ONCE = 4096, 1 << 22
+BATCH, AT_ONCE = 4096, 1 << 23
 _MEMORIES: dict[str, "_Memory"] = {}
 _TOKENIZERS: dict[str, object] = {}
 _ADDED: dict[str, list[str]] = {}
@@ -286,14 +286,18 @@ def open_folder(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else re.sub(r"^file:/+", "file:///", uri) if uri.startswith("file:") else f"file://{uri}")
 
 
-def _encoder(path: str, end_id: int, bits: int) -> Callable:
+def _encoder(path: str, end_id: int, bits: int, cuts: np.ndarray) -> Callable:
+    """(id, text) to (shard, id, n, packed): ids below the first cut go to shard 0, and so on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for at in range(0, b.num_rows, BATCH):
                 part = b.slice(at, BATCH)
-                ids = [np.frombuffer(x + end, "<u4") for x in token_bytes(part.column(1).to_pylist(), path)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([pack(x, bits) for x in ids], pa.binary())], ["id", "n", "packed"])
+                ids = [x + end for x in token_bytes(part.column(1).to_pylist(), path)]
+                shard = np.searchsorted(cuts, part.column(0).to_numpy(), "right").astype(np.int32)
+                packed = pa.array([pack(np.frombuffer(x, "<u4"), bits) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(shard), part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), packed], ["shard", "id", "n", "packed"])
 
     return run
 
@@ -310,8 +314,8 @@ def _writer(folder: str, bits: int) -> Callable:
             if writer is None and b.num_rows:
                 files.create_dir(root, recursive=True)
                 writer = ShardWriter(sink := files.open_output_stream(own), bits)
-            for i in range(b.num_rows):
-                writer.add(b.column(0)[i].as_py(), unpack(b.column(2)[i].as_buffer(), b.column(1)[i].as_py(), bits))
+            for key, n, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                writer.add(key, unpack(packed, n, bits))
         if writer is not None:
             writer.close()
             sink.close()
@@ -339,16 +343,18 @@ def _reader(folder: str) -> Callable:
 def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes all texts and writes them as shards in ascending id order; returns the manifest: shard, n_docs, n_ids.
 
-    Texts are encoded where they are read; what is written and then range-shuffled are the packed ids, in the bits that the largest id takes. Each task
-    streams its range into a file of its own. Files are written under names of their own and moved, so that lost or repeated tasks leave whole files. Null texts
-    are empty (the end id alone); null ids come first; rows that repeat an id come in the order of their lengths and packed ids. An empty table writes nothing;
-    other columns are ignored.
+    Ids' quantiles set the shards' ranges. Texts are encoded where they are read, once; what is shuffled are the packed ids, in the bits that the largest id
+    takes. Each task streams its range into a file of its own. Files are written under names of their own and moved, so that lost or repeated tasks leave whole
+    files. Null texts are empty (the end id alone); null ids come first; rows that repeat an id come in the order of their lengths and packed ids. An empty table
+    writes nothing; other columns are ignored.
     """
     bits = bits_for(max(largest_id(tokenizer_path), end_id))
     rows = docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    # Written first: the shuffle samples its input, which would encode all texts twice.
-    encoded = materialize(rows.mapInArrow(_encoder(tokenizer_path, end_id, bits), "id bigint, n bigint, packed binary"), "encoded")
-    ordered = encoded.repartitionByRange("id").sortWithinPartitions("id", "n", "packed")
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.agg(F.percentile_approx("id", [i / shards for i in range(1, shards)], 10 * shards)).first()[0] if shards > 1 else None
+    cuts = np.unique(np.array(found or [], np.int64))
+    encoded = rows.mapInArrow(_encoder(tokenizer_path, end_id, bits, cuts), "shard int, id bigint, n bigint, packed binary")
+    ordered = encoded.repartitionById(shards, F.col("shard")).select("id", "n", "packed").sortWithinPartitions("id", "n", "packed")
     return materialize(ordered.mapInArrow(_writer(folder, bits), "shard bigint, n_docs bigint, n_ids bigint"), "manifest")
 
 
