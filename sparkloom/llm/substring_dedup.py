@@ -21,8 +21,8 @@ from .common import id_back, id_key, materialize, table
 
 #: Words in a window.
 WINDOW = 20
-#: Windows that are combined before they are shuffled, which bounds a worker's memory but for one text.
-BUFFER = 1 << 20
+#: Windows that are combined before they are shuffled, which bounds a worker's memory but for one text; texts that are taken up at once.
+BUFFER, TEXTS = 1 << 18, 256
 #: Odd bases of the two polynomial hashes modulo 2^64, over the halves of words' 128-bit hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Rows of a part: hash, id, tag (of the text, which tells apart rows that share an id) and start of each window; last is -1, or else these are
@@ -127,17 +127,18 @@ def _windows(window: int, parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            for key, tag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = words_of(text)
-                if len(words) < window:
-                    continue
-                one, two = word_hashes(words)
-                h, size = rolling(one, window, BASES[0]), len(words) - window + 1
-                held.append((h, rolling(two, window, BASES[1]), np.full(size, key, np.int64), np.full(size, tag, np.int32), np.arange(size, dtype=np.int32)))
-                n += size
-                if n >= BUFFER:
-                    yield from _combined(held, parts)
-                    held, n = [], 0
+            for at in range(0, b.num_rows, TEXTS):
+                for key, tag, text in zip(*(b.column(i).slice(at, TEXTS).to_pylist() for i in range(3)), strict=True):
+                    words = words_of(text)
+                    if len(words) < window:
+                        continue
+                    one, two = word_hashes(words)
+                    h, size = rolling(one, window, BASES[0]), len(words) - window + 1
+                    held.append((h, rolling(two, window, BASES[1]), np.full(size, key, np.int64), np.full(size, tag, np.int32), np.arange(size, dtype=np.int32)))
+                    n += size
+                    if n >= BUFFER:
+                        yield from _combined(held, parts)
+                        held, n = [], 0
         if held:
             yield from _combined(held, parts)
 
@@ -172,8 +173,8 @@ def _kept(window: int, with_text: bool) -> Callable:
         types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()][: 4 + with_text]
         names = ["id", "n_words", "n_removed", "kept_sha256", "removed", "kept_text"][: 5 + with_text]
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
                 runs = part.column(2)
                 spans = [intervals(runs[i].values.to_numpy(), window) if runs[i].is_valid else [] for i in range(len(runs))]
                 out = [_result(words_of(text), x, with_text) for text, x in zip(part.column(1).to_pylist(), spans, strict=True)]
