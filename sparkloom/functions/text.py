@@ -11,6 +11,10 @@ TOKEN_PATTERNS = {
     "segment": r"[A-Za-z_][A-Za-z0-9_.:/-]{1,}",
     "session": r"[\p{L}\p{N}_./:-]+",
     "word": r"[a-z]+",
+    "memory": r"[\p{L}\p{N}_.-]+",
+    "plan": r"[A-Za-z0-9_./:-]+",
+    "graph": r"[A-Za-z0-9_./:@-]+",
+    "tool": r"[a-z0-9]+",
 }
 # Line classes.
 ERROR_LINE = r"(?i)\b(error|failed|failure|panic|assertion|traceback|exception|fatal|denied|timeout|critical|segfault)\b"
@@ -52,11 +56,25 @@ def session_normal(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])", " ")), "[_-]+", " ")
 
 
+def grams(plain: Column) -> Column:
+    """Distinct character 3-grams of a text; a shorter text is its own only one."""
+    # Characters first: a substring by number walks a UTF-8 text from its start.
+    made = let(F.split(plain, ""), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 2, F.lit(1))), lambda i: F.array_join(F.slice(c, i, F.lit(3)), "")))
+    return F.filter(F.array_distinct(made), lambda g: g != "")
+
+
+def gram_list(text: str) -> list[str]:
+    """The same of a Python text, as session texts are normalised."""
+    import re
+
+    low = re.sub("[_-]+", " ", re.sub("(?<=[a-z0-9])(?=[A-Z])", " ", text).lower())
+    plain = re.sub(r"[ \t\n\x0b\f\r]+", " ", low).strip(" ")
+    return [g for g in dict.fromkeys(plain[i : i + 3] for i in range(max(len(plain) - 2, 1))) if g]
+
+
 def trigrams(text: Column) -> Column:
     """Distinct character 3-grams of the collapsed lower-case text; a shorter text is its own only one."""
-    # Characters first: a substring by number walks a UTF-8 text from its start.
-    grams = let(F.split(collapse(session_normal(text)), ""), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 2, F.lit(1))), lambda i: F.array_join(F.slice(c, i, F.lit(3)), "")))
-    return F.filter(F.array_distinct(grams), lambda g: g != "")
+    return grams(collapse(session_normal(text)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

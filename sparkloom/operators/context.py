@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 class Pack:
     """Items of one pack: what must be in it with all it depends on, then the best worth a token, then one swap of each kind."""
@@ -85,12 +87,14 @@ def pack_dependent(df: DataFrame, key: str, budget: int) -> DataFrame:
 
 
 def lens(segments: DataFrame, key: str, name: str, query: Column | None = None) -> DataFrame:
-    """Segments by a lens: all, critical, head, tail, salient or query (a boolean column)."""
+    """Segments by a lens: all, critical (or failures, the most salient first), changes (a boolean column changed), head, tail, salient or query (a boolean column)."""
     by = lambda *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
     if name == "all":
         return segments
-    if name == "critical":
-        return segments.where("critical")
+    if name in ("critical", "failures"):
+        return segments.where("critical").withColumn("place", by(F.desc("salience"), F.col("segment")))
+    if name in ("changes", "delta"):
+        return segments.where("changed")
     if name == "query":
         return segments.where(query)
     order, n = {"head": ([F.col("segment")], 4), "tail": ([F.desc("segment")], 4), "salient": ([F.desc("salience"), F.col("segment")], 16)}[name]
@@ -109,15 +113,40 @@ def after(df: DataFrame, cursor: str, seen: int, n: int) -> DataFrame:
     return df.where(F.col(cursor) > seen).orderBy(cursor).limit(n)
 
 
-def collectable(df: DataFrame, order: list[str], size: str, item: str, live: Column, budget: int, most: int = 100_000) -> DataFrame:
-    """Dead items, oldest first, that fit a budget of bytes; too large ones are skipped. Takes at most `most` candidates, a parameter of a
-    collection round: the next one goes on."""
-    rows = df.where(~live).orderBy(*order).limit(most)
-    folded = rows.agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("bigint").alias("_n"), F.col(item).alias("_id")))).alias("a"))
-    kind = dict(df.dtypes)[item]
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast(f"array<{kind}>").alias("ids"))
-    step = lambda s, x: F.when(s["n"] + x["_n"] <= budget, F.struct((s["n"] + x["_n"]).alias("n"), F.concat(s["ids"], F.array(x["_id"])).alias("ids"))).otherwise(s)
-    return folded.select(F.explode(F.aggregate("a", start, step)["ids"]).alias(item))
+def collectable(df: DataFrame, order: list[str], size: str, item: str, live: Column, budget: int) -> DataFrame:
+    """Dead items, oldest first, that fit a budget of bytes; too large ones are skipped and the next ones tried, to the end.
+
+    Rounds instead of a fold of all items: of the items that still fit what is left of the budget, all up to the first that doesn't by a running sum are
+    taken; that one is passed over. The running sums are windows over an ordered prefix: candidates whose sizes add up to the budget, which a
+    range partition by order finds from the sums of its partitions.
+    """
+    rows = df.where(~live).select(*dict.fromkeys([*order, size, item])).withColumn("_n", F.col(size).cast("bigint"))
+    taken, left, after, kinds = None, budget, None, dict(df.dtypes)
+    while True:
+        fit = rows.where(F.col("_n") <= left)
+        if after is not None:
+            fit = fit.where(F.struct(*order) > F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, after, strict=True)]))
+        # Whole partitions of a range order sum up; only the one that crosses the budget is looked into.
+        fit = cut(fit.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+        sums = fit.groupBy("_p").agg(F.sum("_n").alias("s")).orderBy("_p").toLocalIterator()
+        used, cross = 0, None
+        for p, s in sums:
+            if used + s > left:
+                cross = p
+                break
+            used += s
+        if cross is None:
+            new = fit
+        else:
+            end = F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+            inside = fit.where(F.col("_p") == cross).withColumn("_end", end + used)
+            new = fit.where(F.col("_p") < cross).unionByName(inside.where(F.col("_end") <= left).drop("_end"))
+            stop = inside.where(F.col("_end") > left).orderBy(*order).first()
+        taken = new.select(item) if taken is None else taken.unionByName(new.select(item))
+        if cross is None:
+            return taken
+        left -= new.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        after = [stop[c] for c in order]
 
 
 def deltas(df: DataFrame, key: str, before: str, now: str, share: float = 0.75) -> DataFrame:

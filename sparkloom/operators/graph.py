@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 
-def _cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that the session names; a temporary one where none is set."""
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint() in the folder that the session names; a temporary one where none is set on a single machine."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    """df, written once in partitions by key: joins on that key, round after round, shuffle only their other side."""
+    return cut(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """Endpoints counted on either side: UNION ALL and a count, which combines before the shuffle."""
     ends = edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node")))
@@ -31,55 +36,54 @@ def coupling(edges: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
-    """(node, depth): least distance from the seeds (column node), up to `depth` hops. Each round joins only the newest frontier."""
+    """(node, depth): least distance from the seeds (column node), up to `depth` hops. Edges are written once by their key; each round joins and shuffles only
+    the newest frontier."""
     step = edges.select(F.col("dst").alias("a"), F.col("src").alias("b")) if reverse else edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    step = step.distinct()
-    seen = _cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    step = keyed(step.distinct(), "a")
+    seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for i in range(1, depth + 1):
-        new = frontier.join(step, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
-        frontier = _cut(new.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(i)))
+        new = step.join(frontier, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
+        frontier = cut(new.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(i)))
         if not frontier.take(1):
             break
         seen = seen.unionByName(frontier)
     return seen
 
 
-def pagerank(edges: DataFrame, rounds: int = 30, damping: float = 0.85, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 30, damping: float = 0.85) -> DataFrame:
     """(node, rank): parallel edges count, the mass of nodes without out-edges is spread evenly.
 
-    Edges keep one partitioning by source; every round is one join and one partial sum. Lineage is cut every few rounds.
+    Links and nodes are written once by their keys, nodes with a mark of those without out-edges. A round is one join without a shuffle, one partial sum that is
+    shuffled by its target, and one join with the nodes without a shuffle; its ranks are written, so that plans don't grow.
     """
     edges = edges.select("src", "dst")
-    nodes = _cut(edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct())
-    n = max(1, nodes.count())
-    links = _cut(edges.join(edges.groupBy("src").agg(F.count("*").alias("out")), "src"))
-    sources = links.select(F.col("src").alias("node")).distinct()
-    dangling = _cut(nodes.join(sources, "node", "left_anti"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(rounds):
-        lost = ranks.join(dangling, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out")).unionAll(edges.select("dst", F.lit(0)))
+    nodes = keyed(ends.groupBy("node").agg(F.sum("out").alias("out")), "node")
+    n, loose = nodes.agg(F.count("*"), F.count_if(F.col("out") == 0)).first()
+    links = keyed(edges, "src")
+    ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
+    for _ in range(rounds):
+        lost = ranks.where("out = 0").agg(F.sum("rank")).first()[0] if loose else 0.0
         given = links.join(ranks, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        got = nodes.join(given, F.col("node") == F.col("dst"), "left").select("node", F.coalesce("got", F.lit(0.0)).alias("got"))
-        ranks = got.crossJoin(F.broadcast(lost)).select("node", ((1 - damping) / n + damping * (F.col("got") + F.col("lost") / n)).alias("rank"))
-        if (i + 1) % every == 0:
-            ranks = _cut(ranks)
-    return ranks
+        got = nodes.join(given, F.col("node") == F.col("dst"), "left")
+        ranks = cut(got.select("node", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank")))
+    return ranks.select("node", "rank")
 
 
 def personalized_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 32, damping: float = 0.85, every: int = 4) -> DataFrame:
     """(node, rank) around the seeds (columns node, weight); edge weights (column weight) count from 0.01; lost mass is not spread."""
     links = edges.select("src", "dst", F.greatest("weight", F.lit(0.01)).alias("w"))
-    links = _cut(links.join(links.groupBy("src").agg(F.sum("w").alias("total")), "src").withColumn("share", F.col("w") / F.col("total")))
+    links = keyed(links.join(links.groupBy("src").agg(F.sum("w").alias("total")), "src").withColumn("share", F.col("w") / F.col("total")), "src")
     total = seeds.agg(F.sum("weight")).first()[0] or 1.0
-    base = _cut(seeds.select("node", (F.col("weight") / F.lit(float(total))).alias("p")))
+    base = cut(seeds.select("node", (F.col("weight") / F.lit(float(total))).alias("p")))
     ranks = base.select("node", F.col("p").alias("rank"))
     for i in range(rounds):
         moved = links.join(ranks, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share") * damping).alias("r"))
         both = moved.unionByName(base.select("node", (F.col("p") * (1 - damping)).alias("r")))
         ranks = both.groupBy("node").agg(F.sum("r").alias("rank"))
         if (i + 1) % every == 0:
-            ranks = _cut(ranks)
+            ranks = cut(ranks)
     return ranks
 
 
@@ -97,13 +101,13 @@ def cycles(edges: DataFrame) -> DataFrame:
     those found are taken out, until no edge is left: a round finds at least the component of the least node. Edges are turned round after each
     round, so that components that hide behind others one way show the other way. The set is unique, whatever the order of work.
     """
-    e = _cut(edges.select("src", "dst").distinct())
+    e = cut(edges.select("src", "dst").distinct())
     loops = e.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     e, done = e.where("src <> dst"), None
     while True:
         while True:  # trim
             left = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            left = _cut(left)
+            left = cut(left)
             stop = left.count() == e.count()
             e = left
             if stop:
@@ -114,9 +118,9 @@ def cycles(edges: DataFrame) -> DataFrame:
         color = _spread(e, nodes.withColumn("label", F.col("node")))
         same = e.join(color.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(color.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
         back = _spread(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), color.withColumn("label", F.when(F.col("label") == F.col("node"), F.col("node"))))
-        found = _cut(back.where("label is not null").select("node", F.col("label").alias("component")))
+        found = cut(back.where("label is not null").select("node", F.col("label").alias("component")))
         done = found if done is None else done.unionByName(found)
-        e = _cut(e.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        e = cut(e.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     if done is not None:
         sizes = done.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
         loops = loops.join(done.join(sizes, "component", "left_semi").select("node"), "node", "left_anti").unionByName(done.join(sizes, "component", "left_semi").select("node", "component"))
@@ -125,10 +129,10 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Least labels along the edges until nothing changes; null labels are unset."""
-    labels = _cut(labels)
+    labels = cut(labels)
     while True:
         sent = edges.join(labels.where("label is not null"), F.col("src") == F.col("node")).groupBy(F.col("dst").alias("_to")).agg(F.min("label").alias("_label"))
-        new = _cut(labels.join(sent, F.col("node") == F.col("_to"), "left").select("node", F.least("label", "_label").alias("label"), (~F.least("label", "_label").eqNullSafe(F.col("label"))).alias("_changed")))
+        new = cut(labels.join(sent, F.col("node") == F.col("_to"), "left").select("node", F.least("label", "_label").alias("label"), (~F.least("label", "_label").eqNullSafe(F.col("label"))).alias("_changed")))
         if not new.where("_changed").take(1):
             return new.select("node", "label")
         labels = new.select("node", "label")
@@ -139,15 +143,15 @@ def closure(edges: DataFrame, seeds: DataFrame, every: int = 8) -> DataFrame:
 
     What was seen is written as one every few rounds, so that plans stay small.
     """
-    step = _cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
-    seen = _cut(seeds.select(F.col("node").alias("seed"), "node").distinct())
+    step = keyed(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "a")
+    seen = cut(seeds.select(F.col("node").alias("seed"), "node").distinct())
     frontier, i = seen, 0
     while frontier.take(1):
         new = frontier.join(step, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct()
-        frontier = _cut(new.join(seen, ["seed", "node"], "left_anti"))
+        frontier = cut(new.join(seen, ["seed", "node"], "left_anti"))
         seen, i = seen.unionByName(frontier), i + 1
         if i % every == 0:
-            seen = _cut(seen)
+            seen = cut(seen)
     return seen
 
 
@@ -160,10 +164,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, hops: int, decay: float = 0.42
     """(node, score): seeds (node, score) spread over weighted edges level by level, decay to the power of the depth, reverse edges times `backward`;
     a node keeps its best score. The level-synchronous form of the fused graph search."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("f")).unionAll(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(backward).alias("f")))
-    both = both.groupBy("a", "b").agg(F.max("f").alias("f"))
-    best = _cut(seeds.groupBy("node").agg(F.max("score").alias("score")))
+    both = keyed(both.groupBy("a", "b").agg(F.max("f").alias("f")), "a")
+    best = cut(seeds.groupBy("node").agg(F.max("score").alias("score")))
     level = best
     for depth in range(1, hops + 1):
-        level = _cut(level.join(both, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.max(F.col("score") * F.col("f") * decay**depth).alias("score")))
+        level = cut(level.join(both, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.max(F.col("score") * F.col("f") * decay**depth).alias("score")))
         best = best.unionByName(level)
     return best.groupBy("node").agg(F.max("score").alias("score"))

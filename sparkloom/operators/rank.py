@@ -48,8 +48,9 @@ def term_counts(df: DataFrame, key: str, tokens: Column, query: list[str]) -> Da
     return own.select(key, F.size("_t").alias("length"), *counts)
 
 
-def bm25(df: DataFrame, key: str, tokens: Column, query: list[str], saturate: bool = True) -> DataFrame:
-    """(key, score): BM25 of a whole table for one query; 1 - exp(-s) where saturated, for tokens that repeat in the query up to twice.
+def bm25(df: DataFrame, key: str, tokens: Column, query: list[str], saturate: bool = True, floor: bool = False) -> DataFrame:
+    """(key, score): BM25 of a whole table for one query; 1 - exp(-s) where saturated, for tokens that repeat in the query up to twice. With floor, a token's
+    weight is that of full-text indexes: it may be 1e-6 at least where most texts have it.
 
     Corpus counts are one aggregate row; it goes to all tasks as a single broadcast row.
     """
@@ -59,7 +60,8 @@ def bm25(df: DataFrame, key: str, tokens: Column, query: list[str], saturate: bo
     both = tf.crossJoin(F.broadcast(stats_))
     score = F.lit(0.0)
     for i, t in enumerate(terms):
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        ratio = (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)
+        idf = F.greatest(F.log(ratio), F.lit(1e-6)) if floor else F.log(1 + ratio)
         norm = F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.greatest(F.col("avg_length"), F.lit(1.0)))
         score = score + F.when(F.col(f"tf{i}") > 0, idf * F.col(f"tf{i}") * (K1 + 1) / norm * min(2, query.count(t))).otherwise(0.0)
     return both.select(key, ((1 - F.exp(-score)) if saturate else score).alias("score"))
@@ -73,11 +75,30 @@ def hybrid(df: DataFrame, lexical: Column, vector: Column, graph: Column, tempor
 
 def diverse(df: DataFrame, source: str, key: str, score: str, limit: int, penalty: float = DIVERSITY) -> DataFrame:
     """The greedy choice with a penalty for every earlier row of the same source, without a loop: within a source rows are taken by score,
-    so that the k-th has the penalty (k - 1) times; then one top-k. Rows without a source have none."""
-    earlier = F.row_number().over(Window.partitionBy(source).orderBy(F.desc(score), F.desc(key))) - 1
+    so that the k-th has the penalty (k - 1) times; then one top-k. Rows without a source have none.
+
+    No more than `limit` rows of a source can be among the best: rank limits drop the others before the shuffle, and rows without a source are a top-k of their own.
+    """
     none = F.col(source).isNull() | (F.col(source) == "")
-    adjusted = F.col(score) - F.when(none, 0.0).otherwise(penalty * earlier)
-    return df.withColumn("adjusted", adjusted).orderBy(F.desc("adjusted"), F.desc(key)).limit(limit)
+    place = F.row_number().over(Window.partitionBy(source).orderBy(F.desc(score), F.desc(key)))
+    named = df.where(~none).withColumn("_place", place).where(F.col("_place") <= limit)
+    best = named.withColumn("adjusted", F.col(score) - penalty * (F.col("_place") - 1)).drop("_place")
+    free = df.where(none).orderBy(F.desc(score), F.desc(key)).limit(limit).withColumn("adjusted", F.col(score).cast("double"))
+    return best.unionByName(free).orderBy(F.desc("adjusted"), F.desc(key)).limit(limit)
+
+
+def hash_embedding(df: DataFrame, key: str, tokens: Column, size: int = 128) -> DataFrame:
+    """(key, vector): each token adds 1 + ln(1 + length) to the cell that its SHA-256 names, with the sign that it names; unit length, zeros without tokens.
+
+    Cells are sums by key and cell, which combine on the map side, so that no more than `size` rows a key are shuffled.
+    """
+    digest = lambda t: F.sha2(t, 256)
+    number = lambda h, at, n: F.conv(F.substring(h, at, n), 16, 10).cast("bigint")
+    cell = lambda t: tx.let(digest(t), lambda h: F.struct((number(h, 1, 8) % size).cast("int").alias("i"), (F.when(number(h, 9, 2) % 2 == 1, -1.0).otherwise(1.0) * (1 + F.log1p(F.length(t)))).alias("w")))
+    cells = df.select(key, F.explode_outer(F.transform(tokens, cell)).alias("c")).groupBy(key, F.col("c.i").alias("i")).agg(F.sum("c.w").alias("w"))
+    rows = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "w")))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    at = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.coalesce(F.nullif("norm", F.lit(0.0)), F.lit(1.0))
+    return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at).alias("vector"))
 
 
 def weighted_fields(df: DataFrame, key: str, fields: dict[str, float], query: list[str]) -> DataFrame:
@@ -90,14 +111,25 @@ def weighted_fields(df: DataFrame, key: str, fields: dict[str, float], query: li
 
 
 def session_scores(df: DataFrame, text: Column, query: str, tokens: list[str]) -> DataFrame:
-    """score of session events: 4 a direct token, 1.75 an alias (up to 8), 8 for the whole phrase, 12 times the trigram Jaccard from 0.04 up to 4."""
+    """score of session events: 4 a direct token, 1.75 an alias (up to 8), 8 for the whole phrase, 12 times the trigram Jaccard from 0.04 up to 4.
+
+    The query has few trigrams: a text has those that are found in it, and how many others it has makes the union's size. A text without any is none's match,
+    so that its own trigrams aren't made; nor are those of one that is so long that its Jaccard must stay below 0.04.
+    """
+    plain = tx.collapse(tx.session_normal(text))
     own = F.array_distinct(tx.tokens(tx.session_normal(text), "session"))
     direct = tx.overlap(own, tokens)
     aliases = [t for t in expand(tokens) if t not in tokens]
     alias = F.least(tx.overlap(own, aliases), F.lit(8)) if aliases else F.lit(0)
-    phrase = F.when(F.contains(tx.collapse(tx.session_normal(text)), F.lit(query.lower())), 8.0).otherwise(0.0)
-    near = tx.jaccard(tx.trigrams(text), tx.trigrams(F.lit(query)))
-    return df.withColumn("score", direct * 4.0 + alias * 1.75 + phrase + F.when(near >= 0.04, F.least(near * 12, F.lit(4.0))).otherwise(0.0))
+    phrase = F.when(F.contains(plain, F.lit(query.lower())), 8.0).otherwise(0.0)
+    wanted = tx.gram_list(query)
+    shared = sum((F.contains(F.col("_plain"), F.lit(g)).cast("int") for g in wanted), F.lit(0))
+    found = df.withColumn("_plain", plain).withColumn("_shared", shared)
+    size = F.size(tx.grams(F.col("_plain")))
+    # The Jaccard is shared / (wanted + size - shared).
+    near = F.when(F.col("_shared") > 0, F.col("_shared") / (len(wanted) + size - F.col("_shared"))).otherwise(0.0)
+    points = F.when(F.col("_shared") > 0, tx.let(near, lambda j: F.when(j >= 0.04, F.least(j * 12, F.lit(4.0))).otherwise(0.0))).otherwise(0.0)
+    return found.withColumn("score", direct * 4.0 + alias * 1.75 + phrase + points).drop("_plain", "_shared")
 
 
 def line_search(df: DataFrame, key: str, text: Column, query: list[str], phrase: str) -> DataFrame:

@@ -22,6 +22,7 @@ SECRETS = {
     "database-uri": r"(?i)\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://[^\s]+",
     "private-key": r"(?s)-----BEGIN(?: [A-Z0-9]+)? PRIVATE KEY-----.*?-----END(?: [A-Z0-9]+)? PRIVATE KEY-----",
 }
+# Card numbers, addresses, tokens of high entropy, and encoded payloads.
 CARD = r"(?<!\d)(?:\d[ -]*?){13,19}(?!\d)"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 # Phrases that try to instruct the reader, by group of languages.
@@ -106,14 +107,25 @@ def decoded_payloads(text: str) -> list[str]:
     return list(payloads(text))
 
 
-def decompressed(data: bytes, longest: int = 1 << 20) -> bytes:
-    """What gzip or zlib data holds, up to `longest` bytes; empty for other data."""
+def decompressed(data: bytes, piece: int = 1 << 20, overlap: int = 8192) -> Iterator[bytes]:
+    """What gzip or zlib data holds, whole, in pieces of at most `piece` bytes that begin with the last `overlap` bytes before them, so that matches over the
+    seams are found and memory stays bounded; nothing for other data. Data that breaks off gives what it holds."""
     for bits in (31, 15):
+        stream, tail, rest, some = zlib.decompressobj(bits), b"", data, False
         try:
-            return zlib.decompressobj(bits).decompress(data, longest)
+            while rest and not stream.eof:
+                part = stream.decompress(rest, piece)
+                rest = stream.unconsumed_tail
+                if part:
+                    some = True
+                    yield tail + part
+                    tail = (tail + part)[-overlap:]
+                elif not rest:
+                    break
+            return
         except zlib.error:
-            continue
-    return b""
+            if some:
+                return
 
 
 def scan_encoded(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -132,3 +144,31 @@ def scan_encoded(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "payload"])
 
     return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, payload string")
+
+
+def findings(text: Column) -> Column:
+    """What a text holds: secret types and injection reasons, as kind:name."""
+    tag = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(f"{kind}:"), x))
+    return F.array_sort(F.concat(tag("secret", secret_types(text)), tag("injection", injection_reasons(text))))
+
+
+def scan_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, finding, encoded): findings of the texts themselves and, marked encoded, of the payloads decoded from them; once each. Payloads are scanned in the
+    same narrow pass as they are decoded; what is shuffled are the findings."""
+    plain = df.select(key, F.explode(findings(F.col(text))).alias("finding"), F.lit(False).alias("encoded"))
+    inner = scan_encoded(df, key, text).select(key, F.explode(findings(F.col("payload"))).alias("finding"), F.lit(True).alias("encoded"))
+    return plain.unionByName(inner).distinct()
+
+
+def scan_buffers(df: DataFrame, key: str, data: str) -> DataFrame:
+    """(key, finding): findings in binary buffers: as they are where they are UTF-8, and in what gzip or zlib data holds, piece by piece."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k, raw in zip(f[key], f[data], strict=True):
+                raw = bytes(raw) if raw is not None else b""
+                for piece in [raw] if not raw.startswith((b"\x1f\x8b", b"\x78")) else decompressed(raw):
+                    yield pd.DataFrame([(k, piece.decode("utf-8", "replace"))], columns=[key, "payload"])
+
+    texts = df.select(key, data).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, payload string")
+    return texts.select(key, F.explode(findings(F.col("payload"))).alias("finding")).distinct()

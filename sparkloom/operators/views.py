@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .graph import cut as cut_lineage
 
-_ERROR = re.compile(tx.ERROR_LINE)
-_WARNING = re.compile(tx.WARNING_LINE)
-_LOCATION = re.compile(tx.LOCATION)
+ERROR = re.compile(tx.ERROR_LINE)
+WARNING = re.compile(tx.WARNING_LINE)
+LOCATION = re.compile(tx.LOCATION)
 
 
 def family(text: Column) -> Column:
@@ -30,7 +31,7 @@ def cut(data: bytes, target: int) -> list[tuple[int, int, bytes]]:
     """Runs of whole lines of up to `target` bytes; an error line begins a run; longer lines are cut on their own."""
     out, start, at = [], 0, 0
     for line in data.splitlines(keepends=True):
-        begins = _ERROR.search(line.decode("utf-8", "replace"))
+        begins = ERROR.search(line.decode("utf-8", "replace"))
         if at > start and (at - start + len(line) > target or begins):
             out.append((start, at, data[start:at]))
             start = at
@@ -45,10 +46,10 @@ def cut(data: bytes, target: int) -> list[tuple[int, int, bytes]]:
 
 def grade(text: str) -> tuple[str, float, bool]:
     """Kind, salience and whether it is critical."""
-    place = bool(_LOCATION.search(text))
-    if _ERROR.search(text):
+    place = bool(LOCATION.search(text))
+    if ERROR.search(text):
         return "critical", 12.0 + 2.0 * place, True
-    if _WARNING.search(text):
+    if WARNING.search(text):
         return "warning", 6.0 + place, False
     return "text-window", 1.0, False
 
@@ -75,18 +76,66 @@ def verify_segments(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("_ok", before == F.col("start_byte")).groupBy(key).agg(F.bool_and("_ok").alias("contiguous"), F.max("end_byte").alias("n_bytes"))
 
 
-def merkle_roots(df: DataFrame, key: str, order: str, leaf: str) -> DataFrame:
-    """(key, leaves, root): SHA-256 trees over each key's ordered hexadecimal hashes, the last of an odd layer paired with itself."""
+def merkle_root(hashes: list[str]) -> str:
+    """The SHA-256 tree over hexadecimal hashes, the last of an odd layer paired with itself; that of no bytes over none."""
+    if not hashes:
+        return hashlib.sha256(b"").hexdigest()
+    h = [bytes.fromhex(x) for x in hashes]
+    while len(h) > 1:
+        h += h[-1:] * (len(h) % 2)
+        h = [hashlib.sha256(a + b).digest() for a, b in zip(h[::2], h[1::2], strict=True)]
+    return h[0].hex()
+
+
+def _joined(left: Column, right: Column) -> Column:
+    return F.sha2(F.unhex(F.concat(left, right)), 256)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = [bytes.fromhex(x) for x in pdf.sort_values(order)[leaf]]
-        n = len(h)
-        while len(h) > 1:
-            h += h[-1:] * (len(h) % 2)
-            h = [hashlib.sha256(a + b).digest() for a, b in zip(h[::2], h[1::2], strict=True)]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "leaves": [n], "root": [h[0].hex()]})
 
-    return df.groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, leaves bigint, root string")
+def merkle_layers(df: DataFrame, key: str, order: str, leaf: str) -> DataFrame:
+    """(key, level, position, hash) of all nodes of each key's tree, leaves on level 0: a layer is an aggregate of the one below by half its positions, so that
+    no key is gathered. As many rounds as the largest tree has levels."""
+    position = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    layer = cut_lineage(df.select(key, position.alias("position"), F.lower(F.col(leaf)).alias("hash")))
+    most = layer.agg(F.max("position")).first()[0]
+    out = layer.withColumn("level", F.lit(0))
+    sizes = layer.groupBy(key).agg(F.max("position").alias("_last"))
+    for level in range(1, int(most or 0).bit_length() + 1):
+        # A tree of one node on the level below is at its root already.
+        below = layer.join(sizes.where(F.shiftright(F.col("_last"), level - 1) > 0).select(key), key, "left_semi")
+        pairs = below.groupBy(key, F.floor(F.col("position") / 2).cast("int").alias("position")).agg(F.min_by("hash", "position").alias("_a"), F.max_by("hash", "position").alias("_b"))
+        layer = cut_lineage(pairs.select(key, "position", _joined(F.col("_a"), F.col("_b")).alias("hash")))
+        out = out.unionByName(layer.withColumn("level", F.lit(level)))
+    return out.select(key, "level", "position", "hash")
+
+
+def merkle_roots(df: DataFrame, key: str, order: str, leaf: str) -> DataFrame:
+    """(key, leaves, root): SHA-256 trees over each key's ordered hexadecimal hashes, the last of an odd layer paired with itself."""
+    layers = merkle_layers(df, key, order, leaf)
+    return layers.groupBy(key).agg(F.count_if(F.col("level") == 0).alias("leaves"), F.max_by("hash", "level").alias("root"))
+
+
+def merkle_proofs(df: DataFrame, key: str, order: str, leaf: str) -> DataFrame:
+    """(key, position, leaf, root, proof) of every leaf: the siblings (side, hash) on its way to the root. One equi join of the leaves, a row for each of their
+    levels, with the layers."""
+    layers = cut_lineage(merkle_layers(df, key, order, leaf))
+    roots = layers.groupBy(key).agg(F.max("level").alias("_top"), F.max_by("hash", "level").alias("root"))
+    leaves = layers.where("level = 0").select(key, F.col("position"), F.col("hash").alias("leaf")).join(roots, key)
+    ways = leaves.select("*", F.explode(F.when(F.col("_top") > 0, F.sequence(F.lit(0), F.col("_top") - 1)).otherwise(F.array(F.lit(None).cast("int")))).alias("level"))
+    at = F.expr("shiftright(position, level)")
+    ways = ways.withColumn("_at", at).withColumn("_sibling", at.bitwiseXOR(F.lit(1)))
+    last = layers.groupBy(key, "level").agg(F.max("position").alias("_end"))
+    ways = ways.join(last, [key, "level"], "left").withColumn("_other", F.least("_sibling", "_end"))
+    other = layers.select(key, "level", F.col("position").alias("_other"), F.col("hash").alias("_hash"))
+    met = ways.join(other, [key, "level", "_other"], "left")
+    step = F.when(F.col("level").isNotNull(), F.struct("level", F.when(F.col("_sibling") < F.col("_at"), "left").otherwise("right").alias("side"), F.col("_hash").alias("hash")))
+    gathered = met.groupBy(key, "position", "leaf", "root").agg(F.array_sort(F.collect_list(step)).alias("_p"))
+    return gathered.select(key, "position", "leaf", "root", F.transform("_p", lambda x: F.struct(x["side"].alias("side"), x["hash"].alias("hash"))).alias("proof"))
+
+
+def proof_holds(leaf: Column, proof: Column, root: Column) -> Column:
+    """Whether a leaf and its siblings give the root."""
+    up = F.aggregate(proof, leaf, lambda h, x: F.when(x["side"] == "left", _joined(x["hash"], h)).when(x["side"] == "right", _joined(h, x["hash"])))
+    return F.coalesce(up == root, F.lit(False))
 
 
 def facets(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -177,7 +177,10 @@ def cursor_read(spark, sf_dir):
     return context.after(table(spark, sf_dir, "events").select("event_id"), "event_id", 700, 50)
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE doc_id % 3 <> 0),
+f AS (SELECT doc_id, r, n_chars <= 100000 AS ok, CASE WHEN n_chars <= 100000 THEN n_chars ELSE 0 END AS used FROM i WHERE r = 1
+UNION ALL SELECT i.doc_id, i.r, used + n_chars <= 100000, CASE WHEN used + n_chars <= 100000 THEN used + n_chars ELSE used END FROM f JOIN i ON i.r = f.r + 1)
+SELECT doc_id FROM f WHERE ok""")
 def garbage_collection(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return context.collectable(d, ["doc_id"], "n_chars", "doc_id", F.col("doc_id") % 3 == 0, 100_000)
@@ -191,10 +194,10 @@ def context_deltas(spark, sf_dir):
     return context.deltas(c, "id", "before", "text").select("id", "is_delta", F.sha2("body", 256).alias("body_sha256"))
 
 
-@query()
+@query("SELECT doc_id, 1 AS n FROM documents")
 def segment_diff(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.transform(tx.lines(F.col("text")), F.md5).alias("now"))
-    d = d.withColumn("before", F.slice("now", 2, 1000))
+    d = d.withColumn("before", F.slice("now", F.lit(2), F.size("now")))
     return context.changed_segments(d, "doc_id", "before", "now").select("doc_id", F.size("changed").alias("n"))
 
 

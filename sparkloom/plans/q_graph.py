@@ -72,12 +72,19 @@ def _pagerank_sql(rounds: int) -> str:
     return ", ".join(parts) + f" SELECT node, round(rank, 6) AS rank FROM r{rounds}"
 
 
-@query(_pagerank_sql(10))
+@query(_pagerank_sql(30))
 def pagerank(spark, sf_dir):
-    return graph.pagerank(_edges(spark, sf_dir), rounds=10).withColumn("rank", F.round("rank", 6))
+    return graph.pagerank(_edges(spark, sf_dir)).withColumn("rank", F.round("rank", 6))
 
 
-@query()
+def _personalized_sql(rounds: int) -> str:
+    parts = [f"WITH e AS ({_EDGES}), o AS (SELECT src, count(*) AS out FROM e GROUP BY src), l AS MATERIALIZED (SELECT src, dst, 1.0 / out AS share FROM e JOIN o USING (src)), b AS (SELECT 3 AS node, 0.5 AS p UNION ALL SELECT 7, 0.5), r0 AS (SELECT node, p AS rank FROM b)"]
+    for i in range(rounds):
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT node, sum(r) AS rank FROM (SELECT dst AS node, rank * share * 0.85::DOUBLE AS r FROM l JOIN r{i} ON node = src UNION ALL SELECT node, p * 0.15 FROM b) GROUP BY node)")
+    return ", ".join(parts) + f" SELECT node, round(rank, 6) AS rank FROM r{rounds}"
+
+
+@query(_personalized_sql(32))
 def personalized_pagerank(spark, sf_dir):
     e = _edges(spark, sf_dir).withColumn("weight", F.lit(1.0))
     return graph.personalized_pagerank(e, _seed(spark, 3, 7).withColumn("weight", F.lit(1.0))).withColumn("rank", F.round("rank", 6))
@@ -120,9 +127,3 @@ def hotspots(spark, sf_dir):
 def change_risk(spark, sf_dir):
     g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.count("*") + F.log2(1 + F.sum("l_quantity"))).alias("risk"))
     return g.select("o_orderkey", F.when(F.col("risk") >= 40, "high").when(F.col("risk") >= 15, "medium").otherwise("low").alias("level"))
-
-
-@query()
-def multi_graph_search(spark, sf_dir):
-    seeds = _seed(spark, 3, 7).withColumn("score", F.lit(1.0))
-    return graph.propagate(_edges(spark, sf_dir), seeds, 4).withColumn("score", F.round("score", 6))

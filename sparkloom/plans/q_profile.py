@@ -52,7 +52,7 @@ def heavy_hitters_sketch(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.expr("approx_top_k(event_type, 5, 128)").alias("top"))
 
 
-@query()
+@query("""SELECT count(DISTINCT user_id) AS users FROM events""")
 def distinct_sketch(spark, sf_dir):
     """HyperLogLog sketches merged over groups."""
     per = table(spark, sf_dir, "events").groupBy("event_type").agg(F.hll_sketch_agg("user_id", F.lit(12)).alias("sketch"))
@@ -120,7 +120,7 @@ def rag_dedup(spark, sf_dir):
     return best.select("identity", "doc_id", "score")
 
 
-@query()
+@query("""SELECT user_id, value, event_id, ts FROM events""")
 def column_pruning(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select(*profile.priority_columns(e.columns, ["user", "value"], 4))

@@ -68,7 +68,14 @@ def trigram_jaccard(spark, sf_dir):
     return p.select("p_partkey", F.round(tx.jaccard(tx.trigrams(F.col("p_name")), tx.trigrams(F.lit("small red ring"))), 6).alias("near"))
 
 
-@query()
+_PLAIN = "trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {_PLAIN} AS t FROM conversations),
+g AS (SELECT conv_id, turn, t, list_distinct(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substring(t, i, 3))) AS a, ['tha', 'hat', 'at ', 't i', ' id', 'ide', 'dea'] AS q, list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_./:-]+'), lambda x: length(x) >= 2) AS w FROM p),
+j AS (SELECT *, len(list_intersect(a, q)) / len(list_distinct(list_concat(a, q))) AS near FROM g),
+s AS (SELECT conv_id, turn, 4.0 * len(list_intersect(w, ['that', 'idea'])) + CASE WHEN contains(t, 'that idea') THEN 8 ELSE 0 END + CASE WHEN near >= 0.04 THEN least(near * 12, 4) ELSE 0 END AS score FROM j)
+SELECT conv_id, turn, round(score, 6) AS score FROM s WHERE score > 1.6 ORDER BY 3 DESC, conv_id, turn LIMIT 50""")
 def session_search(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     scored = rank.session_scores(c, F.col("text"), "that idea", ["that", "idea"])
@@ -98,38 +105,12 @@ def line_search(spark, sf_dir):
     return rank.line_search(d, "doc_id", F.col("text"), ["token"], "token =").where(~F.col("text").rlike(tx.ERROR_LINE)).select("doc_id", "line", "score")
 
 
-@query("SELECT conv_id, turn, 65.0 * CASE WHEN lower(text) LIKE '%the%' THEN 1 ELSE 0 END + round(15.0 * turn / greatest(max(turn) OVER (PARTITION BY conv_id), 1), 6) AS score FROM conversations")
-def session_memory_retrieve(spark, sf_dir):
-    from pyspark.sql import Window
-
-    c = table(spark, sf_dir, "conversations")
-    place = F.round(15.0 * F.col("turn") / F.greatest(F.max("turn").over(Window.partitionBy("conv_id")), F.lit(1)), 6)
-    return c.select("conv_id", "turn", (F.when(F.lower("text").contains("the"), 65.0).otherwise(0.0) + place).alias("score"))
-
-
-@query("SELECT r_name AS family, max(CASE WHEN n_name LIKE '%1%' THEN 5 ELSE 1 END) AS weight, rank() OVER (ORDER BY max(CASE WHEN n_name LIKE '%1%' THEN 5 ELSE 1 END) DESC) AS place FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
-def tool_family_search(spark, sf_dir):
-    from pyspark.sql import Window
-
-    j = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    g = j.groupBy(F.col("r_name").alias("family")).agg(F.max(F.when(F.col("n_name").contains("1"), 5).otherwise(1)).alias("weight"))
-    return g.withColumn("place", F.rank().over(Window.orderBy(F.desc("weight"))).cast("bigint"))
-
-
-@query()
+@query("""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 2)) AS t FROM documents),
+c AS (SELECT doc_id, CAST('0x' || left(h, 8) AS BIGINT) % 128 AS i, sum(CASE WHEN CAST('0x' || substring(h, 9, 2) AS BIGINT) % 2 = 1 THEN -1 ELSE 1 END * (1 + ln(1 + length(t)))) AS w FROM (SELECT doc_id, t, sha256(t) AS h FROM t) GROUP BY 1, 2),
+n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM c GROUP BY doc_id),
+v AS (SELECT d.doc_id, g.i, CAST(round(coalesce(w, 0) / coalesce(nullif(norm, 0), 1) * 1000) AS BIGINT) AS x FROM documents d CROSS JOIN (SELECT unnest(range(128)) AS i) g LEFT JOIN c ON c.doc_id = d.doc_id AND c.i = g.i LEFT JOIN n ON n.doc_id = d.doc_id)
+SELECT doc_id, string_agg(CAST(x AS VARCHAR), ',' ORDER BY i) AS vector FROM v GROUP BY doc_id""")
 def hash_embedding(spark, sf_dir):
-    """Signed hashing of tokens into 128 dimensions, weight 1 + ln(1 + length), unit length: one narrow expression."""
-    d = table(spark, sf_dir, "documents")
-    own = F.array_distinct(tx.tokens(F.col("text"), "word"))
-    cells = F.transform(own, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(128)).cast("int").alias("i"), (F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0) * (1 + F.log(1.0 + F.length(t)))).alias("w")))
-    rows = d.select("doc_id", F.explode(cells).alias("c")).groupBy("doc_id", F.col("c.i").alias("i")).agg(F.sum("c.w").alias("w"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_cells"), F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("norm"))
-
-
-@query("SELECT event_id, round(10.0 * len(list_intersect(['purchase', 'error'], [event_type])) / len(list_distinct(['purchase', 'error', event_type])) + 2 * (event_id + 1) / (SELECT max(event_id) + 1 FROM events), 6) AS score FROM events ORDER BY score DESC, event_id LIMIT 50")
-def long_session_plan(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    most = e.agg((F.max("event_id") + 1).alias("m"))
-    near = tx.jaccard(F.array(F.col("event_type")), F.array(F.lit("purchase"), F.lit("error")))
-    out = e.crossJoin(F.broadcast(most)).select("event_id", F.round(10.0 * near + 2 * (F.col("event_id") + 1) / F.col("m"), 6).alias("score"))
-    return out.orderBy(F.desc("score"), "event_id").limit(50)
+    """Vectors of 128 cells, in thousandths."""
+    found = rank.hash_embedding(table(spark, sf_dir, "documents"), "doc_id", tx.tokens(F.col("text"), "word"))
+    return found.select("doc_id", F.array_join(F.transform("vector", lambda x: F.round(x * 1000).cast("bigint")), ",").alias("vector"))

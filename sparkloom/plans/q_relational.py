@@ -72,13 +72,8 @@ SQL = {
     "cache_health": "SELECT band, count(*) AS n FROM (SELECT CASE WHEN value < 60 THEN 'active' WHEN value < 90 THEN 'refresh-due' ELSE 'expired' END AS band FROM events) GROUP BY band",
     "retry_backoff": "SELECT o_orderkey, least(3600, power(2, o_orderkey % 14)) AS delay FROM orders WHERE o_orderstatus = 'P'",
     "complexity_class": "SELECT p_partkey, CASE WHEN points >= 8 THEN 'critical' WHEN points >= 5 THEN 'high' WHEN points >= 2 THEN 'medium' ELSE 'low' END AS complexity FROM (SELECT p_partkey, (CASE WHEN p_size > 40 THEN 5 WHEN p_size > 20 THEN 3 ELSE 0 END) + (CASE WHEN p_type LIKE '%PROMO%' THEN 3 ELSE 0 END) + (CASE WHEN p_retailprice > 1500 THEN 1 ELSE 0 END) AS points FROM part)",
-    "job_claim": "SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey, o_orderpriority, max(CASE WHEN o_orderstatus = 'F' THEN o_orderdate END) OVER (PARTITION BY o_custkey) AS served, o_orderstatus FROM orders) j WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F' AND l_linenumber = 1) ORDER BY o_orderpriority, served NULLS FIRST, o_orderkey LIMIT 1",
-    "lease_reap": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN attempts >= 5 THEN 'dead-letter' WHEN o_orderdate <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY THEN 'retry' ELSE 'running' END AS state FROM (SELECT o_orderkey, o_orderstatus, o_orderdate, count(l_orderkey) AS attempts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus, o_orderdate)",
-    "memory_search": "SELECT event_id, round(0.55 * (CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.5 END) + 0.25 * value / 100 + 0.12 * exp(-(m - event_id) / 9000.0) + 0.08 * least(1.0, n / 5.0), 4) AS score FROM events JOIN (SELECT user_id AS u, count(*) AS n FROM events GROUP BY user_id) r ON u = user_id CROSS JOIN (SELECT max(event_id) AS m FROM events) x ORDER BY score DESC, event_id LIMIT 50",
-    "scoped_memory": "SELECT event_id, user_id, round(5 * value / 100 + 3 * 0.5 + 4 * greatest(0, 1 - (latest - event_id) / 1000.0), 6) AS score FROM (SELECT event_id, user_id, value, max(event_id) OVER (PARTITION BY user_id) AS latest FROM events WHERE event_type <> 'click') s ORDER BY score DESC, event_id LIMIT 50",
     "timeline": "SELECT conv_id, turn, role, CAST(length(text) AS BIGINT) AS n FROM conversations ORDER BY conv_id, turn",
     "active_context": "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) s WHERE used <= 4000 OR r = 1",
-    "segment_search": "SELECT doc_id, CAST(3.0 * (CASE WHEN text LIKE '%that%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%with%' THEN 1 ELSE 0 END) + CASE WHEN text LIKE '%that with%' THEN 6.0 ELSE 0 END AS DOUBLE) AS score FROM documents ORDER BY score DESC, doc_id LIMIT 40",
     "graph_node_query": "SELECT n_nationkey, CAST(65.0 * (CASE WHEN n_name LIKE '%1%' THEN 1 ELSE 0 END) + 20.0 * (CASE WHEN n_name = 'NATION_1' THEN 1 ELSE 0 END) + least(10, 0.5 * d) AS DOUBLE) AS score FROM nation JOIN (SELECT s_nationkey, count(*) AS d FROM supplier GROUP BY s_nationkey) g ON s_nationkey = n_nationkey ORDER BY score DESC, n_nationkey LIMIT 10",
     "class_hierarchy": "SELECT r_name AS base, n_name AS derived FROM nation JOIN region ON n_regionkey = r_regionkey",
     "refactor_plan": "SELECT s.s_nationkey AS path, count(DISTINCT l_partkey) AS touched FROM lineitem JOIN supplier s ON l_suppkey = s_suppkey GROUP BY s.s_nationkey",

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..sources import formats
-from ..sources.tables import table
+from ..sources.tables import shared_folder, table
 from ..streaming import tables as streams
 from .registry import query
 
 
 def _scratch(spark) -> str:
-    """A new folder below the one that the session names for checkpoints; a temporary one where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sparkloom-")
-    return f"{base.rstrip('/')}/sparkloom/files-{uuid.uuid4().hex}"
+    """A new folder below the one that the session names for checkpoints."""
+    return f"{shared_folder(spark).rstrip('/')}/sparkloom/{spark.sparkContext.applicationId}/files-{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id, max(value) AS most, count(*) AS n FROM events GROUP BY user_id")
@@ -48,10 +46,22 @@ def stream_append_chain(spark, sf_dir):
     return out.where("not late").select("user_id", "sequence", "event_id", "event_hash")
 
 
-@query()
+_CHUNKS = "CASE WHEN turn % 2 = 0 THEN 'xx ' || upper(left(a, 9)) ELSE upper(left(a, 5)) || ' y' || CASE WHEN turn % 3 = 0 THEN '' ELSE ' EFG' END END"
+
+
+@query(f"""WITH c AS (SELECT conv_id, string_agg(t, '' ORDER BY turn) AS t FROM (SELECT conv_id, turn, {_CHUNKS} AS t FROM (SELECT *, regexp_replace(text, '[^a-z A-Z.]', '', 'g') AS a FROM conversations)) GROUP BY conv_id)
+SELECT conv_id, m AS match, count(*) AS n FROM (SELECT conv_id, unnest(regexp_extract_all(t, '[A-Z]{{2,}}')) AS m FROM c) GROUP BY conv_id, m""")
 def stream_scan_overlap(spark, sf_dir):
-    s = streams.read_events(spark, f"{sf_dir}/conversations.parquet")
-    return streams.drain(streams.scan_overlap(s, "conv_id", "turn", "text", r"[A-Z]{2,}"), "stream_scan_overlap", "append")
+    """Matches over the seams of chunks, and where the input ends; chunks are written as the files of a stream."""
+    t = F.col("turn")
+    chunk = F.when(t % 2 == 0, F.concat(F.lit("xx "), F.upper(F.left("a", F.lit(9))))).otherwise(F.concat(F.upper(F.left("a", F.lit(5))), F.lit(" y"), F.when(t % 3 == 0, "").otherwise(" EFG")))
+    c = table(spark, sf_dir, "conversations").withColumn("a", F.regexp_replace("text", "[^a-z A-Z.]", ""))
+    chunks = c.select("conv_id", "turn", chunk.alias("text"))
+    path = _scratch(spark)
+    streams.flush_chunks(chunks, "conv_id", "turn", "text").write.parquet(path)
+    s = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    found = streams.drain(streams.scan_overlap(s, "conv_id", "turn", "text", r"[A-Z]{2,}", last="last"), "stream_scan_overlap", "append")
+    return found.groupBy("conv_id", "match").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, position, role, content FROM (SELECT doc_id, 0 AS position, 'user' AS role, lang AS content FROM documents UNION ALL SELECT doc_id, 1, 'assistant', source FROM documents)")

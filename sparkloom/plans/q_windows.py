@@ -100,10 +100,13 @@ def budget_pack_stop(spark, sf_dir):
     return windows.pack_until(c, ["conv_id"], [F.desc("turn")], "n", 2000).select("conv_id", "turn")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+f AS (SELECT conv_id, i, CASE WHEN n <= 1500 THEN n ELSE 0 END AS used, CASE WHEN n <= 1500 THEN [turn] ELSE [] END AS items FROM c WHERE i = 1
+UNION ALL SELECT c.conv_id, c.i, CASE WHEN used + n <= 1500 THEN used + n ELSE used END, CASE WHEN used + n <= 1500 THEN list_append(items, turn) ELSE items END FROM f JOIN c ON c.conv_id = f.conv_id AND c.i = f.i + 1)
+SELECT conv_id, CAST(used AS BIGINT) AS used, CAST(len(items) AS INT) AS n_items, array_to_string(items, ',') AS items FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1""")
 def budget_pack_skip(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
-    return windows.pack_skipping(c, ["conv_id"], ["turn"], "n", 1500, "turn")
+    return windows.pack_skipping(c, ["conv_id"], ["turn"], "n", 1500, "turn").withColumn("items", F.array_join("items", ","))
 
 
 @query("SELECT conv_id, turn, role, CAST(count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS BIGINT) AS near FROM conversations WHERE turn >= 0")
@@ -119,7 +122,9 @@ def session_summary(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_events"), F.count_distinct("role").alias("n_roles"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT user_id, i, value AS m FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, f.m * 0.8::DOUBLE + e.value * 0.2::DOUBLE FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, round(arg_max(m, i), 6) AS latency, count(*) AS n FROM f GROUP BY user_id""")
 def ewma_latency(spark, sf_dir):
     from ..functions import stats
 

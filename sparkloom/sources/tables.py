@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,3 +20,12 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         if re.search(rf"\b{name}\b", sql):
             table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(sql)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, which the driver and all executors share. Where it names none a single machine takes a temporary
+    one, and a cluster is an error, as each machine would write to its own disk."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path or tempfile.mkdtemp(prefix="sparkloom-")

@@ -59,29 +59,45 @@ def append_chain(stream: DataFrame, key: str, order: str, body: str) -> DataFram
     return stream.select(key, order, body).groupBy(key).applyInPandasWithState(run, out, f"n bigint, last string, at bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def scan_overlap(stream: DataFrame, key: str, order: str, text: str, pattern: str, overlap: int = 8192) -> DataFrame:
-    """(key, matches): matches of a pattern in texts that come in chunks, those over the seams included: the state of a key is the last `overlap` characters and how far they
-    have been reported."""
+def scan_overlap(stream: DataFrame, key: str, order: str, text: str, pattern: str, overlap: int = 8192, last: str | None = None) -> DataFrame:
+    """(key, start, match): matches of a pattern in texts that come in chunks, those over the seams included. The state of a key is what may still grow: the last
+    `overlap` characters and how far they have been reported.
+
+    A match that ends where the input ends so far waits, as more may follow. It is reported when a chunk goes on behind it, with the chunk for which the boolean
+    column `last` holds, or, over a bounded input, by flush_chunks().
+    """
     import re
 
     found = re.compile(pattern)
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tail, base, done = state.get if state.exists else ("", 0, 0)
-        rows = []
-        for _, chunk in sorted((r for f in frames for r in zip(f[order], f[text], strict=True)), key=lambda r: r[0]):
+        rows, ended = [], False
+        chunks = (r for f in frames for r in zip(f[order], f[text], f["_last"], strict=True))
+        for _, chunk, end in sorted(chunks, key=lambda r: r[0]):
             whole = tail + (chunk or "")
+            ended = ended or bool(end)
             for m in found.finditer(whole):
-                if m.end() + base > done and m.end() < len(whole):
+                if m.end() + base > done and m.start() + base >= done and (m.end() < len(whole) or end):
                     rows.append((k[0], base + m.start(), m[0]))
                     done = base + m.end()
             cut = max(0, len(whole) - overlap)
             tail, base = whole[cut:], base + cut
-        state.update((tail, base, done))
+        if ended:
+            state.remove()
+        else:
+            state.update((tail, base, done))
         yield pd.DataFrame(rows, columns=[key, "start", "match"])
 
     kind = dict(stream.dtypes)[key]
-    return stream.select(key, order, text).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, start bigint, match string", "tail string, base bigint, done bigint", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(key, order, text, (F.lit(False) if last is None else F.col(last)).alias("_last"))
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, start bigint, match string", "tail string, base bigint, done bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def flush_chunks(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """Chunks of a bounded input with `last`, which marks each key's last one."""
+    end = chunks.groupBy(key).agg(F.max(order).alias("_end"))
+    return chunks.join(end, key).withColumn("last", F.col(order) == F.col("_end")).drop("_end")
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:

@@ -154,7 +154,10 @@ def test_redaction(spark):
     assert security.decoded_payloads("x " + "aGVsbG8gd29ybGQgaGVsbG8gd29ybGQgaGVsbG8=") == ["hello world hello world hello"]
     import gzip
 
-    assert security.decompressed(gzip.compress(b"abc")) == b"abc" and security.decompressed(b"abc") == b""
+    assert list(security.decompressed(gzip.compress(b"abc"))) == [b"abc"] and list(security.decompressed(b"abc")) == []
+    long = bytes(range(65, 91)) * 100_000 + b"password: hunter22"
+    pieces = list(security.decompressed(gzip.compress(long), 100_000, 10))
+    assert b"".join([pieces[0], *(p[10:] for p in pieces[1:])]) == long and len(pieces) > 20 and all(len(p) <= 100_010 for p in pieces)
 
 
 def test_every_payload_is_decoded_whole(spark):

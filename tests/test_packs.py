@@ -62,7 +62,7 @@ def test_deltas_and_changes(spark):
     assert context.changed_segments(arrays, "k", "a", "b").first().changed == [1, 3]
 
 
-@pytest.mark.parametrize("kind, text, wanted", [("test", "ok\nE  boom\n3 passed, 1 failed", ["3 passed, 1 failed", "E  boom"]), ("diff", "diff --git a b\n+new\n same\n-old\n+++ b", ["diff --git a b", "+++ b", "+new", "-old"])])
+@pytest.mark.parametrize("kind, text, wanted", [("test", "ok\nE  boom\n3 passed, 1 failed", ["3 passed, 1 failed", "E  boom"]), ("diff", "diff --git a b\n+new\n same\n-old\n+++ b", ["diff --git a b", "+++ b", "+new", "-old"]), ("log", "\n".join(f"commit {i}" for i in range(70)), [f"commit {i}" for i in range(40)] + ["[… 10 lines omitted …]"] + [f"commit {i}" for i in range(50, 70)]), ("build", "\n".join(f"#{i} done" for i in range(120)), [f"#{i} done" for i in range(80)] + ["[… 10 lines omitted …]"] + [f"#{i} done" for i in range(90, 120)]), ("test", "tests: 3\nx at f(a.js:1)\nsuccesses: 2\nok  pkg 0.1s", ["tests: 3", "successes: 2", "ok  pkg 0.1s", "x at f(a.js:1)"]), ("json", '{"b": [1], "a": "x"}', ["{", '  "a": "x",', '  "b": [', "    1", "  ]", "}"]), ("json", "no json", ["no json"]), ("search", "a:1\na:2\nd/e\nerror", ["results=4 groups=3", "[a] 2", "a:1", "a:2", "[d] 1", "d/e", "[.] 1", "error", "error"])])
 def test_views(spark, kind, text, wanted):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(compact.view(tx.lines(F.col("t")), kind)).first()[0] == wanted
