@@ -58,6 +58,15 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.withColumn("_sl_row", F.monotonically_increasing_id()), name)
 
 
+def partitions_for(df: DataFrame, each: int) -> int:
+    """Shuffle partitions for what df is made into: as many as the session sets, or as the files that df reads take at `each` bytes. The planner knows their
+    sizes without a job; sources whose sizes it doesn't know count as none."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return max(least, -(-sum(x for x in sizes if x < 1 << 60) // each))
+
+
 def own(df: DataFrame) -> list:
     """All columns of df by name, whatever signs are in it."""
     return [F.col(f"`{c}`") for c in df.columns]

@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import id_back, id_key, materialize, table
+from .common import id_back, id_key, materialize, partitions_for, table
 
 #: Words in a window.
 WINDOW = 20
 #: Windows that are combined before they are shuffled, which bounds a worker's memory but for one text; texts that are taken up at once.
 BUFFER, TEXTS = 1 << 18, 256
+#: Bytes of the input, as files have them, for each shuffle partition of windows, which are about three times as many.
+PART = 1 << 24
 #: Odd bases of the two polynomial hashes modulo 2^64, over the halves of words' 128-bit hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Rows of a part: hash, id, tag (of the text, which tells apart rows that share an id) and start of each window; last is -1, or else these are
@@ -186,7 +188,7 @@ def _kept(window: int, with_text: bool) -> Callable:
 
 def late_windows(texts: DataFrame, window: int) -> DataFrame:
     """(id, tag, runs) of texts (id, tag, text): the windows that an equal one comes before, by a smaller id or an earlier start, as start << 32 | last."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_for(texts, PART)
     sent = texts.mapInArrow(_windows(window, parts), SENT)
     # Parts are numbers of shuffle partitions, of about as many windows each; behind the shuffle one sort serves to find the first of equal windows.
     each = sent.repartitionById(parts, F.col("part")).select("part", F.inline(F.arrays_zip("h", "id", "tag", "start", "last")))

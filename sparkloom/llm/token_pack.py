@@ -22,9 +22,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, materialize, scratch_path, table
+from .common import id_back, id_key, materialize, partitions_for, scratch_path, table
 
 BLOCK, MAGIC, TRAILER = 1 << 16, b"SLBITS01", struct.Struct("<IIQQQ8s")
+#: Bytes of the input, as files have them, for each shard.
+SHARD = 1 << 25
 #: Most pieces whose ids a worker remembers.
 MEMORY = 1_000_000
 #: Texts, and their code points at most (but for one text), that are cut into words at once.
@@ -350,7 +352,7 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     """
     bits = bits_for(max(largest_id(tokenizer_path), end_id))
     rows = docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = partitions_for(docs, SHARD)
     found = rows.agg(F.percentile_approx("id", [i / shards for i in range(1, shards)], 10 * shards)).first()[0] if shards > 1 else None
     cuts = np.unique(np.array(found or [], np.int64))
     encoded = rows.mapInArrow(_encoder(tokenizer_path, end_id, bits, cuts), "shard int, id bigint, n bigint, packed binary")

@@ -339,6 +339,37 @@ def test_tags_and_depth_without_bounds():
     assert ht.extract_text("<a b='" * 50_000 + "x") == ""
 
 
+def test_tables_keep_their_columns():
+    """Random tables with cells that span columns and rows, against a grid that is filled place by place: cells of one grid column start alike."""
+    rng = random.Random(12)
+    for _ in range(60):
+        taken, rows, html = set(), [], "<table>"
+        n = 0
+        for y in range(rng.randint(1, 5)):
+            html += "<tr>"
+            x, cells = 0, []
+            for _ in range(rng.randint(1, 4)):
+                while (y, x) in taken:
+                    x += 1
+                w, h = rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2])
+                word = f"c{n}" + "x" * rng.randrange(6)
+                n += 1
+                taken |= {(y + j, x + i) for i in range(w) for j in range(h)}
+                cells.append((x, word))
+                html += f"<td colspan={w} rowspan={h}>{word}"
+                x += w
+            rows.append(cells)
+        lines = ht.extract_text(html + "</table>").split("\n")
+        assert [[c for _, c in r] for r in rows] == [line.split() for line in lines]
+        starts = {}
+        for cells, line in zip(rows, lines, strict=True):
+            for x, word in cells:
+                starts.setdefault(x, set()).add(re.search(rf"(?:^|(?<= )){word}(?= |$)", line).start())
+        assert all(len(v) == 1 for v in starts.values())
+        order = [min(starts[x]) for x in sorted(starts)]
+        assert order == sorted(order)
+
+
 def test_deep_and_long_pages():
     assert ht.extract_text("<div>" * 100_000 + "x") == "x"
     assert ht.extract_text("<ul><li>" * 2000 + "x").endswith("x")
@@ -384,6 +415,43 @@ def test_priors_decide_without_text(spark):
     assert langid.identify(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
 
 
+def test_fused_posteriors_by_hand(spark):
+    """Text likelihood x declaration x suffix x host prior, with the row itself left out, against the same sums in Python."""
+    model = langid.fit(spark.createDataFrame(lang_rows(90, 5), "doc_id long, text string, lang string"))
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        l = rng.choice(list(LANGS))
+        text = " ".join(rng.choice(LANGS[l].split()) for _ in range(rng.choice([0, 1, 3, 20])))
+        url = rng.choice([f"http://{rng.choice('ab')}.{rng.choice(['x', 'y'])}.{rng.choice(['com', l])}/p", None, "nonsense"])
+        rows.append((i, url, rng.choice([f"<html lang='{rng.choice([l, 'en', 'zz'])}'><p>{text}", f"<p>{text}", None])))
+    got = {r.id: r for r in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    size, found = len(model.langs), []
+    for i, url, html in rows:
+        scores = model(langid.visible(html or ""))
+        p = np.exp(scores - scores.max())
+        host, domain, suffix = langid.address(url)
+        found.append((i, scores, p / p.sum(), langid.declared(html or ""), host, domain, suffix))
+    total = sum(f[2] for f in found)
+    prior = (total + 1) / (total.sum() + size)
+    for i, scores, p, said, host, domain, suffix in found:
+        others = lambda k, v: sum((f[2] for f in found if k(f) == v), np.zeros(size)) - p  # noqa: E731, B023
+        shrink = lambda c, toward: (np.maximum(c, 0) + langid.STRENGTH * toward) / (np.maximum(c, 0).sum() + langid.STRENGTH)
+        s, d, h = others(lambda f: f[6], suffix), others(lambda f: (f[6], f[5]), (suffix, domain)), others(lambda f: (f[6], f[5], f[4]), (suffix, domain, host))
+        c = others(lambda f: f[3], said)
+        fused = scores + np.log((np.maximum(c, 0) + langid.SMOOTH) / (total + 2 * langid.SMOOTH)) + np.log((np.maximum(s, 0) + langid.SMOOTH) / (total + 2 * langid.SMOOTH)) + np.log(shrink(h, shrink(d, shrink(s, prior))))
+        q = np.exp(fused - fused.max())
+        q /= q.sum()
+        assert got[i].lang == model.langs[int(np.argmax(q))] and got[i].probability == pytest.approx(q.max(), abs=1e-9)
+        assert got[i].text_lang == model.langs[int(np.argmax(p))]
+
+
+def test_more_labels_than_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.fit(spark.createDataFrame(lang_rows(30, 5), "doc_id long, text string, lang string"))
+
+
 def test_addresses():
     assert langid.address("https://u@Www.Example.co.uk:80/x") == ("www.example.co.uk", "co.uk", "uk")
     assert langid.address(None) == ("", "", "") and langid.address("nonsense") == ("", "", "")
