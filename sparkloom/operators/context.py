@@ -198,6 +198,45 @@ def envelope(value: dict, budget: int) -> str:
     return '{"bounded":true}'
 
 
+# Columns that each level of disclosure adds to those before it.
+LEVELS = {
+    "L0": ["uri", "item_id", "label", "kind", "content_sha256", "parent_uri", "child_count", "tags"],
+    "L1": ["reason", "provenance", "trust", "freshness"],
+    "L2": ["structure", "metadata_keys"],
+    "L3": ["content", "metadata"],
+}
+
+
+def disclosed(items: DataFrame, level: str, content: str = "content") -> DataFrame:
+    """What a level shows of items: the columns of it and of those before, as far as they are there; hashes and structures are made from the content where asked
+    for, so that nothing else of it is read below L3."""
+    from .views import structure
+
+    names = list(LEVELS)
+    if level not in names:
+        raise ValueError(f"levels are {names}")
+    asked = [c for n in names[: names.index(level) + 1] for c in LEVELS[n]]
+    made = {"content_sha256": F.sha2(content, 256), "structure": structure(content)}
+    shown = [made[c].alias(c) if c in made and c not in items.columns else F.col(c) for c in asked if c in items.columns or c in made]
+    return items.select(F.lit(level).alias("level"), *shown)
+
+
+def recent_context(events: DataFrame, key: str, order: str, size: Column, budget: int, last: int) -> DataFrame:
+    """The last events of each key, from the newest back while they fit the budget; the newest one always. Rank limits drop the older ones before the shuffle."""
+    newest = Window.partitionBy(key).orderBy(F.desc(order))
+    rows = events.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= last).withColumn("_used", F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where((F.col("_used") <= budget) | (F.col("_r") == 1)).drop("_r", "_used")
+
+
+def active_context(rows: DataFrame, key: str, tokens: Column, query: list[str], critical: Column, current: Column, generation: Column, limit: int) -> DataFrame:
+    """The best rows of each key for a query: 100 times the shared part of its words, 50 if critical, 20 if current, and a little for later generations."""
+    share = F.size(F.array_intersect(F.array_distinct(tokens), F.array(*map(F.lit, query)))) / max(1, len(set(query)))
+    score = share * 100 + F.when(critical, 50.0).otherwise(0.0) + F.when(current, 20.0).otherwise(0.0) + F.log1p(generation) / 5
+    scored = rows.withColumn("score", score)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), *[F.col(c) for c in rows.columns if c != key]))
+    return scored.withColumn("place", place).where(F.col("place") <= limit)
+
+
 # Filters that a query may have in line.
 FILTERS = ("kind", "path", "error", "scope")
 

@@ -96,3 +96,21 @@ def repository_map(ranked: DataFrame, group: str, order: list[Column], cost: str
     """The best symbols that fit a budget of tokens, by a running sum."""
     used = F.sum(cost).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return ranked.withColumn("used", used).where(F.col("used") <= budget)
+
+
+def node_hits(nodes: DataFrame, edges: DataFrame, query: list[str], limit: int) -> DataFrame:
+    """The best nodes (node, name, text) for a query: 65 times the shared part of its words, 20 for the whole in the text, 5 for the exact name, and half a point
+    an edge up to 10. Degrees are one aggregate; a top-k."""
+    whole = " ".join(query)
+    own = F.array_distinct(tx.tokens(F.concat_ws(" ", "name", "text"), "table"))
+    share = tx.overlap(own, query) / max(1, len(set(query)))
+    base = share * 65.0 + F.when(F.contains(F.lower(F.concat_ws(" ", "name", "text")), F.lit(whole)), 20.0).otherwise(0.0) + F.when(F.lower("name") == whole, 5.0).otherwise(0.0)
+    both = nodes.join(graph.degrees(edges), "node", "left")
+    scored = both.withColumn("_base", base).where("_base > 0")
+    return scored.withColumn("score", F.col("_base") + F.least(F.lit(10.0), 0.5 * F.coalesce("degree", F.lit(0)))).drop("_base", "degree").orderBy(F.desc("score"), "node").limit(limit)
+
+
+def refactor_plan(nodes: DataFrame, edges: DataFrame, seeds_: DataFrame, depth: int = 4) -> DataFrame:
+    """(path, symbols, nearest): the files (nodes: node, path) of all that calls the seeds or that they call within some hops, and of themselves."""
+    near = graph.reach(edges, seeds_, depth).unionByName(graph.reach(edges, seeds_, depth, reverse=True)).groupBy("node").agg(F.min("depth").alias("depth"))
+    return near.join(nodes, "node").groupBy("path").agg(F.count("*").alias("symbols"), F.min("depth").alias("nearest"))

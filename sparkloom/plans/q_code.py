@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import bytes as by, text as tx
-from ..functions.registry import Functions
-from ..operators import compact, context, symbols, views
+from ..functions.registry import Functions, map_reduce
+from ..operators import compact, context, memory, rank, symbols, views
 from ..sources import formats
 from ..sources.tables import table
 from .registry import query
@@ -23,10 +23,9 @@ def _symbols(spark, sf_dir):
     return p.select(F.col("p_brand").alias("path"), F.regexp_extract("p_name", r"(\w+)$", 1).alias("name"), F.regexp_replace("p_name", " ", ".").alias("qualified_name"), F.lit(0.5).alias("confidence"), "p_partkey")
 
 
-@query("SELECT count(*) AS n, max(score) AS best FROM (SELECT CASE WHEN split_part(p_name, ' ', 2) = 'ring' THEN 31.5 ELSE 9.5 END AS score FROM part WHERE contains(p_name, 'ring'))")
+@query("SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 2) = 'ring' THEN 31.5 ELSE 9.5 END AS score FROM part WHERE contains(p_name, 'ring')")
 def symbol_seeds(spark, sf_dir):
-    found = symbols.seeds(_symbols(spark, sf_dir), "ring", 1_000_000)
-    return found.agg(F.count("*").alias("n"), F.max("seed_score").alias("best"))
+    return symbols.seeds(_symbols(spark, sf_dir), "ring", 1_000_000).select("p_partkey", F.col("seed_score").alias("score"))
 
 
 @query("SELECT e.event_id, CASE WHEN n = 1 THEN path END AS target_path FROM (SELECT event_id, 'c' || CAST(user_id AS VARCHAR) AS target FROM events) e LEFT JOIN (SELECT 'c' || CAST(c_custkey % 100 AS VARCHAR) AS q, count(DISTINCT c_nationkey) AS n, CAST(min(c_nationkey) AS VARCHAR) AS path FROM customer GROUP BY 1) s ON q = target")
@@ -117,9 +116,20 @@ def search_groups(spark, sf_dir):
     return compact.search_groups(table(spark, sf_dir, "documents"), "doc_id", "text", groups=1_000_000).select("doc_id", "file", "n")
 
 
-@query()
+_FACTS = {
+    "test-status": "(?i)\\b\\d+\\s+(?:passed|failed|errors?|skipped)\\b",
+    "path": "(?:[\\w.-]+/)+[\\w.-]+\\.\\w+(?::\\d+)?",
+    "negation": "(?i)\\b(?:not|never|cannot|must not|don''t|without)\\b",
+    "error": tx.ERROR_LINE,
+    "number": "\\b\\d+(?:\\.\\d+)?\\b",
+}
+_FACTS_SQL = "list_distinct(" + "".join(f"list_concat(list_transform(regexp_extract_all({{0}}, '{p}', 0), lambda y: '{k}:' || lower(y)), " for k, p in _FACTS.items()) + "[]" + ")" * len(_FACTS) + ")"
+
+
+@query(f"SELECT doc_id, CAST(len(a) AS INT) AS required, CAST(len(list_filter(a, lambda y: NOT list_contains(b, y))) AS INT) AS missing FROM (SELECT doc_id, {_FACTS_SQL.format('t')} AS a, {_FACTS_SQL.format('left(t, 1000)')} AS b FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS t FROM documents))")
 def preserved_facts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    """What heads of texts keep; letters beyond ASCII count as such of words."""
+    d = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "_"))
     report = compact.preservation(F.col("text"), F.left("text", F.lit(1000)))
     return d.select("doc_id", report.alias("r")).select("doc_id", "r.required", F.size("r.missing").alias("missing"))
 
@@ -144,10 +154,14 @@ def transcript_mining(spark, sf_dir):
     return out.groupBy("conv_id").agg(F.sum("saved_tokens").alias("saved_tokens"))
 
 
-@query("SELECT conv_id, v AS view, count(*) AS n FROM (SELECT conv_id, text, unnest(['task', 'test', 'security']) AS v FROM conversations) WHERE (v = 'task' AND regexp_matches(text, '(?i)task|goal|request|plan')) OR (v = 'test' AND regexp_matches(text, '(?i)test|verify|coverage|assert|benchmark')) OR (v = 'security' AND regexp_matches(text, '(?i)security|authorization|policy|secret|sandbox|capability')) GROUP BY conv_id, v")
+_VIEWS_SQL = " UNION ALL ".join(f"SELECT conv_id, turn, '{v}' AS view FROM conversations WHERE regexp_matches(text, '(?i){'|'.join(w)}')" for v, w in compact.SESSION_VIEWS.items())
+
+
+@query(f"SELECT conv_id, view, count(*) AS n, md5(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn)) AS sequences FROM (SELECT * FROM ({_VIEWS_SQL}) QUALIFY row_number() OVER (PARTITION BY conv_id, view ORDER BY turn DESC) <= 2) GROUP BY conv_id, view")
 def session_views(spark, sf_dir):
-    out = compact.session_views(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("text"))
-    return out.where("view in ('task', 'test', 'security')").select("conv_id", "view", "n")
+    """All ten views, the last two events of each."""
+    out = compact.session_views(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("text"), last=2)
+    return out.select("conv_id", "view", "n", F.md5(F.array_join(F.transform("sequences", lambda x: x.cast("string")), ",")).alias("sequences"))
 
 
 # packs and pages
@@ -160,10 +174,17 @@ def dependency_pack(spark, sf_dir):
     return context.pack_dependent(rows, "conv_id", 3000)
 
 
-@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4")
-def lens_tail(spark, sf_dir):
-    s = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("segment"))
-    return context.lens(s, "conv_id", "tail").select("conv_id", F.col("segment").alias("turn"))
+_RANKED = "(SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY {0}) AS r FROM (SELECT *, length(text) % 7 AS salience, turn % 4 = 3 AS critical FROM conversations) WHERE {1})"
+
+
+@query(f"SELECT 'head' AS lens, conv_id, turn FROM {_RANKED.format('turn', 'true')} WHERE r <= 4 UNION ALL SELECT 'tail', conv_id, turn FROM {_RANKED.format('turn DESC', 'true')} WHERE r <= 4 UNION ALL SELECT 'salient', conv_id, turn FROM {_RANKED.format('salience DESC, turn', 'true')} WHERE r <= 16 UNION ALL SELECT 'critical', conv_id, turn FROM {_RANKED.format('turn', 'critical')} UNION ALL SELECT 'changes', conv_id, turn FROM conversations WHERE turn % 2 = 1 UNION ALL SELECT 'query', conv_id, turn FROM conversations WHERE contains(text, 'that') UNION ALL SELECT 'all', conv_id, turn FROM conversations")
+def lenses(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("segment"), (F.length("text") % 7).alias("salience"), (F.col("turn") % 4 == 3).alias("critical"), (F.col("turn") % 2 == 1).alias("changed"), "text")
+    parts = [context.lens(c, "conv_id", name, F.contains("text", F.lit("that"))).select(F.lit(name).alias("lens"), "conv_id", F.col("segment").alias("turn")) for name in ("head", "tail", "salient", "critical", "changes", "query", "all")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query("SELECT conv_id, turn, CAST((e - n) // 512 AS BIGINT) AS first_page, CAST(greatest(e - 1, 0) // 512 AS BIGINT) AS last_page FROM (SELECT conv_id, turn, strlen(text) AS n, CAST(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS e FROM conversations)")
@@ -209,19 +230,23 @@ def multi_replace(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", by.replace_all(F.col("p_name"), {"ring": "Y", "small ring": "X"}).alias("name"))
 
 
-@query("SELECT doc_id, CAST(strlen(text) <= 100 AS BOOLEAN) AS whole FROM documents")
+@query("SELECT doc_id, left(text, list_max(list_filter(range(0, 101), lambda k: strlen(left(text, k)) <= 100))) AS prefix FROM documents")
 def utf8_truncation(spark, sf_dir):
     """Prefixes of at most 100 bytes, never within a character."""
-    d = table(spark, sf_dir, "documents")
-    cut = by.utf8_prefix(F.col("text"), 100)
-    return d.select("doc_id", (cut == F.col("text")).alias("whole"), F.octet_length(cut).alias("n")).where("n <= 100 and n > 96 or whole").select("doc_id", "whole")
+    return table(spark, sf_dir, "documents").select("doc_id", by.utf8_prefix(F.col("text"), 100).alias("prefix"))
+
 
+_NAMES = [*(f"src/a.{s}" for s in by.SUFFIXES), *(f"x/{n.title()}" for n in by.FILENAMES), *(f"bin/run{i}" for i in range(2 * len(by.INTERPRETERS))), "a.B.zzz"]
+_FIRST = [*[""] * (len(by.SUFFIXES) + len(by.FILENAMES)), *(f"#!/usr/bin/env {x}" for x in by.INTERPRETERS), *(f"#! /bin/{x} -e" for x in by.INTERPRETERS), ""]
+_LANGUAGES = [*by.SUFFIXES.values(), *by.FILENAMES.values(), *by.INTERPRETERS.values(), *by.INTERPRETERS.values(), "unknown:zzz"]
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'python' WHEN p_size % 3 = 1 THEN 'rust' ELSE 'unknown:zzz' END AS language FROM part")
+
+@query(f"SELECT p_partkey, CASE p_partkey % {len(_NAMES)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LANGUAGES)) + " END AS language FROM part")
 def language_detect(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    path = F.concat(F.lit("src/a."), F.when(F.col("p_size") % 3 == 0, "py").when(F.col("p_size") % 3 == 1, "RS").otherwise("zzz"))
-    return p.select("p_partkey", by.language(path, F.lit("")).alias("language"))
+    """By suffix, by name, by the interpreter of a first line, and unknown ones."""
+    at = (F.col("p_partkey") % len(_NAMES)).cast("int")
+    pick = lambda values: F.array(*map(F.lit, values))[at]
+    return table(spark, sf_dir, "part").select("p_partkey", by.language(pick(_NAMES), pick(_FIRST)).alias("language"))
 
 
 @query()
@@ -278,3 +303,68 @@ def wire_round_trip(spark, sf_dir):
 
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct("n_name")).alias("j"))
     return n.select("n_nationkey", F.get_json_object(there_and_back("j"), "$.n_name").alias("n_name"))
+
+
+# what a request sees
+
+
+@query("SELECT doc_id AS item_id, lang AS label, sha256(text) AS content_sha256, source AS reason FROM documents")
+def disclosure_levels(spark, sf_dir):
+    """The second level: what it and the first one show."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("lang").alias("label"), F.col("source").alias("reason"), F.col("text").alias("content"))
+    return context.disclosed(items, "L1").drop("level")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, 'u' AS request FROM customer WHERE c_nationkey % 3 = 1 AND (c_mktsegment = 'BUILDING' OR c_custkey % 4 = 0) UNION ALL SELECT c_custkey, 'all' FROM customer WHERE c_nationkey % 3 = 1 AND c_custkey % 4 = 0")
+def hierarchical_scope(spark, sf_dir):
+    """Requests with and without a user: a record without one is seen by both."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") % 3).cast("string").alias("project_id"), F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.col("c_mktsegment")).alias("user_id"), F.lit(None).cast("string").alias("session_id"))
+    of = lambda name, *scope: c.where(memory.in_scope("1", *scope)).select("c_custkey", F.lit(name).alias("request"))
+    return of("u", "BUILDING").unionByName(of("all"))
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 5 AND (used <= 900 OR r = 1)")
+def recent_context(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return context.recent_context(c, "conv_id", "turn", F.octet_length("text"), 900, 5).select("conv_id", "turn")
+
+
+@query("""SELECT conv_id, turn, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS r FROM (
+SELECT conv_id, turn, len(list_intersect(['that', 'idea'], list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 2))) / 2 * 100 + CASE WHEN turn % 4 = 3 THEN 50 ELSE 0 END + CASE WHEN role = 'user' THEN 20 ELSE 0 END + ln(1 + turn) / 5 AS score FROM conversations)) WHERE r <= 3""")
+def active_context(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    best = context.active_context(c, "conv_id", tx.tokens(F.col("text"), "word"), ["that", "idea"], F.col("turn") % 4 == 3, F.col("role") == "user", F.col("turn"), 3)
+    return best.select("conv_id", "turn", F.round("score", 6).alias("score"))
+
+
+@query("""WITH d AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey)
+SELECT p_partkey AS node, len(list_intersect(['small', 'ring'], regexp_extract_all(lower(p_name || ' ' || p_type), '[\\p{L}\\p{N}]+|[a-z0-9_./:-]+'))) / 2 * 65.0 + CASE WHEN contains(lower(p_name || ' ' || p_type), 'small ring') THEN 20 ELSE 0 END + CASE WHEN lower(p_name) = 'small ring' THEN 5 ELSE 0 END + least(10, 0.5 * coalesce(n, 0)) AS score
+FROM part LEFT JOIN d ON l_partkey = p_partkey WHERE contains(lower(p_name || ' ' || p_type), 'small') OR contains(lower(p_name || ' ' || p_type), 'ring') ORDER BY score DESC, node LIMIT 30""")
+def graph_node_query(spark, sf_dir):
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), F.col("p_type").alias("text"))
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lit(None).cast("bigint").alias("dst"))
+    return symbols.node_hits(nodes, edges, ["small", "ring"], 30).select("node", "score")
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey + 1 + p_partkey % 7 AS dst FROM part), f AS (SELECT CAST(40 AS BIGINT) AS node, 0 AS d UNION SELECT e.dst, d + 1 FROM f JOIN e ON e.src = node WHERE d < 4),
+b AS (SELECT CAST(40 AS BIGINT) AS node, 0 AS d UNION SELECT e.src, d + 1 FROM b JOIN e ON e.dst = node WHERE d < 4), m AS (SELECT node, min(d) AS d FROM (SELECT * FROM f UNION ALL SELECT * FROM b) GROUP BY node)
+SELECT p_brand AS path, count(*) AS symbols, min(d) AS nearest FROM m JOIN part ON p_partkey = node GROUP BY p_brand""")
+def refactor_plan(spark, sf_dir):
+    """The files of what part 40 calls and of what calls it, within four hops."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    edges = p.select(k.alias("src"), (k + 1 + k % 7).alias("dst"))
+    return symbols.refactor_plan(p.select(k.alias("node"), F.col("p_brand").alias("path")), edges, spark.createDataFrame([(40,)], "node bigint"))
+
+
+@query("SELECT p_partkey, CAST(3 * len(list_intersect(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda x: length(x) >= 2), ['small', 'ring', 'brass'])) + len(list_intersect(list_filter(regexp_extract_all(lower(p_type), '[a-z]+'), lambda x: length(x) >= 2), ['small', 'ring', 'brass'])) AS DOUBLE) AS score FROM part")
+def weighted_fields(spark, sf_dir):
+    return rank.weighted_fields(table(spark, sf_dir, "part"), "p_partkey", {"p_name": 3.0, "p_type": 1.0}, ["small", "ring", "brass"])
+
+
+@query("SELECT user_id, count(*) * 2 + 1 AS y FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id")
+def task_map_reduce(spark, sf_dir):
+    """Tasks once each by key, mapped by a function on frames."""
+    def mapper(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": f["user_id"], "y": 3})
+
+    return map_reduce(table(spark, sf_dir, "events").select("user_id"), "user_id", mapper, "user_id bigint, y bigint")

@@ -186,11 +186,11 @@ def _segments(spark, sf_dir):
 _SEG = _WORDS.format("text", "[a-z_][a-z0-9_.:/-]{1,}", 2)
 
 
-@query(f"""SELECT conv_id AS artifact, turn AS segment, 3.0 * n + 1 + turn % 3 + CASE WHEN contains(lower(text), 'that idea') THEN 6 ELSE 0 END + CASE WHEN turn % 4 = 3 THEN 3 ELSE 0 END + 2 AS score
-FROM (SELECT *, len(list_intersect(['that', 'idea'], {_SEG})) AS n FROM conversations WHERE role = 'user' AND conv_id % 10 = 3) WHERE n > 0 ORDER BY score DESC, artifact, segment LIMIT 40""")
+@query(f"""SELECT conv_id AS artifact, turn AS segment, 3.0 * n + 1 + turn % 3 + CASE WHEN contains(lower(text), 'of the') THEN 6 ELSE 0 END + CASE WHEN turn % 4 = 3 THEN 3 ELSE 0 END + 2 AS score
+FROM (SELECT *, len(list_intersect(['of', 'the'], {_SEG})) AS n FROM conversations WHERE role = 'user' AND conv_id % 10 < 10) WHERE n > 0 ORDER BY score DESC, artifact, segment LIMIT 40""")
 def segment_search(spark, sf_dir):
     """A query with filters in line."""
-    hits = planning.segment_hits(_segments(spark, sf_dir), "kind:user that path:LOGS/3 idea", 40)
+    hits = planning.segment_hits(_segments(spark, sf_dir), "kind:user of path:LOGS/ the", 40)
     return hits.select("artifact", "segment", "score")
 
 

@@ -17,11 +17,8 @@ SQL = {
     "case_insensitive_containment": "SELECT p_partkey, p_type FROM part WHERE lower(p_type) LIKE '%promo%'",
     "range_between": "SELECT conv_id, turn, role FROM conversations WHERE turn BETWEEN 1 AND 3",
     "look_back": "SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY event_type",
-    "hierarchical_scope": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 3 AND (c_mktsegment = '' OR c_mktsegment = 'BUILDING')",
-    "unscoped_request": "SELECT count(*) AS n FROM customer WHERE c_mktsegment = '' OR c_mktsegment IS NULL",
     "eligibility_filter": "SELECT s_suppkey FROM supplier WHERE s_acctbal > 0 AND s_nationkey NOT IN (1, 2) AND s_name IS NOT NULL",
     "blocking_deny_sets": "SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'error' AND d.user_id = e.user_id AND d.value > 95) AND e.value > 90",
-    "disclosure_levels": "SELECT doc_id, lang, CASE WHEN n_chars > 2000 THEN 'L0' WHEN n_chars > 1000 THEN 'L1' WHEN n_chars > 300 THEN 'L2' ELSE 'L3' END AS level FROM documents",
     # joins
     "seen_artifact_join": "SELECT c.conv_id, c.turn, d.doc_id FROM conversations c JOIN documents d ON c.conv_id = d.doc_id",
     "segments_artifacts_join": "SELECT o.o_orderkey, l.l_linenumber, l.l_quantity FROM lineitem l JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') o ON l.l_orderkey = o.o_orderkey",
@@ -73,10 +70,7 @@ SQL = {
     "retry_backoff": "SELECT o_orderkey, least(3600, power(2, o_orderkey % 14)) AS delay FROM orders WHERE o_orderstatus = 'P'",
     "complexity_class": "SELECT p_partkey, CASE WHEN points >= 8 THEN 'critical' WHEN points >= 5 THEN 'high' WHEN points >= 2 THEN 'medium' ELSE 'low' END AS complexity FROM (SELECT p_partkey, (CASE WHEN p_size > 40 THEN 5 WHEN p_size > 20 THEN 3 ELSE 0 END) + (CASE WHEN p_type LIKE '%PROMO%' THEN 3 ELSE 0 END) + (CASE WHEN p_retailprice > 1500 THEN 1 ELSE 0 END) AS points FROM part)",
     "timeline": "SELECT conv_id, turn, role, CAST(length(text) AS BIGINT) AS n FROM conversations ORDER BY conv_id, turn",
-    "active_context": "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) s WHERE used <= 4000 OR r = 1",
-    "graph_node_query": "SELECT n_nationkey, CAST(65.0 * (CASE WHEN n_name LIKE '%1%' THEN 1 ELSE 0 END) + 20.0 * (CASE WHEN n_name = 'NATION_1' THEN 1 ELSE 0 END) + least(10, 0.5 * d) AS DOUBLE) AS score FROM nation JOIN (SELECT s_nationkey, count(*) AS d FROM supplier GROUP BY s_nationkey) g ON s_nationkey = n_nationkey ORDER BY score DESC, n_nationkey LIMIT 10",
     "class_hierarchy": "SELECT r_name AS base, n_name AS derived FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "refactor_plan": "SELECT s.s_nationkey AS path, count(DISTINCT l_partkey) AS touched FROM lineitem JOIN supplier s ON l_suppkey = s_suppkey GROUP BY s.s_nationkey",
     "not_in_edges": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')",
     "summary_generation": "SELECT user_id, event_type, max(event_id) AS current_id, count(*) AS generations FROM events GROUP BY user_id, event_type",
     "cost_per_success": "SELECT l_linestatus, round(sum(l_extendedprice) / count(CASE WHEN l_returnflag <> 'R' THEN 1 END), 4) AS cost FROM lineitem GROUP BY l_linestatus",
