@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,11 +15,14 @@ def _name(value: Column | str) -> str:
     return value if isinstance(value, str) else value._jc.toString()
 
 
-def rounded_rank(value: str, q: float) -> Column:
-    """Percentile at the index (n - 1) q, rounded half to even. Gathers a group's values; meant for bounded groups."""
-    values = F.sort_array(F.collect_list(value))
-    at = F.bround((F.size(values) - 1) * F.lit(q)).cast("int") + 1
-    return F.when(F.size(values) > 0, F.element_at(values, F.greatest(at, F.lit(1))))
+def rounded_rank(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
+    """(keys, out): the percentile at the index (n - 1) q, rounded half to even. Values are counted, combined on the map side, and a running sum over a key's
+    different values finds the one at the index."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    rows = counts.withColumn("_end", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    at = F.bround((F.col("_n") - 1) * F.lit(q)).cast("bigint")
+    return rows.where((F.col("_end") > at) & (F.col("_end") - F.col("_c") <= at)).select(*keys, F.col(value).alias(out))
 
 
 def upper_median(value: str) -> Column:
@@ -60,8 +63,3 @@ def roi(importance: Column, confidence: Column, validity: Column, successes: Col
 
 def unit(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
-
-
-def ewma(values: Column, weight: float = 0.2) -> Column:
-    """Exponentially weighted mean of an ordered array, the first value as its start."""
-    return F.aggregate(F.slice(values, F.lit(2), F.size(values)), F.element_at(values, 1), lambda s, x: s * (1 - weight) + x * weight)

@@ -37,8 +37,11 @@ INTENTS = [
 
 
 def tokens(text: Column, kind: str = "table", least: int = 2) -> Column:
-    """Lower-cased tokens in order, with repeats; those shorter than `least` are dropped."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERNS[kind]), F.lit(0))
+    """Lower-cased tokens in order, with repeats; those shorter than `least` are dropped: by the pattern itself where it is a run of one class."""
+    pattern = TOKEN_PATTERNS[kind]
+    if pattern.startswith("[") and pattern.index("]") == len(pattern) - 2 and pattern.endswith("+"):
+        return F.regexp_extract_all(F.lower(text), F.lit(f"{pattern[:-1]}{{{max(1, least)},}}"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
     return F.filter(found, lambda t: F.length(t) >= least)
 
 

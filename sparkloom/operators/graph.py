@@ -51,11 +51,12 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False)
     return seen
 
 
-def pagerank(edges: DataFrame, rounds: int = 30, damping: float = 0.85) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 30, damping: float = 0.85, every: int = 5) -> DataFrame:
     """(node, rank): parallel edges count, the mass of nodes without out-edges is spread evenly.
 
-    Links and nodes are written once by their keys, nodes with a mark of those without out-edges. A round is one join without a shuffle, one partial sum that is
-    shuffled by its target, and one join with the nodes without a shuffle; its ranks are written, so that plans don't grow.
+    Links and nodes are written once by their keys, nodes with their out-degrees. A round is one join without a shuffle, one partial sum that is shuffled by its
+    target, and one join with the nodes without a shuffle. Ranks are written every few rounds; where nodes without out-edges exist, every round, as what they
+    lose is one number that the next round takes.
     """
     edges = edges.select("src", "dst")
     ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out")).unionAll(edges.select("dst", F.lit(0)))
@@ -63,11 +64,13 @@ def pagerank(edges: DataFrame, rounds: int = 30, damping: float = 0.85) -> DataF
     n, loose = nodes.agg(F.count("*"), F.count_if(F.col("out") == 0)).first()
     links = keyed(edges, "src")
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
-    for _ in range(rounds):
+    for i in range(1, rounds + 1):
         lost = ranks.where("out = 0").agg(F.sum("rank")).first()[0] if loose else 0.0
         given = links.join(ranks, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         got = nodes.join(given, F.col("node") == F.col("dst"), "left")
-        ranks = cut(got.select("node", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank")))
+        ranks = got.select("node", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"))
+        if loose or i % every == 0:
+            ranks = cut(ranks)
     return ranks.select("node", "rank")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text as tx
+from .graph import cut
 
 # Saturation and length weight of BM25, weights of the hybrid score, penalty of a repeated source.
 K1, B = 1.2, 0.75
@@ -37,14 +38,10 @@ def expand(query: list[str]) -> list[str]:
     return list(dict.fromkeys([*query, *(a for t in query for a in ALIASES.get(t, ()))]))
 
 
-def _equals(word: str):
-    return lambda x: x == word
-
-
 def term_counts(df: DataFrame, key: str, tokens: Column, query: list[str]) -> DataFrame:
     """(key, length, tf of each query token) in one narrow pass: no token is exploded, only the query's are counted."""
     own = df.select(F.col(key), tokens.alias("_t"))
-    counts = [F.size(F.filter("_t", _equals(q))).alias(f"tf{i}") for i, q in enumerate(query)]
+    counts = [(F.size("_t") - F.size(F.array_remove("_t", q))).alias(f"tf{i}") for i, q in enumerate(query)]
     return own.select(key, F.size("_t").alias("length"), *counts)
 
 
@@ -52,10 +49,11 @@ def bm25(df: DataFrame, key: str, tokens: Column, query: list[str], saturate: bo
     """(key, score): BM25 of a whole table for one query; 1 - exp(-s) where saturated, for tokens that repeat in the query up to twice. With floor, a token's
     weight is that of full-text indexes: it may be 1e-6 at least where most texts have it.
 
-    Corpus counts are one aggregate row; it goes to all tasks as a single broadcast row.
+    Counts are written, a narrow row a text, so that texts are read and cut into tokens once; corpus counts are one aggregate row of them, which goes to all
+    tasks as a single broadcast row.
     """
     terms = list(dict.fromkeys(query))
-    tf = term_counts(df, key, tokens, terms)
+    tf = cut(term_counts(df, key, tokens, terms))
     stats_ = tf.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     both = tf.crossJoin(F.broadcast(stats_))
     score = F.lit(0.0)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -34,15 +39,30 @@ def position_recency(df: DataFrame, keys: list[str], sequence: str) -> DataFrame
     return df.withColumn("position", F.col(sequence) / F.max(sequence).over(Window.partitionBy(*keys)))
 
 
+def folded(df: DataFrame, keys: list[str], order: list[str], run: Callable, schema: str) -> DataFrame:
+    """df in partitions by keys, sorted by keys and order, through run(frames): what depends on the rows before it in turn, with no key gathered."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def chained(df: DataFrame, keys: list[str], order: list[str], body: Column, hash_col: str = "event_hash") -> DataFrame:
-    """Adds previous_hash and a hash over it and the body, for each key in order: folds each key's bodies, one row a key in memory."""
-    items = F.array_sort(F.collect_list(F.struct(*order, body.alias("_body"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))))
-    start = F.struct(F.lit("0" * 64).alias("h"), F.array().cast("array<string>").alias("all"))
-    step = lambda s, x: F.named_struct(F.lit("h"), F.sha2(F.concat(s["h"], F.lit("|"), x["_body"]), 256), F.lit("all"), F.concat(s["all"], F.array(F.sha2(F.concat(s["h"], F.lit("|"), x["_body"]), 256))))
-    folded = df.groupBy(*keys).agg(items.alias("_items")).withColumn("_hashes", F.aggregate("_items", start, step)["all"])
-    rows = folded.select(F.posexplode(F.arrays_zip("_items", "_hashes")).alias("_i", "_z"), "_hashes")
-    previous = F.when(F.col("_i") == 0, F.lit("0" * 64)).otherwise(F.element_at("_hashes", F.greatest(F.col("_i"), F.lit(1))))
-    return rows.select("_z._items._row.*", previous.alias("previous_hash"), F.col("_z._hashes").alias(hash_col))
+    """Adds previous_hash and a SHA-256 over it and the body, for each key in order. A chain depends on every row before, so that rows stream past in order; the
+    last hash is all that is kept."""
+    rows = df.withColumn("_body", body)
+    schema = T.StructType([*df.schema.fields, T.StructField("previous_hash", T.StringType()), T.StructField(hash_col, T.StringType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = None, ""
+        for f in frames:
+            before, own = [], []
+            for key, text in zip(zip(*(f[k] for k in keys), strict=True), f["_body"], strict=True):
+                if key != at:
+                    at, last = key, "0" * 64
+                before.append(last)
+                last = hashlib.sha256(f"{last}|{text}".encode("utf-8", "replace")).hexdigest()
+                own.append(last)
+            yield f.drop(columns="_body").assign(**{"previous_hash": before, hash_col: own})
+
+    return folded(rows, keys, order, run, schema)
 
 
 def verify_chain(df: DataFrame, keys: list[str], sequence: str, body: Column, hash_col: str = "event_hash") -> DataFrame:
@@ -92,10 +112,34 @@ def pack_until(df: DataFrame, keys: list[str], order: list[Column], cost: str, b
 
 
 def pack_skipping(df: DataFrame, keys: list[str], order: list[str], cost: str, budget: int, item: str) -> DataFrame:
-    """Rows in order, those that don't fit skipped: a fold over each key's candidates, which callers bound."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("bigint").alias("_c"), F.col(item).alias("_id"))))
-    kind = dict(df.dtypes)[item]
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(f"array<{kind}>").alias("ids"))
-    step = lambda s, x: F.when(s["used"] + x["_c"] <= budget, F.struct((s["used"] + x["_c"]).alias("used"), F.concat(s["ids"], F.array(x["_id"])).alias("ids"))).otherwise(s)
-    packed = df.groupBy(*keys).agg(F.aggregate(items, start, step).alias("p"))
-    return packed.select(*keys, F.col("p.used").alias("used"), F.size("p.ids").alias("n_items"), F.col("p.ids").alias("items"))
+    """(keys, used, n_items, items) of rows in order, those that don't fit the budget skipped. Rows stream past; what is kept of a key is how much it has used."""
+    kinds = dict(df.dtypes)
+    rows = df.select(*keys, *order, F.col(cost).cast("bigint").alias("_c"), F.col(item).alias("_id"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, used, n = None, 0, 0
+        for f in frames:
+            out = []
+            for key, size, one in zip(zip(*(f[k] for k in keys), strict=True), f["_c"], f["_id"], strict=True):
+                if key != at:
+                    at, used, n = key, 0, 0
+                    out.append((*key, 0, 0, None))
+                if used + size <= budget:
+                    used, n = used + int(size), n + 1
+                    out.append((*key, used, n, one))
+            yield pd.DataFrame(out, columns=[*keys, "_used", "_n", "_item"])
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "_used bigint, _n bigint", f"_item {kinds[item]}"])
+    taken = folded(rows, keys, order, run, schema)
+    kept = F.array_sort(F.collect_list(F.when(F.col("_n") > 0, F.struct("_n", "_item"))))
+    return taken.groupBy(*keys).agg(F.max("_used").alias("used"), F.max("_n").cast("int").alias("n_items"), F.transform(kept, lambda x: x["_item"]).alias("items"))
+
+
+def ewma(df: DataFrame, keys: list[str], order: list[str], value: str, weight: float = 0.2) -> DataFrame:
+    """(keys, mean, n): the exponentially weighted mean of each key's values in order, the first as its start, written as a sum: the r-th value from the end weighs
+    weight (1 - weight)^(r - 1), the first what is left. No key is gathered."""
+    w = Window.partitionBy(*keys)
+    back = F.row_number().over(w.orderBy(*[F.desc(c) for c in order]))
+    rows = df.withColumn("_r", back).withColumn("_n", F.count("*").over(w))
+    share = F.when(F.col("_r") == F.col("_n"), F.pow(F.lit(1 - weight), F.col("_n") - 1)).otherwise(weight * F.pow(F.lit(1 - weight), F.col("_r") - 1))
+    return rows.groupBy(*keys).agg(F.sum(F.col(value) * share).alias("mean"), F.count("*").alias("n"))

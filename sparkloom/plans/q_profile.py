@@ -73,7 +73,7 @@ def fabric_latency(spark, sf_dir):
 
 @query("SELECT l_returnflag, list_sort(list(l_quantity))[CAST(round_even((count(*) - 1) * 0.95, 0) AS INT) + 1] AS p95 FROM lineitem GROUP BY l_returnflag")
 def percentile_rounded(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(stats.rounded_rank("l_quantity", 0.95).alias("p95"))
+    return stats.rounded_rank(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", 0.95, "p95")
 
 
 @query("SELECT event_type, list_sort(list(value))[count(*) // 2 + 1] AS middle FROM events GROUP BY event_type")

@@ -179,7 +179,9 @@ def folded_letters(spark, sf_dir):
     return d.select("doc_id", F.md5(tx.skeleton(F.translate("text", tx.CONFUSABLE_LATIN, tx.CONFUSABLE))).alias("folded"))
 
 
-@query("SELECT lang, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS prefix_hash FROM documents GROUP BY lang")
+@query("SELECT conv_id, count(*) AS parts, sha256(string_agg(text, chr(10) ORDER BY turn) FILTER (turn < 3)) AS prefix_hash, CAST(sum(CASE WHEN turn < 3 THEN strlen(text) ELSE 0 END) AS BIGINT) AS stable_bytes FROM conversations GROUP BY conv_id")
 def prompt_prefix(spark, sf_dir):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"), F.sha2(ids, 256).alias("prefix_hash"))
+    """The stable head of each conversation, its first three turns, by its hash."""
+    head = F.array_sort(F.collect_list(F.when(F.col("turn") < 3, F.struct("turn", "text"))))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("parts"), F.sha2(F.array_join(F.transform(head, lambda x: x["text"]), "\n"), 256).alias("prefix_hash"), F.sum(F.when(F.col("turn") < 3, F.octet_length("text")).otherwise(0)).cast("bigint").alias("stable_bytes"))
+    return c

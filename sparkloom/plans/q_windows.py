@@ -126,10 +126,8 @@ def session_summary(spark, sf_dir):
 f AS (SELECT user_id, i, value AS m FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, f.m * 0.8::DOUBLE + e.value * 0.2::DOUBLE FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
 SELECT user_id, round(arg_max(m, i), 6) AS latency, count(*) AS n FROM f GROUP BY user_id""")
 def ewma_latency(spark, sf_dir):
-    from ..functions import stats
-
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"])
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(stats.ewma(ordered), 6).alias("latency"), F.count("*").alias("n"))
+    found = windows.ewma(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], "value")
+    return found.select("user_id", F.round("mean", 6).alias("latency"), "n")
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),

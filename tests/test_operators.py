@@ -53,8 +53,12 @@ def test_intent_and_shapes(spark):
 
 def test_wilson_and_percentiles(spark):
     df = spark.range(100).select(F.col("id").cast("double").alias("x"))
-    row = df.agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY x)").alias("p"), stats.upper_median("x").alias("m"), stats.rounded_rank("x", 0.5).alias("r")).first()
-    assert (row.p, row.m, row.r) == (94.0, 50.0, 50.0)
+    row = df.agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY x)").alias("p"), stats.upper_median("x").alias("m")).first()
+    assert (row.p, row.m) == (94.0, 50.0)
+    some = spark.createDataFrame([("a", float(i // 3)) for i in range(100)] + [("b", 1.0), ("b", 5.0), ("c", None)], "k string, x double")
+    for q in (0.0, 0.25, 0.5, 0.95, 1.0):
+        values = sorted(i // 3 for i in range(100))
+        assert {r.k: r.r for r in stats.rounded_rank(some, ["k"], "x", q, "r").collect()} == {"a": values[round(99 * q)], "b": [1.0, 5.0][round(q)]}
     assert one(spark, stats.wilson_lower(F.lit(0), F.lit(0))) == 0.0
     assert one(spark, stats.wilson_lower(F.lit(10), F.lit(10))) == pytest.approx(0.7225, abs=1e-3)
 
