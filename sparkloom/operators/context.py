@@ -108,6 +108,20 @@ def pages(segments: DataFrame, key: str, order: list[Column], size: str, page_by
     return out.drop("_end")
 
 
+def issued(tokens: DataFrame, token: str, position: int, now: float, ttl: float) -> DataFrame:
+    """The table of continuation tokens (token, position, expires_at, used) with one more."""
+    new = tokens.sparkSession.createDataFrame([(token, position, now + ttl, False)], tokens.schema)
+    return tokens.unionByName(new)
+
+
+def redeemed(tokens: DataFrame, token: str, now: float) -> tuple[DataFrame, int]:
+    """The table after a token is used, and where it leads. A token serves once and until it expires; others are an error."""
+    row = tokens.where((F.col("token") == token) & ~F.col("used") & (F.col("expires_at") > now)).first()
+    if row is None:
+        raise ValueError("the token is unknown, used or expired")
+    return tokens.withColumn("used", F.col("used") | (F.col("token") == token)), row["position"]
+
+
 def after(df: DataFrame, cursor: str, seen: int, n: int) -> DataFrame:
     """A page by key: the n rows after the last one seen."""
     return df.where(F.col(cursor) > seen).orderBy(cursor).limit(n)

@@ -53,10 +53,11 @@ def bottom_k(df: DataFrame, key: Column, k: int) -> DataFrame:
     return df.withColumn("sample_key", F.sha2(key.cast("string"), 256)).orderBy("sample_key").limit(k)
 
 
-def priority_columns(columns: list[str], query: list[str], most: int) -> list[str]:
-    """Columns that a view shows: priority names first, then those that share a token with the query, then as they come."""
+def priority_columns(columns: list[str], query: list[str], most: int, by_name: bool = False) -> list[str]:
+    """Columns that a view shows: priority names first, then those that share a token with the query, then as they come, or by name as for streams, whose columns
+    have no order."""
     words = {w.lower() for w in query}
-    rank = lambda c: (c.lower() not in PRIORITY, not words & set(c.lower().replace("_", " ").split()), columns.index(c))
+    rank = lambda c: (c.lower() not in PRIORITY, not words & set(c.lower().replace("_", " ").split()), c if by_name else columns.index(c))
     return sorted(columns, key=rank)[:most]
 
 

@@ -114,3 +114,13 @@ def refactor_plan(nodes: DataFrame, edges: DataFrame, seeds_: DataFrame, depth:
     """(path, symbols, nearest): the files (nodes: node, path) of all that calls the seeds or that they call within some hops, and of themselves."""
     near = graph.reach(edges, seeds_, depth).unionByName(graph.reach(edges, seeds_, depth, reverse=True)).groupBy("node").agg(F.min("depth").alias("depth"))
     return near.join(nodes, "node").groupBy("path").agg(F.count("*").alias("symbols"), F.min("depth").alias("nearest"))
+
+
+def refreshed(index: DataFrame, seen: DataFrame, files: DataFrame, parse, path: str = "path", text: str = "text") -> DataFrame:
+    """An index (path, ...) brought up to date with the files that are there (path, text), by what was seen last (path, hash): rows of unchanged files stay, those
+    of changed and new ones are parsed anew (parse: files to rows of the index), those of files that are gone go. Only changed files are parsed."""
+    now = files.withColumn("_hash", F.sha2(F.col(text), 256))
+    old = seen.select(F.col(path), F.col("hash").alias("_old"))
+    changed = now.join(old, path, "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("_hash"))).drop("_hash", "_old")
+    same = now.join(old, path).where(F.col("_old") == F.col("_hash")).select(path)
+    return index.join(same, path, "left_semi").unionByName(parse(changed).select(*index.columns))

@@ -143,3 +143,23 @@ def ewma(df: DataFrame, keys: list[str], order: list[str], value: str, weight: f
     rows = df.withColumn("_r", back).withColumn("_n", F.count("*").over(w))
     share = F.when(F.col("_r") == F.col("_n"), F.pow(F.lit(1 - weight), F.col("_n") - 1)).otherwise(weight * F.pow(F.lit(1 - weight), F.col("_r") - 1))
     return rows.groupBy(*keys).agg(F.sum(F.col(value) * share).alias("mean"), F.count("*").alias("n"))
+
+
+def cache_hits(df: DataFrame, keys: list[str], time: str, ttl: float) -> DataFrame:
+    """df with hit: whether a response that was stored when the key was last missed is no older than `ttl`, in the unit of the numeric column `time`. What is stored depends on the rows before, so
+    that rows stream past in the order of their times; a key's last store is all that is kept."""
+    schema = T.StructType([*df.schema.fields, T.StructField("hit", T.BooleanType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, stored = None, None
+        for f in frames:
+            hits = []
+            for key, now in zip(zip(*(f[k] for k in keys), strict=True), f[time], strict=True):
+                if key != at:
+                    at, stored = key, None
+                hit = stored is not None and now - stored <= ttl
+                stored = stored if hit else now
+                hits.append(hit)
+            yield f.assign(hit=hits)
+
+    return folded(df, keys, [time], run, schema)

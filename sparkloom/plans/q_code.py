@@ -368,3 +368,14 @@ def task_map_reduce(spark, sf_dir):
         return pd.DataFrame({"user_id": f["user_id"], "y": 3})
 
     return map_reduce(table(spark, sf_dir, "events").select("user_id"), "user_id", mapper, "user_id bigint, y bigint")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'parsed' ELSE 'kept' END AS how FROM part WHERE p_partkey % 7 <> 0")
+def incremental_index(spark, sf_dir):
+    """An index after a third of the files changed and a seventh went: what is parsed anew, and what stays."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    index = p.select(F.col("p_partkey").cast("string").alias("path"), F.lit("kept").alias("how"))
+    seen = p.select(k.cast("string").alias("path"), F.sha2("p_name", 256).alias("hash"))
+    files = p.where(k % 7 != 0).select(k.cast("string").alias("path"), F.when(k % 3 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("text"))
+    out = symbols.refreshed(index, seen, files, lambda changed: changed.select("path", F.lit("parsed").alias("how")))
+    return out.select(F.col("path").cast("bigint").alias("p_partkey"), "how")

@@ -126,3 +126,11 @@ def provider_route(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").where("s_acctbal > 0")
     score = 60 * F.least(F.lit(1.0), F.col("s_acctbal") / 10000) - 2 * (F.col("s_nationkey") % 5) + F.least(F.lit(20), 20 * (F.col("s_suppkey") % 3)) + F.when(F.col("s_nationkey") % 2 == 0, 15).otherwise(0)
     return s.select("s_suppkey", F.round(score, 6).alias("route_score")).orderBy(F.desc("route_score"), "s_suppkey").limit(6)
+
+
+@query("SELECT b.event_id AS b_event_id, c.event_id AS c_event_id FROM (SELECT *, event_id // 2000 AS slot FROM events WHERE event_id % 4 = 1) b JOIN (SELECT *, event_id // 2000 AS slot FROM events WHERE event_id % 4 = 3) c ON b.event_type = c.event_type AND b.user_id % 3 = c.user_id % 3 AND b.event_id % 3 = c.event_id % 3 AND b.event_id % 5 = c.event_id % 5 AND b.event_id % 7 = c.event_id % 7 AND CAST(floor(b.value) AS BIGINT) % 2 = CAST(floor(c.value) AS BIGINT) % 2 AND b.slot = c.slot AND b.event_id % 2 = c.event_id % 2")
+def paired_join_wide(spark, sf_dir):
+    """Two arms paired on a key of eight fields."""
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events").select("event_id", F.when(k % 4 == 1, "b").when(k % 4 == 3, "c").alias("arm"), "event_type", (F.col("user_id") % 3).alias("k1"), (k % 3).alias("k2"), (k % 5).alias("k3"), (k % 7).alias("k4"), (F.floor("value") % 2).alias("k5"), F.floor(k / 2000).alias("k6"), (k % 2).alias("k7"))
+    return ex.paired(e, "arm", "b", "c", ["event_type", "k1", "k2", "k3", "k4", "k5", "k6", "k7"], ["event_id"]).select("b_event_id", "c_event_id")

@@ -136,3 +136,10 @@ def value_truncation(spark, sf_dir):
 def metric_registry(spark, sf_dir):
     e = table(spark, sf_dir, "events").where(F.col("value").isNotNull() & ~F.isnan("value"))
     return e.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("p50"), F.round(F.stddev_samp("value"), 6).alias("deviation"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("n"))
+
+
+@query("SELECT user_id, value, event_id, event_type FROM events")
+def column_pruning_stream(spark, sf_dir):
+    """Columns of a stream, which have no order of their own, by name."""
+    e = table(spark, sf_dir, "events")
+    return e.select(*profile.priority_columns(e.columns, ["user", "value"], 4, by_name=True))

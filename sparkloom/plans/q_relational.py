@@ -77,7 +77,6 @@ SQL = {
     "state_counts": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority",
     "ttl_expiry": "SELECT count(*) AS expired FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 20 DAY",
     "cheapest_route": "SELECT l_partkey, min(l_extendedprice / l_quantity) AS unit_price FROM lineitem GROUP BY l_partkey",
-    "response_cache_hits": "SELECT user_id, count(*) - count(DISTINCT event_type) AS hits, count(DISTINCT event_type) AS misses FROM events GROUP BY user_id",
 }
 
 

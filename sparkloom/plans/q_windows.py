@@ -142,3 +142,13 @@ def circuit_breaker(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("bad", F.col("value") > 80).withColumn("island", F.sum((~F.col("bad")).cast("int")).over(w))
     runs = e.groupBy("user_id", "island").agg(F.count_if("bad").alias("run")).groupBy("user_id").agg(F.max("run").alias("worst"))
     return runs.withColumn("open_seconds", F.when(F.col("worst") >= 3, F.least(F.lit(900.0), 30 * F.pow(F.lit(2.0), F.col("worst") - 3))).otherwise(0.0))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events),
+f AS (SELECT user_id, event_type, event_id, i, event_id AS stored, false AS hit FROM e WHERE i = 1
+UNION ALL SELECT e.user_id, e.event_type, e.event_id, e.i, CASE WHEN e.event_id - stored <= 2000 THEN stored ELSE e.event_id END, e.event_id - stored <= 2000 FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.i = f.i + 1)
+SELECT user_id, count_if(hit) AS hits, count_if(NOT hit) AS misses FROM f GROUP BY user_id""")
+def response_cache_hits(spark, sf_dir):
+    """Requests by user and kind, stored at a miss for 2000 ticks."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    return windows.cache_hits(e, ["user_id", "event_type"], "event_id", 2000).groupBy("user_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))

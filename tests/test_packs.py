@@ -135,3 +135,20 @@ def test_streams_over_several_batches(spark, tmp_path):
     assert all(b[2] == a[3] for a, b in zip(good[1:], good[2:], strict=False))
     found = streams.drain(streams.scan_overlap(streams.read_events(spark, str(tmp_path / "in")), "k", "i", "t", "token|[A-Z]{2,}"), "scan_test", "append").collect()
     assert ("k", "token") in {(r.k, r.match) for r in found}
+
+
+def test_tokens_serve_once_and_for_a_time(spark):
+    table = spark.createDataFrame([], "token string, position long, expires_at double, used boolean")
+    table = context.issued(context.issued(table, "a", 5, 0.0, 10.0), "b", 7, 0.0, 10.0)
+    table, at = context.redeemed(table, "a", 1.0)
+    assert at == 5
+    for token, now in (("a", 2.0), ("b", 11.0), ("c", 1.0)):
+        with pytest.raises(ValueError):
+            context.redeemed(table, token, now)
+
+
+def test_caches_store_at_a_miss(spark):
+    df = spark.createDataFrame([("k", t) for t in (0, 5, 10, 11, 25, 30)] + [("j", 3)], "k string, t long")
+    from sparkloom.operators import windows
+
+    assert sorted((r.k, r.t, r.hit) for r in windows.cache_hits(df, ["k"], "t", 10).collect()) == [("j", 3, False), ("k", 0, False), ("k", 5, True), ("k", 10, True), ("k", 11, False), ("k", 25, False), ("k", 30, True)]
