@@ -374,3 +374,40 @@ def test_blocks_of_items_filter_one_after_another(spark, monkeypatch):
     rows = [(None, "a b c d e f g"), (None, "t u v w x y z"), (None, "plain"), (None, None)]
     assert sorted(str(r.text) for r in dc.decontaminate(frame(spark, rows), items).collect()) == ["None", "plain"]
     assert dc.decontaminate(frame(spark, rows), items.limit(0)).count() == 4
+
+
+def test_scratch_can_be_cleared(spark):
+    from sparkloom.llm import common
+
+    path = common._scratch(spark).removeprefix("file://").removeprefix("file:")
+    common.materialize(spark.range(3), "x")
+    import os
+
+    assert os.path.isdir(path)
+    common.clear_scratch(spark)
+    assert not os.path.exists(path)
+    assert common.materialize(spark.range(3), "y").count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from sparkloom.llm import common
+    from sparkloom.sources import tables
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    for folder in (common.shared_dir, tables.shared_folder):
+        with pytest.raises(RuntimeError):
+            folder(bare)
+
+
+def test_partitions_follow_the_files(spark, tmp_path):
+    from sparkloom.llm import common
+
+    path = str(tmp_path / "t")
+    spark.range(200_000).selectExpr("id", "sha2(cast(id as string), 256) as t").write.parquet(path)
+    df = spark.read.parquet(path)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.partitions_for(df, 1 << 40) == common.partitions_for(spark.createDataFrame([(1,)], "a int"), 1 << 30) == least
+    assert common.partitions_for(df.join(df, "id"), 1 << 20) > least
+    assert common.partitions_for(df, 1 << 20) >= 10
