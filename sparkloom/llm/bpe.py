@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_arrow, table
 
 #: Longest text, in code points, that is given to the library whole, and longest run of white space: its pattern engine keeps a stack entry for each
 #: code point of such a run.
@@ -91,7 +91,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
 
     kinds = ["bigint", "bigint", "string", "string"] + ["array<int>"] * with_ids + ["binary"] * with_bytes + ["string"] * len(keep)
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), *(F.col(f"`{c}`").cast("string") for c in keep))
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+    return in_arrow(rows, run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def vocabulary() -> tuple[str, str]:

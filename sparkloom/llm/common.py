@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id inside the operators; null ids sort before all others.
 NULL_ID = -(2**63)
+#: Bytes of a batch that goes to a Python worker.
+ARROW_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +56,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), in batches of ARROW_BYTES or one row: long texts don't add up to ten thousand of them in a worker's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df, written with a row number _sl_row that tells its rows apart for good."""
     return materialize(df.withColumn("_sl_row", F.monotonically_increasing_id()), name)

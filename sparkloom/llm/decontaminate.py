@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, materialize, table
+from .common import id_back, id_key, in_arrow, materialize, table
 
 #: Words in a shingle, and the containment from which on an item counts as found.
 SHINGLE, THRESHOLD = 5, 0.8
@@ -158,7 +158,7 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
             out = materialize(out, "contaminated")
             sent.destroy()
         sent = docs.sparkSession.sparkContext.broadcast(Index(block, threshold))
-        part = rows.mapInArrow(_finder(sent), schema)
+        part = in_arrow(rows, _finder(sent), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -191,7 +191,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
             for b in batches:
                 yield b.filter(pa.array([not index.search(text) for text in b.column(at).cast(pa.large_string()).to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = in_arrow(out, run, docs.schema)
     return out
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, table
+from .common import id_back, id_key, in_arrow, table
 
 MARKUP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z]|/)")
 #: An attribute: quotes matter behind its sign of equality alone, and hold any text, of any length. Matched once, without going back.
@@ -388,7 +388,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
                 texts = [extract_text(x) for x in b.column(1).slice(at, 1024).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1024), pa.array(texts, pa.string())], ["id", "text"])
 
-    return pages.select(id_key(id_col).alias("id"), F.col(html_col).cast("string")).mapInArrow(run, "id bigint, text string")
+    return in_arrow(pages.select(id_key(id_col).alias("id"), F.col(html_col).cast("string")), run, "id bigint, text string")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, materialize, table
+from .common import id_back, id_key, in_arrow, materialize, table
 
 #: Most labelled rows a language that the text model is fitted on (those with the least hashes of their ids), and the buckets
 #: of its byte trigrams.
@@ -95,7 +95,7 @@ def fit(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", id_c
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([counts.astype("<i8").tobytes()], pa.binary())], ["lang", "counts"])
 
     total: dict[str, np.ndarray] = {}
-    for row in some.mapInArrow(run, "lang string, counts binary").toLocalIterator():
+    for row in in_arrow(some, run, "lang string, counts binary").toLocalIterator():
         total[row[0]] = total.get(row[0], 0) + np.frombuffer(row[1], "<i8")
         if len(total) > LANGUAGES:
             raise ValueError(f"more than {LANGUAGES} different labels")
@@ -129,7 +129,7 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     langs = model.langs
     rows = pages.select(id_key(id_col).alias("id"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
     schema = "id bigint, scores array<double>, declared string, host string, domain string, suffix string"
-    found = rows.mapInArrow(_evidence(spark.sparkContext.broadcast(model)), schema)
+    found = in_arrow(rows, _evidence(spark.sparkContext.broadcast(model)), schema)
     if not langs:
         return found.select("id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("double").alias("text_probability"), "declared", "host")
     found = materialize(found.withColumn("p", softmax(F.col("scores"))), "evidence")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import without
-from .common import id_back, id_key, materialize, numbered, table
+from .common import id_back, id_key, in_arrow, materialize, numbered, table
 
 #: Most labelled rows that the document classifier is fitted on: those with the least hashes of their ids.
 LABELLED = 20_000
@@ -130,7 +130,7 @@ def _site(column: Column) -> Column:
 def study(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED, row: Column | None = None) -> tuple[Sites, DataFrame]:
     """The sites of a corpus, and (row, id, host, path, x) of every row."""
     rows = docs.select((F.lit(None) if row is None else row).cast("bigint").alias("row"), id_key(id_col).alias("id"), _site(host).alias("host"), _site(path).alias("path"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(rows.mapInArrow(_features, "row bigint, id bigint, host string, path string, x array<double>"), "features")
+    found = materialize(in_arrow(rows, _features, "row bigint, id bigint, host string, path string, x array<double>"), "features")
     marked = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
     marked = marked.withColumn("order", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
     # Labels beyond about twice the bound go before the join, by the order that the bound goes by: what tasks send stays bounded.

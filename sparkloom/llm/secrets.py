@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, table
+from .common import id_back, id_key, in_arrow, table
 
 #: The base kinds, in the order that ties at a start go by.
 BASE = ("assign", "access", "hex")
@@ -149,7 +149,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(kind))], ["id", "found"])
 
     rows = docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id bigint, found array<struct<kind: string, start: bigint, end: bigint, value: string>>")
+    return in_arrow(rows, run, "id bigint, found array<struct<kind: string, start: bigint, end: bigint, value: string>>")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", identifiers: tuple[str, ...] = ()) -> DataFrame:
@@ -172,7 +172,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
                 out.append(None if text is None else "".join(parts) + text[at:])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["id", "text"])
 
-    return docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id bigint, text string")
+    return in_arrow(docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, "id bigint, text string")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

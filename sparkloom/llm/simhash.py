@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import without
-from .common import id_back, id_key, local_components, materialize, numbered, table
+from .common import id_back, id_key, in_arrow, local_components, materialize, numbered, table
 from .components import connected_components
 
 #: The binary Golay code: length, generator polynomial (x^11+x^10+x^6+x^5+x^4+x^2+1), covering radius. It is perfect.
@@ -200,7 +200,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): every row's id key and fingerprint as a signed long."""
-    return docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(_fingerprints, "id bigint, fp bigint")
+    return in_arrow(docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string")), _fingerprints, "id bigint, fp bigint")
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
@@ -210,18 +210,18 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     61 n^2 / 2^24 comparisons: copies grow in proportion to n, and beyond some 10^9 fingerprints comparisons outgrow them. An anchor with more
     than MAX_HOMES homes gets salts: its homes are dealt out among them and what visits goes to all, so that no task holds more.
     """
-    homes = distinct.mapInArrow(_homes, "key bigint").groupBy("key").count()
+    homes = in_arrow(distinct, _homes, "key bigint").groupBy("key").count()
     hot = materialize(homes.where(F.col("count") > MAX_HOMES).select("key", F.ceil(F.col("count") / MAX_HOMES).cast("int").alias("salts")), "hot-anchors")
     # Each row becomes about 61, so that tasks take a bounded number of them.
     tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // SPREAD))
-    copies = distinct.repartition(tasks).mapInArrow(_copies, "key bigint, fp bigint, visit tinyint")
+    copies = in_arrow(distinct.repartition(tasks), _copies, "key bigint, fp bigint, visit tinyint")
     spread = copies.join(hot, "key", "left") if hot.take(1) else copies.withColumn("salts", F.lit(None).cast("int"))
     own = F.when(F.col("salts").isNull(), F.array(F.lit(0)))
     one = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
     # A home is also seen by the homes under other salts.
     rows = spread.select("key", F.explode(F.coalesce(own, F.sequence(F.lit(0), F.col("salts") - 1))).alias("salt"), "fp", F.when(F.col("salts").isNotNull() & (F.col("visit") == 0) & (F.col("salt") != one), F.lit(1).cast("tinyint")).otherwise(F.col("visit")).alias("visit"))
     rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "visit")
-    return rows.select("key", "salt", "fp", "visit").mapInArrow(_compare, "src bigint, dst bigint")
+    return in_arrow(rows.select("key", "salt", "fp", "visit"), _compare, "src bigint, dst bigint")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,7 +245,7 @@ def near_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = numbered(docs, "near-rows")
     text = F.col(text_col).cast("string")
-    fps = rows.select(id_key(id_col).alias("id"), text, F.xxhash64(text).alias("tie"), "_sl_row").mapInArrow(_fingerprints, "id bigint, fp bigint, tie bigint, _sl_row bigint")
+    fps = in_arrow(rows.select(id_key(id_col).alias("id"), text, F.xxhash64(text).alias("tie"), "_sl_row"), _fingerprints, "id bigint, fp bigint, tie bigint, _sl_row bigint")
     fps = materialize(fps, "fingerprints")
     least = materialize(fps.groupBy("fp").agg(F.min(F.struct("id", "tie", "_sl_row")).alias("first")), "distinct-fingerprints")
     linked = connected_components(fingerprint_links(least.select("fp")))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import id_back, id_key, materialize, partitions_for, table
+from .common import id_back, id_key, in_arrow, materialize, partitions_for, table
 
 #: Words in a window.
 WINDOW = 20
@@ -189,7 +189,7 @@ def _kept(window: int, with_text: bool) -> Callable:
 def late_windows(texts: DataFrame, window: int) -> DataFrame:
     """(id, tag, runs) of texts (id, tag, text): the windows that an equal one comes before, by a smaller id or an earlier start, as start << 32 | last."""
     parts = partitions_for(texts, PART)
-    sent = texts.mapInArrow(_windows(window, parts), SENT)
+    sent = in_arrow(texts, _windows(window, parts), SENT)
     # Parts are numbers of shuffle partitions, of about as many windows each; behind the shuffle one sort serves to find the first of equal windows.
     each = sent.repartitionById(parts, F.col("part")).select("part", F.inline(F.arrays_zip("h", "id", "tag", "start", "last")))
     by = Window.partitionBy("h", "part").orderBy("id", "start").rowsBetween(Window.unboundedPreceding, 0)
@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     some = flagged.where("_sl_maybe").join(late, ["id", "tag"], "left").select("id", "text", "runs")
     rest = flagged.where("not _sl_maybe").select("id", "text", F.lit(None).cast("array<bigint>").alias("runs"))
     fields = "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, removed array<bigint>" + ", kept_text string" * with_text
-    return some.unionByName(rest).mapInArrow(_kept(window, with_text), fields)
+    return in_arrow(some.unionByName(rest), _kept(window, with_text), fields)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, materialize, partitions_for, scratch_path, table
+from .common import id_back, id_key, in_arrow, materialize, partitions_for, scratch_path, table
 
 BLOCK, MAGIC, TRAILER = 1 << 16, b"SLBITS01", struct.Struct("<IIQQQ8s")
 #: Bytes of the input, as files have them, for each shard.
@@ -291,15 +291,26 @@ def open_folder(uri: str):
 def _encoder(path: str, end_id: int, bits: int, cuts: np.ndarray) -> Callable:
     """(id, text) to (shard, id, n, packed): ids below the first cut go to shard 0, and so on."""
 
+    end = np.array([end_id], "<u4").tobytes()
+
+    def made(keys: list[int], texts: list[str | None]) -> pa.RecordBatch:
+        ids = [x + end for x in token_bytes(texts, path)]
+        shard = np.searchsorted(cuts, np.array(keys, np.int64), "right").astype(np.int32)
+        packed = pa.array([pack(np.frombuffer(x, "<u4"), bits) for x in ids], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(keys, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), packed], ["shard", "id", "n", "packed"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], "<u4").tobytes()
+        keys, texts, held = [], [], 0
         for b in batches:
-            for at in range(0, b.num_rows, BATCH):
-                part = b.slice(at, BATCH)
-                ids = [x + end for x in token_bytes(part.column(1).to_pylist(), path)]
-                shard = np.searchsorted(cuts, part.column(0).to_numpy(), "right").astype(np.int32)
-                packed = pa.array([pack(np.frombuffer(x, "<u4"), bits) for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(shard), part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), packed], ["shard", "id", "n", "packed"])
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                keys.append(key)
+                texts.append(text)
+                held += len(text or "")
+                if held >= AT_ONCE or len(keys) == BATCH:
+                    yield made(keys, texts)
+                    keys, texts, held = [], [], 0
+        if keys:
+            yield made(keys, texts)
 
     return run
 
@@ -355,9 +366,9 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     shards = partitions_for(docs, SHARD)
     found = rows.agg(F.percentile_approx("id", [i / shards for i in range(1, shards)], 10 * shards)).first()[0] if shards > 1 else None
     cuts = np.unique(np.array(found or [], np.int64))
-    encoded = rows.mapInArrow(_encoder(tokenizer_path, end_id, bits, cuts), "shard int, id bigint, n bigint, packed binary")
+    encoded = in_arrow(rows, _encoder(tokenizer_path, end_id, bits, cuts), "shard int, id bigint, n bigint, packed binary")
     ordered = encoded.repartitionById(shards, F.col("shard")).select("id", "n", "packed").sortWithinPartitions("id", "n", "packed")
-    return materialize(ordered.mapInArrow(_writer(folder, bits), "shard bigint, n_docs bigint, n_ids bigint"), "manifest")
+    return materialize(in_arrow(ordered, _writer(folder, bits), "shard bigint, n_docs bigint, n_ids bigint"), "manifest")
 
 
 def read_packed(manifest: DataFrame, folder: str) -> DataFrame:
@@ -365,7 +376,7 @@ def read_packed(manifest: DataFrame, folder: str) -> DataFrame:
     before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     shards = materialize(manifest.select("shard", F.coalesce(before, F.lit(0)).alias("base")), "shards")
     # As many tasks as files, however small their list is.
-    return shards.repartition(max(1, shards.count())).mapInArrow(_reader(folder), "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return in_arrow(shards.repartition(max(1, shards.count())), _reader(folder), "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op4_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
