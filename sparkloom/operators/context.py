@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bytes import utf8_prefix
 from .graph import cut
+from .windows import pack_skipping
 
 
 class Pack:
@@ -265,3 +267,35 @@ def inline_filters(query: str) -> tuple[str, dict[str, str]]:
         else:
             plain.append(word)
     return " ".join(plain), filters
+
+
+# The layers of a compiled context, in order.
+LAYERS = ["system", "repository", "tools", "memory", "task", "user"]
+
+
+def compiled(items: DataFrame, key: str, budget: int, previous: DataFrame | None = None, shown: int = 8192) -> DataFrame:
+    """One row per pack: used, n_items, items (ids in order), n_omitted, prefix_hash.
+
+    Items (key, place, item_id, layer, source, content, priority, stable) count once by content, the first one; those that were sent before (previous: key, item_id, before)
+    are sent as a diff where that is short, and no more than `shown` bytes of each. By layer, stable ones first, then priority, they are taken while they
+    fit the budget of tokens, and those that don't are passed over. The hash of the stable ones taken is what a cached prefix goes by.
+    """
+    text = F.replace("content", F.lit("\r\n"), F.lit("\n"))
+    rows = items.withColumn("content", text).withColumn("_hash", F.sha2("content", 256))
+    first = F.row_number().over(Window.partitionBy(key, "_hash").orderBy("place"))
+    rows = rows.withColumn("_first", first).where("_first = 1").drop("_first")
+    if previous is not None:
+        rows = rows.withColumn("_id", F.concat_ws(":", key, "item_id"))
+        sent = deltas(rows.join(previous.select(key, "item_id", "before"), [key, "item_id"], "left").select("_id", "before", "content"), "_id", "before", "content").select("_id", "body")
+        rows = rows.join(sent, "_id").withColumn("content", F.col("body")).drop("body", "_id")
+    layer = F.coalesce(F.array_position(F.array(*map(F.lit, LAYERS)), F.col("layer")), F.lit(0))
+    bounded_ = F.when(F.octet_length("content") > shown, utf8_prefix(F.col("content"), shown, "…")).otherwise(F.col("content"))
+    rows = rows.withColumn("content", bounded_).withColumn("_l", F.when(layer == 0, 99).otherwise(layer)).withColumn("_s", F.when(F.col("stable"), 0).otherwise(1)).withColumn("_p", -F.greatest(F.least("priority", F.lit(1.0)), F.lit(0.0)))
+    rows = rows.withColumn("tokens", F.ceil(F.octet_length("content") / 4).cast("bigint"))
+    packed = pack_skipping(rows, [key], ["_l", "_s", "_p", "source", "item_id"], "tokens", max(1, budget), "item_id")
+    taken = packed.select(key, F.posexplode("items").alias("_at", "item_id")).join(rows.select(key, "item_id", "stable", "content"), [key, "item_id"])
+    prefix = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("stable"), F.struct("_at", F.sha2("content", 256).alias("h"))))), lambda x: x["h"]), "")
+    hashes = taken.groupBy(key).agg(F.sha2(prefix, 256).alias("prefix_hash"))
+    counts = rows.groupBy(key).agg(F.count("*").alias("_all"))
+    out = packed.join(hashes, key, "left").join(counts, key)
+    return out.select(key, "used", "n_items", "items", (F.col("_all") - F.col("n_items")).alias("n_omitted"), F.coalesce("prefix_hash", F.sha2(F.lit(""), 256)).alias("prefix_hash"))

@@ -379,3 +379,19 @@ def incremental_index(spark, sf_dir):
     files = p.where(k % 7 != 0).select(k.cast("string").alias("path"), F.when(k % 3 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("text"))
     out = symbols.refreshed(index, seen, files, lambda changed: changed.select("path", F.lit("parsed").alias("how")))
     return out.select(F.col("path").cast("bigint").alias("p_partkey"), "how")
+
+
+_ITEMS = "SELECT conv_id, turn, CAST(turn AS VARCHAR) AS item_id, CASE turn % 4 WHEN 0 THEN 'user' WHEN 1 THEN 'system' WHEN 2 THEN 'tools' ELSE 'other' END AS layer, role AS source, CASE WHEN turn % 5 = 4 THEN 'again' ELSE text END AS content, (turn % 3) / 2.0 AS priority, turn % 2 = 1 AS stable FROM conversations"
+
+
+@query(f"""WITH RECURSIVE i AS (SELECT *, ceil(strlen(content) / 4.0) AS tokens, CASE layer WHEN 'system' THEN 1 WHEN 'tools' THEN 3 WHEN 'user' THEN 6 ELSE 99 END AS l FROM ({_ITEMS}) QUALIFY row_number() OVER (PARTITION BY conv_id, content ORDER BY turn) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY l, CASE WHEN stable THEN 0 ELSE 1 END, -priority, source, item_id) AS r FROM i),
+f AS (SELECT conv_id, r, CASE WHEN tokens <= 200 THEN tokens ELSE 0 END AS used, tokens <= 200 AS ok FROM o WHERE r = 1
+UNION ALL SELECT o.conv_id, o.r, CASE WHEN used + tokens <= 200 THEN used + tokens ELSE used END, used + tokens <= 200 FROM f JOIN o ON o.conv_id = f.conv_id AND o.r = f.r + 1)
+SELECT conv_id, CAST(max(used) AS BIGINT) AS used, CAST(count_if(ok) AS INT) AS n_items, coalesce(string_agg(item_id, ',' ORDER BY r) FILTER (ok), '') AS items, count_if(NOT ok) AS n_omitted, sha256(coalesce(string_agg(sha256(content), '' ORDER BY r) FILTER (ok AND stable), '')) AS prefix_hash FROM f JOIN o USING (conv_id, r) GROUP BY conv_id""")
+def context_compile(spark, sf_dir):
+    """Turns as items of layers, some of the same content, in 200 tokens."""
+    t = F.col("turn")
+    layer = F.when(t % 4 == 0, "user").when(t % 4 == 1, "system").when(t % 4 == 2, "tools").otherwise("other")
+    items = table(spark, sf_dir, "conversations").select("conv_id", t.alias("place"), t.cast("string").alias("item_id"), layer.alias("layer"), F.col("role").alias("source"), F.when(t % 5 == 4, "again").otherwise(F.col("text")).alias("content"), (t % 3 / 2.0).alias("priority"), (t % 2 == 1).alias("stable"))
+    return context.compiled(items, "conv_id", 200).withColumn("items", F.array_join("items", ","))

@@ -343,3 +343,12 @@ def merkle_proofs(spark, sf_dir):
     leaf = F.when(F.col("position") % 5 == 4, F.sha2("leaf", 256)).otherwise(F.col("leaf"))
     out = p.select("conv_id", F.col("position").alias("turn"), views.proof_holds(leaf, F.col("proof"), F.col("root")).alias("holds"), F.size("proof").alias("steps"))
     return out.join(c.select("conv_id", F.col("turn").alias("t")), (F.col("turn") == F.col("t")) & (out.conv_id == c.conv_id), "left_semi")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'table' ELSE 'json' END AS family, CASE WHEN doc_id % 2 = 0 THEN 'Rows: 3 | Columns: 2' || chr(10) || 'k | lang' || chr(10) || repeat('-', greatest(3, length(CAST(doc_id AS VARCHAR)))) || ' | ----' || chr(10) || doc_id || ' | ' || lang || chr(10) || doc_id || ' | x' || chr(10) || '7 | y' ELSE '{' || chr(10) || '  \"a\": [' || chr(10) || '    ' || doc_id || ',' || chr(10) || '    null' || chr(10) || '  ],' || chr(10) || '  \"lang\": \"' || lang || '\"' || chr(10) || '}' END AS view FROM documents")
+def content_view(spark, sf_dir):
+    """Small views of tables and of JSON; tests hold those of the other families."""
+    k = F.col("doc_id")
+    text = F.when(k % 2 == 0, F.concat(F.lit("k,lang\n"), k, F.lit(","), "lang", F.lit("\n"), k, F.lit(",x\n7,y\n"))).otherwise(F.concat(F.lit('{"lang": "'), "lang", F.lit('", "a": ['), k, F.lit(", null]}")))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return ext.content_views(d, "doc_id", "text", F.lit(None).cast("string"), F.when(F.col("doc_id") % 2 == 0, "a.csv").otherwise(""))

@@ -444,3 +444,36 @@ def test_intervals_hold_their_medians(spark):
         spread = medians[1949] - medians[49]
         assert r.n == len(v) and r.median == pytest.approx(np.median(v), abs=1e-5)
         assert abs(r.low - medians[49]) < 0.25 * spread + 1e-6 and abs(r.high - medians[1949]) < 0.25 * spread + 1e-6
+
+
+CONTENT = [
+    ("jsonl", '{"a": 1}\nbad\n\n{"b": 2}', '[\n  {\n    "a": 1\n  },\n  {\n    "b": 2\n  }\n]'),
+    ("json", json.dumps(list(range(20))), json.dumps({"<array_length>": 20, "<head>": [0, 1, 2, 3, 4], "<tail>": [17, 18, 19]}, indent=2, sort_keys=True)),
+    ("table", "", "<empty table>"),
+    ("table", "\n".join(["a,b", *(f"{i},x" for i in range(9))]), "Rows: 9 | Columns: 2\na | b\n--- | ---\n0 | x\n1 | x\n2 | x\n3 | x\n4 | x\n7 | x\n8 | x\n… 2 rows externalized …"),
+    ("log", "b 1\na failed 2\nb 3", "Log lines: 3 | Unique event shapes: 2\nCritical:\na failed 2\nEvent shapes:\n[2x] b <n>\n[1x] a failed <n>"),
+    ("stack-trace", 'File "a.py", line 3\nFile "a.py", line 3\nValueError: error x', 'Root cause: ValueError: error x\nFrames: 2 (1 unique)\nFile "a.py", line 3'),
+    ("diff", "diff --git a b\nindex 1\n+x\n-y\n z", "Diff lines: 5 | Changed lines: 2\ndiff --git a b\nindex 1\n+x\n-y"),
+    ("xml", "<a><b>x  y</b></a>", "Tags: a=2, b=2\nText: x y"),
+    ("rag", "one\n\ntwo words\n\n\nthree more words", "three more words\n\n---\n\ntwo words\n\n---\n\none"),
+    ("code", "import x\ndef f():\n  pass\nclass A:", "Lines: 4 | Symbols: 2\n2: def f():\n4: class A:"),
+    ("text", "One. Two! One. An error here. Three", "An error here.\nOne.\nTwo!\nThree"),
+]
+
+
+@pytest.mark.parametrize("family, text, wanted", CONTENT)
+def test_content_views(family, text, wanted):
+    assert ext.content_view(family, text) == wanted
+
+
+def test_compiled_contexts_send_deltas(spark):
+    from sparkloom.operators import context
+
+    long = "\n".join(f"line {i}" for i in range(200))
+    rows = [("p", 0, "a", "user", "s", long + "\nnew", 0.5, True), ("p", 1, "b", "system", "s", "x", 0.5, True), ("p", 2, "c", "user", "s", "x", 0.9, False), ("q", 0, "a", "user", "s", "y" * 4000, 0.5, False)]
+    items = spark.createDataFrame(rows, "k string, place int, item_id string, layer string, source string, content string, priority double, stable boolean")
+    whole = {r.k: r for r in context.compiled(items, "k", 100).collect()}
+    assert (whole["p"]["items"], whole["p"].n_omitted, whole["q"]["items"]) == (["b"], 1, [])
+    before = spark.createDataFrame([("p", "a", long)], "k string, item_id string, before string")
+    short = {r.k: r for r in context.compiled(items, "k", 100, before).collect()}
+    assert short["p"]["items"] == ["b", "a"] and short["p"].used <= 100
