@@ -219,8 +219,52 @@ def source_symbols(spark, sf_dir):
     return formats.python_symbols(files, "path", "t").select("path", "kind", "name")
 
 
-@query("SELECT p_brand AS path, 'definition' AS kind, 'f' || CAST(p_partkey AS VARCHAR) AS name FROM part UNION ALL SELECT p_brand, 'import', 'm' || CAST(p_size AS VARCHAR) FROM part")
+_SNIPPETS = {
+    "javascript": ("import x from 'm{0}'\nexport async function f{0}() {{}}\n", "function", "f{0}", "m{0}"),
+    "rust": ("use m{0}::x;\npub struct F{0} {{}}\n", "struct", "F{0}", "m{0}::x"),
+    "go": ('import "m{0}"\nfunc (a B) f{0}() {{}}\n', "function", "f{0}", "m{0}"),
+    "java": ("import m.M{0};\npublic final class F{0} {{}}\n", "class", "F{0}", "m.M{0}"),
+    "csharp": ("using M{0};\ninternal struct F{0} {{}}\n", "struct", "F{0}", "M{0}"),
+    "cpp": ("#include <m{0}.h>\nenum F{0} {{}};\n", "enum", "F{0}", "m{0}.h"),
+    "ruby": ("require 'm{0}'\ndef self.f{0}?\nend\n", "method", "f{0}?", "m{0}"),
+    "php": ("use M{0};\ntrait F{0} {{}}\n", "trait", "F{0}", "M{0}"),
+    "lua": ("local x = require(m{0})\nlocal function f{0}()\nend\n", "function", "f{0}", "m{0}"),
+}
+
+
+def _profiles_sql() -> str:
+    parts = []
+    for i, (_, kind, name, imported) in enumerate(_SNIPPETS.values()):
+        for k, n in ((kind, name), ("import", imported)):
+            if n:
+                parts.append(f"SELECT p_brand AS path, '{k}' AS kind, replace('{n}', '{{0}}', CAST(p_partkey AS VARCHAR)) AS name FROM part WHERE p_partkey % {len(_SNIPPETS)} = {i}")
+    return " UNION ALL ".join(parts)
+
+
+@query(_profiles_sql())
 def source_profiles(spark, sf_dir):
-    one = F.concat(F.lit("import x from 'm"), "p_size", F.lit("'\nexport function f"), "p_partkey", F.lit("() {}\n"))
-    files = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("path")).agg(F.array_join(F.collect_list(one), "\n").alias("t"))
-    return formats.profile_symbols(files, "path", "t", "javascript")
+    """Definitions and imports of nine languages, a file for each language and brand."""
+    out, p = None, table(spark, sf_dir, "part")
+    for i, (language, (snippet, *_)) in enumerate(_SNIPPETS.items()):
+        own = p.where(F.col("p_partkey") % len(_SNIPPETS) == i)
+        one = F.replace(F.lit(snippet.replace("{{", "{").replace("}}", "}")), F.lit("{0}"), F.col("p_partkey").cast("string"))
+        files = own.groupBy(F.col("p_brand").alias("path")).agg(F.array_join(F.collect_list(one), "\n").alias("t"))
+        found = formats.profile_symbols(files, "path", "t", language)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("SELECT n_name || '.txt' AS name, CAST(strlen(n_name) AS BIGINT) AS size, sha256(n_name) AS sha256 FROM nation WHERE n_nationkey % 2 = 0")
+def directory_scan(spark, sf_dir):
+    """Files of two kinds in folders, of which one kind is scanned."""
+    import os
+
+    from ..sources.tables import shared_folder
+
+    root = f"{shared_folder(spark).removeprefix('file://').removeprefix('file:').rstrip('/')}/sparkloom/{spark.sparkContext.applicationId}/scan-{uuid.uuid4().hex}"
+    for r in table(spark, sf_dir, "nation").collect():
+        os.makedirs(f"{root}/{r.n_nationkey % 3}", exist_ok=True)
+        with open(f"{root}/{r.n_nationkey % 3}/{r.n_name}.{'txt' if r.n_nationkey % 2 == 0 else 'log'}", "w") as file:
+            file.write(r.n_name)
+    found = formats.file_scan(spark, f"file://{root}", ["txt"])
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "sha256")
\ No newline at end of file

@@ -162,21 +162,75 @@ def python_symbols(df: DataFrame, path: str, source: str) -> DataFrame:
     return df.select(path, source).mapInPandas(run, f"{path} string, kind string, name string, line bigint, end_line bigint")
 
 
-# How definitions and imports look in languages without a parser here.
+# Patterns of definitions, by kind, and of imports in languages that aren't parsed.
 PROFILES = {
-    "javascript": (r"(?m)^\s*(?:export\s+)?(?:async\s+)?(?:function|class)\s+([A-Za-z_$][\w$]*)", r"""(?m)^\s*import\s[^'"]*['"]([^'"]+)['"]"""),
-    "go": (r"(?m)^(?:func(?:\s+\([^)]*\))?|type)\s+([A-Za-z_]\w*)", r"""(?m)^\s*(?:import\s+)?"([^"]+)"\s*$"""),
-    "rust": (r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:fn|struct|enum|trait)\s+([A-Za-z_]\w*)", r"(?m)^\s*use\s+([\w:]+)"),
-    "java": (r"(?m)^\s*(?:public|private|protected)?\s*(?:static\s+|final\s+|abstract\s+)*(?:class|interface|enum)\s+([A-Za-z_]\w*)", r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)"),
+    "javascript": (
+        [
+            ("class", r"\b(?:export\s+)?(?:default\s+)?class\s+([A-Za-z_$][\w$]*)"),
+            ("interface", r"\b(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)"),
+            ("type", r"\b(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*="),
+            ("enum", r"\b(?:export\s+)?enum\s+([A-Za-z_$][\w$]*)"),
+            ("function", r"\b(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)\s*\("),
+            ("function", r"\b(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>"),
+        ],
+        [r"""\bimport(?:[^'"]*?from\s*)?['"]([^'"]+)['"]""", r"""\brequire\(\s*['"]([^'"]+)['"]\s*\)""", r"""\bexport\s+\*\s+from\s+['"]([^'"]+)['"]"""],
+    ),
+    "rust": (
+        [
+            ("function", r"\b(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+([A-Za-z_][\w]*)\s*(?:<[^>]+>)?\s*\("),
+            ("struct", r"\b(?:pub\s+)?struct\s+([A-Za-z_][\w]*)"),
+            ("enum", r"\b(?:pub\s+)?enum\s+([A-Za-z_][\w]*)"),
+            ("trait", r"\b(?:pub\s+)?trait\s+([A-Za-z_][\w]*)"),
+            ("type", r"\b(?:pub\s+)?type\s+([A-Za-z_][\w]*)\s*="),
+            ("module", r"\b(?:pub\s+)?mod\s+([A-Za-z_][\w]*)"),
+        ],
+        [r"\buse\s+([^;]+);", r"\bextern\s+crate\s+([A-Za-z_][\w]*)"],
+    ),
+    "go": (
+        [("function", r"\bfunc\s+(?:\([^)]*\)\s*)?([A-Za-z_][\w]*)\s*\("), ("type", r"\btype\s+([A-Za-z_][\w]*)\s+(?:struct|interface|=)"), ("variable", r"\bvar\s+([A-Za-z_][\w]*)\s+")],
+        [r"""(?m)^\s*import\s+(?:[A-Za-z_.]+\s+)?"([^"]+)\""""],
+    ),
+    "java": (
+        [("class", r"\bclass\s+([A-Za-z_][\w]*)"), ("interface", r"\binterface\s+([A-Za-z_][\w]*)"), ("enum", r"\benum\s+([A-Za-z_][\w]*)"), ("record", r"\brecord\s+([A-Za-z_][\w]*)\s*\(")],
+        [r"(?m)^\s*import\s+(?:static\s+)?([\w.*]+)\s*;", r"(?m)^\s*package\s+([\w.]+)\s*;"],
+    ),
+    "csharp": (
+        [("class", r"\bclass\s+([A-Za-z_][\w]*)"), ("interface", r"\binterface\s+([A-Za-z_][\w]*)"), ("struct", r"\bstruct\s+([A-Za-z_][\w]*)"), ("record", r"\brecord(?:\s+class|\s+struct)?\s+([A-Za-z_][\w]*)")],
+        [r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;", r"(?m)^\s*namespace\s+([\w.]+)"],
+    ),
+    "cpp": (
+        [("class", r"\bclass\s+([A-Za-z_][\w]*)"), ("struct", r"\bstruct\s+([A-Za-z_][\w]*)"), ("enum", r"\benum(?:\s+class)?\s+([A-Za-z_][\w]*)")],
+        [r"""(?m)^\s*#\s*include\s*[<"]([^>"]+)[>"]""", r"(?m)^\s*using\s+namespace\s+([\w:]+)"],
+    ),
+    "ruby": (
+        [("class", r"(?m)^\s*class\s+([A-Za-z_][\w:]*)"), ("module", r"(?m)^\s*module\s+([A-Za-z_][\w:]*)"), ("method", r"(?m)^\s*def\s+(?:self\.)?([A-Za-z_][\w!?=]*)")],
+        [r"""(?m)^\s*require(?:_relative)?\s*[('"]([^)'"]+)"""],
+    ),
+    "php": (
+        [
+            ("class", r"\b(?:abstract\s+|final\s+|readonly\s+)?class\s+([A-Za-z_][\w]*)"),
+            ("interface", r"\binterface\s+([A-Za-z_][\w]*)"),
+            ("trait", r"\btrait\s+([A-Za-z_][\w]*)"),
+            ("enum", r"\benum\s+([A-Za-z_][\w]*)"),
+            ("function", r"\bfunction\s+&?\s*([A-Za-z_][\w]*)\s*\("),
+        ],
+        [r"""\b(?:require|require_once|include|include_once)\s*\(?\s*['"]([^'"]+)""", r"(?m)^\s*use\s+([^;]+);", r"(?m)^\s*namespace\s+([^;]+);"],
+    ),
+    "lua": (
+        [("function", r"(?m)^\s*(?:local\s+)?function\s+([A-Za-z_][\w.:]*)\s*\("), ("function", r"(?m)^\s*local\s+([A-Za-z_][\w]*)\s*=\s*function\s*\("), ("type", r"(?m)^\s*(?:export\s+)?type\s+([A-Za-z_][\w]*)\s*=")],
+        [r"\brequire\s*\(\s*([^\)]+)\)"],
+    ),
 }
 
 
 def profile_symbols(df: DataFrame, path: str, source: str, language: str) -> DataFrame:
-    """(path, kind, name) by the patterns of a language."""
+    """(path, kind, name) by the patterns of a language: definitions by their kinds, and imports."""
+
     def named(kind: str):
         return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name"))
 
-    parts = [F.transform(F.regexp_extract_all(source, F.lit(p), F.lit(1)), named(k)) for k, p in zip(("definition", "import"), PROFILES[language], strict=True)]
+    definitions, imports = PROFILES[language]
+    parts = [F.transform(F.regexp_extract_all(source, F.lit(p), F.lit(1)), named(k)) for k, p in [*definitions, *(("import", p) for p in imports)]]
     return df.select(path, F.explode(F.concat(*parts)).alias("s")).select(path, "s.kind", "s.name")
 
 

@@ -209,7 +209,7 @@ def test_symbols(spark):
     df = spark.createDataFrame([("a.py", "import os\nclass A:\n  def f(self): pass\n"), ("b.py", "def (")], "p string, s string")
     assert {(r.p, r.kind, r.name) for r in formats.python_symbols(df, "p", "s").collect()} == {("a.py", "import", "os"), ("a.py", "class", "A"), ("a.py", "function", "f"), ("b.py", "error", "")}
     js = spark.createDataFrame([("a.js", "export function go() {}\nimport x from 'y'\n")], "p string, s string")
-    assert {(r.kind, r.name) for r in formats.profile_symbols(js, "p", "s", "javascript").collect()} == {("definition", "go"), ("import", "y")}
+    assert {(r.kind, r.name) for r in formats.profile_symbols(js, "p", "s", "javascript").collect()} == {("function", "go"), ("import", "y")}
 
 
 def test_json_lines_modes(spark, tmp_path):
