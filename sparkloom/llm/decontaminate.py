@@ -16,7 +16,7 @@ from .common import id_back, id_key, in_arrow, materialize, table
 #: Words in a shingle, and the containment from which on an item counts as found.
 SHINGLE, THRESHOLD = 5, 0.8
 #: Items in a block of the stated query set; one block is on the driver and the executors at a time, so that what is broadcast is bounded.
-ITEMS = 50_000
+ITEMS = 20_000
 #: Letters and digits, as the pattern [\p{L}\p{N}]+ has them.
 TOKEN = re.compile(r"[^\W_]+")
 _BASE = 0x9E3779B97F4A7C15
