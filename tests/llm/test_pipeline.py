@@ -64,5 +64,5 @@ def test_the_rest_works_without_the_subpackage(tmp_path):
     env = {**os.environ, "PYTHONPATH": str(tmp_path)}
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(x.startswith('op') and x[2:3].isdigit() for x in q) and e.oracle_sql().keys() <= q.keys()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
-    some = "entry or known or group_counts or column_profile or merkle or jobs or queue"
+    some = "entry or known or group_counts or priority_columns or summaries"
     subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests", "-k", some], cwd=tmp_path, env=env, check=True, timeout=900)
