@@ -16,9 +16,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def keyed(df: DataFrame, key: str) -> DataFrame:
-    """df, written once in partitions by key: joins on that key, round after round, shuffle only their other side."""
-    return cut(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
+def keyed(df: DataFrame, key: str, once: bool = False) -> DataFrame:
+    """df, written once in partitions by key, its rows once each where asked for: joins on that key, round after round, shuffle only their other side."""
+    parts = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return cut(parts.distinct() if once else parts)  # equal rows lie in one partition: no further shuffle
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False)
     """(node, depth): least distance from the seeds (column node), up to `depth` hops. Edges are written once by their key; each round joins and shuffles only
     the newest frontier."""
     step = edges.select(F.col("dst").alias("a"), F.col("src").alias("b")) if reverse else edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    step = keyed(step.distinct(), "a")
+    step = keyed(step, "a", once=True)
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for i in range(1, depth + 1):
@@ -146,7 +147,7 @@ def closure(edges: DataFrame, seeds: DataFrame, every: int = 8) -> DataFrame:
 
     What was seen is written as one every few rounds, so that plans stay small.
     """
-    step = keyed(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "a")
+    step = keyed(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), "a", once=True)
     seen = cut(seeds.select(F.col("node").alias("seed"), "node").distinct())
     frontier, i = seen, 0
     while frontier.take(1):

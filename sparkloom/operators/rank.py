@@ -91,9 +91,11 @@ def hash_embedding(df: DataFrame, key: str, tokens: Column, size: int = 128) ->
     Cells are sums by key and cell, which combine on the map side, so that no more than `size` rows a key are shuffled.
     """
     digest = lambda t: F.sha2(t, 256)
-    number = lambda h, at, n: F.conv(F.substring(h, at, n), 16, 10).cast("bigint")
-    cell = lambda t: tx.let(digest(t), lambda h: F.struct((number(h, 1, 8) % size).cast("int").alias("i"), (F.when(number(h, 9, 2) % 2 == 1, -1.0).otherwise(1.0) * (1 + F.log1p(F.length(t)))).alias("w")))
-    cells = df.select(key, F.explode_outer(F.transform(tokens, cell)).alias("c")).groupBy(key, F.col("c.i").alias("i")).agg(F.sum("c.w").alias("w"))
+    # The cell is the first 32 bits modulo the size: of a power of two up to 256, the last of their bytes says it all.
+    number = F.conv(F.substring("_h", 7, 2) if size & (size - 1) == 0 and size <= 256 else F.substring("_h", 1, 8), 16, 10).cast("bigint") % size
+    sign = F.when(F.substring("_h", 10, 1).isin(*"13579bdf"), -1.0).otherwise(1.0)
+    each = df.select(key, F.explode_outer(tokens).alias("_t")).select(key, digest(F.col("_t")).alias("_h"), (1 + F.log1p(F.length("_t"))).alias("_w"))
+    cells = each.groupBy(key, number.cast("int").alias("i")).agg(F.sum(sign * F.col("_w")).alias("w"))
     rows = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "w")))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     at = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.coalesce(F.nullif("norm", F.lit(0.0)), F.lit(1.0))
     return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at).alias("vector"))
