@@ -82,7 +82,10 @@ def fit(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", id_c
     rows = samples.select(id_key(id_col).alias("id"), F.lower(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     # A threshold on the hash takes about `labelled` rows of each language without a sort of texts; the window takes the exact bound from those.
     sizes = rows.groupBy("lang").count().select(F.col("lang").alias("l"), F.least(F.lit(1.0), 2.0 * labelled / F.col("count") + 1e-4).alias("share"))
-    near = rows.join(sizes, F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= F.col("share") * (1 << 30))
+    sizes = materialize(sizes, "label-sizes")
+    if sizes.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} different labels")
+    near = rows.join(F.broadcast(sizes), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= F.col("share") * (1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     some = near.withColumn("n", rank).where(F.col("n") <= labelled).select("lang", "text")
 
@@ -97,8 +100,6 @@ def fit(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", id_c
     total: dict[str, np.ndarray] = {}
     for row in in_arrow(some, run, "lang string, counts binary").toLocalIterator():
         total[row[0]] = total.get(row[0], 0) + np.frombuffer(row[1], "<i8")
-        if len(total) > LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} different labels")
     return TextModel(total)
 
 
