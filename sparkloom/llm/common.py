@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 #: Bytes of a batch that goes to a Python worker.
 ARROW_BYTES = 8 << 20
+#: Most shuffle partitions that are taken unless the session sets more: each map task keeps a block for each of them.
+PARTITIONS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,12 +70,12 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 
 
 def partitions_for(df: DataFrame, each: int) -> int:
-    """Shuffle partitions for what df is made into: as many as the session sets, or as the files that df reads take at `each` bytes. The planner knows their
-    sizes without a job; sources whose sizes it doesn't know count as none."""
+    """Shuffle partitions for what df is made into: as many as the session sets, or as the files that df reads take at `each` bytes, up to PARTITIONS. The planner
+    knows their sizes without a job; sources whose sizes it doesn't know count as none. Beyond PARTITIONS tasks grow, and sort with more spill."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    return max(least, -(-sum(x for x in sizes if x < 1 << 60) // each))
+    return max(least, min(PARTITIONS, -(-sum(x for x in sizes if x < 1 << 60) // each)))
 
 
 def own(df: DataFrame) -> list:

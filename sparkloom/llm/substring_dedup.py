@@ -24,7 +24,7 @@ WINDOW = 20
 #: Windows that are combined before they are shuffled, which bounds a worker's memory but for one text; texts that are taken up at once.
 BUFFER, TEXTS = 1 << 18, 256
 #: Bytes of the input, as files have them, for each shuffle partition of windows, which are about three times as many.
-PART = 1 << 24
+PART = 1 << 26
 #: Odd bases of the two polynomial hashes modulo 2^64, over the halves of words' 128-bit hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Rows of a part: hash, id, tag (of the text, which tells apart rows that share an id) and start of each window; last is -1, or else these are

@@ -26,7 +26,7 @@ from .common import id_back, id_key, in_arrow, materialize, partitions_for, scra
 
 BLOCK, MAGIC, TRAILER = 1 << 16, b"SLBITS01", struct.Struct("<IIQQQ8s")
 #: Bytes of the input, as files have them, for each shard.
-SHARD = 1 << 25
+SHARD = 1 << 26
 #: Most pieces whose ids a worker remembers.
 MEMORY = 1_000_000
 #: Texts, and their code points at most (but for one text), that are cut into words at once.
