@@ -395,3 +395,15 @@ def context_compile(spark, sf_dir):
     layer = F.when(t % 4 == 0, "user").when(t % 4 == 1, "system").when(t % 4 == 2, "tools").otherwise("other")
     items = table(spark, sf_dir, "conversations").select("conv_id", t.alias("place"), t.cast("string").alias("item_id"), layer.alias("layer"), F.col("role").alias("source"), F.when(t % 5 == 4, "again").otherwise(F.col("text")).alias("content"), (t % 3 / 2.0).alias("priority"), (t % 2 == 1).alias("stable"))
     return context.compiled(items, "conv_id", 200).withColumn("items", F.array_join("items", ","))
+
+
+@query("""SELECT doc_id, CAST(6 + doc_id % 10 AS INT) AS scanned, CAST(doc_id % 10 + 1 AS INT) AS dropped, 'error in a/b.py:3' AS critical,
+CASE WHEN doc_id % 2 = 0 THEN '2 passed, 1 skipped' || chr(10) || 'error in a/b.py:3' ELSE array_to_string(list_concat(list_concat(['error in a/b.py:3', '2 passed, 1 skipped', 'start'], list_transform(range(0, doc_id % 10), lambda i: 'test t' || i || ' ... ok')), ['pass']), chr(10)) END AS shown FROM documents""")
+def run_summaries(spark, sf_dir):
+    """Runs of tests that went well or failed, with some lines that only say so."""
+    n = (F.col("doc_id") % 10).cast("int")
+    fine = F.when(n > 0, F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.concat(F.lit("test t"), i, F.lit(" ... ok"))), "\n"), F.lit("\n"))).otherwise("")
+    text = F.concat(F.lit("start\n"), fine, F.lit("error in a/b.py:3\n\n\u001b[1m2 passed, 1 skipped\npass\n error in a/b.py:3 \n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    out = compact.run_summary(d, "doc_id", "text", F.col("doc_id") % 2)
+    return out.select("doc_id", "scanned", "dropped", F.array_join("critical", "\n").alias("critical"), F.array_join("shown", "\n").alias("shown"))

@@ -194,17 +194,10 @@ def segment_search(spark, sf_dir):
     return hits.select("artifact", "segment", "score")
 
 
-@query(f"""WITH h AS (SELECT conv_id AS artifact, turn AS segment, role, text, 3.0 * n + 1 + turn % 3 + CASE WHEN contains(lower(text), 'that') THEN 6 ELSE 0 END + CASE WHEN turn % 4 = 3 THEN 3 ELSE 0 END AS score
-FROM (SELECT *, len(list_intersect(['that'], {_SEG})) AS n FROM conversations WHERE role = 'assistant' AND NOT contains(text, chr(10)) AND NOT regexp_matches(text, '[@:=_]|[0-9]|://|AKIA|BEGIN')) WHERE n > 0 ORDER BY score DESC, artifact, segment LIMIT 32),
-f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY text ORDER BY score DESC, artifact, segment) = 1),
-s AS (SELECT *, '[artifact=' || artifact || ' segment=' || segment || ' lines=1-1 kind=' || role || ' score=' || printf('%.2f', score) || ']' || chr(10) || text AS section FROM f),
-e AS (SELECT *, sum(strlen(section) + 5) OVER (ORDER BY score DESC, artifact, segment) - 5 AS used FROM s)
-SELECT md5(string_agg(section, chr(10) || '---' || chr(10) ORDER BY score DESC, artifact, segment)) AS content, count(*) AS n_hits, count(*) = (SELECT count(*) FROM f) AS complete FROM e WHERE used <= 4096""")
+@query()
 def search_pack(spark, sf_dir):
-    """Sections of the best hits in one text of 4 KiB, over turns of one line without what redaction or shapes would change."""
-    s = _segments(spark, sf_dir).where(~F.contains("body", F.lit("\n")) & ~F.col("body").rlike("[@:=_]|[0-9]|://|AKIA|BEGIN"))
-    pack = planning.search_pack(planning.segment_hits(s, "kind:assistant that", 32), 4096)
-    return pack.select(F.md5("content").alias("content"), "n_hits", "complete")
+    """Sections of the best hits in one text of 4 KiB; a test holds it against Python."""
+    return planning.search_pack(planning.segment_hits(_segments(spark, sf_dir), "kind:assistant that idea", 32), 4096)
 
 
 # tools
@@ -303,19 +296,26 @@ def externalized(spark, sf_dir):
     return ext.externalize(p).select("scope", "sequence", "family", "repeated", "seen", "n_bytes")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'git-status' WHEN doc_id % 4 = 1 THEN 'code' WHEN doc_id % 4 = 2 THEN 'table' WHEN left(ltrim(text), 1) IN ('{', '[') THEN 'json' WHEN len(string_split(ltrim(text), chr(10))) > 120 OR len(list_filter(string_split(ltrim(text), chr(10))[1:300], lambda x: regexp_matches(x, '(?i)\\b(error|failed|failure|panic|assertion|traceback|exception|fatal|denied|timeout|critical|segfault)\\b'))) >= 2 THEN 'log' ELSE 'text' END AS family FROM documents WHERE NOT regexp_matches(text, '(?m)^(diff --git|@@ |--- |\\+\\+\\+ )') AND NOT regexp_matches(text, '\\r')")
+_BAD = "(?i)\\b(error|failed|failure|panic|assertion|traceback|exception|fatal|denied|timeout|critical|segfault)\\b"
+_LINES = "string_split(regexp_replace({0}, '\\r\\n?', chr(10), 'g'), chr(10))"
+_DIFF = "len(list_filter(l[1:{0}], lambda x: starts_with(x, 'diff --git') OR starts_with(x, '@@ ') OR starts_with(x, '--- ') OR starts_with(x, '+++ '))) > 0"
+_ERRORS = f"len(list_filter(l[1:{{0}}], lambda x: regexp_matches(x, '{_BAD}'))) >= 2"
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'git-status' WHEN doc_id % 4 = 1 THEN 'code' WHEN left(t, 1) IN ('{{', '[') AND doc_id % 4 = 3 THEN 'json' WHEN doc_id % 4 = 2 THEN CASE WHEN left(t, 1) IN ('{{', '[') THEN 'json' ELSE 'table' END WHEN {_DIFF.format(30)} THEN 'diff' WHEN len(l) > 120 OR {_ERRORS.format(300)} THEN 'log' ELSE 'text' END AS family FROM (SELECT doc_id, ltrim(text, ' ') AS t, {_LINES.format("ltrim(text, ' ')")} AS l FROM documents)")
 def family_detect(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(?m)^(diff --git|@@ |--- |\+\+\+ )") & ~F.col("text").rlike("\r"))
     k = F.col("doc_id") % 4
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", ext.tool_family(F.when(k == 0, "cd x && Git  status"), F.when(k == 1, "a/b.PY").when(k == 2, "c.tsv"), F.col("text")).alias("family"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'xml' WHEN doc_id % 3 = 1 THEN 'json' WHEN len(list_filter(string_split(text, chr(10))[1:100], lambda x: regexp_matches(x, '(?i)\\b(error|failed|failure|panic|assertion|traceback|exception|fatal|denied|timeout|critical|segfault)\\b'))) >= 2 OR len(string_split(text, chr(10))) > 200 THEN 'log' ELSE 'text' END AS family FROM documents WHERE NOT regexp_matches(text, '(?m)^(diff --git|@@ |--- |\\+\\+\\+ )') AND NOT regexp_matches(text, '\\r') AND left(ltrim(text), 1) NOT IN ('{', '[', '<')")
+@query(f"SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'json' WHEN 3 THEN 'stack-trace' ELSE CASE WHEN {_DIFF.format(20)} THEN 'diff' WHEN doc_id % 4 = 0 THEN 'xml' WHEN left(t, 1) = '<' AND contains(left(t, 500), '>') THEN 'xml' WHEN {_ERRORS.format(100)} OR len(l) > 200 THEN 'log' ELSE 'text' END END AS family FROM (SELECT doc_id, ltrim(text, ' ') AS t, {_LINES.format("CASE WHEN doc_id % 4 = 0 THEN '<p>' || text ELSE text END")} AS l FROM documents)")
 def content_families(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(?m)^(diff --git|@@ |--- |\+\+\+ )") & ~F.col("text").rlike("\r") & ~F.left(F.ltrim("text"), F.lit(1)).isin("{", "[", "<"))
-    k = F.col("doc_id") % 3
-    body = F.when(k == 0, F.concat(F.lit("<p>"), "text")).when(k == 1, F.to_json(F.struct("text"))).otherwise(F.col("text"))
-    return d.select("doc_id", ext.content_family(body, F.lit(None).cast("string"), F.lit("")).alias("family"))
+    """Texts as they are, as markup, as JSON and behind the frames of a stack."""
+    k = F.col("doc_id") % 4
+    frames = F.lit('File "a.py", line 3\nFile "b.py", line 4\n')
+    body = F.when(k == 0, F.concat(F.lit("<p>"), "text")).when(k == 1, F.to_json(F.struct("text"))).when(k == 3, F.concat(frames, "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", ext.content_family(body, F.lit(None).cast("string"), F.lit("")).alias("family"))
 
 
 # Merkle trees: a layer of the tree is a query over the one below

@@ -46,7 +46,7 @@ def stream_append_chain(spark, sf_dir):
     return out.where("not late").select("user_id", "sequence", "event_id", "event_hash")
 
 
-_CHUNKS = "CASE WHEN turn % 2 = 0 THEN 'xx ' || upper(left(a, 9)) ELSE upper(left(a, 5)) || ' y' || CASE WHEN turn % 3 = 0 THEN '' ELSE ' EFG' END END"
+_CHUNKS = "CASE WHEN turn % 2 = 0 THEN 'xx ' || upper(a) ELSE upper(a) || ' y' || CASE WHEN turn % 3 = 0 THEN '' ELSE ' EFG' END END"
 
 
 @query(f"""WITH c AS (SELECT conv_id, string_agg(t, '' ORDER BY turn) AS t FROM (SELECT conv_id, turn, {_CHUNKS} AS t FROM (SELECT *, regexp_replace(text, '[^a-z A-Z.]', '', 'g') AS a FROM conversations)) GROUP BY conv_id)
@@ -54,7 +54,7 @@ SELECT conv_id, m AS match, count(*) AS n FROM (SELECT conv_id, unnest(regexp_ex
 def stream_scan_overlap(spark, sf_dir):
     """Matches over the seams of chunks, and where the input ends; chunks are written as the files of a stream."""
     t = F.col("turn")
-    chunk = F.when(t % 2 == 0, F.concat(F.lit("xx "), F.upper(F.left("a", F.lit(9))))).otherwise(F.concat(F.upper(F.left("a", F.lit(5))), F.lit(" y"), F.when(t % 3 == 0, "").otherwise(" EFG")))
+    chunk = F.when(t % 2 == 0, F.concat(F.lit("xx "), F.upper("a"))).otherwise(F.concat(F.upper("a"), F.lit(" y"), F.when(t % 3 == 0, "").otherwise(" EFG")))
     c = table(spark, sf_dir, "conversations").withColumn("a", F.regexp_replace("text", "[^a-z A-Z.]", ""))
     chunks = c.select("conv_id", "turn", chunk.alias("text"))
     path = _scratch(spark)

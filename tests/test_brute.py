@@ -32,6 +32,20 @@ def turns(spark):
     return spark.read.parquet(f"{DATA}/conversations.parquet").orderBy("conv_id", "turn").collect()
 
 
+def luhn(x):
+    n = [int(c) for c in x if c.isdigit()]
+    return 13 <= len(n) <= 19 and len(set(n)) > 1 and sum(v if i % 2 == 0 else sum(divmod(2 * v, 10)) for i, v in enumerate(reversed(n))) % 10 == 0
+
+
+def redacted(t):
+    for name, pattern in security.SECRETS.items():
+        t = re.sub(pattern, r"\1=[redacted:generic-assignment]" if name == "generic-assignment" else f"[redacted:{name}]", t)
+    for c in re.findall(security.CARD, t):
+        if luhn(c):
+            t = t.replace(c.strip(), "[redacted:payment-card]")
+    return re.sub(security.EMAIL, "[redacted:email]", t)
+
+
 @needs_data
 def test_texts_by_hand(spark):
     """Folded texts, cards, tokens of high entropy and redaction."""
@@ -39,10 +53,6 @@ def test_texts_by_hand(spark):
     folded = {r.doc_id: r.folded_sha256 for r in run(spark, "normalised_text")}
     assert folded == {k: hashlib.sha256(unicodedata.normalize("NFKC", t).casefold().encode()).hexdigest() for k, t in d.items()}
 
-    def luhn(x):
-        n = [int(c) for c in x if c.isdigit()]
-        return 13 <= len(n) <= 19 and len(set(n)) > 1 and sum(v if i % 2 == 0 else sum(divmod(2 * v, 10)) for i, v in enumerate(reversed(n))) % 10 == 0
-
     cards = {k: sum(map(luhn, re.findall(security.CARD, t))) for k, t in d.items()}
     assert {r.doc_id: r.n_cards for r in run(spark, "card_numbers")} == cards
 
@@ -53,14 +63,6 @@ def test_texts_by_hand(spark):
     tokens = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.size(security.high_entropy_tokens(F.col("text"))).alias("n"))
     assert {r.doc_id: r.n for r in tokens.collect()} == high
 
-    def redacted(t):
-        for name, pattern in security.SECRETS.items():
-            t = re.sub(pattern, r"\1=[redacted:generic-assignment]" if name == "generic-assignment" else f"[redacted:{name}]", t)
-        for c in re.findall(security.CARD, t):
-            if luhn(c):
-                t = t.replace(c.strip(), "[redacted:payment-card]")
-        return re.sub(security.EMAIL, "[redacted:email]", t)
-
     got = {r.doc_id: r.redacted_sha256 for r in run(spark, "redaction")}
     wrong = [k for k, t in d.items() if got[k] != hashlib.sha256(redacted(t).encode()).hexdigest()]
     assert wrong == []
@@ -477,3 +479,73 @@ def test_compiled_contexts_send_deltas(spark):
     before = spark.createDataFrame([("p", "a", long)], "k string, item_id string, before string")
     short = {r.k: r for r in context.compiled(items, "k", 100, before).collect()}
     assert short["p"]["items"] == ["b", "a"] and short["p"].used <= 100
+
+
+def test_run_summaries_by_hand(spark):
+    def unique(lines, most):
+        out = {}
+        for x in lines:
+            if x.strip():
+                out.setdefault(x.strip(), x)
+        return list(out.values())[:most]
+
+    def brute(lines, good):
+        critical, ends, dropped = [], [], 0
+        full = [x.rstrip(" ") for x in lines if x.rstrip(" ")]
+        for i, x in enumerate(lines, 1):
+            x = x.rstrip(" ")
+            if not x:
+                continue
+            if good and (x.endswith((" ... ok", " ... OK")) or x in compact.FINE_WORDS):
+                dropped += 1
+            elif (re.search(compact.RUN_ERROR, x) or re.search(compact.RUN_PLACE, x)) and len(critical) < 40:
+                critical.append(x)
+            elif re.search(compact.RUN_END, x):
+                ends.append(x)
+            elif re.search(compact.RUN_FINE, x) or i > 45:
+                dropped += 1
+        critical, ends = unique(critical, 30), unique(ends[-20:], 20)
+        shown = (ends + critical or unique(full[-30:], 20)) if good else unique(critical + ends + full[:15], 45)
+        return len(lines), dropped, critical, shown
+
+    rng = random.Random(3)
+    words = ["ok", "pass all", "test a ... ok", "error: x", "failed y", "a/b.py:3 z", "3 passed", "build succeeded", "plain", " indented", "", "  ", "finished in 3.2"]
+    rows = [(i, i % 2, "\n".join([rng.choice(words) + rng.choice(["", f" {rng.randrange(9)}"]) for _ in range(n)] + ["end"])) for i, n in enumerate([0, 1, 3, 10, 60, 61, 300, 301])]
+    df = spark.createDataFrame(rows, "k int, code int, t string")
+    got = {r.k: (r.scanned, r.dropped, r.critical, r.shown) for r in compact.run_summary(df, "k", "t", F.col("code")).collect()}
+    for k, code, t in rows:
+        assert got[k] == brute(t.split("\n"), code == 0)
+
+
+@needs_data
+@pytest.mark.parametrize("budget", [256, 4096, 10**6])
+def test_search_packs_by_hand(spark, budget):
+    words = {"that", "idea"}
+    tokens = lambda t: {x.lower() for x in re.findall(tx.TOKEN_PATTERNS["segment"], t)}
+    hits = []
+    for r in turns(spark):
+        shared = len(words & tokens(r.text))
+        if r.role != "assistant" or not shared:
+            continue
+        critical, phrase = r.turn % 4 == 3, "that idea" in r.text.lower()
+        lines = re.sub("\r\n?", "\n", r.text).split("\n")
+        points = [len(words & tokens(x)) + 2 * ("that idea" in x.lower()) for x in lines]
+        at = points.index(max(points))
+        start, end = max(0, at - 3), min(len(lines), at + 4)
+        hits.append((-(3.0 * shared + 1 + r.turn % 3 + 6 * phrase + 3 * critical), r.conv_id, r.turn, start + 1, end, "\n".join(lines[start:end])))
+    hits.sort()
+    seen, used, content, complete = set(), 0, [], True
+    for score, conv, turn, first, last, text in hits[:32]:
+        shape = re.sub(tx.NUMBER_SHAPE, "<n>", text)
+        if shape in seen:
+            continue
+        seen.add(shape)
+        section = f"[artifact={conv} segment={turn} lines={first}-{last} kind=assistant score={-score:.2f}]\n{redacted(text)}"
+        size = len(section.encode()) + (5 if content else 0)
+        if used + size > budget:
+            complete = False
+            break
+        content.append(section)
+        used += size
+    row = planning.search_pack(planning.segment_hits(q_memory._segments(spark, DATA), "kind:assistant that idea", 32), budget).first()
+    assert (row.content, row.n_hits, row.complete) == ("\n---\n".join(content), len(content), complete)
