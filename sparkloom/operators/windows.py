@@ -163,3 +163,26 @@ def cache_hits(df: DataFrame, keys: list[str], time: str, ttl: float) -> DataFra
             yield f.assign(hit=hits)
 
     return folded(df, keys, [time], run, schema)
+
+
+def snapshot_diff(before: DataFrame, now: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """(keys, change): rows that were added, deleted or modified between two snapshots with unique keys, by a hash of what counts; nulls equal each other. One
+    equi join; what is shuffled of either side are its keys and hashes."""
+    side = lambda df, name: df.select(*keys, F.xxhash64(value).alias(name))
+    both = side(before, "_old").join(side(now, "_new"), keys, "full_outer")
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "deleted").when(F.col("_old") != F.col("_new"), "modified")
+    return both.select(*keys, change.alias("change")).where("change is not null")
+
+
+def polled(snapshots: DataFrame, poll: str, keys: list[str], value: Column) -> DataFrame:
+    """(poll, keys, change) of a series of snapshots (poll, keys, ...): each held against the one before, by the rows of a key in the order of polls: a row without
+    one in the poll before is added, without one in the poll after it is deleted in that. No pair of snapshots is joined."""
+    polls = snapshots.select(poll).distinct()
+    place = polls.withColumn("_i", F.row_number().over(Window.orderBy(poll)))
+    rows = snapshots.select(poll, *keys, F.xxhash64(value).alias("_h")).join(place, poll)
+    w = Window.partitionBy(*keys).orderBy("_i")
+    near = rows.withColumn("_pi", F.lag("_i").over(w)).withColumn("_ph", F.lag("_h").over(w)).withColumn("_ni", F.lead("_i").over(w))
+    there = F.when(F.col("_pi").isNull() | (F.col("_pi") != F.col("_i") - 1), F.when(F.col("_i") > 1, "added")).when(F.col("_ph") != F.col("_h"), "modified")
+    came = near.select("_i", *keys, there.alias("change")).where("change is not null")
+    went = near.where(F.col("_ni").isNull() | (F.col("_ni") != F.col("_i") + 1)).select((F.col("_i") + 1).alias("_i"), *keys, F.lit("deleted").alias("change"))
+    return came.unionByName(went).join(place, "_i").select(poll, *keys, "change")

@@ -37,7 +37,6 @@ SQL = {
     "suffix_join": "SELECT a.p_partkey AS importer, b.p_partkey AS imported FROM part a JOIN part b ON substring(a.p_name, length(a.p_name) - 1) = substring(b.p_name, length(b.p_name) - 1) AND a.p_brand = b.p_brand WHERE a.p_partkey < b.p_partkey AND b.p_size = 1",
     "model_account_join": "SELECT s.s_suppkey, n.n_name, r.r_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name IN ('ASIA', 'EUROPE')",
     "receipt_join": "SELECT o_orderkey, coalesce(l.quota, o_totalprice) AS quota FROM orders LEFT JOIN (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS quota FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_orderkey) l ON o_orderkey = l_orderkey",
-    "snapshot_diff": "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 3 <> 0) a FULL OUTER JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS v FROM part WHERE p_partkey % 5 <> 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v",
     "set_difference_refresh": "SELECT DISTINCT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0",
     "graph_relation_hops": "SELECT s.s_suppkey, n.n_nationkey, r.r_regionkey FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey",
     # aggregates

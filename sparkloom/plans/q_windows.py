@@ -152,3 +152,21 @@ def response_cache_hits(spark, sf_dir):
     """Requests by user and kind, stored at a miss for 2000 ticks."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
     return windows.cache_hits(e, ["user_id", "event_type"], "event_id", 2000).groupBy("user_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 3 <> 0) a FULL OUTER JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS v FROM part WHERE p_partkey % 5 <> 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v")
+def snapshot_diff(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    before = p.where(k % 3 != 0).select(k.alias("k"), F.col("p_size").alias("v"))
+    now = p.where(k % 5 != 0).select(k.alias("k"), F.when(k % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("v"))
+    return windows.snapshot_diff(before, now, ["k"], F.col("v"))
+
+
+@query("""WITH s AS (SELECT event_id // 1000 AS poll, user_id, max(event_type) AS v FROM events GROUP BY 1, 2), t AS (SELECT DISTINCT poll FROM s)
+SELECT coalesce(b.poll, a.poll + 1) AS poll, coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.poll IS NULL THEN 'added' WHEN b.poll IS NULL THEN 'deleted' ELSE 'modified' END AS change
+FROM s a FULL JOIN s b ON a.user_id = b.user_id AND b.poll = a.poll + 1
+WHERE (a.poll IS NULL AND b.poll > (SELECT min(poll) FROM t)) OR (b.poll IS NULL AND a.poll < (SELECT max(poll) FROM t)) OR a.v <> b.v""")
+def poll_and_diff(spark, sf_dir):
+    """Users seen in each thousand events, poll after poll."""
+    e = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("poll"), "user_id").agg(F.max("event_type").alias("v"))
+    return windows.polled(e, "poll", ["user_id"], F.col("v"))
