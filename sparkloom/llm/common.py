@@ -47,6 +47,8 @@ def _scratch(spark: SparkSession) -> str:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Removes what the operators of this application wrote; call it when their results have been written elsewhere."""
+    for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("sparkloom_")]:
+        spark.sql(f"DROP TABLE `{name}`")
     path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -58,6 +60,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], each: int = 128 << 20) -> DataFrame:
+    """df written to the shared folder in buckets of its keys, and read back: a join on these keys shuffles the other side alone."""
+    spark = df.sparkSession
+    n, own_name = partitions_for(df, each), f"sparkloom_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", scratch_path(spark, name)).saveAsTable(own_name)
+    return spark.table(own_name)
+
+
 def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """df.mapInArrow(run, schema), in batches of ARROW_BYTES or one row: long texts don't add up to ten thousand of them in a worker's memory."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))

@@ -6,6 +6,7 @@ from .bpe import op6_byte_bpe
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .html_text import op3_html_extract
+from .join_view import OP11_SQL, op11_join_view
 from .langid import op5_language_id
 from .quality import op7_quality
 from .secrets import op1_secret_scan
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_join_view": op11_join_view,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op8_decontaminate": OP8_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_join_view": OP11_SQL,
 }
