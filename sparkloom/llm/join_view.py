@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,9 +79,6 @@ class JoinView:
     def _store(self, rows: DataFrame) -> None:
         self.base = bucketed(rows.select(*_BAG, _place().alias("place")), "join_view", ["place"])
 
-    def _stored(self) -> list[DataFrame]:
-        return [self.base, *self.logs]
-
     def _sum(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy("kind", "key", "l", "r").agg(F.sum("n").alias("n")).where("n != 0")
 
@@ -88,10 +87,7 @@ class JoinView:
         return self._sum(self._all().where("kind = 'v'")).drop("kind")
 
     def _all(self) -> DataFrame:
-        out = self.base
-        for log in self.logs:
-            out = out.unionByName(log)
-        return out
+        return reduce(DataFrame.unionByName, self.logs, self.base)
 
     def fold(self) -> None:
         """Folds the logs into the stored rows."""
@@ -102,12 +98,10 @@ class JoinView:
         """Takes in one batch, bags (key, part, n) with negative n for copies that go; gives the joined rows whose copies changed: key, l, r, weight (copies after
         less copies before) and total (after)."""
         dl, dr = (materialize(x.select("key", "part", "n"), "changes") for x in (left, right))
-        places = _places(dl, "l").unionByName(_places(dr, "r")).distinct()
-        places = materialize(places, "places")
-        found = None
-        for stored in self._stored():
-            part = stored.join(places.hint("merge"), "place", "left_semi").select(*_BAG)
-            found = part if found is None else found.unionByName(part)
+        places = _places(dl, "l").unionByName(_places(dr, "r")).distinct().hint("merge")
+        found = self.base.join(places, "place", "left_semi").select(*_BAG)
+        if self.logs:
+            found = found.unionByName(reduce(DataFrame.unionByName, self.logs).join(places, "place", "left_semi").select(*_BAG))
         touched = materialize(self._sum(found), "touched")
         of = {kind: touched.where(F.col("kind") == kind).drop("kind") for kind in "lrv"}
         dl, dr = dl.withColumnRenamed("part", "l"), dr.withColumnRenamed("part", "r")
