@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe import op6_byte_bpe
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .exact_search import OP12_SQL, op12_exact_search
 from .html_text import op3_html_extract
 from .join_view import OP11_SQL, op11_join_view
 from .langid import op5_language_id
+from .prefix_trie import op13_prefix_trie
 from .quality import op7_quality
 from .secrets import op1_secret_scan
 from .simhash import op9_simhash_near_dedup
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_join_view": op11_join_view,
+    "op12_exact_search": op12_exact_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -33,4 +37,5 @@ ORACLE_SQL = {
     "op8_decontaminate": OP8_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op11_join_view": OP11_SQL,
+    "op12_exact_search": OP12_SQL,
 }
