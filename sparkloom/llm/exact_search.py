@@ -129,7 +129,7 @@ class _Best:
 
     def take(self, q: int, ids: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> None:
         ids, rows, scores = (np.concatenate(x) for x in zip(self.found[q], (ids, rows, scores), strict=True))
-        best = np.lexsort((rows, ids, -scores.astype(object)) if len(scores) and scores.min() == -(2**63) else (rows, ids, -scores))[: self.k]
+        best = np.lexsort((rows, ids, ~scores))[: self.k]
         self.found[q] = ids[best], rows[best], scores[best]
         if len(best) == self.k:
             self.least[q] = max(self.least[q], float(_floor(float(scores[best[-1]]))))

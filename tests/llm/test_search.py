@@ -16,12 +16,13 @@ def frame(spark, rows):
 
 def brute(rows, is_query, k=10):
     """Exact results in Python integers; repeated ids are rows of their own."""
+    near = lambda s: max(-(2**63), min(2**63 - 1, s))
     fit = [(i, [int(np.floor(x * 1024)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for n, (i, q) in enumerate(fit):
         if is_query(i):
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, (j, v) in enumerate(fit) if m != n)[:k]  # noqa: B905
-            out += [(i, r, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(scored, 1)]
+            scored = sorted((-near(sum(a * b for a, b in zip(q, v))), j) for m, (j, v) in enumerate(fit) if m != n)[:k]  # noqa: B905
+            out += [(i, r, j, -s) for r, (s, j) in enumerate(scored, 1)]
     return sorted(out)
 
 
