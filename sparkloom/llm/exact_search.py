@@ -141,11 +141,11 @@ class _Best:
         slack = lambda norms: 1.0 + 1e-9 * norms
         ring = np.maximum(np.maximum(q.distances - x.high, x.low - q.distances), 0).max(axis=1, initial=0)
         top = x.norms.max(initial=0)
-        open_ = np.flatnonzero((q.norms + top - ring**2) / 2 + slack(q.norms + top) >= self.least)
+        reach = lambda norms, away: np.maximum((norms - away**2) / 2 + slack(norms), -(2.0**63))
+        open_ = np.flatnonzero(reach(q.norms + top, ring) >= self.least)
         for i in open_:
             gap = np.abs(x.distances - q.distances[i]).max(axis=1, initial=0)
-            both = q.norms[i] + x.norms
-            bound = (both - gap**2) / 2 + slack(both)
+            bound = reach(q.norms[i] + x.norms, gap)
             left = np.flatnonzero((bound >= self.least[i]) & (x.rows != q.rows[i]))
             left = left[np.argsort(-bound[left], kind="stable")]
             for at in range(0, len(left), STEP):
