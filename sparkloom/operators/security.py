@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from functools import reduce
 
 import pandas as pd
@@ -108,24 +109,29 @@ def decoded_payloads(text: str) -> list[str]:
 
 
 def decompressed(data: bytes, piece: int = 1 << 20, overlap: int = 8192) -> Iterator[bytes]:
-    """What gzip or zlib data holds, whole, in pieces of at most `piece` bytes that begin with the last `overlap` bytes before them, so that matches over the
-    seams are found and memory stays bounded; nothing for other data. Data that breaks off gives what it holds."""
-    for bits in (31, 15):
-        stream, tail, rest, some = zlib.decompressobj(bits), b"", data, False
-        try:
-            while rest and not stream.eof:
-                part = stream.decompress(rest, piece)
-                rest = stream.unconsumed_tail
-                if part:
-                    some = True
-                    yield tail + part
-                    tail = (tail + part)[-overlap:]
-                elif not rest:
-                    break
+    """What gzip or zlib data holds, whole, all gzip members in turn, in pieces of at most `piece` bytes that begin with the last `overlap` bytes before them, so that
+    matches over the seams are found and memory stays bounded; nothing for other data. Data that breaks off, or goes on with something else, gives what it holds."""
+    tail = b""
+    for bits, magic in ((31, b"\x1f\x8b"), (15, b"\x78")):
+        rest, some = data, False
+        while rest.startswith(magic):
+            stream = zlib.decompressobj(bits)
+            try:
+                while rest and not stream.eof:
+                    part = stream.decompress(rest, piece)
+                    rest = stream.unconsumed_tail
+                    if part:
+                        some = True
+                        yield tail + part
+                        tail = (tail + part)[-overlap:]
+                    elif not rest:
+                        break
+            except zlib.error:
+                break
+            # Another member may follow, behind padding.
+            rest = stream.unused_data.lstrip(b"\0") if bits == 31 else b""
+        if some:
             return
-        except zlib.error:
-            if some:
-                return
 
 
 def scan_encoded(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -161,13 +167,13 @@ def scan_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def scan_buffers(df: DataFrame, key: str, data: str) -> DataFrame:
-    """(key, finding): findings in binary buffers: as they are where they are UTF-8, and in what gzip or zlib data holds, piece by piece."""
+    """(key, finding): findings in binary buffers: in the bytes as they are, always, and besides in what gzip or zlib data holds, piece by piece."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for k, raw in zip(f[key], f[data], strict=True):
                 raw = bytes(raw) if raw is not None else b""
-                for piece in [raw] if not raw.startswith((b"\x1f\x8b", b"\x78")) else decompressed(raw):
+                for piece in chain([raw], decompressed(raw)):
                     yield pd.DataFrame([(k, piece.decode("utf-8", "replace"))], columns=[key, "payload"])
 
     texts = df.select(key, data).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, payload string")
