@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats, text as tx
-from ..operators import rank
-from ..sources.tables import table
+from ..operators import rank, textindex
+from ..sources.tables import scratch, table
 from .registry import query
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z]+')"
@@ -114,3 +114,43 @@ def hash_embedding(spark, sf_dir):
     """Vectors of 128 cells, in thousandths."""
     found = rank.hash_embedding(table(spark, sf_dir, "documents"), "doc_id", tx.tokens(F.col("text"), "word"))
     return found.select("doc_id", F.array_join(F.transform("vector", lambda x: F.round(x * 1000).cast("bigint")), ",").alias("vector"))
+
+
+_FIELD = "list_filter(regexp_extract_all(lower({0}), '[a-z]+'), lambda x: length(x) >= 2)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce({_FIELD.format("text")}, []) AS w, coalesce({_FIELD.format("source")}, []) AS s FROM documents),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_FIELD.format("text")}) AS t FROM benchmark) GROUP BY ALL),
+n AS (SELECT count(*) AS n, greatest(sum(len(w) + len(s)) / count(*), 1) AS mean FROM d),
+e AS (SELECT doc_id, length, t, sum(x) AS tf FROM (SELECT doc_id, len(w) + len(s) AS length, unnest(w) AS t, 1.0 AS x FROM d UNION ALL SELECT doc_id, len(w) + len(s), unnest(s), 3.0 FROM d) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM e GROUP BY t),
+r AS (SELECT item_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM q JOIN e USING (t) JOIN df USING (t), n GROUP BY ALL)
+SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM r) WHERE place <= 10""")
+def text_index_search(spark, sf_dir):
+    """The ten best documents for every benchmark item, by a stored index of two weighted fields."""
+    fields = {"text": tx.tokens(F.col("text"), "word"), "source": tx.tokens(F.col("source"), "word")}
+    index = textindex.TextIndex.build(table(spark, sf_dir, "documents"), "doc_id", fields, scratch(spark, "text-index"))
+    asked = textindex.phrases(table(spark, sf_dir, "benchmark"), "item_id", tx.tokens(F.col("text"), "word"))
+    found = index.search(asked, 10, {"source": 3.0})
+    return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+_PART = "SELECT p_partkey AS id, lower(p_name) AS name, lower(p_brand || '.' || p_name) AS qualified, replace(p_type, ' ', '/') AS path, p_size FROM part"
+
+
+@query(f"""WITH p AS ({_PART}), f AS (SELECT id, x.w AS w, x.l AS l FROM (SELECT id, unnest([{{w: 8.0, l: regexp_extract_all(name, '[a-z0-9]+')}}, {{w: 5.0, l: regexp_extract_all(qualified, '[a-z0-9]+')}}, {{w: 3.0, l: regexp_extract_all(lower(path), '[a-z0-9]+')}}]) AS x FROM p)),
+len AS (SELECT id, sum(len(l)) AS length FROM f GROUP BY id), n AS (SELECT count(*) AS n, avg(length) AS mean FROM len), t AS (SELECT id, w, unnest(l) AS t FROM f),
+h AS (SELECT id, q, sum(w) AS tf FROM t JOIN (SELECT unnest(['red', 'ri', 'st']) AS q) ON starts_with(t, q) GROUP BY ALL), df AS (SELECT q, count(*) AS df FROM h GROUP BY q),
+s AS (SELECT id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM h JOIN df USING (q) JOIN len USING (id), n GROUP BY id),
+e AS (SELECT id, 120.0 AS way FROM (SELECT id FROM p WHERE name = 'red ring' OR qualified = 'red ring' ORDER BY path, id LIMIT 240) UNION ALL (SELECT id, 70 + greatest(-20, score) FROM s ORDER BY score DESC, id LIMIT 240)),
+d AS (SELECT l_partkey, count(*) AS degree FROM lineitem GROUP BY l_partkey),
+r AS (SELECT id, path, round(max(way) + CASE WHEN max(p_size) % 3 = 0 THEN 10.0 WHEN max(p_size) % 3 = 1 THEN 4.0 ELSE 0 END + least(12, 0.4 * coalesce(max(degree), 0)) + CASE WHEN name = 'red ring' OR qualified = 'red ring' THEN 20 ELSE 0 END, 6) AS score, coalesce(max(degree), 0) AS degree FROM e JOIN p USING (id) LEFT JOIN d ON l_partkey = id GROUP BY id, path, name, qualified)
+SELECT id AS node_id, score, degree FROM r ORDER BY score DESC, path, id LIMIT 30""")
+def node_search(spark, sf_dir):
+    """Nodes by exact name, weighted fields with prefixes, trust and degree; parts stand for nodes."""
+    p = table(spark, sf_dir, "part")
+    nodes = p.select(F.col("p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("qualified_name"), F.replace("p_type", F.lit(" "), F.lit("/")).alias("path"), F.lit("part").alias("kind"), F.lit(0).alias("start_line"), F.when(F.col("p_size") % 3 == 0, "semantic").when(F.col("p_size") % 3 == 1, "syntax").alias("trust"))
+    fields = {c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)) for c in ("name", "qualified_name", "path")}
+    index = textindex.TextIndex.build(nodes, "node_id", fields, scratch(spark, "node-index"))
+    degree = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("node_id")).agg(F.count("*").alias("degree"))
+    return textindex.node_search(index, nodes, degree, "red ring", ["red", "ri", "st"], 30)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not path and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path or tempfile.mkdtemp(prefix="sparkloom-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in that folder."""
+    return f"{shared_folder(spark).rstrip('/')}/sparkloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
