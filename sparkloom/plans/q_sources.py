@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..sources import formats
 from ..sources.tables import shared_folder, table
-from ..streaming import tables as streams
+from ..streaming import stateful, tables as streams
 from .registry import query
 
 
@@ -267,4 +267,38 @@ def directory_scan(spark, sf_dir):
         with open(f"{root}/{r.n_nationkey % 3}/{r.n_name}.{'txt' if r.n_nationkey % 2 == 0 else 'log'}", "w") as file:
             file.write(r.n_name)
     found = formats.file_scan(spark, f"file://{root}", ["txt"])
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "sha256")
\ No newline at end of file
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "sha256")
+
+@query("""WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence, turn, role, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS data FROM conversations),
+h AS (SELECT *, sha256('{"data":' || CAST(to_json(data) AS VARCHAR) || ',"event":' || CAST(to_json(role) AS VARCHAR) || ',"id":"' || turn || '","retry":null,"sequence":' || sequence || '}') AS event_hash FROM c),
+r AS (SELECT conv_id, sequence, event_hash, sha256(unhex(repeat('0', 64)) || unhex(event_hash)) AS chain FROM h WHERE sequence = 1
+UNION ALL SELECT h.conv_id, h.sequence, h.event_hash, sha256(unhex(r.chain) || unhex(h.event_hash)) FROM r JOIN h ON h.conv_id = r.conv_id AND h.sequence = r.sequence + 1)
+SELECT conv_id, sequence, role AS event, data, CAST(turn AS VARCHAR) AS id, event_hash, chain FROM h JOIN r USING (conv_id, sequence, event_hash)""")
+def stream_event_frames(spark, sf_dir):
+    """Turns as frames of a stream by conversation, whose bytes are cut within letters, lines and frames; chunks come in the files of a stream, in no order."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumns({"n": F.row_number().over(order), "last": F.lead("turn").over(order).isNull()})
+    frame = F.concat(F.lit("\r\n: note\r\nevent: "), F.col("role"), F.lit("\r\nid: "), F.col("turn"), F.lit("\ndata: "), F.replace(F.regexp_replace("text", "\r\n?", "\n"), F.lit("\n"), F.lit("\ndata: ")), F.lit("\n")).cast("binary")
+    half = F.floor(F.octet_length(frame) / 2).cast("int")
+    pieces = F.array(F.substring(frame, F.lit(1), half), F.substring(frame, half + 1, F.octet_length(frame)))
+    chunks = c.select("conv_id", "n", "last", F.posexplode(pieces).alias("i", "body")).select("conv_id", (2 * F.col("n") - 2 + F.col("i")).alias("chunk"), "body", (F.col("last") & (F.col("i") == 1)).alias("last"))
+    path, out, kept = _scratch(spark), _scratch(spark), _scratch(spark)
+    chunks.repartition(3, F.xxhash64("conv_id", "chunk")).write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stateful.run(stateful.event_streams(stream, "conv_id", "chunk", "body", "last"), out, kept)
+    return spark.read.parquet(out).select("conv_id", "sequence", "event", "data", "id", "event_hash", "chain")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'view' THEN 'put' WHEN 'purchase' THEN 'take' ELSE 'get' END AS action, 3600 * (1 + event_id % 96) AS ttl, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+p AS (SELECT *, max(CASE WHEN action = 'put' THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS put FROM e),
+g AS (SELECT p.*, q.event_id AS value, q.ts + to_seconds(q.ttl) AS until, count(*) FILTER (p.action = 'take') OVER (PARTITION BY p.user_id, p.put ORDER BY p.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS takes FROM p LEFT JOIN e q ON q.user_id = p.user_id AND q.i = p.put),
+o AS (SELECT *, CASE WHEN action = 'put' THEN 'stored' WHEN put IS NULL THEN 'unknown' WHEN ts >= until THEN 'expired' WHEN takes > 0 THEN 'taken' ELSE 'found' END AS outcome FROM g)
+SELECT user_id, event_id, action, outcome, CASE WHEN outcome IN ('stored', 'found') THEN CAST(value AS VARCHAR) END AS value FROM o""")
+def stream_expiring_values(spark, sf_dir):
+    """Values that views store for a while, purchases take once and other events look at, by user."""
+    s = streams.read_events(spark, f"{sf_dir}/events.parquet")
+    action = F.when(F.col("event_type") == "view", "put").when(F.col("event_type") == "purchase", "take").otherwise("get")
+    acts = s.select("user_id", "event_id", "ts", action.alias("action"), F.col("event_id").cast("string").alias("value"), (3600 * (1 + F.col("event_id") % 96)).alias("ttl"))
+    out = _scratch(spark)
+    stateful.run(stateful.expiring(acts, "user_id", "ts", "event_id", "action", "value", "ttl"), out, _scratch(spark))
+    return spark.read.parquet(out).where("number is not null").select("user_id", F.col("number").alias("event_id"), "action", "outcome", "value")
