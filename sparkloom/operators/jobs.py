@@ -6,7 +6,7 @@ Dependencies: job_id, dependency_id. States: queued, running, succeeded, failed,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import cut
@@ -51,6 +51,30 @@ def claim(jobs: DataFrame, dependencies: DataFrame, worker: str, now: float, lea
     return out.drop("_hit").select(*jobs.columns), out.where("_hit").drop("_hit").select(*jobs.columns)
 
 
+def claim_batch(jobs: DataFrame, dependencies: DataFrame, workers: list[str], now: float, lease: float = 60.0, concurrency: int = 2, classes: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The table after the workers have claimed a job each, in their order, and the rows that are claimed: what as many single claims at `now` would give, in one step.
+
+    A project's first claim counts as served now, so that its others come behind the projects of the same priority that weren't. That leaves one order of all
+    jobs, as each project's jobs are taken by priority and age: a project's first job by when it was last served, its others by now; no more of them than it may still run.
+    Within a project ranks are limited before the shuffle, and only as many rows as there are workers are broadcast.
+    """
+    if not workers or not all(workers) or lease <= 0:
+        raise ValueError("a claim needs workers and a lease")
+    jobs = cut(reap(jobs, now))
+    running = jobs.groupBy("project_id").agg(F.count_if(F.col("state") == "running").alias("_running"))
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("priority"), "created_at", "job_id"))
+    ready = claimable(jobs, dependencies, now, concurrency, classes).withColumn("_place", place).where(F.col("_place") <= concurrency)
+    free = ready.join(running, "project_id").where(F.col("_place") + F.col("_running") <= concurrency)
+    served = F.when(F.col("_place") == 1, F.col("served")).otherwise(F.greatest("served", F.lit(now)))
+    best = free.withColumn("_served", served).orderBy(F.desc("priority"), "_served", "created_at", "job_id").limit(len(workers))
+    turn = F.row_number().over(Window.orderBy(F.desc("priority"), "_served", "created_at", "job_id"))  # of as many rows as there are workers
+    chosen = best.select("job_id", F.get(F.array(*map(F.lit, workers)), turn - 1).alias("_worker"))
+    hit = jobs.join(F.broadcast(chosen), "job_id", "left")
+    took = F.col("_worker").isNotNull()
+    out = cut(_set(hit, took, state=F.lit("running"), attempt=F.col("attempt") + 1, lease_owner=F.col("_worker"), lease_until=F.lit(now + lease), updated_at=F.lit(now)))
+    return out.drop("_worker").select(*jobs.columns), out.where(took).select(*jobs.columns)
+
+
 def _owned(job_id, worker: str) -> Column:
     return (F.col("job_id") == job_id) & (F.col("state") == "running") & (F.col("lease_owner") == worker)
 

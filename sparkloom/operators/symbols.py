@@ -124,3 +124,22 @@ def refreshed(index: DataFrame, seen: DataFrame, files: DataFrame, parse, path:
     changed = now.join(old, path, "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("_hash"))).drop("_hash", "_old")
     same = now.join(old, path).where(F.col("_old") == F.col("_hash")).select(path)
     return index.join(same, path, "left_semi").unionByName(parse(changed).select(*index.columns))
+
+
+def suffix_matches(imports: DataFrame, modules: DataFrame, path: str = "path", module: str = "module", parts: bool = False) -> DataFrame:
+    """imports joined with the modules whose path ends with theirs: all columns of both. With parts, only where a whole part of the path begins there.
+
+    Not a comparison of all pairs: a module gives its endings of the lengths that imports have, of which there are no more than the longest path has letters, as
+    keys of an equi join with the different import paths. Those are a row each, so that an ending that very many modules share is split by adaptive execution;
+    what matched then meets the imports by path. Empty and null paths match nothing. Columns other than the paths have different names.
+    """
+    asked = imports.where(F.length(path) > 0)
+    wanted = asked.select(F.col(path).alias("_sl_end")).distinct()
+    lengths = sorted(r[0] for r in wanted.select(F.length("_sl_end")).distinct().collect())
+    if not lengths:
+        return asked.crossJoin(modules).where("false")
+    whole = F.length(module)
+    ends = F.transform(F.array(*map(F.lit, lengths)), lambda n: F.when((n == whole) | ((n < whole) & ((F.substring(F.col(module), whole - n, F.lit(1)) == "/") if parts else F.lit(True))), F.right(F.col(module), n)))
+    tails = modules.select("*", F.explode(F.array_compact(ends)).alias("_sl_end"))
+    found = tails.join(wanted, "_sl_end")
+    return asked.join(found, F.col(path) == F.col("_sl_end")).drop("_sl_end")

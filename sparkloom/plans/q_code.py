@@ -407,3 +407,17 @@ def run_summaries(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     out = compact.run_summary(d, "doc_id", "text", F.col("doc_id") % 2)
     return out.select("doc_id", "scanned", "dropped", F.array_join("critical", "\n").alias("critical"), F.array_join("shown", "\n").alias("shown"))
+
+
+_PATHS = "SELECT p_partkey, p_size, replace(p_type || ' ' || p_name, ' ', '/') AS module, CASE p_size % 3 WHEN 0 THEN replace(p_name, ' ', '/') WHEN 1 THEN regexp_extract(p_name, '[^ ]*$') ELSE right(p_name, 3) END AS path FROM part"
+
+
+@query(f"WITH p AS ({_PATHS}) SELECT a.p_partkey AS importer, count(*) AS n, min(b.p_partkey) AS least, max(b.p_partkey) AS most FROM p a JOIN p b ON ends_with(b.module, a.path) AND a.p_partkey <> b.p_partkey WHERE a.p_size % 5 = 1 GROUP BY 1")
+def path_suffix_join(spark, sf_dir):
+    """Modules whose path ends with an imported one, by importer; parts stand for both."""
+    p = table(spark, sf_dir, "part")
+    end = F.when(F.col("p_size") % 3 == 0, F.replace("p_name", F.lit(" "), F.lit("/"))).when(F.col("p_size") % 3 == 1, F.regexp_extract("p_name", "[^ ]*$", 0)).otherwise(F.right("p_name", F.lit(3)))
+    imports = p.where("p_size % 5 = 1").select(F.col("p_partkey").alias("importer"), end.alias("path"))
+    modules = p.select(F.col("p_partkey").alias("imported"), F.replace(F.concat_ws(" ", "p_type", "p_name"), F.lit(" "), F.lit("/")).alias("module"))
+    found = symbols.suffix_matches(imports, modules).where("importer <> imported")
+    return found.groupBy("importer").agg(F.count("*").alias("n"), F.min("imported").alias("least"), F.max("imported").alias("most"))

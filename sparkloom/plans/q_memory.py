@@ -131,6 +131,15 @@ def job_claim(spark, sf_dir):
     return after.groupBy("state").agg(F.count("*").alias("n"), F.sum("attempt").alias("attempts"))
 
 
+@query(_JOBS_SQL + """, r AS (SELECT c.*, row_number() OVER (PARTITION BY project_id ORDER BY priority DESC, job_id) AS place, (SELECT count(*) FROM j a WHERE a.project_id = c.project_id AND a.state = 'running') AS running FROM c),
+o AS (SELECT job_id, project_id, priority, row_number() OVER (ORDER BY priority DESC, CASE WHEN place = 1 THEN served ELSE greatest(served, 900) END, job_id) AS turn FROM r WHERE place + running <= 2)
+SELECT job_id, project_id, priority, 'w' || lpad(CAST(turn AS VARCHAR), 3, '0') AS lease_owner FROM o WHERE turn <= 200""")
+def job_claim_batch(spark, sf_dir):
+    """Two hundred workers claim a job each, with fair shares of the projects."""
+    _, took = jobs.claim_batch(*_jobs(spark, sf_dir), [f"w{i:03}" for i in range(1, 201)], 900.0)
+    return took.select("job_id", "project_id", F.col("priority").cast("bigint").alias("priority"), "lease_owner")
+
+
 @query(_JOBS_SQL + "SELECT state, count(*) AS n FROM j GROUP BY state")
 def lease_reap(spark, sf_dir):
     return jobs.reap(_jobs(spark, sf_dir)[0], 900.0).groupBy("state").agg(F.count("*").alias("n"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import windows
-from ..sources.tables import table
+from ..operators.graph import cut
+from ..operators.summary_tree import SummaryTree
+from ..sources.tables import scratch, table
 from .registry import query
 
 
@@ -170,3 +173,23 @@ def poll_and_diff(spark, sf_dir):
     """Users seen in each thousand events, poll after poll."""
     e = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("poll"), "user_id").agg(F.max("event_type").alias("v"))
     return windows.polled(e, "poll", ["user_id"], F.col("v"))
+
+
+def _tree_sql(leaf: int, fanout: int, levels: int) -> str:
+    out = ["e AS (SELECT CAST(user_id AS VARCHAR) AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, sha256(CAST(event_id AS VARCHAR)) AS hash, value FROM events)"]
+    out.append(f"l0 AS (SELECT session, k // {leaf} AS node, min(k) AS first, max(k) AS last, count(*) AS n, count(*) AS children, sha256(string_agg(hash, '' ORDER BY k)) AS hash, sum(value) AS total FROM e GROUP BY 1, 2)")
+    for i in range(1, levels):
+        out.append(f"l{i} AS (SELECT session, node // {fanout} AS node, min(first) AS first, max(last) AS last, sum(n) AS n, count(*) AS children, sha256(string_agg(hash, '' ORDER BY node)) AS hash, sum(total) AS total FROM (SELECT *, count(*) OVER (PARTITION BY session) AS c FROM l{i - 1}) WHERE c > 1 GROUP BY 1, 2)")
+    return "WITH " + ", ".join(out) + " " + " UNION ALL ".join(f"SELECT session, {i} AS level, CAST(node AS BIGINT) AS node, first, last, CAST(n AS BIGINT) AS n, CAST(children AS INT) AS children, hash, round(total, 4) AS total FROM l{i}" for i in range(levels))
+
+
+@query(_tree_sql(8, 4, 12))
+def summary_tree(spark, sf_dir):
+    """The tree of summaries over each user's events, appended in three batches."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "value", F.sha2(F.col("event_id").cast("string"), 256).alias("hash"), (F.row_number().over(order) - 1).alias("number"), F.count("*").over(Window.partitionBy("user_id")).alias("n"))
+    e = cut(e.withColumn("batch", F.floor(3 * F.col("number") / F.col("n"))))
+    tree = SummaryTree(spark, scratch(spark, "summary-tree"), 8, 4, 1)
+    for batch in range(3):
+        tree.append(e.where(F.col("batch") == batch), batch, "user_id", "number", "hash", [F.col("value")])
+    return tree.nodes().select("session", "level", "node", "first", "last", "n", "children", "hash", F.round(F.col("sums")[0], 4).alias("total"))
