@@ -174,10 +174,11 @@ def snapshot_diff(before: DataFrame, now: DataFrame, keys: list[str], value: Col
     return both.select(*keys, change.alias("change")).where("change is not null")
 
 
-def polled(snapshots: DataFrame, poll: str, keys: list[str], value: Column) -> DataFrame:
+def polled(snapshots: DataFrame, poll: str, keys: list[str], value: Column, polls: DataFrame | None = None) -> DataFrame:
     """(poll, keys, change) of a series of snapshots (poll, keys, ...): each held against the one before, by the rows of a key in the order of polls: a row without
-    one in the poll before is added, without one in the poll after it is deleted in that. No pair of snapshots is joined."""
-    polls = snapshots.select(poll).distinct()
+    one in the poll before is added, without one in the poll after it is deleted in that. No pair of snapshots is joined. polls names them (column poll), those that found
+    nothing too; by default they are those that rows have."""
+    polls = (snapshots if polls is None else polls).select(poll).distinct()
     place = polls.withColumn("_i", F.row_number().over(Window.orderBy(poll)))
     rows = snapshots.select(poll, *keys, F.xxhash64(value).alias("_h")).join(place, poll)
     w = Window.partitionBy(*keys).orderBy("_i")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import bytes as by, text as tx
 from ..functions.registry import Functions, map_reduce
-from ..operators import compact, context, memory, rank, symbols, views
+from ..operators import compact, context, memory, rank, relink, symbols, views
 from ..sources import formats
 from ..sources.tables import table
 from .registry import query
@@ -421,3 +421,22 @@ def path_suffix_join(spark, sf_dir):
     modules = p.select(F.col("p_partkey").alias("imported"), F.replace(F.concat_ws(" ", "p_type", "p_name"), F.lit(" "), F.lit("/")).alias("module"))
     found = symbols.suffix_matches(imports, modules).where("importer <> imported")
     return found.groupBy("importer").agg(F.count("*").alias("n"), F.min("imported").alias("least"), F.max("imported").alias("most"))
+
+
+_LINKS = """WITH s0 AS (SELECT CAST(p_partkey AS VARCHAR) AS path, 'm' || CAST(p_partkey % 40 AS VARCHAR) || '.' || regexp_extract(p_name, '[^ ]*$') || CAST(p_partkey % 400 AS VARCHAR) AS qualified_name, p_partkey AS k FROM part),
+s1 AS (SELECT path, CASE WHEN k % 11 = 0 THEN qualified_name || 'x' ELSE qualified_name END AS qualified_name FROM s0 WHERE k % 13 <> 0),
+e1 AS (SELECT l_orderkey AS id, l_linenumber AS line, CAST(l_suppkey AS VARCHAR) AS path, q.qualified_name AS target FROM lineitem JOIN s0 q ON q.k = l_partkey WHERE l_suppkey % 13 <> 0),
+f AS (SELECT qualified_name AS n, count(DISTINCT path) AS c, min(path) AS p FROM s1 GROUP BY 1), g AS (SELECT regexp_extract(qualified_name, '[^.:/#]*$') AS n, count(DISTINCT path) AS c, min(path) AS p FROM s1 GROUP BY 1)"""
+
+
+@query(_LINKS + " SELECT id, line, target, coalesce(CASE WHEN f.c = 1 THEN f.p END, CASE WHEN g.c = 1 THEN g.p END) AS target_path FROM e1 LEFT JOIN f ON f.n = target LEFT JOIN g ON g.n = regexp_extract(target, '[^.:/#]*$')")
+def relinked_edges(spark, sf_dir):
+    """Edges after an eleventh of the files renamed their symbols and a thirteenth went, from the index before: parts stand for files, line items for calls."""
+    k = F.col("p_partkey")
+    s = table(spark, sf_dir, "part").select(k.cast("string").alias("path"), F.concat(F.lit("m"), k % 40, F.lit("."), F.regexp_extract("p_name", "[^ ]*$", 0), k % 400).alias("qualified_name"), k.alias("k"))
+    e = table(spark, sf_dir, "lineitem").join(s.select("k", F.col("qualified_name").alias("target")), F.col("l_partkey") == F.col("k"))
+    e = e.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").cast("string").alias("path"), "target")
+    changed = s.where("k % 11 = 0 OR k % 13 = 0")
+    renamed = changed.where("k % 13 <> 0").select("path", F.concat("qualified_name", F.lit("x")).alias("qualified_name"))
+    index = relink.relink(relink.link(s.drop("k"), e), changed, renamed, e.where(F.col("path").cast("bigint") % 13 != 0).join(changed.select("path"), "path", "left_semi"))
+    return index.edges.select("id", "line", "target", "target_path")

@@ -9,6 +9,7 @@ from ..operators import windows
 from ..operators.graph import cut
 from ..operators.summary_tree import SummaryTree
 from ..sources.tables import scratch, table
+from ..streaming.polls import PollWatch
 from .registry import query
 
 
@@ -175,6 +176,23 @@ def poll_and_diff(spark, sf_dir):
     return windows.polled(e, "poll", ["user_id"], F.col("v"))
 
 
+@query("""WITH s AS (SELECT event_id // 1000 AS poll, user_id, max(event_type) AS v FROM events WHERE event_id // 1000 % 4 <> 2 GROUP BY 1, 2), t AS (SELECT DISTINCT event_id // 1000 AS poll FROM events)
+SELECT coalesce(b.poll, a.poll + 1) AS poll, coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.poll IS NULL THEN 'added' WHEN b.poll IS NULL THEN 'deleted' ELSE 'modified' END AS change
+FROM s a FULL JOIN s b ON a.user_id = b.user_id AND b.poll = a.poll + 1
+WHERE a.poll IS NULL OR (b.poll IS NULL AND a.poll < (SELECT max(poll) FROM t)) OR a.v <> b.v""")
+def stream_poll_and_diff(spark, sf_dir):
+    """Users seen in each thousand events as polls in three micro-batches; each fourth poll finds nothing."""
+    e = table(spark, sf_dir, "events").withColumn("poll", F.floor(F.col("event_id") / 1000))
+    seen = e.where("poll % 4 <> 2").groupBy("poll", "user_id").agg(F.max("event_type").alias("v"))
+    marks = e.select("poll").distinct().select("poll", F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("string").alias("v"))
+    rows = cut(seen.unionByName(marks))
+    watch = PollWatch(spark, scratch(spark, "polls"), "poll", ["user_id"], F.col("v"))
+    last = rows.agg(F.max("poll")).first()[0]
+    for batch in range(3):
+        watch.take(rows.where(F.floor(F.col("poll") * 3 / F.lit(last + 1)) == batch), batch)
+    return watch.changes().select("poll", "user_id", "change")
+
+
 def _tree_sql(leaf: int, fanout: int, levels: int) -> str:
     out = ["e AS (SELECT CAST(user_id AS VARCHAR) AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, sha256(CAST(event_id AS VARCHAR)) AS hash, value FROM events)"]
     out.append(f"l0 AS (SELECT session, k // {leaf} AS node, min(k) AS first, max(k) AS last, count(*) AS n, count(*) AS children, sha256(string_agg(hash, '' ORDER BY k)) AS hash, sum(value) AS total FROM e GROUP BY 1, 2)")
