@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import utf8_prefix
+from ..functions.jsonbound import Bounds, bound
 from .graph import cut
 from .windows import pack_skipping
 
@@ -198,11 +199,7 @@ def changed_segments(df: DataFrame, key: str, before: str, now: str) -> DataFram
 
 def bounded(value: object, depth: int = 5, width: int = 12, items: int = 12, chars: int = 640) -> object:
     """A JSON value within bounds of depth, keys, list items and characters."""
-    if isinstance(value, dict):
-        return {str(k): bounded(value[k], depth - 1, width, items, chars) for k in sorted(value, key=str)[:width]} if depth > 0 else {"bounded": True}
-    if isinstance(value, list):
-        return [bounded(v, depth - 1, width, items, chars) for v in value[:items]] if depth > 0 else {"bounded": True}
-    return value[:chars] + "…" if isinstance(value, str) and len(value) > chars else value
+    return bound(value, Bounds(keys=width, items=items, head=items, chars=chars, lead=chars, depth=depth))
 
 
 def envelope(value: dict, budget: int) -> str:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..functions.jsonbound import Bounds, bound
 from .graph import cut as cut_lineage
 from .profile import PRIORITY
 
@@ -181,19 +182,12 @@ def pruned(texts: pd.Series) -> pd.Series:
 
     def of(text: str | None) -> str | None:
         try:
-            return json.dumps(_pruned(json.loads(text or "")), separators=(",", ":"), ensure_ascii=False)
+            return json.dumps(bound(json.loads(text or ""), NESTED), separators=(",", ":"), ensure_ascii=False)
         except ValueError:
             return None
 
     return texts.map(of)
 
 
-def _pruned(value: object, depth: int = 0, deepest: int = 4, columns: int = 8, items: int = 8, chars: int = 160) -> object:
-    if depth >= deepest:
-        return {"bounded": True, "reason": "max-depth"}
-    if isinstance(value, dict):
-        names = sorted(value, key=lambda k: (str(k).lower() not in PRIORITY, str(k)))
-        return {str(k): _pruned(value[k], depth + 1, deepest, columns, items, chars) for k in names[:columns]}
-    if isinstance(value, list):
-        return [_pruned(v, depth + 1, deepest, columns, items, chars) for v in value[:items]]
-    return value[:chars] + "…" if isinstance(value, str) and len(value) > chars else value
+# Bounds of nested values; keys that matter most come first.
+NESTED = Bounds(keys=8, items=8, head=8, chars=160, lead=160, depth=4, deep=lambda value: {"bounded": True, "reason": "max-depth"}, scalars=True, order=lambda key: (key.lower() not in PRIORITY, key))

@@ -12,6 +12,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions.jsonbound import bound
 from sparkloom.functions import text as tx
 from sparkloom.operators import compact, externalize as ext, graph, jobs, memory, multigraph, planning, security, views
 from sparkloom.plans import q_memory, registry
@@ -416,9 +417,9 @@ def test_buffers_are_scanned_whole(spark):
 
 def test_json_and_nested_bounds():
     wide = {f"k{i:02d}": list(range(40)) for i in range(40)}
-    small = compact.shrunk(wide)
+    small = bound(wide, compact.PRINTED)
     assert len(small) == 31 and small["<omitted_keys>"] == 10 and small["k00"] == {"length": 40, "head": [0, 1, 2, 3, 4, 5], "tail": [38, 39]}
-    assert json.loads(json.dumps(compact.shrunk({"a": "x" * 400})))["a"].startswith("x" * 180 + "…<400 chars>…")
+    assert json.loads(json.dumps(bound({"a": "x" * 400}, compact.PRINTED)))["a"].startswith("x" * 180 + "…<400 chars>…")
 
 
 @needs_data
@@ -463,9 +464,28 @@ CONTENT = [
 ]
 
 
-@pytest.mark.parametrize("family, text, wanted", CONTENT)
-def test_content_views(family, text, wanted):
-    assert ext.content_view(family, text) == wanted
+def test_content_views(spark):
+    from sparkloom.operators.familyviews import family_views
+
+    rows = [(i, family, text) for i, (family, text, _) in enumerate(CONTENT)]
+    got = {r.k: r.view for r in family_views(spark.createDataFrame(rows, "k int, family string, text string"), "k", "family", "text").collect()}
+    assert [got[i] for i in range(len(CONTENT))] == [wanted for *_, wanted in CONTENT]
+
+
+def test_long_content_views(spark):
+    """What is left out is counted; views end within their budget of bytes, at a whole letter."""
+    from sparkloom.operators.familyviews import family_views
+
+    log = "\n".join(f"step {chr(97 + i % 26)}{chr(97 + i // 26)} {i}" for i in range(60)) + "\n"
+    diff = "\n".join(f"+{i}" for i in range(130))
+    prose = " ".join(f"S{i} ends." for i in range(40))
+    rows = [(0, "log", log), (1, "diff", diff), (2, "other", prose), (3, "json", "{bad"), (4, "log", None), (5, "other", "é" * 3000), (6, "stack-trace", ""), (7, "json", '{"a": [' + ", ".join(["1"] * 20) + "]}")]
+    got = {r.k: r.view for r in family_views(spark.createDataFrame(rows, "k int, family string, text string"), "k", "family", "text", 4097).collect()}
+    assert got[0].startswith("Log lines: 60 | Unique event shapes: 60\nEvent shapes:\n[1x] step aa <n>\n") and got[0].endswith("\n… 10 event shapes externalized …")
+    assert got[1].startswith("Diff lines: 130 | Changed lines: 130\n+0\n") and got[1].endswith("+119\n… 10 changed lines externalized …")
+    assert got[2] == "\n".join([*(f"S{i} ends." for i in [*range(20), *range(32, 40)]), "… 12 segments externalized …"])
+    assert got[3] == "{bad" and got[4] == "Log lines: 0 | Unique event shapes: 0\nEvent shapes:" and got[6] == "Root cause: \nFrames: 0 (0 unique)"
+    assert got[5] == "é" * 2046 + "…" and json.loads(got[7]) == {"a": {"<array_length>": 20, "<head>": [1] * 5, "<tail>": [1] * 3}}
 
 
 def test_compiled_contexts_send_deltas(spark):
