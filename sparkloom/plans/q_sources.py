@@ -9,6 +9,7 @@ from pyspark.sql import Window, functions as F
 from ..sources import formats
 from ..sources.tables import shared_folder, table
 from ..streaming import stateful, tables as streams
+from ..streaming.sketches import ColumnSketches
 from .registry import query
 
 
@@ -302,3 +303,22 @@ def stream_expiring_values(spark, sf_dir):
     out = _scratch(spark)
     stateful.run(stateful.expiring(acts, "user_id", "ts", "event_id", "action", "value", "ttl"), out, _scratch(spark))
     return spark.read.parquet(out).where("number is not null").select("user_id", F.col("number").alias("event_id"), "action", "outcome", "value")
+
+
+@query("""WITH c AS (SELECT 'event_type' AS "column", event_type AS t, NULL::DOUBLE AS x FROM events UNION ALL SELECT 'value', NULL, CAST(value AS DOUBLE) FROM events UNION ALL SELECT 'user_id', NULL, CAST(user_id AS DOUBLE) FROM events),
+k AS (SELECT event_type AS t, count(*) AS c FROM events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY c DESC, t LIMIT 5)
+SELECT "column", count(*) AS n, count(*) - count(CASE WHEN "column" = 'event_type' THEN t ELSE CAST(x AS VARCHAR) END) AS nulls, count(x) AS numbers, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS deviation, min(x) AS least, max(x) AS most,
+CASE WHEN "column" = 'event_type' THEN (SELECT string_agg(t || '=' || c, ',' ORDER BY c DESC, t) FROM k) END AS top FROM c GROUP BY 1""")
+def stream_column_sketches(spark, sf_dir):
+    """Columns of events as a stream of files, summed up by mergeable sketches; the most frequent kinds are exact, as there are few."""
+    path = _scratch(spark)
+    e = table(spark, sf_dir, "events").select("event_type", "value", "user_id")
+    e.repartition(3).write.parquet(path)
+    sketches = ColumnSketches(spark, _scratch(spark), ["event_type", "value", "user_id"])
+    q = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path).writeStream.foreachBatch(sketches.take).option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    top = F.when(F.col("column") == "event_type", F.array_join(F.transform("top", lambda x: F.concat(x["item"], F.lit("="), x["count"].cast("string"))), ","))
+    return sketches.profile().select("column", "n", "nulls", "numbers", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "least", "most", top.alias("top"))
