@@ -83,9 +83,19 @@ def partitions_for(df: DataFrame, each: int) -> int:
     """Shuffle partitions for what df is made into: as many as the session sets, or as the files that df reads take at `each` bytes, up to PARTITIONS. The planner
     knows their sizes without a job; sources whose sizes it doesn't know count as none. Beyond PARTITIONS tasks grow, and sort with more spill."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(PARTITIONS, -(-_bytes_read(df) // each)))
+
+
+def _bytes_read(df: DataFrame) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    return max(least, min(PARTITIONS, -(-sum(x for x in sizes if x < 1 << 60) // each)))
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+def few_tasks(df: DataFrame, each: int) -> int | None:
+    """The session's cores where the files that df reads are so small, fewer than `each` bytes a core, that their row groups may be fewer than the cores; else None."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores if 0 < _bytes_read(df) < each * cores else None
 
 
 def own(df: DataFrame) -> list:

@@ -22,11 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, in_arrow, materialize, partitions_for, scratch_path, table
+from .common import id_back, id_key, few_tasks, in_arrow, materialize, partitions_for, scratch_path, table
 
 BLOCK, MAGIC, TRAILER = 1 << 16, b"SLBITS01", struct.Struct("<IIQQQ8s")
 #: Bytes of the input, as files have them, for each shard.
 SHARD = 1 << 26
+#: Tables of fewer bytes a core are dealt to all cores before they are encoded, in so many tasks a core.
+SPREAD, TASKS = 16 << 20, 4
 #: Most pieces whose ids a worker remembers.
 MEMORY = 1_000_000
 #: Texts, and their code points at most (but for one text), that are cut into words at once.
@@ -356,7 +358,7 @@ def _reader(folder: str) -> Callable:
 def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes all texts and writes them as shards in ascending id order; returns the manifest: shard, n_docs, n_ids.
 
-    Ids' quantiles set the shards' ranges. Texts are encoded where they are read, once; what is shuffled are the packed ids, in the bits that the largest id
+    Ids' quantiles set the shards' ranges. Texts are encoded where they are read, once (small tables, which may be a single row group, are dealt to all cores first); what is shuffled are the packed ids, in the bits that the largest id
     takes. Each task streams its range into a file of its own. Files are written under names of their own and moved, so that lost or repeated tasks leave whole
     files. Null texts are empty (the end id alone); null ids come first; rows that repeat an id come in the order of their lengths and packed ids. An empty table
     writes nothing; other columns are ignored.
@@ -366,6 +368,8 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     shards = partitions_for(docs, SHARD)
     found = rows.agg(F.percentile_approx("id", [i / shards for i in range(1, shards)], 10 * shards)).first()[0] if shards > 1 else None
     cuts = np.unique(np.array(found or [], np.int64))
+    if cores := few_tasks(docs, SPREAD):
+        rows = rows.repartition(TASKS * cores)
     encoded = in_arrow(rows, _encoder(tokenizer_path, end_id, bits, cuts), "shard int, id bigint, n bigint, packed binary")
     ordered = encoded.repartitionById(shards, F.col("shard")).select("id", "n", "packed").sortWithinPartitions("id", "n", "packed")
     return materialize(in_arrow(ordered, _writer(folder, bits), "shard bigint, n_docs bigint, n_ids bigint"), "manifest")
