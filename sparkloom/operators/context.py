@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bytes import utf8_prefix
 from ..functions.jsonbound import Bounds, bound
+from .align import matching, unified
 from .graph import cut
 from .windows import pack_skipping
 
@@ -174,7 +174,7 @@ def deltas(df: DataFrame, key: str, before: str, now: str, share: float = 0.75)
             rows = []
             for k, a, b in zip(f[key], f[before], f[now], strict=True):
                 a, b = a or "", b or ""
-                diff = "\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), lineterm="", n=2)) if a and a != b else ""
+                diff = "\n".join(unified(a.splitlines(), b.splitlines())) if a and a != b else ""
                 short = bool(diff) and len(diff) < share * len(b)
                 rows.append((k, short, diff if short else b))
             yield pd.DataFrame(rows, columns=[key, "is_delta", "body"])
@@ -183,14 +183,14 @@ def deltas(df: DataFrame, key: str, before: str, now: str, share: float = 0.75)
 
 
 def changed_segments(df: DataFrame, key: str, before: str, now: str) -> DataFrame:
-    """(key, changed): places in `now` (arrays of hashes) that a sequence alignment with `before` doesn't match."""
+    """(key, changed): places in `now` (arrays of hashes) that a longest common subsequence with `before` doesn't match; a null array is an empty one."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for k, a, b in zip(f[key], f[before], f[now], strict=True):
-                same = difflib.SequenceMatcher(None, list(a), list(b), autojunk=False).get_matching_blocks()
-                kept = {i for m in same for i in range(m.b, m.b + m.size)}
+                a, b = [[] if x is None else list(x) for x in (a, b)]
+                kept = {i for _, j, n in matching(a, b) for i in range(j, j + n)}
                 rows.append((k, [i for i in range(len(b)) if i not in kept]))
             yield pd.DataFrame(rows, columns=[key, "changed"])
 
