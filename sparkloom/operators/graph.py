@@ -52,6 +52,25 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False)
     return seen
 
 
+def chains(edges: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
+    """(entry, node, depth, chain): of each entry (column node) by itself, what it reaches within `depth` hops and by which nodes, itself first.
+
+    A chain is a shortest one and of these the least, node by node, which is the one that a breadth-first walk in order of nodes finds. Each round joins the newest ends with the
+    edges, which are written once by their key, and keeps the least chain of an end by an aggregate: equal ends combine before the shuffle.
+    """
+    step = keyed(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), "a", once=True)
+    start = entries.where("node IS NOT NULL").select(F.col("node").alias("entry"), "node", F.array("node").alias("chain")).distinct()
+    seen = frontier = cut(start.withColumn("depth", F.lit(0)))
+    for i in range(1, depth + 1):
+        ends = step.join(frontier, F.col("node") == F.col("a")).select("entry", F.col("b").alias("node"), F.concat("chain", F.array("b")).alias("chain"))
+        new = ends.groupBy("entry", "node").agg(F.min("chain").alias("chain")).join(seen.select("entry", "node"), ["entry", "node"], "left_anti")
+        frontier = cut(new.withColumn("depth", F.lit(i)))
+        if not frontier.take(1):
+            break
+        seen = seen.unionByName(frontier.select(*seen.columns))
+    return seen.where("depth > 0").select("entry", "node", "depth", "chain")
+
+
 def pagerank(edges: DataFrame, rounds: int = 30, damping: float = 0.85, every: int = 5) -> DataFrame:
     """(node, rank): parallel edges count, the mass of nodes without out-edges is spread evenly.
 

@@ -95,6 +95,23 @@ def test_deltas_by_hand(spark):
     assert {r.id: (r.is_delta, r.body_sha256) for r in run(spark, "context_deltas")} == want
 
 
+@needs_data
+def test_task_packs_by_hand(spark):
+    from tests.test_work import taken
+
+    packs = {}
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        rows = (r.text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        cut = lambda a, b, rows=rows: "\n".join(rows[a - 1 : b])
+        ranges = {(1, 3): "likely" if r.lang == "en" else "optional"}
+        if r.n_chars >= 1500:
+            ranges[1, 3] = "mandatory"
+        packs.setdefault(r.source, []).extend((tier, r.doc_id, a, b, cut(a, b)) for (a, b), tier in ranges.items())
+    want = {(k, p, a, b, tier, n, cut, hashlib.sha256(text.encode()).hexdigest()) for k, items in packs.items() for p, a, b, tier, text, n, cut in taken(items, 1000)}
+    got = run(spark, "task_pack")
+    assert {(r.source, r.doc_id, r.start, r.end, r.tier, r.tokens, r.clipped, r.text_sha256) for r in got} == want and len(got) == len(want) > 5
+
+
 def brute_view(lines, kind):
     parts, once = compact.VIEWS[kind]
     out = []

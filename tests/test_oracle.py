@@ -41,7 +41,7 @@ def same(a, b):
 BY_HAND = {
     "bootstrap_interval": "test_intervals_hold_their_medians", "card_numbers": "test_texts_by_hand", "column_profile_approximate": "test_sketches_are_close", "command_views": "test_command_views_by_hand",
     "context_deltas": "test_deltas_by_hand", "dependency_pack": "test_dependency_packs_by_hand", "multi_graph_search": "test_graphs_by_hand", "normalised_text": "test_texts_by_hand",
-    "output_governor": "test_governor_by_hand", "redaction": "test_texts_by_hand", "search_pack": "test_search_packs_by_hand", "segments": "test_segments_by_hand", "session_plan_budget": "test_plans_fit_their_budgets", "strong_components": "test_components_by_hand", "transcript_mining": "test_transcripts_by_hand",
+    "output_governor": "test_governor_by_hand", "redaction": "test_texts_by_hand", "search_pack": "test_search_packs_by_hand", "segments": "test_segments_by_hand", "session_plan_budget": "test_plans_fit_their_budgets", "task_pack": "test_task_packs_by_hand", "strong_components": "test_components_by_hand", "transcript_mining": "test_transcripts_by_hand",
 }
 
 
