@@ -15,8 +15,9 @@ from .common import id_back, id_key, in_arrow, materialize, table
 
 #: Words in a shingle, and the containment from which on an item counts as found.
 SHINGLE, THRESHOLD = 5, 0.8
-#: Items in a block of the stated query set; one block is on the driver and the executors at a time, so that what is broadcast is bounded.
-ITEMS = 20_000
+#: Items and letters in a block of the stated query set; one block is on the driver and the executors at a time. A letter becomes some 20 bytes of shingles (50 where words
+#: have one letter), so that what is broadcast is about 120 MB, or one item where that alone is longer.
+ITEMS, LETTERS = 20_000, 6_000_000
 #: Letters and digits, as the pattern [\p{L}\p{N}]+ has them.
 TOKEN = re.compile(r"[^\W_]+")
 _BASE = 0x9E3779B97F4A7C15
@@ -127,14 +128,17 @@ class Index:
         return out
 
 
-def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of `size`, one on the driver at a time."""
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most ITEMS and LETTERS, one on the driver at a time; an item of more letters is a block of its own."""
     block: list = []
+    held = 0
     for row in items.toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == size:
+        n = len(row[1] or "")
+        if block and (len(block) == ITEMS or held + n > LETTERS):
             yield block
-            block = []
+            block, held = [], 0
+        block.append((row[0], row[1]))
+        held += n
     if block:
         yield block
 
@@ -146,14 +150,14 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     held against the document's runs of as many words. Containment is the share of the item's shingles that the
     document has, anywhere in the whole text. Null and empty texts contain nothing and are contained nowhere; null ids pass; items
     that repeat an id count separately. Empty tables give no rows; other columns are ignored. The items are a stated query set:
-    each block of ITEMS is broadcast and held against all documents in a narrow pass without a shuffle. What a block finds is written before the next one
+    each block of ITEMS and LETTERS at most is broadcast and held against all documents in a narrow pass without a shuffle. What a block finds is written before the next one
     takes its place, so that no more than one is held.
     """
     rows = docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     queries = items.select(F.col(item_col).cast("bigint"), F.col(item_text_col).cast("string"))
     schema = "id bigint, item_id bigint, n_shared bigint, n_item bigint"
     out = sent = None
-    for block in _blocks(queries, ITEMS):
+    for block in _blocks(queries):
         if sent is not None:
             out = materialize(out, "contaminated")
             sent.destroy()
@@ -180,7 +184,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     Each block of items is a narrow pass that filters the rows; between two blocks what stayed is written, so that one index is held at a time.
     """
     out, at, sent = docs, docs.columns.index(text_col), None
-    for block in _blocks(items.select(F.col(item_col).cast("bigint"), F.col(item_text_col).cast("string")), ITEMS):
+    for block in _blocks(items.select(F.col(item_col).cast("bigint"), F.col(item_text_col).cast("string"))):
         if sent is not None:
             out = materialize(out, "clean-rows")
             sent.destroy()

@@ -368,6 +368,16 @@ def test_rows_with_shared_or_null_ids_are_decided_each_on_its_own(spark):
     assert sorted((str(r.doc_id), r.text.strip()) for r in near.collect()) == sorted((str(i), t) for i, t in [*clean, (None, copied)])
 
 
+def test_blocks_are_bounded_by_letters(spark, monkeypatch):
+    items = spark.createDataFrame([(i, "word " * n) for i, n in enumerate([2, 2, 50, 1, 0, 3])] + [(6, None)], "item_id bigint, text string").coalesce(1)
+    monkeypatch.setattr(dc, "LETTERS", 25)
+    assert [[i for i, _ in b] for b in dc._blocks(items)] == [[0, 1], [2], [3, 4, 5, 6]]
+    docs = spark.createDataFrame([(1, "word " * 60), (2, "word word"), (3, "other")], "doc_id bigint, text string")
+    some = sorted(map(tuple, dc.find_contaminated(docs, items).collect()))
+    monkeypatch.setattr(dc, "LETTERS", 6_000_000)
+    assert some == sorted(map(tuple, dc.find_contaminated(docs, items).collect())) and len(some) > 5
+
+
 def test_blocks_of_items_filter_one_after_another(spark, monkeypatch):
     monkeypatch.setattr(dc, "ITEMS", 1)
     items = spark.createDataFrame([(1, "a b c d e f"), (2, "u v w x y z")], "item_id long, text string")
