@@ -62,8 +62,10 @@ class TextModel:
 
     def __init__(self, counts: dict[str, np.ndarray]):
         self.langs = sorted(counts)
-        rows = np.array([counts[x] for x in self.langs], float).reshape(len(self.langs), BUCKETS) + 0.5
-        self.table = np.log(rows / rows.sum(1, keepdims=True)).astype(np.float32)
+        self.table = np.empty((len(self.langs), BUCKETS), np.float32)
+        for i, x in enumerate(self.langs):  # one row of doubles at a time
+            row = np.asarray(counts[x], float) + 0.5
+            self.table[i] = np.log(row / row.sum())
 
     def __call__(self, text: str) -> np.ndarray:
         """Tempered log-likelihood of each language, the best at 0."""
@@ -80,8 +82,9 @@ def fit(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", id_c
     """Fits on at most `labelled` rows of each language. Counts are made by the executors, a row of BUCKETS for each language and task; more than LANGUAGES
     labels are an error, as they aren't languages."""
     rows = samples.select(id_key(id_col).alias("id"), F.lower(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    # A threshold on the hash takes about `labelled` rows of each language without a sort of texts; the window takes the exact bound from those.
-    sizes = rows.groupBy("lang").count().select(F.col("lang").alias("l"), F.least(F.lit(1.0), 2.0 * labelled / F.col("count") + 1e-4).alias("share"))
+    # A threshold on the hash takes about twice `labelled` rows of each language, however many it has, without a sort of all texts; the window takes the exact bound
+    # from those. That fewer than `labelled` of more come through is beyond chance.
+    sizes = rows.groupBy("lang").count().select(F.col("lang").alias("l"), F.least(F.lit(1.0), (2.0 * labelled + 64) / F.col("count")).alias("share"))
     sizes = materialize(sizes, "label-sizes")
     if sizes.count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} different labels")
