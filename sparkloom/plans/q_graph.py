@@ -106,9 +106,11 @@ def neighbours(spark, sf_dir):
 
 @query("WITH RECURSIVE l AS (SELECT event_id, event_id AS root, 0 AS hops FROM events WHERE event_id % 8 = 0 UNION ALL SELECT e.event_id, l.root, hops + 1 FROM l JOIN events e ON e.event_id = l.event_id + 1 AND e.event_id % 8 <> 0) SELECT root, count(*) AS n, max(hops) AS hops FROM l GROUP BY root")
 def lineage_chain(spark, sf_dir):
-    """Follows pointers by a recursive query."""
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return spark.sql("WITH RECURSIVE l AS (SELECT event_id, event_id AS root, 0 AS hops FROM events WHERE event_id % 8 = 0 UNION ALL SELECT e.event_id, l.root, hops + 1 FROM l JOIN events e ON e.event_id = l.event_id + 1 AND e.event_id % 8 <> 0) SELECT root, count(*) AS n, max(hops) AS hops FROM l GROUP BY root")
+    """Follows pointers from every eighth event to those behind it."""
+    e, k = table(spark, sf_dir, "events").select("event_id"), F.col("event_id")
+    links = e.where(k % 8 != 0).select((k - 1).alias("src"), k.alias("dst"))
+    steps = graph.lineage(links, e.where(k % 8 == 0).select(k.alias("root")))
+    return steps.groupBy("root").agg(F.sum("n").alias("n"), F.max("hops").alias("hops"))
 
 
 @query("SELECT body, count(*) AS n, min(p_partkey) AS first FROM (SELECT p_partkey, md5(regexp_replace(lower(p_type), '\\s+', ' ', 'g')) AS body FROM part) GROUP BY body HAVING count(*) > 1")

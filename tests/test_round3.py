@@ -1,0 +1,14 @@
+"""Faults that larger and odder tables showed."""
+
+from pyspark.sql import functions as F
+
+from sparkloom.functions import text as tx
+from sparkloom.operators import graph, security, symbols
+
+
+def test_lineage_has_no_limit_on_rows(spark):
+    """1,200,000 rows of a recursion, more than a recursive query may have; ways over parallel links count."""
+    links = spark.range(1_200_000).where("id % 4 <> 0").select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
+    got = graph.lineage(links.union(links.where("dst = 2")), spark.range(0, 1_200_000, 4).select(F.col("id").alias("root")))
+    assert got.agg(F.sum("n"), F.max("hops"), F.count_distinct("root")).first()[:] == (1_200_002, 3, 300_000)
+    assert sorted((r.node, r.hops, r.n) for r in got.where("root = 0").collect()) == [(0, 0, 1), (1, 1, 1), (2, 2, 2), (3, 3, 2)]
