@@ -12,3 +12,22 @@ def test_lineage_has_no_limit_on_rows(spark):
     got = graph.lineage(links.union(links.where("dst = 2")), spark.range(0, 1_200_000, 4).select(F.col("id").alias("root")))
     assert got.agg(F.sum("n"), F.max("hops"), F.count_distinct("root")).first()[:] == (1_200_002, 3, 300_000)
     assert sorted((r.node, r.hops, r.n) for r in got.where("root = 0").collect()) == [(0, 0, 1), (1, 1, 1), (2, 2, 2), (3, 3, 2)]
+
+
+def test_sums_of_path_endings_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    imports = [(rng.randrange(9), "".join(rng.choices("a/", k=rng.randint(0, 3)))) for _ in range(40)] + [(99, None), (None, "a")]
+    modules = [(rng.randrange(9), "".join(rng.choices("a/", k=rng.randint(0, 5)))) for _ in range(30)] + [(3, None), (None, "a/a")]
+    a, b = spark.createDataFrame(imports, "importer long, path string"), spark.createDataFrame(modules, "imported long, module string")
+    pairs = symbols.suffix_matches(a, b).where("importer <> imported").groupBy("importer").agg(F.count("*"), F.min("imported"), F.max("imported"))
+    assert sorted(symbols.suffix_summary(a, b, "importer", "imported").collect()) == sorted(pairs.collect())
+    assert symbols.suffix_summary(a.where("path = ''"), b, "importer", "imported").count() == 0
+
+
+def test_path_endings_make_no_pairs(spark):
+    """50,000 importers of one path that 50,000 modules end with: 2.5 billion pairs, if they were made."""
+    a = spark.range(50_000).select(F.col("id").alias("importer"), F.lit("x").alias("path"))
+    got = symbols.suffix_summary(a, a.select(F.col("importer").alias("imported"), F.lit("a/x").alias("module")), "importer", "imported")
+    assert [tuple(r) for r in got.agg(F.min("n"), F.max("n"), F.min("least"), F.max("least"), F.min("most"), F.max("most")).collect()] == [(49_999, 49_999, 0, 1, 49_998, 49_999)]
