@@ -146,7 +146,7 @@ def intent(query: Column) -> Column:
 
 def distinct_lines(text: Column) -> Column:
     """Non-blank lines, trimmed, first occurrences in order."""
-    return F.array_distinct(F.filter(F.transform(lines(text), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def sentences(text: Column) -> Column:

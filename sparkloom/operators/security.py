@@ -69,7 +69,7 @@ def redacted(text: Column) -> Column:
     out = text
     for name, pattern in SECRETS.items():
         out = _replaced(out, SIGNS[name], pattern, "$1=[redacted:generic-assignment]" if name == "generic-assignment" else f"[redacted:{name}]")
-    out = tx.let(out, lambda t: F.aggregate(F.transform(cards(t), F.trim), t, lambda s, c: F.replace(s, c, F.lit("[redacted:payment-card]"))))
+    out = tx.let(out, lambda t: F.aggregate(F.transform(cards(t), lambda x: F.trim(x)), t, lambda s, c: F.replace(s, c, F.lit("[redacted:payment-card]"))))
     return _replaced(out, SIGNS["email"], EMAIL, "[redacted:email]")
 
 

@@ -6,6 +6,18 @@ from sparkloom.functions import text as tx
 from sparkloom.operators import graph, security, symbols
 
 
+def test_trimmed_lines_keep_their_digits(spark):
+    """transform() gives a function of two parameters the index too, which trim() took for the characters to cut."""
+    d = spark.createDataFrame([("00 a\n11 b 1\n  22 c2\n33",)], "t string")
+    assert d.select(tx.distinct_lines(F.col("t"))).first()[0] == ["00 a", "11 b 1", "22 c2", "33"]
+
+
+def test_cards_are_redacted_to_their_last_digit(spark):
+    d = spark.createDataFrame([("x 4111111111111110000 4111 1111 1111 1111 y 4012888888881881 z",)], "t string")
+    found = d.select(security.redacted(F.col("t"))).first()[0]
+    assert not any(c.isdigit() for c in found.replace("4111111111111110000", ""))
+
+
 def test_lineage_has_no_limit_on_rows(spark):
     """1,200,000 rows of a recursion, more than a recursive query may have; ways over parallel links count."""
     links = spark.range(1_200_000).where("id % 4 <> 0").select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
