@@ -138,10 +138,15 @@ def file_scan(spark: SparkSession, path: str, suffixes: list[str] | None = None)
     return out.where(F.lower("path").rlike(r"\.(?:" + "|".join(suffixes) + ")$")) if suffixes else out
 
 
+#: Rows of symbols that are held at once, beside those of one file.
+HELD = 8192
+
+
 def python_symbols(df: DataFrame, path: str, source: str) -> DataFrame:
     """(path, kind, name, line, end_line) of classes, functions and imports, by the language's own parser; what doesn't parse gives one row of kind error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [path, "kind", "name", "line", "end_line"]
         kinds = {ast.ClassDef: "class", ast.FunctionDef: "function", ast.AsyncFunctionDef: "function"}
         for b in batches:
             rows = []
@@ -157,7 +162,10 @@ def python_symbols(df: DataFrame, path: str, source: str) -> DataFrame:
                     elif isinstance(node, ast.Import | ast.ImportFrom):
                         base = getattr(node, "module", None)
                         rows += [(p, "import", f"{base}.{a.name}" if base else a.name, node.lineno, node.end_lineno) for a in node.names]
-            yield pd.DataFrame(rows, columns=[path, "kind", "name", "line", "end_line"])
+                if len(rows) >= HELD:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return df.select(path, source).mapInPandas(run, f"{path} string, kind string, name string, line bigint, end_line bigint")
 

@@ -92,3 +92,21 @@ def test_matches_do_not_pass_through_the_driver(spark, tmp_path):
     found = stream_scan_overlap(spark, str(tmp_path))
     assert sorted((r.match, r.n) for r in found.collect()) == [("AB", 1), ("CDE", 1), ("EFG", 1)]
     assert "LocalRelation" not in found._jdf.queryExecution().optimizedPlan().toString() and "MemoryPlan" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_source_files_do_not_grow_with_the_parts(spark, tmp_path, monkeypatch):
+    from sparkloom.plans import q_sources
+
+    spark.range(20_000).select(F.col("id").alias("p_partkey"), F.lit("B").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    most = []
+    parsed = q_sources.formats.python_symbols
+    monkeypatch.setattr(q_sources.formats, "python_symbols", lambda files, *a: most.append(files.agg(F.max(F.length("t"))).first()[0]) or parsed(files, *a))
+    got = q_sources.source_symbols(spark, str(tmp_path))
+    assert got.count() == got.distinct().count() == 40_000 and most[0] < 8192 * 64
+
+
+def _frames(df, monkeypatch):
+    """The function that a narrow pass hands to Spark, and the frames that it gives for one frame of df's rows."""
+    seen = []
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, run, schema: seen.append([len(f) for f in run(iter([self.toPandas()]))]) or self)
+    return seen
