@@ -171,10 +171,16 @@ def scan_buffers(df: DataFrame, key: str, data: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            rows, held = [], 0
             for k, raw in zip(f[key], f[data], strict=True):
                 raw = bytes(raw) if raw is not None else b""
                 for piece in chain([raw], decompressed(raw)):
-                    yield pd.DataFrame([(k, piece.decode("utf-8", "replace"))], columns=[key, "payload"])
+                    if rows and held + len(piece) > PAYLOADS:
+                        yield pd.DataFrame(rows, columns=[key, "payload"])
+                        rows, held = [], 0
+                    rows.append((k, piece.decode("utf-8", "replace")))
+                    held += len(piece)
+            yield pd.DataFrame(rows, columns=[key, "payload"])
 
     texts = df.select(key, data).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, payload string")
     return texts.select(key, F.explode(findings(F.col("payload"))).alias("finding")).distinct()
