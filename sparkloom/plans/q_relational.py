@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..sources.tables import run_sql
+from ..operators.symbols import linked
+from ..sources.tables import run_sql, table
 from .registry import query
 
 # The instant that ages are counted from, one hour past it, and the length of a look-back.
@@ -33,7 +34,6 @@ SQL = {
     "reversed_edges": "SELECT DISTINCT a.l_suppkey AS x, a.l_linenumber AS y FROM lineitem a JOIN lineitem b ON a.l_suppkey = b.l_linenumber AND a.l_linenumber = b.l_suppkey WHERE a.l_suppkey < a.l_linenumber",
     "path_coupling": "SELECT n1.n_name AS customer_nation, n2.n_name AS supplier_nation, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation n1 ON c_nationkey = n1.n_nationkey JOIN nation n2 ON s_nationkey = n2.n_nationkey WHERE n1.n_nationkey <> n2.n_nationkey GROUP BY n1.n_name, n2.n_name",
     "name_resolution": "SELECT e.user_id, min(t.event_id) AS only_id FROM (SELECT DISTINCT user_id FROM events) e JOIN events t ON t.user_id = e.user_id AND t.value > 95 AND t.event_type = 'signup' GROUP BY e.user_id HAVING count(DISTINCT t.value) = 1",
-    "symbol_link": "SELECT DISTINCT a.p_partkey AS src, b.p_partkey AS dst FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size WHERE a.p_partkey <> b.p_partkey",
     "suffix_join": "SELECT a.p_partkey AS importer, b.p_partkey AS imported FROM part a JOIN part b ON substring(a.p_name, length(a.p_name) - 1) = substring(b.p_name, length(b.p_name) - 1) AND a.p_brand = b.p_brand WHERE a.p_partkey < b.p_partkey AND b.p_size = 1",
     "model_account_join": "SELECT s.s_suppkey, n.n_name, r.r_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name IN ('ASIA', 'EUROPE')",
     "receipt_join": "SELECT o_orderkey, coalesce(l.quota, o_totalprice) AS quota FROM orders LEFT JOIN (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS quota FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_orderkey) l ON o_orderkey = l_orderkey",
@@ -88,3 +88,9 @@ def _add(name: str, sql: str) -> None:
 
 for _name, _sql in SQL.items():
     _add(_name, _sql)
+
+
+@query("SELECT DISTINCT a.p_partkey AS src, b.p_partkey AS dst FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size WHERE a.p_partkey <> b.p_partkey")
+def symbol_link(spark, sf_dir):
+    """Pairs without more of a group in one task than a cell of them."""
+    return linked(table(spark, sf_dir, "part"), "p_partkey", ["p_brand", "p_type", "p_size"])

@@ -94,6 +94,21 @@ def test_matches_do_not_pass_through_the_driver(spark, tmp_path):
     assert "LocalRelation" not in found._jdf.queryExecution().optimizedPlan().toString() and "MemoryPlan" not in found._jdf.queryExecution().analyzed().toString()
 
 
+def test_pairs_of_a_large_group_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(symbols, "CELL", 100)
+    monkeypatch.setattr(symbols, "PAIRS", 20_000)
+    d = spark.range(1000).select("id", F.when(F.col("id") < 600, "a").when(F.col("id") < 999, "b").alias("g"))
+    got = symbols.linked(d, "id", ["g"])
+    each = got.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count"), F.sum("count")).first()
+    assert each[1] == 600 * 599 + 399 * 398 and each[0] < 100_000
+    assert got.distinct().count() == each[1] and got.where("src = dst").count() == 0
+
+
+def test_pairs_of_two_groups_come_once(spark):
+    d = spark.createDataFrame([(1, "a"), (2, "a"), (1, "b"), (2, "b"), (3, "b"), (4, None), (None, "a")], "id long, g string")
+    assert sorted(map(tuple, symbols.linked(d, "id", ["g"]).collect())) == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)]
+
+
 def test_source_files_do_not_grow_with_the_parts(spark, tmp_path, monkeypatch):
     from sparkloom.plans import q_sources
 
