@@ -102,8 +102,9 @@ def lines(text: Column) -> Column:
 
 def strip_ansi(text: Column) -> Column:
     """Without terminal escapes and zero-width characters."""
-    plain = F.regexp_replace(text, "\x1b(?:[@-_][0-?]*[ -/]*[@-~]|\\][^\x07]*(?:\x07|\x1b\\\\))", "")
-    return F.translate(plain, "​‌‍⁠﻿", "")
+    hidden = "​‌‍⁠﻿"
+    plain = lambda t: F.when(F.contains(t, F.lit("\x1b")), F.regexp_replace(t, "\x1b(?:[@-_][0-?]*[ -/]*[@-~]|\\][^\x07]*(?:\x07|\x1b\\\\))", "")).otherwise(t)
+    return let(text, lambda t: let(plain(t), lambda p: F.when(p.rlike(f"[{hidden}]"), F.translate(p, hidden, "")).otherwise(p)))
 
 
 def skeleton(text: Column) -> Column:

@@ -80,9 +80,13 @@ def secret_types(text: Column) -> Column:
 
 def injection_reasons(text: Column) -> Column:
     """Which groups match as written, or after look-alike letters are folded."""
-    plain, folded = tx.strip_ansi(text), tx.skeleton(tx.strip_ansi(text))
-    hits = [F.when(plain.rlike(p), F.lit(f"direct-pattern-{i}")).when((folded != plain) & folded.rlike(p), F.lit(f"confusable-pattern-{i}")) for i, p in enumerate(INJECTIONS, 1)]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    def of(plain: Column, folded: Column) -> Column:
+        hits = [F.when(plain.rlike(p), F.lit(f"direct-pattern-{i}")).when(folded.rlike(p), F.lit(f"confusable-pattern-{i}")) for i, p in enumerate(INJECTIONS, 1)]
+        return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+    # Both forms are made once a text; the folded one only where there is a letter to fold.
+    folded = lambda plain: F.when(plain.rlike(f"[{tx.CONFUSABLE}]"), tx.skeleton(plain))
+    return tx.let(tx.strip_ansi(text), lambda plain: tx.let(folded(plain), lambda f: of(plain, f)))
 
 
 def high_entropy_tokens(text: Column) -> Column:
