@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import parts_for
 from .graph import cut
 from .rank import B, K1
 
 #: Ids in a block of postings, shelves that terms are dealt to, blocks' ranges that a query looks at first, and the most shelves that are named to the scan.
 SPAN, SHELVES, FIRST, NAMED = 4096, 256, 4, 4096
+#: Queries that are scored together on a range, asked terms that are broadcast at most, and bytes of the texts' files for a task.
+TOGETHER, ASKED, EACH = 256, 100_000, 4 << 20
 #: Scores are rounded to so many places, so that equal texts tie whatever the order of their sums.
 PLACES = 9
 _SLACK = 1e-6
@@ -79,10 +85,10 @@ class TextIndex:
         bounds, scored = self._bounds(queries, weights or {}, floor)
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "span"))
         first = cut(bounds.withColumn("_place", place).where(F.col("_place") <= FIRST).select("query", "span"))
-        best = cut(_top(scored(first), k))
+        best = cut(_top(scored(first, k), k))
         least = best.groupBy("query").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
         rest = bounds.join(first, ["query", "span"], "left_anti").join(least, "query", "left").where(F.col("least").isNull() | (F.col("bound") + _SLACK >= F.col("least")))
-        return _top(best.unionByName(scored(cut(rest.select("query", "span")))), k)
+        return _top(best.unionByName(scored(cut(rest.select("query", "span")), k)), k)
 
     def bounds(self, queries: DataFrame, weights: dict[str, float] | None = None, floor: bool = False) -> DataFrame:
         """(query, span, bound): the most that any text of a range of ids can score."""
@@ -114,39 +120,96 @@ class TextIndex:
         most = blocks.select("term", "span", "most", "least").join(terms, "term").groupBy(*of, "span").agg(F.sum(count("most")).alias("tf"), F.min("least").alias("length"))
         bounds = cut(most.groupBy("query", "span").agg(F.sum(part(F.col("tf"), F.col("length"))).alias("bound")).where("bound > 0"))
 
-        def scored(spans: DataFrame) -> DataFrame:
-            held = blocks.select("term", "span", "entries").join(terms, "term").join(spans, ["query", "span"], "left_semi")
-            each = held.select(*of, F.explode("entries").alias("e")).select(*of, "e.doc", "e.length", count("e.counts").alias("tf"))
-            words = each.groupBy(*of, "doc").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
-            return words.groupBy("query", "doc").agg(F.round(F.sum(part(F.col("tf"), F.col("length"))), PLACES).alias("score")).where("score > 0")
+        together = -(-max(1, expanded.select("query").distinct().count()) // TOGETHER)
+        group = F.pmod(F.xxhash64("query"), F.lit(together)).alias("together")
+        words = terms.select("term").distinct()
+        words = F.broadcast(words) if words.limit(ASKED + 1).count() <= ASKED else words
+        kind = dict(terms.dtypes)["query"]
+
+        def scored(spans: DataFrame, k: int) -> DataFrame:
+            wanted = spans.select("query", "span", group)
+            tf = F.transform("entries", lambda e: sum((F.lit(float(weights.get(f, 1.0))) * F.get(e["counts"], F.lit(i)) for i, f in enumerate(self.fields)), F.lit(0.0)))
+            packed = blocks.join(words, "term", "left_semi").select("term", "span", F.col("entries.doc").alias("docs"), F.col("entries.length").alias("lengths"), tf.alias("tf"))
+            held = packed.join(wanted.select("span", "together").distinct(), "span")
+            asks = terms.select("query", "phrase", "prefix", "term", "worth", "mean").join(wanted, "query")
+            held = held.select("term", "docs", "lengths", "tf", F.col("span").alias("of_span"), F.col("together").alias("of_group"))
+            return held.groupBy("of_span", "of_group").cogroup(asks.groupBy("span", "together")).applyInPandas(_scores(k), f"query {kind}, doc bigint, score double")
 
         return bounds, scored
 
 
+def _scores(k: int):
+    def run(blocks: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        """The k best texts of a range for each of its queries; ties to the smaller id."""
+        none = pd.DataFrame({"query": asks["query"].iloc[:0], "doc": np.empty(0, "int64"), "score": np.empty(0)})
+        if not len(blocks) or not len(asks):
+            return none
+        docs, at = np.unique(np.concatenate(blocks["docs"].tolist()), return_inverse=True)
+        ends = np.cumsum([len(d) for d in blocks["docs"]])[:-1]
+        places = defaultdict(list)  # a term has a block for each time that texts of the range were added
+        for term, place, tf in zip(blocks["term"], np.split(at, ends), blocks["tf"], strict=True):
+            places[term].append((place, tf))
+        length = np.empty(len(docs))
+        length[at] = np.concatenate(blocks["lengths"].tolist())
+        norm = K1 * (1 - B + B * length / asks["mean"].iloc[0])
+        number, queries = pd.factorize(asks["query"])
+        score = np.zeros((len(queries), len(docs)))
+        asks = asks.assign(query=number)
+        for _, own in asks.groupby(["phrase", "prefix"], sort=True):
+            tf = np.zeros(len(docs))
+            for term in own["term"].unique():
+                for place, n in places.get(term, ()):
+                    tf[place] += n
+            met = np.flatnonzero(tf > 0)
+            if len(met):
+                each = own.drop_duplicates("query")
+                score[np.ix_(each["query"].to_numpy(), met)] += np.outer(each["worth"].to_numpy(), tf[met] / (tf[met] + norm[met]))
+        score = np.round(score, PLACES)
+        out = []
+        for q, row in enumerate(score):
+            some = np.flatnonzero(row > 0)
+            if len(some) > k:
+                some = some[row[some] >= np.partition(row[some], -k)[-k]]
+            some = some[np.lexsort((docs[some], -row[some]))[:k]]
+            out.append((np.full(len(some), q), docs[some], row[some]))
+        q, doc, best = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"query": queries.take(q), "doc": doc, "score": best})
+
+    return run
+
+
 def _top(scores: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
     return scores.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
 def _write(docs: DataFrame, key: str, fields: dict[str, Column], path: str) -> None:
+    spark = docs.sparkSession
+    parts = parts_for(docs, EACH)
+    # A text's rows lie in one partition from here on, so that its words are counted without a shuffle; a row for each different word is shuffled once, to its shelf.
+    docs = docs.where(F.col(key).isNotNull()).withColumn("_doc", F.col(key).cast("bigint")).repartition(parts, "_doc")
     arrays = {f"f{i}": F.coalesce(c, F.array().cast("array<string>")) for i, c in enumerate(fields.values())}
-    own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), *[c.alias(n) for n, c in arrays.items()])
+    own = docs.select(F.col("_doc").alias("doc"), *[c.alias(n) for n, c in arrays.items()])
     own = own.withColumn("length", sum((F.size(n) for n in arrays), F.lit(0)).cast("bigint"))
-    of = lambda i: lambda t: F.struct(t.alias("term"), F.lit(i).alias("field"))
-    tokens = F.concat(*[F.transform(n, of(i)) for i, n in enumerate(arrays)])
-    rows = own.select("doc", "length", F.explode(tokens).alias("t")).select("doc", "length", "t.term", "t.field").where("term != ''")
-    # A text's words are counted on the map side: a row for each different one is shuffled.
-    counts = rows.groupBy("term", "doc", "length").agg(F.array(*[F.count_if(F.col("field") == i).cast("int") for i in range(len(fields))]).alias("counts"))
-    span = F.floor(F.col("doc") / SPAN).alias("span")
+    # The empty term, which no query asks for, has every text once: its blocks say how many texts there are, and of what length.
+    tokens = F.posexplode(F.concat(*arrays, F.array(F.lit("")))).alias("at", "term")
+    ends = [sum((F.size(n) for n in list(arrays)[: i + 1]), F.lit(0)).alias(f"e{i}") for i in range(len(arrays))]
+    rows = own.select("doc", "length", *ends, tokens).where("term <> '' OR at = length")
+    field = F.coalesce(*[F.when(F.col("at") < F.col(f"e{i}"), F.lit(i)) for i in range(len(arrays))], F.lit(-1))
+    counts = rows.groupBy("doc", "length", "term").agg(F.array(*[F.count_if(field == i).cast("int") for i in range(len(fields))]).alias("counts"))
+    slices = -(-parts // SHELVES)
+    placed = counts.select("*", F.floor(F.col("doc") / SPAN).alias("span"), _shelf(F.col("term")).alias("shelf")).withColumn("slice", F.pmod("span", F.lit(slices)))
     most = F.array(*[F.max(F.get("counts", F.lit(i))) for i in range(len(fields))])
-    blocks = counts.groupBy("term", span).agg(F.sort_array(F.collect_list(F.struct("doc", "length", "counts"))).alias("entries"), F.count("*").alias("n"), most.alias("most"), F.min("length").alias("least"))
+    blocks = placed.repartition(parts, "shelf", "slice").groupBy("shelf", "slice", "term", "span").agg(F.sort_array(F.collect_list(F.struct("doc", "length", "counts"))).alias("entries"), F.count("*").alias("n"), most.alias("most"), F.min("length").alias("least"))
     order, made = ["shelf", "term", "span"], uuid.uuid4().hex
-    blocks = blocks.withColumns({"made": F.lit(made), "shelf": _shelf(F.col("term"))}).repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = blocks.drop("slice").withColumn("made", F.lit(made)).sortWithinPartitions(*order)
     blocks.write.mode("append").option("compression", "zstd").partitionBy("made", "shelf").parquet(f"{path}/postings")
-    written = docs.sparkSession.read.schema(blocks.schema).parquet(f"{path}/postings").where(F.col("made") == made)
-    terms = written.groupBy("term").agg(F.sum("n").alias("df"))
+    written = spark.read.schema(_POSTINGS).parquet(f"{path}/postings").where(F.col("made") == made)
+    terms = written.where("term != ''").groupBy("term").agg(F.sum("n").alias("df"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("append").parquet(f"{path}/terms")
-    own.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).withColumn("fields", F.array(*map(F.lit, fields))).write.mode("append").parquet(f"{path}/stats")
+    every = written.where((F.col("shelf") == _shelf(F.lit(""))) & (F.col("term") == ""))
+    lengths = F.aggregate("entries", F.lit(0).cast("bigint"), lambda a, e: a + e["length"])
+    every.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(lengths), F.lit(0)).alias("length")).withColumn("fields", F.array(*map(F.lit, fields))).write.mode("append").parquet(f"{path}/stats")
 
 
 def phrases(queries: DataFrame, key: str, tokens: Column, prefix: bool = False) -> DataFrame:

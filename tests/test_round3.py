@@ -154,3 +154,17 @@ def test_texts_are_folded_only_where_there_is_something_to_fold(spark):
     out = d.select("k", security.injection_reasons(F.col("t")).alias("r"))
     assert [r.r for r in out.orderBy("k").collect()] == [["direct-pattern-1"], ["direct-pattern-1"], ["confusable-pattern-1"], ["confusable-pattern-1"], [], [], [], []]
     assert out._jdf.queryExecution().analyzed().toString().count(tx.CONFUSABLE_LATIN) == 1
+
+
+def test_scores_of_a_range_are_no_rows(spark, tmp_path):
+    """3,000 texts that all 300 queries find: a range is scored as one matrix, of which the best of each query become rows, not 900,000 pairs."""
+    from sparkloom.operators import textindex
+
+    docs = spark.range(3000).select("id", F.array(F.lit("x"), F.concat(F.lit("y"), F.col("id") % 7)).alias("t"))
+    index = textindex.TextIndex.build(docs, "id", {"t": F.col("t")}, str(tmp_path / "index"))
+    asked = spark.range(300).select(F.col("id").alias("query"), F.explode(F.array(F.lit("x"), F.concat(F.lit("y"), F.col("id") % 7))).alias("phrase"), F.lit(False).alias("prefix"))
+    _, scored = index._bounds(asked, {}, False)
+    spans = index.bounds(asked).select("query", "span")
+    assert spans.count() == 300 and scored(spans, 3).count() == 900
+    found = index.search(asked, 3).collect()
+    assert len(found) == 900 and all(r.doc % 7 == r.query % 7 and r.doc < 21 for r in found)
