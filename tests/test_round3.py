@@ -168,3 +168,12 @@ def test_scores_of_a_range_are_no_rows(spark, tmp_path):
     assert spans.count() == 300 and scored(spans, 3).count() == 900
     found = index.search(asked, 3).collect()
     assert len(found) == 900 and all(r.doc % 7 == r.query % 7 and r.doc < 21 for r in found)
+
+
+def test_neighbours_lie_in_pieces(spark, monkeypatch):
+    """A node of very many edges is many rows of some PIECE neighbours; all edges are there once."""
+    monkeypatch.setattr(graph, "PIECE", 50)
+    edges = spark.range(2000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id") % 7).alias("src"), F.col("id").alias("dst"))
+    got = graph.adjacency(edges, "src", "dst")
+    assert got.agg(F.max(F.size("to"))).first()[0] <= 51 and sorted(map(tuple, got.select("src", F.explode("to.dst")).collect())) == sorted(map(tuple, edges.collect()))
+
