@@ -177,3 +177,31 @@ def test_neighbours_lie_in_pieces(spark, monkeypatch):
     got = graph.adjacency(edges, "src", "dst")
     assert got.agg(F.max(F.size("to"))).first()[0] <= 51 and sorted(map(tuple, got.select("src", F.explode("to.dst")).collect())) == sorted(map(tuple, edges.collect()))
 
+
+def test_components_and_ranks_of_random_graphs(spark, monkeypatch):
+    """Chains that are trimmed from either end, components behind components, loops; ranks of parallel edges and of nodes without a way out."""
+    import random
+
+    monkeypatch.setattr(graph, "PIECE", 3)
+    for seed in range(3):
+        rng = random.Random(seed)
+        edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(38)] + [(40, 41), (41, 42), (42, 0), (50, 50), (0, 60), (60, 61), (61, 60), (62, 61)]
+        reach = {n: {n} for e in edges for n in e}
+        for _ in reach:
+            for a, b in edges:
+                reach[a] |= reach[b]
+        want = {(n, min(m for m in reach[n] if n in reach[m])) for n in reach if (n, n) in edges or any(m != n and n in reach[m] for m in reach[n])}
+        d = spark.createDataFrame(edges, "src long, dst long")
+        assert sorted(map(tuple, graph.cycles(d).collect())) == sorted(want)
+    rank = {n: 1 / len(reach) for n in reach}
+    near = {3: 0.25, 7: 0.75}
+    degree = {n: sum(a == n for a, _ in edges) for n in reach}
+    for _ in range(4):
+        lost = sum(r for n, r in rank.items() if not degree[n])
+        rank = {n: (0.15 + 0.85 * lost) / len(rank) + 0.85 * sum(rank[a] / degree[a] for a, b in edges if b == n) for n in rank}
+        near = {n: 0.15 * {3: 0.25, 7: 0.75}.get(n, 0) + 0.85 * sum(near.get(a, 0) / degree[a] for a, b in edges if b == n) for n in reach}
+    found = {r.node: r["rank"] for r in graph.pagerank(d, 4).collect()}
+    assert found.keys() == rank.keys() and all(abs(found[n] - rank[n]) < 1e-9 for n in rank)
+    seeds = spark.createDataFrame([(3, 1.0), (7, 3.0)], "node long, weight double")
+    found = {r.node: r["rank"] for r in graph.personalized_pagerank(d.withColumn("weight", F.lit(2.0)), seeds, 4).collect()}
+    assert all(abs(found.get(n, 0) - near[n]) < 1e-9 for n in near)
