@@ -205,3 +205,15 @@ def test_components_and_ranks_of_random_graphs(spark, monkeypatch):
     seeds = spark.createDataFrame([(3, 1.0), (7, 3.0)], "node long, weight double")
     found = {r.node: r["rank"] for r in graph.personalized_pagerank(d.withColumn("weight", F.lit(2.0)), seeds, 4).collect()}
     assert all(abs(found.get(n, 0) - near[n]) < 1e-9 for n in near)
+
+
+def test_views_share_what_they_look_for(spark):
+    """A word of 300,000 letters is gone through once, not from each of its letters; views together are what each is by itself."""
+    from sparkloom.operators import compact
+
+    texts = ["a.py:3 x\nerror: y\n\n error: y\nok", 'File "x", line 3\nxx.py:\n.py:3', "x" * 300_000 + " b.c:1x", "", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string").select("k", tx.lines(F.col("t")).alias("l"))
+    got = d.select("k", compact.views(F.col("l")).alias("v"), *[compact.view(F.col("l"), k).alias(k) for k in compact.VIEWS]).orderBy("k").collect()
+    assert all(r.v[k] == r[k] for r in got for k in compact.VIEWS) and got[0].lint == ["a.py:3 x", "error: y", " error: y", "a.py:3 x", "error: y", " error: y"]
+    assert got[2].lint == ["x" * 300_000 + " b.c:1x"] * 2 and got[1].lint == ['File "x", line 3'] * 2
+
