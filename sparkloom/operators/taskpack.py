@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import utf8_prefix
+from .graph import cut
 
 # Tiers in order, lines around a definition and around another symbol, and the most tokens of a pack.
 TIERS = ["mandatory", "likely", "optional"]
@@ -41,9 +42,12 @@ def excerpts(ranges: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     """The ranges with their text and tokens, from the lines of files (path, line, text): a join by path and block of lines, so that long files split and no
     line meets ranges that are far from it."""
     block = 64
-    cut = ranges.withColumn("_block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("end") / block))))
+    ranges = cut(ranges)
+    low, high = ranges.agg(F.min("start"), F.max("end")).first()
+    lines = lines.where(F.col("line").between(low or 0, high or 0))  # what no range comes near isn't shuffled
+    wide = ranges.withColumn("_block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("end") / block))))
     rows = lines.select("path", F.col("line").cast("bigint").alias("_line"), F.col("text").alias("_text"), F.floor(F.col("line") / block).alias("_block"))
-    met = cut.join(rows, ["path", "_block"]).where(F.col("_line").between(F.col("start"), F.col("end")))
+    met = wide.join(rows, ["path", "_block"]).where(F.col("_line").between(F.col("start"), F.col("end")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", F.coalesce("_text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n")
     return met.groupBy(key, "path", "start", "end", "tier").agg(text.alias("text")).withColumn("tokens", tokens(F.col("text")))
 
@@ -52,8 +56,9 @@ def packed(items: DataFrame, key: str, budget: int, most: int = MOST) -> DataFra
     """(key, path, start, end, tier, text, tokens, clipped) of the items (without clipped) that each pack takes within min(budget, most) tokens.
 
     By tier, then the smallest first, then path and start. As items of a tier come by size, the first that doesn't fit ends the tier: what is taken whole are running sums over
-    windows, tier by tier, each on what the one before left. Mandatory items that don't fit are clipped to what is left, one after the other, without white space at
-    the end; those that leave nothing are passed over. They are what the definitions of one query leave, and are folded as one array of texts of no more than the budget each.
+    windows, tier by tier, each on what the one before left. An item has a token at least, so that only so many of a key's smallest can count, however many it has: those are chosen in
+    parts of a key first. Mandatory items that don't fit are clipped to what is left, one after the other, without white space at
+    the end; those that leave nothing are passed over. Those that may count are folded as one array of texts of no more than the budget each.
     """
     if budget < 256:
         raise ValueError("a pack has at least 256 tokens")
@@ -61,7 +66,10 @@ def packed(items: DataFrame, key: str, budget: int, most: int = MOST) -> DataFra
     order = ["tokens", "path", "start", "end"]
     cols = [key, "path", "start", "end", "tier", "text", "tokens"]
     upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    tier = lambda name: items.where(F.col("tier") == name).select(*cols).withColumn("_sum", F.sum("tokens").over(upto))
+
+    items = items.where(F.col("tier").isin(TIERS)).select(*cols)
+    items = cut(_smallest(items.where("tokens > 0"), key, order, room).unionByName(items.where("tokens = 0")))
+    tier = lambda name: items.where(F.col("tier") == name).withColumn("_sum", F.sum("tokens").over(upto))
 
     first = tier(TIERS[0])
     taken = first.where(F.col("_sum") <= room).drop("_sum").withColumn("clipped", F.lit(False))
@@ -75,6 +83,21 @@ def packed(items: DataFrame, key: str, budget: int, most: int = MOST) -> DataFra
     return taken
 
 
+def _smallest(items: DataFrame, key: str, order: list[str], room: int) -> DataFrame:
+    """The items of at least a token that a pack of so much room may take.
+
+    What is taken whole is among the first `room` items. Items to clip are all behind those; one gives a text only where the room left holds its first letter that isn't
+    white space. Items before it that need no more room for theirs gave texts too, of a token at least: there are fewer than `room`. So the first 2 x room of each such need are enough.
+    """
+    bare = F.ltrim("text", F.lit(SPACE))
+    need = F.when((F.col("tier") != TIERS[0]) | (bare == ""), 0).otherwise(F.ceil((F.octet_length("text") - F.octet_length(bare) + F.octet_length(F.left(bare, F.lit(1)))) / 4))
+    of = [key, "tier", "_need"]
+    place = lambda *by: F.row_number().over(Window.partitionBy(*of, *by).orderBy(*order))
+    dealt = items.withColumn("_need", need.cast("bigint")).withColumn("_salt", F.pmod(F.xxhash64("path", "start", "end"), F.lit(64)))
+    few = dealt.withColumn("_place", place("_salt")).where(F.col("_place") <= 2 * room)
+    return few.withColumn("_place", place()).where(F.col("_place") <= 2 * room).drop("_place", "_salt", "_need")
+
+
 def _clipped(first: DataFrame, key: str, room: int, order: list[str], cols: list[str]) -> DataFrame:
     """Mandatory items beyond the first that doesn't fit, cut to what is left. A row's text has no more than the room's bytes in the fold."""
     whole = first.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("_sum") <= room, F.col("_sum"))), F.lit(0)).alias("_whole"))

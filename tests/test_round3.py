@@ -217,3 +217,31 @@ def test_views_share_what_they_look_for(spark):
     assert all(r.v[k] == r[k] for r in got for k in compact.VIEWS) and got[0].lint == ["a.py:3 x", "error: y", " error: y", "a.py:3 x", "error: y", " error: y"]
     assert got[2].lint == ["x" * 300_000 + " b.c:1x"] * 2 and got[1].lint == ['File "x", line 3'] * 2
 
+
+def test_packs_of_very_many_items_are_those_of_one_by_one(spark):
+    """20,000 items of a pack, some of white space first; the plan's windows see no more than a few thousand."""
+    import random
+
+    from sparkloom.operators import taskpack
+
+    rng, room = random.Random(2), 256
+    texts = ["x" * 300 + " ", " " * 2000 + "y" * 40, "zé" * 700, " " * 1500, "ab  " * 200 + "c" * 600, ""]
+    rows = [("k", f"p{rng.randrange(10**6):06}", i, i + 1, rng.choice(taskpack.TIERS), rng.choice(texts) if i % 3 else "q" * rng.randrange(200, 2000)) for i in range(20_000)]
+    d = spark.createDataFrame(rows, "key string, path string, start long, end long, tier string, text string").withColumn("tokens", taskpack.tokens(F.col("text")))
+    want, left = [], room
+    size = lambda t: -(-len(t.encode()) // 4)
+    for name in taskpack.TIERS:
+        own = sorted((size(r[5]), r[1], r[2], r[3], r[5]) for r in rows if r[4] == name)
+        for tokens, path, start, end, text in own:
+            if tokens <= left and (name == taskpack.TIERS[0] or left):
+                want.append((name, path, start, text, False))
+                left -= tokens
+            elif name != taskpack.TIERS[0]:
+                break
+            elif left and (some := text.encode()[: 4 * left].decode(errors="ignore").rstrip()):
+                want.append((name, path, start, some, True))
+                left -= size(some)
+    got = taskpack.packed(d, "key", room)
+    assert sorted((r.tier, r.path, r.start, r.text, r.clipped) for r in got.collect()) == sorted(want)
+    order = ["tokens", "path", "start", "end"]
+    assert taskpack._smallest(d.where("tokens > 0"), "key", order, room).count() < 8000
