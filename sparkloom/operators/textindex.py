@@ -19,6 +19,8 @@ from .rank import B, K1
 SPAN, SHELVES, FIRST, NAMED = 4096, 256, 4, 4096
 #: Queries that are scored together on a range, asked terms that are broadcast at most, and bytes of the texts' files for a task.
 TOGETHER, ASKED, EACH = 256, 100_000, 4 << 20
+#: Ranges that follow each other in a shelf's part, and parts of a shelf when it is written.
+TURN, TURNS = 16, 64
 #: Scores are rounded to so many places, so that equal texts tie whatever the order of their sums.
 PLACES = 9
 _SLACK = 1e-6
@@ -197,8 +199,9 @@ def _write(docs: DataFrame, key: str, fields: dict[str, Column], path: str) -> N
     rows = own.select("doc", "length", *ends, tokens).where("term <> '' OR at = length")
     field = F.coalesce(*[F.when(F.col("at") < F.col(f"e{i}"), F.lit(i)) for i in range(len(arrays))], F.lit(-1))
     counts = rows.groupBy("doc", "length", "term").agg(F.array(*[F.count_if(field == i).cast("int") for i in range(len(fields))]).alias("counts"))
-    slices = -(-parts // SHELVES)
-    placed = counts.select("*", F.floor(F.col("doc") / SPAN).alias("span"), _shelf(F.col("term")).alias("shelf")).withColumn("slice", F.pmod("span", F.lit(slices)))
+    # Ranges of ids in turn, so that a term that every text has, of few or of many, is dealt over tasks.
+    turn = F.pmod(F.floor(F.col("span") / TURN), F.lit(TURNS))
+    placed = counts.select("*", F.floor(F.col("doc") / SPAN).alias("span"), _shelf(F.col("term")).alias("shelf")).withColumn("slice", turn)
     most = F.array(*[F.max(F.get("counts", F.lit(i))) for i in range(len(fields))])
     blocks = placed.repartition(parts, "shelf", "slice").groupBy("shelf", "slice", "term", "span").agg(F.sort_array(F.collect_list(F.struct("doc", "length", "counts"))).alias("entries"), F.count("*").alias("n"), most.alias("most"), F.min("length").alias("least"))
     order, made = ["shelf", "term", "span"], uuid.uuid4().hex
