@@ -77,3 +77,44 @@ def test_values_expire_and_are_taken_once(spark, tmp_path):
     assert sorted((r.key, r.value, r["at"]) for r in rows if r.action == "timer" and r.value) == [("b", "B", at(12)), ("d", "E", at(211))]
     assert [r.key for r in rows if r.action == "timer" and not r.value] == ["a"]
     assert spark.conf.get(st._PROVIDER, None) != "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_groups_of_keys_hold_what_each_key_would(spark, tmp_path):
+    """Random actions of many keys, null and beyond 2 ** 53 too, in batches: rows and timers of a fold by key, and no more rows of state than groups."""
+    rng, start, groups = random.Random(3), datetime(2024, 1, 1), 4
+    keys, batches, want, fired, held, mark = [None, *range(1 << 60, (1 << 60) + 30)], [], {}, [], {}, -1
+    for b in range(3):
+        rows = [(rng.choice(keys), 100 * b + rng.randint(1, 99), 1000 * b + i, rng.choice(["put", "take", "get", None]), rng.choice([None, f"v{b}.{i}"]), rng.choice([0, 5, 60, 99])) for i in range(150)]
+        rows += [(keys[1], 100 * b + 1, 1000 * b + 990, "put", "ends at the mark", 98), (keys[2], 100 * b + 99, 1000 * b + 991, "get", None, None), (keys[3], 100 * b + 50, None, "get", None, None)]
+        batches.append(rows)
+        for key, at, n, action, value, ttl in sorted(rows, key=lambda r: (r[1], r[2] is None, r[2] or 0)):
+            had = held.get(key)
+            why = "stored" if action == "put" else "unknown" if had is None else "expired" if at >= had[1] else "taken" if had[2] else "found"
+            want[b, key, n] = (action, why, value if action == "put" else had[0] if why == "found" else None)
+            if action == "put":
+                held[key] = (value, at + (ttl or 0), False)
+            elif action == "take" and why == "found":
+                held[key] = (*had[:2], True)
+        for now in [mark] if b < 2 else [mark, 299]:  # the last time of the batches before; at the end, of all
+            over = {k: x for k, x in held.items() if x[1] < now}
+            fired += [(k, start + timedelta(seconds=x[1]), None if x[2] else x[0]) for k, x in over.items()]
+            held = {k: x for k, x in held.items() if k not in over}
+        mark = 100 * b + 99
+    schema = "key long, t timestamp, n long, action string, value string, ttl long"
+    for rows in batches:
+        frame = spark.createDataFrame([(k, start + timedelta(seconds=at), *r) for k, at, *r in rows], schema)
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sizes = []
+    with st.state_tables(spark):
+        q = st.expiring(stream, "key", "t", "n", "action", "value", "ttl", buckets=groups).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+    try:
+        q.awaitTermination()
+        sizes = [op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]]
+    finally:
+        q.stop()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    seconds = lambda r: (r["at"] - start).total_seconds()
+    assert {(seconds(r) // 100, r.key, r.number): (r.action, r.outcome, r.value) for r in rows if r.action != "timer"} == want
+    assert sorted(((r.key, r["at"], r.value) for r in rows if r.action == "timer"), key=str) == sorted(fired, key=str)
+    assert len(rows) == len(want) + len(fired) and len(sizes) == 4 and max(sizes) <= groups + 1
