@@ -52,26 +52,33 @@ class SummaryTree:
             raise ValueError(f"the tree sums {self.measures} measures")
         k = F.col(number).cast("bigint")
         sums = F.array(*[F.coalesce(m.cast("double"), F.lit(0.0)) for m in measures]).cast("array<double>")
-        new = cut(events.select(F.col(session).cast("string").alias("session"), F.struct(k.alias("child"), F.col(hashed).alias("hash"), k.alias("first"), k.alias("last"), F.lit(1).cast("bigint").alias("n"), sums.alias("sums")).alias("c")))
-        sessions = new.select("session").distinct()
-        edge = cut(self._edge(batch).join(sessions, "session", "left_semi"))
+        new = events.select(F.col(session).cast("string").alias("session"), F.struct(k.alias("child"), F.col(hashed).alias("hash"), k.alias("first"), k.alias("last"), F.lit(1).cast("bigint").alias("n"), sums.alias("sums")).alias("c"))
+        edge = self._edge(batch)
         level, nodes, opened = 0, None, None
-        while not new.isEmpty():
+        while True:
             size = self.leaf if level == 0 else self.fanout
             own = new.groupBy("session", F.floor(F.col("c.child") / size).alias("node")).agg(F.collect_list("c").alias("new"))
             held = edge.where(F.col("level") == level).select("session", "node", F.col("children").alias("old"))
             met = own.join(held, ["session", "node"], "left")
             fresh = F.transform("new", lambda x: x["child"])
             kept = F.filter(F.coalesce("old", F.array().cast(f"array<{_CHILD}>")), lambda x: ~F.array_contains(fresh, x["child"]))
-            made = cut(met.select("session", F.lit(level).alias("level"), "node", F.array_sort(F.concat(kept, "new")).alias("children")))
-            told = self._summed(made)
+            made = met.select("session", F.lit(level).alias("level"), "node", F.array_sort(F.concat(kept, "new")).alias("children"))
+            # Events are gone through once, for their leaves, and a level is written once, for all that is made of it. A full leaf takes no event any more and keeps none.
+            of = F.col("of") if level else F.when(F.size("of") < size, F.col("of"))
+            told = cut(self._summed(made).withColumns({"children": F.size("of"), "of": of}))
+            if told.isEmpty():
+                break
             # A node of one child above the leaves is no node yet: it only keeps that child until another comes.
-            real = told.where((F.col("level") == 0) | (F.size("of") > 1) | (F.col("node") > 0))
-            some = real.select("session", "level", "node", "first", "last", "n", F.size("of").alias("children"), "hash", "sums")
-            end = made.groupBy("session").agg(F.max("node").alias("node"))
-            ends = made.join(end, ["session", "node"], "left_semi").select("session", "level", "node", "children")
+            real = told.where((F.col("level") == 0) | (F.col("children") > 1) | (F.col("node") > 0))
+            some = real.select("session", "level", "node", "first", "last", "n", "children", "hash", "sums")
+            if level == 0:
+                ends = told.where(F.col("of").isNotNull())  # only a session's last leaf is not full
+                edge = cut(edge.where(F.col("level") > 0).join(told.select("session").distinct(), "session", "left_semi"))
+            else:
+                ends = told.join(told.groupBy("session").agg(F.max("node").alias("node")), ["session", "node"], "left_semi")
+            ends = ends.select("session", "level", "node", F.col("of").alias("children"))
             nodes, opened = (some, ends) if nodes is None else (nodes.unionByName(some), opened.unionByName(ends))
-            new = cut(real.select("session", F.struct(F.col("node").alias("child"), "hash", "first", "last", "n", "sums").alias("c")))
+            new = real.select("session", F.struct(F.col("node").alias("child"), "hash", "first", "last", "n", "sums").alias("c"))
             level += 1
         empty = self.spark.createDataFrame([], _NODE), self.spark.createDataFrame([], _OPEN)
         self._write(empty[0] if nodes is None else nodes, "nodes", batch)

@@ -205,8 +205,10 @@ def _tree_sql(leaf: int, fanout: int, levels: int) -> str:
 def summary_tree(spark, sf_dir):
     """The tree of summaries over each user's events, appended in three batches."""
     order = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "value", F.sha2(F.col("event_id").cast("string"), 256).alias("hash"), (F.row_number().over(order) - 1).alias("number"), F.count("*").over(Window.partitionBy("user_id")).alias("n"))
-    e = cut(e.withColumn("batch", F.floor(3 * F.col("number") / F.col("n"))))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", (F.row_number().over(order) - 1).alias("number"), F.count("*").over(Window.partitionBy("user_id")).alias("n"))
+    e, path = e.withColumn("batch", F.floor(3 * F.col("number") / F.col("n"))), scratch(spark, "summary-tree-events")
+    e.write.partitionBy("batch").parquet(path)  # a batch reads its own rows alone
+    e = spark.read.schema(e.schema).parquet(path).withColumn("hash", F.sha2(F.col("event_id").cast("string"), 256))
     tree = SummaryTree(spark, scratch(spark, "summary-tree"), 8, 4, 1)
     for batch in range(3):
         tree.append(e.where(F.col("batch") == batch), batch, "user_id", "number", "hash", [F.col("value")])

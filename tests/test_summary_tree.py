@@ -76,3 +76,20 @@ def test_a_stream_appends_once(spark, tmp_path):
         q.awaitTermination()
         q.stop()
     assert told(t) == brute(rows, 4, 3)
+
+
+def test_events_are_written_as_leaves_alone(spark, tmp_path, monkeypatch):
+    """A level is cut once, events never as rows, and the edge keeps the events of leaves that are open alone."""
+    cuts, cut = [], tree.cut
+    monkeypatch.setattr(tree, "cut", lambda df: cuts.append(cut(df)) or cuts[-1])
+    rows = [("a", k, sha(str(k)), 1.0) for k in range(66)] + [("b", k, sha(str(k)), 1.0) for k in range(8)]
+    t = tree.SummaryTree(spark, str(tmp_path / "t"), 4, 2, 1)
+    t.append(spark.createDataFrame(rows[:64] + rows[66:70], SCHEMA), 0, "s", "k", "h", [F.col("v")])
+    assert len(cuts) == 8 and max(c.count() for c in cuts) == 17  # six levels, the end, the edge; 17 leaves
+    held = lambda: spark.read.parquet(f"{tmp_path}/t/edge/batch={len(done)}").where("level = 0").select("session", "node", F.size("children")).collect()
+    done = []
+    assert held() == []
+    done.append(0)
+    t.append(spark.createDataFrame(rows[64:66] + rows[70:], SCHEMA), 1, "s", "k", "h", [F.col("v")])
+    assert [tuple(r) for r in held()] == [("a", 16, 2)]
+    assert told(t) == brute(rows, 4, 2)
