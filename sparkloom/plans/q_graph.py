@@ -12,9 +12,11 @@ from .registry import query
 _EDGES = "SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 2 * l_partkey ELSE 2 * l_suppkey + 1 END AS src, CASE WHEN l_returnflag = 'R' THEN 2 * l_suppkey + 1 ELSE 2 * l_partkey END AS dst FROM lineitem"
 
 
-def _edges(spark, sf_dir):
+def _edges(spark, sf_dir, by=None):
+    """Edges once each; by: shuffled but once, for that column, where what takes them wants them."""
     back, part, supplier = F.col("l_returnflag") == "R", 2 * F.col("l_partkey"), 2 * F.col("l_suppkey") + 1
-    return table(spark, sf_dir, "lineitem").select(F.when(back, part).otherwise(supplier).alias("src"), F.when(back, supplier).otherwise(part).alias("dst")).distinct()
+    every = table(spark, sf_dir, "lineitem").select(F.when(back, part).otherwise(supplier).alias("src"), F.when(back, supplier).otherwise(part).alias("dst"))
+    return (graph.placed(every, by) if by else every).distinct()
 
 
 def _seed(spark, *nodes):
@@ -74,7 +76,7 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query(_pagerank_sql(30))
 def pagerank(spark, sf_dir):
-    return graph.pagerank(_edges(spark, sf_dir)).withColumn("rank", F.round("rank", 6))
+    return graph.pagerank(_edges(spark, sf_dir, "src")).withColumn("rank", F.round("rank", 6))
 
 
 def _personalized_sql(rounds: int) -> str:
