@@ -88,7 +88,7 @@ def _personalized_sql(rounds: int) -> str:
 
 @query(_personalized_sql(32))
 def personalized_pagerank(spark, sf_dir):
-    e = _edges(spark, sf_dir).withColumn("weight", F.lit(1.0))
+    e = _edges(spark, sf_dir, "src").withColumn("weight", F.lit(1.0))
     return graph.personalized_pagerank(e, _seed(spark, 3, 7).withColumn("weight", F.lit(1.0))).withColumn("rank", F.round("rank", 6))
 
 
