@@ -16,7 +16,10 @@ def _edges(spark, sf_dir, by=None):
     """Edges once each; by: shuffled but once, for that column, where what takes them wants them."""
     back, part, supplier = F.col("l_returnflag") == "R", 2 * F.col("l_partkey"), 2 * F.col("l_suppkey") + 1
     every = table(spark, sf_dir, "lineitem").select(F.when(back, part).otherwise(supplier).alias("src"), F.when(back, supplier).otherwise(part).alias("dst"))
-    return (graph.placed(every, by) if by else every).distinct()
+    if not by:
+        return every.distinct()
+    with graph.in_rounds(every):
+        return graph.placed(every, by).distinct()
 
 
 def _seed(spark, *nodes):
